@@ -6,16 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from petriflow.llm.quality_rules import quality_digest
+from petriflow.llm.decontaminate import contamination_digest
+from petriflow.llm.ngram_join import near_duplicates
+from petriflow.llm.piece_transducer import encoding_digest
+from petriflow.llm.quality_rules import ablations, ledger, quality_digest
+from petriflow.llm.substring_dedup import substring_digest
+from petriflow.llm.sql import ORACLES
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_quality_rules": lambda s, d: quality_digest(_docs(s, d))}
+    return {
+        "op4_ngram_jaccard_join": lambda s, d: near_duplicates(_docs(s, d)),
+        "op5_quality_rules": lambda s, d: quality_digest(_docs(s, d)),
+        "op6_benchmark_decontamination": lambda s, d: contamination_digest(_docs(s, d), _benchmark(s, d)),
+        "op8_sentencepiece_transducer": lambda s, d: encoding_digest(_docs(s, d)),
+        "op9_substring_dedup": lambda s, d: substring_digest(_docs(s, d)),
+        "rule_ablations": lambda s, d: ablations(ledger(_docs(s, d).select("doc_id", "text"))),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
