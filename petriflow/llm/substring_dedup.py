@@ -20,17 +20,17 @@ from petriflow.llm import textvec as tv
 
 WINDOW = 13
 #: Windows in one hash bucket, on average; windows that a task gathers before it hands its runs on.
-PER_BUCKET, FLUSH = 400_000, 4_000_000
+PER_BUCKET, FLUSH = 2_000_000, 1_000_000
 _LAST = np.iinfo(np.int64).max
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Unsigned numbers byte plane by byte plane: the upper planes are nearly all zero and shrink in the shuffle."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _planes(x: np.ndarray, width: int = 4) -> bytes:
+    """Numbers byte plane by byte plane: the upper planes are nearly all alike and shrink in the shuffle."""
+    return np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
 
-def _unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _unplanes(b: bytes, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
 def _runs(k: int, n_buckets: int):
@@ -39,15 +39,16 @@ def _runs(k: int, n_buckets: int):
     def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h, ids, keys, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
         bucket = (tv.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(n_buckets)).astype(np.int64)
+        del parts[:]
         order = np.argsort(bucket, kind="stable")
         bucket, h, ids, keys, starts = (x[order] for x in (bucket, h, ids, keys, starts))
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         rows: list[tuple] = []
         for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True):
             new = np.flatnonzero(np.concatenate([[True], (ids[a + 1 : b] != ids[a : b - 1]) | (keys[a + 1 : b] != keys[a : b - 1]) | (starts[a + 1 : b] < starts[a : b - 1])]))
-            gaps = np.diff(starts[a:b], prepend=0)
+            gaps = np.diff(starts[a:b], prepend=starts.dtype.type(0))
             gaps[new] = starts[a:b][new]
-            rows.append((int(bucket[a]), h[a:b].tobytes(), ids[a:b][new].tobytes(), keys[a:b][new].tobytes(), _planes(np.diff(np.append(new, b - a))), _planes(gaps)))
+            rows.append((int(bucket[a]), h[a:b].tobytes(), _planes(ids[a:b][new], 8), keys[a:b][new].tobytes(), _planes(np.diff(np.append(new, b - a))), _planes(gaps)))
         kinds = [pa.int64(), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "hashes", "ids", "keys", "counts", "starts"])
 
@@ -62,7 +63,7 @@ def _runs(k: int, n_buckets: int):
                 at, h = tv.windows(tv.word_hashes(data, starts, ends), text, k)
                 if len(at):
                     of = text[at]
-                    parts.append((h, ids[row + of], keys[row + of], at - first[of]))
+                    parts.append((h, ids[row + of], keys[row + of], (at - first[of]).astype(np.int32)))
                     held += len(at)
                 if held >= FLUSH:
                     yield flush(parts)
@@ -77,7 +78,7 @@ def _repeated(bucket: pd.DataFrame) -> pd.DataFrame:
     """Of one hash bucket, the starts of windows whose hash an earlier document has: (id, key, starts)."""
     h = np.concatenate([np.frombuffer(x, np.uint64) for x in bucket.hashes])
     counts = np.concatenate([_unplanes(x) for x in bucket.counts]).astype(np.int64)
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in bucket.ids])
+    ids = np.concatenate([_unplanes(x, 8) for x in bucket.ids]).view(np.int64)
     keys = np.concatenate([np.frombuffer(x, np.int32) for x in bucket["keys"]])
     gaps = np.concatenate([_unplanes(x) for x in bucket.starts]).astype(np.int64)
     owner = np.repeat(np.arange(len(ids)), counts)
@@ -133,7 +134,7 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_words", "n_removed", "kept_text", "_key", "_id", "_text", "_starts") and c not in (doc_id, text)))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.hash(text).alias("key"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    n_buckets = max(2 * partitions(spark), size // 6 // PER_BUCKET + 1)
+    n_buckets = max(partitions(spark), size // 6 // PER_BUCKET + 1)
     runs = rows.mapInArrow(_runs(window, n_buckets), "bucket long, hashes binary, ids binary, keys binary, counts binary, starts binary")
     repeated = runs.groupBy("bucket").applyInPandas(_repeated, "id long, key int, starts binary")
     found = repeated.groupBy("id", "key").agg(F.collect_list("starts").alias("_starts"))
