@@ -23,7 +23,7 @@ from petriflow.llm import textvec as tv
 
 NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 #: Documents and n-grams of one block, about; columns of the incidence matrix at a time.
-BLOCK_DOCS, BLOCK_GRAMS, COLUMNS = 256, 1_000_000, 16_384
+BLOCK_DOCS, BLOCK_GRAMS, COLUMNS = 256, 1_000_000, 4_096
 
 
 def bands_for(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:

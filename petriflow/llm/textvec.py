@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _U = np.uint64
 
 #: Words between ASCII white space, and words of ASCII letters, digits and anything beyond ASCII.
