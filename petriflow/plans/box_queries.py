@@ -115,7 +115,7 @@ SELECT image, idx, round(score, 9) AS score, round(best_iou, 9) AS best_iou, (be
 c AS (SELECT image, idx, row_number() OVER (PARTITION BY image ORDER BY score DESC, idx) AS n FROM det WHERE (image, idx) IN (SELECT (image, a) FROM p UNION SELECT (image, b) FROM p)),
 q AS (SELECT c.image, c.n, c.idx, list(p.a) FILTER (WHERE p.a IS NOT NULL) AS over FROM c LEFT JOIN p ON p.image = c.image AND p.b = c.idx GROUP BY 1, 2, 3),
 w AS (SELECT image, 0::BIGINT AS n, []::BIGINT[] AS kept FROM q GROUP BY image UNION ALL SELECT w.image, w.n + 1, CASE WHEN list_has_any(w.kept, coalesce(q.over, []::BIGINT[])) THEN w.kept ELSE list_append(w.kept, q.idx) END FROM w JOIN q ON q.image = w.image AND q.n = w.n + 1),
-k AS (SELECT image, unnest(kept) AS idx FROM w QUALIFY true), z AS (SELECT DISTINCT image, idx FROM k)
+k AS (SELECT image, unnest(kept) AS idx FROM w), z AS (SELECT DISTINCT image, idx FROM k)
 SELECT image, idx FROM det WHERE (image, idx) NOT IN (SELECT (image, idx) FROM c) UNION ALL SELECT image, idx FROM z"""),
     "soft_nms": (lambda s, d: r9(G.soft_nms(S.boxes(s, d).where("role = 'R'"), 0.5, 0.001, 0.1).select("image", "idx", "score"), "score"), None),
     "anchor_fusion": (lambda s, d: r9(G.anchor_fusion(S.boxes(s, d).where("role = 'R'"), 0.5), *B.CORNERS, "score"), None),

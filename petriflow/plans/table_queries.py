@@ -1,3 +1,134 @@
-"""Registered queries."""
+"""Registered queries over dealt rows, parameters, histories, audit chains and annotation texts."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from petriflow.operators import audit as A
+from petriflow.operators import federation as E
+from petriflow.operators import history as H
+from petriflow.operators import partition as P
+from petriflow.plans import standins as S
+from petriflow.plans.box_queries import r9
+from petriflow.sources import readers as R
+from petriflow.sources import sinks as W
+
+
+def members(s: SparkSession, d: str) -> DataFrame:
+    return S.members(s, d)
+
+
+def _numbered(rows: str, by: str, seed: str, key: str = "id", name: str = "n") -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    return f"SELECT *, row_number() OVER ({part}ORDER BY md5('{seed}|' || {key}::VARCHAR), {key}) AS {name} FROM {rows}"
+
+
+_DOMINANT = {0: ["AUTOMOBILE", "BUILDING"], 1: ["FURNITURE"], 2: ["MACHINERY", "HOUSEHOLD"]}
+_SQL_DOMINANT = "dom AS (SELECT * FROM (VALUES (0, 'AUTOMOBILE'), (0, 'BUILDING'), (1, 'FURNITURE'), (2, 'MACHINERY'), (2, 'HOUSEHOLD')) t(client, cls)), cl AS (SELECT * FROM (VALUES (0, 2), (1, 1), (2, 2)) t(client, k))"
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    t = S.table(s, d, "documents")
+    return t.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("source").alias("batch"), (F.col("doc_id") % 40).cast("string").alias("name"), F.col("text").alias("content"))
+
+
+def _paths(s: SparkSession, d: str) -> DataFrame:
+    names = F.array(*(F.lit(x) for x in ("t0.json", "x_annotator_a.json", "t1_a.json", "Annotator_B.json", "t1_b.json", "t1.json", "notes.json", "annotator_c.json")))
+    t = S.table(s, d, "customer")
+    k = F.col("c_custkey")
+    return t.select(F.concat_ws("/", F.lit("root"), F.when(k % 3 == 0, "test").otherwise("train"), F.concat(F.lit("C"), (k % 4).cast("string")), F.concat(F.lit("P"), (k % 5).cast("string")), F.concat(F.lit("img"), (k % 30).cast("string")), F.get(names, (k % 8).cast("int"))).alias("path"))
+
+
+_PATHS = """f AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'test' ELSE 'train' END AS split, 'C' || (c_custkey % 4)::VARCHAR AS cls, 'P' || (c_custkey % 5)::VARCHAR AS plate, 'img' || (c_custkey % 30)::VARCHAR AS image,
+  ['t0.json', 'x_annotator_a.json', 't1_a.json', 'Annotator_B.json', 't1_b.json', 't1.json', 'notes.json', 'annotator_c.json'][c_custkey % 8 + 1] AS name,
+  ['t0', 'annotator_a', 't1_a', 'annotator_b', 't1_b', 't1_unknown', 'other', 'annotator_c'][c_custkey % 8 + 1] AS annotator FROM customer)"""
+
+
+def _label_rows(s: SparkSession, d: str) -> DataFrame:
+    b = S.boxes(s, d).where("role = 'N'")
+    return b.select((F.col("image") % 3).alias("batch"), "image", "idx", "cls", ((F.col("x1") + F.col("x2")) / 2000).alias("xc"), ((F.col("y1") + F.col("y2")) / 2000).alias("yc"), ((F.col("x2") - F.col("x1")) / 1000).alias("w"), ((F.col("y2") - F.col("y1")) / 1000).alias("h"))
+
+
+_LABELS = "lab AS (SELECT image % 3 AS batch, image, idx, cls, (x1 + x2) / 2000 AS xc, (y1 + y2) / 2000 AS yc, (x2 - x1) / 1000 AS w, (y2 - y1) / 1000 AS h FROM boxes WHERE role = 'N')"
+
+
+def _chain(s: SparkSession, d: str) -> DataFrame:
+    return A.build_chain(S.events(s, d))
+
+
+_CHAIN = f"""WITH RECURSIVE {S.EVENTS}, b AS (SELECT chain_id, 0::BIGINT AS index, min(ts) AS ts, 'Genesis' AS operation, NULL::VARCHAR AS details FROM ev GROUP BY chain_id UNION ALL SELECT chain_id, index, ts, operation, details FROM ev),
+chain AS (SELECT chain_id, index, ts, operation, details, '0' AS prev_hash, sha256('0:' || ts || ':' || operation || ':0:0') AS hash FROM b WHERE index = 0
+  UNION ALL SELECT b.chain_id, b.index, b.ts, b.operation, b.details, c.hash, sha256(b.index::VARCHAR || ':' || b.ts || ':' || b.operation || ':' || c.hash || ':0') FROM chain c JOIN b ON b.chain_id = c.chain_id AND b.index = c.index + 1)"""
+
+
+def _tampered(s: SparkSession, d: str) -> DataFrame:
+    """Every fifth chain has a changed operation in its fourth block."""
+    bad = (F.col("chain_id").cast("long") % 5 == 0) & (F.col("index") == 3)
+    return _chain(s, d).withColumn("operation", F.when(bad, "forged").otherwise(F.col("operation")))
+
+
+def _round_clients(s: SparkSession, d: str) -> DataFrame:
+    c = S.client_stats(s, d)
+    return c.select("exp", "round", "client", "map50", (1 - F.col("map50")).alias("train_loss"), F.col("map50").alias("train_acc"), F.map_from_arrays(F.array(*(F.lit(str(i)) for i in range(4))), F.array(*(F.round(F.col("map50") * (i + 1) / 4, 9) for i in range(4)))).alias("per_class_ap"), F.array(F.lit(0), F.lit(1)).alias("dominant"))
+
+
+QUERIES = {
+    "split_by_image": (lambda s, d: P.split_by_image(S.boxes(s, d)).select("image", "idx", "split"), f"WITH {S.BOXES}, i AS ({_numbered('(SELECT DISTINCT image FROM boxes)', '', '42', 'image')}), t AS (SELECT image, CASE WHEN n <= floor(c * 0.7) THEN 'train' WHEN n <= floor(c * 0.7) + floor(c * 0.15) THEN 'val' ELSE 'test' END AS split FROM (SELECT *, count(*) OVER () AS c FROM i)) SELECT image, idx, split FROM boxes JOIN t USING (image)"),
+    "balance_classes": (lambda s, d: P.balance_classes(members(s, d), "cls", "id"), f"WITH {S.MEMBERS}, m AS ({_numbered('members', 'cls', '42')}) SELECT id, cls FROM m WHERE n <= (SELECT min(c) FROM (SELECT count(*) AS c FROM members GROUP BY cls))"),
+    "sample_per_class": (lambda s, d: P.sample_per_class(members(s, d), "cls", "id", {"BUILDING": 20, "FURNITURE": 10}), f"WITH {S.MEMBERS}, m AS ({_numbered('members', 'cls', '42')}) SELECT id, cls FROM m WHERE (cls = 'BUILDING' AND n <= 20) OR (cls = 'FURNITURE' AND n <= 10)"),
+    "split_iid": (lambda s, d: P.split_iid(members(s, d), "id", 7), f"WITH {S.MEMBERS}, m AS ({_numbered('members', '', '42')}) SELECT id, cls, least((n - 1) // (count(*) OVER () // 7), 6)::INT AS client FROM m"),
+    "split_iid_dropped": (lambda s, d: P.split_iid(members(s, d), "id", 7, keep_remainder=False), f"WITH {S.MEMBERS}, m AS ({_numbered('members', '', '42')}), c AS (SELECT id, cls, ((n - 1) // (count(*) OVER () // 7))::INT AS client FROM m) SELECT * FROM c WHERE client < 7"),
+    "split_skew": (lambda s, d: P.split_skew(members(s, d), "cls", "id", 4, 0.5), f"""WITH {S.MEMBERS}, m AS (SELECT *, count(*) OVER (PARTITION BY cls) AS c FROM ({_numbered('members', 'cls', '42')})), k AS (SELECT cls, (row_number() OVER (ORDER BY cls) - 1) % 4 AS p FROM (SELECT DISTINCT cls FROM members)),
+o AS (SELECT m.*, p, ('0x' || substr(md5('42o|' || id::VARCHAR), 1, 8))::BIGINT % 3 AS o FROM m JOIN k USING (cls)) SELECT id, cls, (CASE WHEN n <= floor(c * (0.3::DOUBLE + 0.7::DOUBLE * 0.5::DOUBLE)) THEN p WHEN o < p THEN o ELSE o + 1 END)::INT AS client FROM o"""),
+    "split_dominant": (lambda s, d: P.split_dominant(members(s, d), "cls", "id", _DOMINANT, 0.7), f"""WITH {S.MEMBERS}, {_SQL_DOMINANT}, x AS (SELECT m.id, m.cls, cl.client, cl.k, dom.cls IS NOT NULL AS own, m.c FROM (SELECT *, count(*) OVER (PARTITION BY cls) AS c FROM members) m CROSS JOIN cl LEFT JOIN dom ON dom.client = cl.client AND dom.cls = m.cls),
+n AS (SELECT *, row_number() OVER (PARTITION BY client, cls ORDER BY md5('42|' || client::VARCHAR || '|' || id::VARCHAR), client::VARCHAR || '|' || id::VARCHAR) AS n FROM x) SELECT id, client FROM n WHERE n <= CASE WHEN own THEN floor(c * 0.7) ELSE greatest(1, floor(c * (1 - 0.7) / ((SELECT count(DISTINCT cls) FROM members) - k))) END"""),
+    "holdout_plan": (lambda s, d: P.holdout_plan(members(s, d), "cls", "id", {"BUILDING": (6, 2, 2), "FURNITURE": (12, 4, 4)}), f"WITH {S.MEMBERS}, n AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY id) AS n, CASE cls WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 END AS f FROM members), s AS (SELECT id, cls, n, CASE WHEN n <= 6 * f THEN 'train' WHEN n <= 8 * f THEN 'val' WHEN n <= 10 * f THEN 'test' END AS split FROM n) SELECT id, cls, split, coalesce(split = 'train', false) AND n <= 3 AS few_shot FROM s"),
+    "holdout_every": (lambda s, d: P.holdout_every(members(s, d), "cls", "id", 0.2), f"WITH {S.MEMBERS} SELECT id, cls, CASE WHEN (row_number() OVER (PARTITION BY cls ORDER BY id) - 1) % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM members"),
+    "client_distribution": (lambda s, d: P.client_distribution(P.split_iid(members(s, d), "id", 7)), f"WITH {S.MEMBERS}, m AS ({_numbered('members', '', '42')}), c AS (SELECT cls, least((n - 1) // (count(*) OVER () // 7), 6)::INT AS client FROM m) SELECT a.client, b.cls, count(c.cls) AS n FROM (SELECT DISTINCT client FROM c) a CROSS JOIN (SELECT DISTINCT cls FROM c) b LEFT JOIN c ON c.client = a.client AND c.cls = b.cls GROUP BY 1, 2"),
+    "client_totals": (lambda s, d: P.client_totals(members(s, d).withColumn("client", (F.col("id") % 3).cast("int"))), f"WITH {S.MEMBERS} SELECT (id % 3)::INT AS client, cls, count(*) AS n FROM members GROUP BY CUBE ((id % 3)::INT, cls)"),
+    "merge_domains": (lambda s, d: (lambda m: P.domain_totals(P.merge_domains({"a": m.where("id % 2 = 0"), "b": m.where("id % 2 = 1")}, "id").withColumn("label", (F.col("cls") == "BUILDING").cast("int"))))(members(s, d)), f"WITH {S.MEMBERS} SELECT CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS domain, count(*) AS n, count(*) FILTER (WHERE cls = 'BUILDING') AS n_tp, count(*) FILTER (WHERE cls <> 'BUILDING') AS n_fp FROM members GROUP BY ROLLUP (CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END)"),
+    "client_summary": (lambda s, d: r9(P.client_summary(S.boxes(s, d).select(P.client_of_path(F.concat_ws("/", "role", "rater", "idx")).alias("client"), (F.col("cls") == 1).cast("int").alias("label"))), "tp_pct"), f"WITH {S.BOXES} SELECT role || '_' || rater AS client, count(*) AS n, count(*) FILTER (WHERE cls = 1) AS n_tp, count(*) FILTER (WHERE cls <> 1) AS n_fp, round(100 * count(*) FILTER (WHERE cls = 1) / count(*), 9) AS tp_pct FROM boxes GROUP BY 1"),
+    "duplicate_content": (lambda s, d: P.duplicate_content(_files(s, d)).select("digest", "n", F.array_join("places", ",").alias("places")), "SELECT md5(text) AS digest, count(*) AS n, string_agg(source || '/' || doc_id::VARCHAR, ',' ORDER BY source || '/' || doc_id::VARCHAR) AS places FROM documents GROUP BY 1 HAVING count(*) > 1"),
+    "same_names": (lambda s, d: P.same_names(_files(s, d)), "SELECT (doc_id % 40)::VARCHAR AS name, count(*) AS n, count(DISTINCT md5(text)) AS n_contents, count(DISTINCT md5(text)) = 1 AS same FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1"),
+    "pairing_check": (lambda s, d: (lambda o: P.pairing_check(o.select("batch", F.concat(F.lit("a"), "k").alias("name")), o.select("batch", F.concat(F.lit("b"), "k").alias("name")), o.select("batch", F.concat(F.lit("a"), "k").alias("left"), F.concat(F.lit("b"), F.when(F.col("batch") == 1, F.col("k")).otherwise("x")).alias("right"))))(S.table(s, d, "supplier").select((F.col("s_suppkey") % 3).alias("batch"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0").alias("k"))), "WITH t AS (SELECT s_suppkey % 3 AS batch, lpad(s_suppkey::VARCHAR, 9, '0') AS k FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY k) AS n, count(*) OVER (PARTITION BY batch) AS c FROM t) SELECT batch, count(*) AS n, sum((batch <> 1)::INT)::BIGINT AS n_wrong, sum((batch <> 1 OR 2 * n <> c + 1)::INT)::BIGINT AS n_wrong_reversed FROM r GROUP BY batch"),
+    "compare_names": (lambda s, d: P.compare_names(S.table(s, d, "customer").select(F.col("c_custkey").alias("name")), S.table(s, d, "orders").select((F.col("o_custkey") + 5).alias("name"))), "WITH a AS (SELECT c_custkey AS name FROM customer), b AS (SELECT DISTINCT o_custkey + 5 AS name FROM orders) SELECT name, 'both' AS side FROM a WHERE name IN (SELECT name FROM b) UNION ALL SELECT name, 'left' FROM a WHERE name NOT IN (SELECT name FROM b) UNION ALL SELECT name, 'right' FROM b WHERE name NOT IN (SELECT name FROM a)"),
+    "label_profile": (lambda s, d: r9(P.label_profile(S.boxes(s, d).select((F.col("image") % 3).alias("batch"), "image").distinct(), _label_rows(s, d)), "min_area", "max_area", "mean_area", "mean_w", "mean_h"), f"""WITH {S.BOXES}, {_LABELS}, i AS (SELECT DISTINCT image % 3 AS batch, image FROM boxes), p AS (SELECT i.batch, i.image, count(lab.idx) AS k FROM i LEFT JOIN lab ON lab.image = i.image GROUP BY 1, 2),
+q AS (SELECT batch, count(*) AS n_images, sum((k = 0)::INT)::BIGINT AS images_0, sum((k BETWEEN 1 AND 2)::INT)::BIGINT AS images_1_2, sum((k BETWEEN 3 AND 5)::INT)::BIGINT AS images_3_5, sum((k BETWEEN 6 AND 10)::INT)::BIGINT AS images_6_10, sum((k > 10)::INT)::BIGINT AS images_more FROM p GROUP BY batch),
+b AS (SELECT batch, count(*) AS n_boxes, sum((xc - w / 2 < 0 OR yc - h / 2 < 0 OR xc + w / 2 > 1 OR yc + h / 2 > 1)::INT)::BIGINT AS n_outside, sum((w * h <= 0)::INT)::BIGINT AS n_zero_area, sum((w * h > 0 AND w * h < 0.001)::INT)::BIGINT AS n_tiny, sum((w * h > 0.5)::INT)::BIGINT AS n_huge, round(min(w * h), 9) AS min_area, round(max(w * h), 9) AS max_area, round(avg(w * h), 9) AS mean_area, round(avg(w), 9) AS mean_w, round(avg(h), 9) AS mean_h FROM lab GROUP BY batch)
+SELECT *, 0::BIGINT AS n_labels_without_image FROM q JOIN b USING (batch)"""),
+    "fedavg": (lambda s, d: r9(E.fedavg(S.params(s, d), S.client_stats(s, d).select("exp", "round", "client", F.col("n_samples").cast("double").alias("weight"))), "value"), f"WITH {S.PARAMS}, {S.CLIENT_STATS} SELECT exp, round, param, pos, round(CASE WHEN bool_or(is_int) THEN arg_min(value, client) ELSE sum(n_samples * value) / sum(n_samples) END, 9) AS value FROM params JOIN client_stats USING (exp, round, client) GROUP BY exp, round, param, pos"),
+    "fedavg_equal": (lambda s, d: r9(E.fedavg(S.params(s, d)), "value"), f"WITH {S.PARAMS} SELECT exp, round, param, pos, round(CASE WHEN bool_or(is_int) THEN arg_min(value, client) ELSE avg(value) END, 9) AS value FROM params GROUP BY exp, round, param, pos"),
+    "quality_weights": (lambda s, d: r9(E.quality_weights(S.client_stats(s, d), warmup=2, warm="samples"), "weight"), f"WITH {S.CLIENT_STATS} SELECT exp, round, client, round(CASE WHEN round < 2 THEN n_samples / sum(n_samples) OVER w ELSE map50 / sum(map50) OVER w END, 9) AS weight FROM client_stats WINDOW w AS (PARTITION BY exp, round)"),
+    "fedprox_pull": (lambda s, d: (lambda p: r9(E.fedprox_pull(p, p.where("client = 'c0' and round = 0 and pos < 20"), 0.1), "value"))(S.params(s, d)), f"WITH {S.PARAMS} SELECT p.exp, p.round, p.client, p.param, p.pos, round(CASE WHEN p.is_int OR g.value IS NULL THEN p.value ELSE 0.9 * p.value + 0.1 * g.value END, 9) AS value, p.is_int FROM params p LEFT JOIN (SELECT * FROM params WHERE client = 'c0' AND round = 0 AND pos < 20) g ON g.param = p.param AND g.pos = p.pos"),
+    "aggregate_round": (lambda s, d: r9(E.aggregate_round(S.params(s, d), S.client_stats(s, d), "EWA-v2"), "value"), f"WITH {S.PARAMS}, {S.CLIENT_STATS} SELECT exp, round, param, pos, round(CASE WHEN bool_or(is_int) THEN arg_min(value, client) ELSE sum(map50 * value) / sum(map50) END, 9) AS value FROM params JOIN client_stats USING (exp, round, client) GROUP BY exp, round, param, pos"),
+    "node_order": (lambda s, d: E.node_order(S.client_stats(s, d), "quality"), f"WITH {S.CLIENT_STATS}, l AS (SELECT *, lag(map50) OVER (PARTITION BY exp, client ORDER BY round) AS last FROM client_stats) SELECT exp, round, client, row_number() OVER (PARTITION BY exp, round ORDER BY coalesce(last, 0) DESC, client)::INT AS place FROM l"),
+    "sequential_gate": (lambda s, d: (lambda c: r9(E.sequential_gate(c, E.node_order(c), "soft"), "weight"))(S.client_stats(s, d)), None),
+    "sequential_gate_none": (lambda s, d: (lambda c: r9(E.sequential_gate(c, E.node_order(c), "none"), "weight"))(S.client_stats(s, d)), f"WITH {S.CLIENT_STATS} SELECT exp, round, client, round(n_samples / sum(n_samples) OVER (PARTITION BY exp, round), 9) AS weight, true AS accepted FROM client_stats"),
+    "federated_rounds": (lambda s, d: r9(E.federated_rounds(S.vectors(s, d).select("client", "cls", *(F.get("values", F.lit(i)).alias(f"f{i}") for i in range(16))), [f"f{i}" for i in range(16)], "cls", "client", 10), "accuracy", "loss"), None),
+    "convergence": (lambda s, d: r9(H.convergence(S.rounds(s, d)), "gain_20"), f"""WITH {S.ROUNDS}, r AS (SELECT *, lag(map50, 19) OVER (PARTITION BY exp ORDER BY round) AS back, last_value(map50) OVER w AS fin, last_value(val_loss) OVER w AS fl FROM rounds WINDOW w AS (PARTITION BY exp ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT exp, max(map50) AS best_map50, (min(round) FILTER (WHERE map50 = m))::INT AS best_map50_row, max(map) AS best_map, (min(round) FILTER (WHERE map = p))::INT AS best_map_row, min(round) FILTER (WHERE map50 >= 0.95 * fin) AS first_95, min(round) FILTER (WHERE val_loss = v) AS min_val_loss_row, CASE WHEN any_value(fl) > 1.1 * min(val_loss) THEN 'increasing' ELSE 'stable' END AS val_loss_trend, round(coalesce(any_value(fin) - arg_max(back, round), 0), 9) AS gain_20
+FROM (SELECT *, max(map50) OVER (PARTITION BY exp) AS m, max(map) OVER (PARTITION BY exp) AS p, min(val_loss) OVER (PARTITION BY exp) AS v FROM r) GROUP BY exp"""),
+    "round_summary": (lambda s, d: r9(H.round_summary(S.rounds(s, d)), "total_improvement", "mean_improvement"), f"WITH {S.ROUNDS} SELECT exp, max(map50) AS best, arg_max(map50, round) AS final, min(round) FILTER (WHERE map50 >= 0.95) AS first_095, round(arg_max(map50, round) - arg_min(map50, round), 9) AS total_improvement, round((arg_max(map50, round) - arg_min(map50, round)) / (count(*) - 1), 9) AS mean_improvement FROM rounds GROUP BY exp"),
+    "client_gap": (lambda s, d: r9(H.client_gap(_round_clients(s, d)), "gap"), f"WITH {S.CLIENT_STATS} SELECT exp, round, round(max(map50) - min(map50), 9) AS gap, max(map50) - min(map50) > 0.05 AS warning FROM client_stats GROUP BY exp, round"),
+    "client_pivot": (lambda s, d: r9(H.client_pivot(_round_clients(s, d), ["c0", "c1"]), "c0", "c1"), f"WITH {S.CLIENT_STATS} SELECT exp, round, round(max(map50) FILTER (WHERE client = 'c0'), 9) AS c0, round(max(map50) FILTER (WHERE client = 'c1'), 9) AS c1 FROM client_stats GROUP BY exp, round"),
+    "strategy_table": (lambda s, d: r9(H.strategy_table(S.rounds(s, d), ["exp"]), "drop_from_best"), f"WITH {S.ROUNDS}, b AS (SELECT *, max(map50) OVER (PARTITION BY exp) AS m FROM rounds) SELECT exp, arg_max(map50, round) AS final, any_value(m) AS best, min(round) FILTER (WHERE map50 = m) AS best_round, min(round) FILTER (WHERE map50 >= 0.95 * m) AS convergence_round, round(any_value(m) - arg_max(map50, round), 9) AS drop_from_best FROM b GROUP BY exp"),
+    "specialist_gap": (lambda s, d: r9(H.specialist_gap(_round_clients(s, d)), "dominant_ap", "other_ap", "gap"), f"WITH {S.CLIENT_STATS} SELECT exp, round, client, round((round(map50 / 4, 9) + round(map50 * 2 / 4, 9)) / 2, 9) AS dominant_ap, round((round(map50 * 3 / 4, 9) + round(map50, 9)) / 2, 9) AS other_ap, round((round(map50 / 4, 9) + round(map50 * 2 / 4, 9)) / 2 - (round(map50 * 3 / 4, 9) + round(map50, 9)) / 2, 9) AS gap FROM client_stats"),
+    "readiness_score": (lambda s, d: H.readiness_score(S.rounds(s, d), S.rounds(s, d).select("exp", F.col("round").alias("instances"), "map")), f"WITH {S.ROUNDS}, t AS (SELECT exp, max(map50) > 0.85 AS quality_ok, max(round) / greatest(1, min(round)) < 5 AS balance_ok, max(map) - min(map) > 0.05 AS spread_ok, arg_max(val_loss, round) <= 1.1 * min(val_loss) AS loss_ok FROM rounds GROUP BY exp), u AS (SELECT *, (25 * (quality_ok::INT + balance_ok::INT + spread_ok::INT + loss_ok::INT))::INT AS score FROM t) SELECT *, CASE WHEN score >= 75 THEN 'ready' WHEN score >= 50 THEN 'cautious' ELSE 'not_ready' END AS verdict FROM u"),
+    "best_round": (lambda s, d: H.best_round(S.rounds(s, d)).select("exp", "round", "map"), f"WITH {S.ROUNDS} SELECT exp, round, map FROM rounds QUALIFY row_number() OVER (PARTITION BY exp ORDER BY map DESC, round) = 1"),
+    "round_averages": (lambda s, d: r9(H.round_averages(_round_clients(s, d)), "train_loss", "train_acc"), f"WITH {S.CLIENT_STATS} SELECT exp, round, round(avg(1 - map50), 9) AS train_loss, round(avg(map50), 9) AS train_acc FROM client_stats GROUP BY exp, round"),
+    "build_chain": (lambda s, d: _chain(s, d).select("chain_id", "index", "operation", "prev_hash", "hash"), f"{_CHAIN} SELECT chain_id, index, operation, prev_hash, hash FROM chain"),
+    "block_hash": (lambda s, d: S.events(s, d).withColumn("prev_hash", F.lit("0")).withColumn("nonce", F.lit(0)).select("chain_id", "index", A.block_hash().alias("hash")), f"WITH {S.EVENTS} SELECT chain_id, index, sha256(index::VARCHAR || ':' || ts || ':' || operation || ':0:0') AS hash FROM ev"),
+    "json_block_hash": (lambda s, d: S.events(s, d).select("chain_id", "index", A.json_block_hash("index", "ts", "operation", F.lit("x"), F.lit("0")).alias("hash")), f"""WITH {S.EVENTS} SELECT chain_id, index, sha256('{{"details": "x", "index": ' || index::VARCHAR || ', "operation": "' || operation || '", "prev_hash": "0", "timestamp": "' || ts || '"}}') AS hash FROM ev"""),
+    "verify_chain": (lambda s, d: A.verify_chain(_tampered(s, d)), f"WITH {S.EVENTS}, c AS (SELECT chain_id, count(*) + 1 AS n, max(index) FILTER (WHERE index = 3) AS has FROM ev GROUP BY chain_id) SELECT chain_id, n AS n_blocks, NOT (chain_id::BIGINT % 5 = 0 AND has IS NOT NULL) AS valid, CASE WHEN chain_id::BIGINT % 5 = 0 THEN has END AS first_bad_index FROM c"),
+    "recent_blocks": (lambda s, d: A.recent(_chain(s, d), 3).select("chain_id", "index", "place"), f"{_CHAIN} SELECT chain_id, index, row_number() OVER (PARTITION BY chain_id ORDER BY index DESC)::INT AS place FROM b QUALIFY place <= 3"),
+    "audit_trail": (lambda s, d: A.trail(_chain(s, d), 2, "click").select("chain_id", "index", "place"), f"{_CHAIN}, t AS (SELECT chain_id, index FROM b WHERE operation = 'click' QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY index DESC) <= 2) SELECT chain_id, index, row_number() OVER (PARTITION BY chain_id ORDER BY index)::INT AS place FROM t"),
+    "retained_chain": (lambda s, d: A.verify_chain(A.retain(_chain(s, d), 5)), f"{_CHAIN} SELECT chain_id, least(count(*), 5) AS n_blocks, true AS valid, NULL::BIGINT AS first_bad_index FROM b GROUP BY chain_id"),
+    "audit_stats": (lambda s, d: A.audit_stats(_chain(s, d)).select("chain_id", "length", "valid", "latest_hash", F.to_json("operations").alias("operations")), None),
+    "audit_display": (lambda s, d: A.display(_chain(s, d)).select("chain_id", "index", "details", "hash"), f"{_CHAIN} SELECT chain_id, index, substr(details, 1, 80) AS details, substr(hash, 1, 16) AS hash FROM chain"),
+    "read_label_lines": (lambda s, d: r9(R.label_lines_of(W.label_lines(_label_rows(s, d), "image").withColumnRenamed("image", "source").drop("idx")), "xc", "yc", "w", "h"), f"WITH {S.BOXES}, {_LABELS} SELECT image AS source, cls, round(xc, 6) AS xc, round(yc, 6) AS yc, round(w, 6) AS w, round(h, 6) AS h FROM lab"),
+    "read_polygons": (lambda s, d: R.polygons_of(W.polygon_json(S.boxes(s, d)).withColumnRenamed("image", "source")).select("source", "key", "x1", "y1", "x2", "y2"), f"WITH {S.BOXES} SELECT image AS source, (row_number() OVER (PARTITION BY image ORDER BY idx) - 1)::VARCHAR AS key, x1, y1, x2, y2 FROM boxes"),
+    "inventory_files": (lambda s, d: R.inventory(R.classify_paths(_paths(s, d))), f"WITH {_PATHS} SELECT split, cls, plate, annotator, count(*) AS n FROM f GROUP BY ALL"),
+    "pick_primary_annotator": (lambda s, d: R.pick_primary_annotator(R.classify_paths(_paths(s, d))).select("split", "cls", "plate", "image", "annotator"), f"WITH {_PATHS} SELECT split, cls, plate, image, annotator FROM f QUALIFY row_number() OVER (PARTITION BY split, cls, plate, image ORDER BY coalesce(list_position(['t0', 'annotator_a', 't1_a', 'annotator_b', 't1_b', 'other'], annotator), 6), name) = 1"),
+    "parse_class_table": (lambda s, d: R.parse_class_table(S.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("all 1 2\n  early  10 "), F.col("p_size").cast("string"), F.lit(" 0.5 0.25 0.75 0.4\nodd 1 2 3 4 5 6")).alias("value")), ["early"]), "SELECT p_partkey AS id, 'early' AS cls, 10::INT AS images, p_size::INT AS instances, 0.5::DOUBLE AS precision, 0.25::DOUBLE AS recall, 0.75::DOUBLE AS map50, 0.4::DOUBLE AS map FROM part"),
+}
