@@ -98,7 +98,10 @@ class Transducer:
         joined = {c for p in self.rank if len(p) > 1 for c in p} - {SPACE}
         inner = "".join(map(re.escape, sorted(joined)))
         self.cut = re.compile(f"{SPACE}*[{inner}]+|{SPACE}+|[^{SPACE}]" if inner else f"{SPACE}+|[^{SPACE}]", re.S)
+        self.begins = {p[:i] for p in (self.right if self.kind == BPE else self.rank) for i in range(1, len(p))}
         self.neighbours = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
+        self.by_word = self.prefix and self.escape and not any(SPACE in p.lstrip(SPACE) for p in self.rank)
+        self.words: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
         self.paths: dict[str, list[int]] = {}
         self.apart: dict[tuple[str, str], bool] = {}
@@ -164,40 +167,83 @@ class Transducer:
                 part = text[begin:end]
                 found = self.paths.get(part)
                 if found is None:
-                    found = self._path(part)
+                    found = self._finite_path(part) if self.kind == BPE else self._path(part)
                     if len(self.paths) < CACHE:
                         self.paths[part] = found
                 ids += found
                 begin = end
         return ids
 
+    def _finite_path(self, text: str) -> list[int]:
+        """A BPE model's arcs weigh zero or infinity, so its shortest path is the one that is finite: depth first over states (place, last piece),
+        longer arcs first, each dead state entered once."""
+        n, pieces, begins, apart, stay = len(text), self.right, self.begins, self.apart, self._stay_apart
+        arcs_at: dict[int, list[str]] = {}
+        dead: set[tuple[int, str]] = set()
+        path: list[str] = []
+        tried, at, last = [0], 0, ""
+        while at < n:
+            arcs = arcs_at.get(at)
+            if arcs is None:
+                arcs, end, arc = [], at + 1, text[at]
+                while True:
+                    if arc in pieces:
+                        arcs.append(arc)
+                    if arc not in begins or end == n:
+                        break
+                    end += 1
+                    arc = text[at:end]
+                arcs.reverse()
+                if text[at] not in pieces:
+                    arcs.append(text[at])  # its byte arc; no merge touches it
+                arcs_at[at] = arcs
+            for i in range(tried[-1], len(arcs)):
+                arc = arcs[i]
+                if last and last in pieces and arc in pieces:
+                    ok = apart.get((last, arc))
+                    if not (stay(last, arc) if ok is None else ok):
+                        continue
+                if (at + len(arc), arc) not in dead:
+                    tried[-1] = i + 1
+                    break
+            else:
+                dead.add((at, last))
+                tried.pop()
+                at -= len(path.pop())
+                last = path[-1] if path else ""
+                continue
+            path.append(arc)
+            tried.append(0)
+            at, last = at + len(arc), arc
+        ids: list[int] = []
+        for arc in path:
+            ids += [self.id[arc]] if arc in pieces else self._byte_path(arc)
+        return ids
+
     def _path(self, text: str) -> list[int]:
-        """The shortest path over ``text``: states are (place, last piece), weights as the model's kind says."""
-        n, bpe = len(text), self.kind == BPE
-        worst = self.worst
-        states: list[dict[str | None, tuple[float, str | None, int, str]]] = [{} for _ in range(n + 1)]
-        states[0][None] = (0.0, None, -1, "")
+        """The shortest path over ``text`` in a unigram model, place by place."""
+        n, worst, begins, pieces = len(text), self.worst, self.begins, self.rank
+        cost, back = [0.0] + [_INF] * n, [(-1, "")] * (n + 1)
         for at in range(n):
-            if not states[at]:
+            if cost[at] == _INF:
                 continue
-            arcs = [text[at:end] for end in range(at + 1, min(n, at + self.longest) + 1) if text[at:end] in (self.right if bpe else self.rank)]
-            if not arcs or text[at] not in arcs and (not bpe or text[at] not in self.rank):
-                arcs.append("")  # the byte arc of one character
-            for last, (cost, *_) in states[at].items():
-                for arc in arcs:
-                    if bpe and last and arc and not self._stay_apart(last, arc):
-                        continue
-                    key = (arc if bpe else None) if at + max(1, len(arc)) < n else None
-                    weight = cost + (0.0 if bpe else self.rank[arc] if arc else worst)
-                    to = states[at + max(1, len(arc))]
-                    if key not in to or weight < to[key][0]:
-                        to[key] = (weight, last, at, arc)
+            known = False
+            for end in range(at + 1, n + 1):
+                arc = text[at:end]
+                if arc in pieces:
+                    known |= end == at + 1
+                    if cost[at] + pieces[arc] < cost[end]:
+                        cost[end], back[end] = cost[at] + pieces[arc], (at, arc)
+                if arc not in begins:
+                    break
+            if not known and cost[at] + worst < cost[at + 1]:
+                cost[at + 1], back[at + 1] = cost[at] + worst, (at, "")  # the byte arc of one character
         ids: list[int] = []
-        at, key = n, None
+        at = n
         while at > 0:
-            _, last, start, arc = states[at][key]
+            start, arc = back[at]
             ids[:0] = [self.id[arc]] if arc else self._byte_path(text[start])
-            at, key = start, last
+            at = start
         return ids
 
     def _segment(self, text: str) -> bytes:
@@ -237,10 +283,9 @@ class Transducer:
             text = " " + text
         return text.replace(" ", SPACE) if self.escape else text
 
-    def encode_bytes(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers; null as the empty text."""
+    def _cuts(self, normal: str) -> bytes:
         cache, out = self.cache, []
-        for cut in self.cut.findall(self.normalise(text or "")):
+        for cut in self.cut.findall(normal):
             found = cache.get(cut)
             if found is None:
                 found = self._segment(cut)
@@ -249,6 +294,22 @@ class Transducer:
             out.append(found)
         return b"".join(out)
 
+    def encode_bytes(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit numbers; null as the empty text."""
+        text = text or ""
+        if not (self.by_word and text) or "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
+            return self._cuts(self.normalise(text))
+        # Single spaces between words: no piece holds a character before a space, so each word stands alone.
+        words, out = self.words, []
+        for word in text.split(" "):
+            found = words.get(word)
+            if found is None:
+                found = self._cuts(SPACE + word)
+                if len(words) < CACHE:
+                    words[word] = found
+            out.append(found)
+        return b"".join(out)
+
     def encode(self, text: str | None) -> list[int]:
         raw = self.encode_bytes(text)
         return list(struct.unpack(f"<{len(raw) // 4}I", raw))
