@@ -134,8 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     """
     labels = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("good"))
     have = {r["good"]: r["count"] for r in labels.groupBy("good").count().collect()}
+    alone = lambda kinds: Model(np.zeros(BUCKETS), 0.0, 1.0, 0.0 if not kinds else (30.0 if 1 in kinds else -30.0))
     if len(have) < 2:
-        return Model(np.zeros(BUCKETS), 0.0, 1.0, 0.0 if not have else (30.0 if 1 in have else -30.0))
+        return alone(have)
     rate = {g: min(1.0, per_class / n) for g, n in have.items()}
     place = F.pmod(F.xxhash64("_id", F.lit(23)), F.lit(1_000_000))
     chosen = labels.where(place < F.when(F.col("good") == 1, rate[1]).otherwise(rate[0]) * 1_000_000)
@@ -144,6 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     sample = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select("doc_id", "good", "part", "text")
     got = sample.select("good", "part", "text").mapInArrow(_featurise, "good int, part int, grams binary").collect()
     got = sorted(((r.good, r.part, bytes(r.grams)) for r in got), key=lambda r: (r[2], r[0]))
+    if len(found := {g for g, _, _ in got}) < 2:
+        return alone(found)
     rows = [np.frombuffer(g, np.int32) for _, _, g in got]
     good, part = np.array([r[0] for r in got]), np.array([r[1] for r in got])
     fit = part != 0
