@@ -9,15 +9,15 @@ from petriflow.operators.vectors import knn_cosine
 
 # The least and largest value of each profile feature, and the class shares of a record without any.
 RANGES: dict[str, tuple[float, float]] = {
-    "area": (0, 50000),
-    "perimeter": (0, 1000),
-    "circularity": (0, 1),
-    "solidity": (0, 1),
-    "aspect_ratio": (0, 1),
-    "eccentricity": (0, 1),
-    "n_organoids": (0, 50),
-    "avg_area": (0, 50000),
-    "std_area": (0, 20000),
+    "area": (100, 50000),
+    "perimeter": (50, 2000),
+    "circularity": (0.0, 1.0),
+    "solidity": (0.5, 1.0),
+    "aspect_ratio": (0.3, 5.0),
+    "eccentricity": (0.0, 1.0),
+    "n_organoids": (1, 20),
+    "avg_area": (100, 30000),
+    "std_area": (0, 15000),
 }
 SHARES = (0.33, 0.33, 0.34)
 
@@ -58,20 +58,20 @@ def diagnosis_breakdown(near: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def recommendations(df: DataFrame, diagnosis: str = "diagnosis", reports: str | None = None) -> DataFrame:
-    """``df`` with recommendations: one line for each rule that holds, and up to three cited reports."""
-    rules: list[tuple[Column, str]] = [
-        (F.col(diagnosis) == "late_stage", "Late stage: schedule a close follow-up."),
-        (F.col(diagnosis) == "early_stage", "Early stage: keep watching growth."),
-        (F.col(diagnosis) == "healthy", "Healthy: continue the present protocol."),
-        (F.col("circularity") < 0.5, "Irregular outline: inspect the morphology."),
-        (F.col("eccentricity") > 0.6, "Elongated shape: check the orientation."),
-        (F.col("solidity") < 0.7, "Low solidity: look for budding or merging."),
-        (F.col("n_organoids") > 10, "Dense culture: consider splitting it."),
+    """``df`` with recommendations: a line for the diagnosis, and one for each measure out of line with it; the number of reports of similar cases, at most
+    three, comes last. Missing measures count as circularity .5, eccentricity 0, solidity .8 and one organoid."""
+    has = lambda c, default: F.coalesce(F.col(c).cast("double"), F.lit(default)) if c in df.columns else F.lit(default)
+    late, early = F.col(diagnosis) == "late_stage", F.col(diagnosis) == "early_stage"
+    lines = [
+        F.when(late, "Late stage: test for drug response.").when(early, "Early stage: keep the culture as it is.").otherwise("Healthy: fit for further assays."),
+        F.when(late & (has("eccentricity", 0.0) > 0.6), "Elongated outlines: follow growth closely."),
+        F.when(early & (has("circularity", 0.5) < 0.5), "Irregular outlines: look for early stress."),
+        F.when(has("solidity", 0.8) < 0.7, "Hollow outlines: look for budding or fragments."),
+        F.when(has("n_organoids", 1.0) > 10, "Many organoids: check the seeding density."),
     ]
-    lines = [F.when(F.coalesce(test, F.lit(False)), F.lit(line)) for test, line in rules]
     if reports:
-        cited = F.array_join(F.slice(F.col(reports), 1, 3), "; ")
-        lines.append(F.when(F.size(reports) > 0, F.concat(F.lit("Similar reports: "), cited)))
+        n = F.least(F.lit(3), F.size(F.coalesce(F.col(reports), F.array().cast("array<string>"))))
+        lines.append(F.when(n > 0, F.concat(F.lit("Reports of similar cases: "), n.cast("string"))))
     return df.withColumn("recommendations", F.filter(F.array(*lines), lambda x: x.isNotNull()))
 
 

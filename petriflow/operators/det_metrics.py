@@ -83,15 +83,27 @@ def _rates(s: DataFrame) -> DataFrame:
     return s.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
 
 
-#: Filter sets by name: least confidence, circularity, solidity and aspect ratio.
+# The filter sets of the sweep by name; least confidence, circularity, solidity and aspect ratio.
 FILTERS: dict[str, tuple[float, float, float, float]] = {
-    "none": (0, 0, 0, 0),
-    **{f"conf_{c}": (c, 0, 0, 0) for c in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7)},
-    **{f"circ_{c}": (0, c, 0, 0) for c in (0.2, 0.4, 0.6)},
-    **{f"solid_{c}": (0, 0, c, 0) for c in (0.3, 0.6)},
-    **{f"ar_{c}": (0, 0, 0, c) for c in (0.5, 0.7)},
-    **{f"conf_{c}_circ_0.3": (c, 0.3, 0, 0) for c in (0.2, 0.3, 0.5)},
-    "all_loose": (0.2, 0.1, 0.1, 0.4),
+    "baseline (no filter)": (0.0, 0.0, 0.0, 0.0),
+    "conf>=0.4": (0.4, 0.0, 0.0, 0.0),
+    "conf>=0.5": (0.5, 0.0, 0.0, 0.0),
+    "conf>=0.6": (0.6, 0.0, 0.0, 0.0),
+    "circ>=0.3": (0.0, 0.3, 0.0, 0.0),
+    "circ>=0.4": (0.0, 0.4, 0.0, 0.0),
+    "circ>=0.5": (0.0, 0.5, 0.0, 0.0),
+    "solid>=0.90": (0.0, 0.0, 0.90, 0.0),
+    "solid>=0.95": (0.0, 0.0, 0.95, 0.0),
+    "ar>=0.5": (0.0, 0.0, 0.0, 0.5),
+    "ar>=0.6": (0.0, 0.0, 0.0, 0.6),
+    "conf>=0.4 + circ>=0.3": (0.4, 0.3, 0.0, 0.0),
+    "conf>=0.4 + solid>=0.90": (0.4, 0.0, 0.90, 0.0),
+    "conf>=0.4 + ar>=0.5": (0.4, 0.0, 0.0, 0.5),
+    "conf>=0.5 + circ>=0.3": (0.5, 0.3, 0.0, 0.0),
+    "conf>=0.5 + solid>=0.90": (0.5, 0.0, 0.90, 0.0),
+    "conf>=0.4 + circ>=0.3 + solid>=0.90": (0.4, 0.3, 0.90, 0.0),
+    "conf>=0.4 + circ>=0.3 + ar>=0.5": (0.4, 0.3, 0.0, 0.5),
+    "conf>=0.5 + circ>=0.3 + solid>=0.90": (0.5, 0.3, 0.90, 0.0),
 }
 
 

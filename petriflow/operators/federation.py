@@ -60,48 +60,56 @@ def node_order(stats: DataFrame, kind: str = "fixed", seed: int = 0, metric: str
     return s.select(*KEYS, "client", F.row_number().over(w.orderBy(*order)).alias("place"))
 
 
-def sequential_gate(stats: DataFrame, order: DataFrame, kind: str = "none", margin: float = 0.0, warmup: int = 2, metric: str = "map50") -> DataFrame:
-    """(exp, round, client, weight, accepted): what each client's parameters weigh in the global model after its nodes were folded in one by one.
+def sequential_gate(stats: DataFrame, order: DataFrame, kind: str = "none", margin: float = 0.0, warmup: int = 2, metric: str = "map50", measured: DataFrame | None = None, n_nodes: int = 3) -> DataFrame:
+    """(exp, round, source_round, client, weight): what each update weighs in the global model after a round, nodes being folded in one by one.
 
-    none: the running mean weighted by samples. hard: a node replaces the global model if its signal exceeds the cache by ``margin``, and its signal is cached.
-    soft: as none up to ``warmup`` nodes, then weighted by signal against the cache, which becomes the weighted mean. local: the best so far of each
-    node, averaged once three exist. The cache starts each round from the mean signal of the round before. The fold is over one number a node and
-    gives weights; the parameters themselves are then averaged by `fedavg`.
+    none: the running mean weighted by samples. hard: an update replaces the model if its signal exceeds the cached one by ``margin``, and is cached.
+    soft: as none in the first ``warmup`` rounds, then weighted by signal against the cache, which becomes the weighted mean. local: every node keeps its
+    best update (by ``margin``), and the model is their mean once ``n_nodes`` have one. ``measured`` (exp, round, signal) resets the cache after a round.
+    The fold is over one number an update; the parameters themselves are averaged with these weights by `gated_average`.
     """
 
     def fold(p: pd.DataFrame) -> pd.DataFrame:
-        rows, cache = [], 0.0
-        best: dict[str, float] = {}
-        for r, g in p.sort_values(["round", "place"]).groupby("round", sort=True):
-            w: dict[str, float] = {}
-            total, taken = 0.0, {}
-            for n, (c, s, m) in enumerate(zip(g.client, g.signal, g.n_samples, strict=True), 1):
-                ok, share = True, None
-                if kind == "none" or (kind == "soft" and n <= warmup):
-                    total += m
-                    share = m / total if total else 1 / n
-                    cache = cache if kind == "none" else cache * (1 - share) + s * share
+        rows, model, count, cache = [], {}, 0.0, 0.0
+        best: dict[str, tuple[float, int]] = {}
+        for place, (r, g) in enumerate(p.sort_values(["round", "place"]).groupby("round", sort=True)):
+            for c, s, n in zip(g.client, g.signal, g.n_samples, strict=True):
+                if kind == "local":
+                    if c not in best or s > best[c][0] + margin:
+                        best[c] = (s, int(r))
+                    if len(best) == n_nodes:
+                        model = {(at, k): 1 / n_nodes for k, (_, at) in best.items()}
+                    continue
+                if not model:
+                    share, count = 1.0, n
+                    cache = s if kind == "hard" else cache
                 elif kind == "hard":
-                    ok = s > cache + margin
-                    share, cache = (1.0, s) if ok else (0.0, cache)
-                elif kind == "soft":
-                    share = s / (s + cache) if s + cache > 0 else 0.5
-                    cache = cache * (1 - share) + s * share
+                    share = float(s > cache + margin)
+                    cache = s if share else cache
+                elif kind == "none" or place < warmup:
+                    share = n / (n + count)
+                    count += n
                 else:
-                    ok = s > best.get(c, -np.inf)
-                    best[c] = max(s, best.get(c, -np.inf))
-                if share is not None:
-                    w = {k: v * (1 - share) for k, v in w.items()}
-                    w[c] = w.get(c, 0.0) + share
-                taken[c] = bool(ok)
-            if kind == "local":
-                w = {c: (1 / len(g) if len(best) >= 3 else 0.0) for c in g.client}
-            rows += [(p.exp.iloc[0], int(r), c, float(w.get(c, 0.0)), taken[c]) for c in g.client]
-            cache = float(g.signal.mean())
-        return pd.DataFrame(rows, columns=["exp", "round", "client", "weight", "accepted"])
+                    share = max(s, 1e-8) / (max(s, 1e-8) + max(cache, 1e-8))
+                    cache = share * s + (1 - share) * cache
+                model = {k: w * (1 - share) for k, w in model.items() if w * (1 - share) > 0}
+                if share:
+                    model[int(r), c] = model.get((int(r), c), 0.0) + share
+            known = g.measured.dropna()
+            cache = float(known.iloc[0]) if len(known) else cache
+            rows += [(p.exp.iloc[0], int(r), at, c, w) for (at, c), w in sorted(model.items())]
+        return pd.DataFrame(rows, columns=["exp", "round", "source_round", "client", "weight"])
 
     s = stats.select(*KEYS, "client", F.col(metric).cast("double").alias("signal"), F.col("n_samples").cast("double").alias("n_samples")).join(order, [*KEYS, "client"])
-    return s.groupBy("exp").applyInPandas(fold, "exp string, round int, client string, weight double, accepted boolean")
+    s = s.withColumn("measured", F.lit(None).cast("double")) if measured is None else s.join(F.broadcast(measured.select(*KEYS, F.col("signal").alias("measured"))), KEYS, "left")  # a row a round
+    return s.groupBy("exp").applyInPandas(fold, "exp string, round int, source_round int, client string, weight double")
+
+
+def gated_average(params: DataFrame, weights: DataFrame) -> DataFrame:
+    """(exp, round, param, pos, value): the global model after each round from the weights of `sequential_gate`; integer parameters come from the heaviest update."""
+    w = F.broadcast(weights.select("exp", F.col("round").alias("_target"), F.col("source_round").alias("round"), "client", "weight"))  # a row an update and round
+    g = params.join(w, ["exp", "round", "client"]).groupBy("exp", "_target", "param", "pos").agg(F.max("is_int").alias("is_int"), F.sum(F.col("weight") * F.col("value")).alias("_s"), F.max_by("value", F.struct("weight", "client")).alias("_f"))
+    return g.select("exp", F.col("_target").alias("round"), "param", "pos", F.when(F.col("is_int"), F.col("_f")).otherwise(F.col("_s")).alias("value"))
 
 
 def federated_rounds(rows: DataFrame, features: list[str], label: str, client: str, n_classes: int, rounds: int = 3, steps: int = 20, rate: float = 0.5) -> DataFrame:

@@ -102,6 +102,7 @@ q AS (SELECT p.a, p.b, (coalesce(qa.c, 0) / na + 1e-8) / (1 + 2e-7) AS x, (coale
     "weighted_scan": (lambda s, d: r9(U.weighted_scan(scores(s, d)), "auc", "pr_auc", "delta_auc"), f"WITH {S.SCORES}, m AS (SELECT i, round(i * 0.05, 2)::DOUBLE AS w, label, score AS a, conf AS b FROM scores CROSS JOIN range(0, 21) t(i)), l AS (SELECT w, label, round(w * a + (1 - w) * b, 12) AS score FROM m), {_auc('l', 'w')}, {_pr('l', 'w')} SELECT w, round(auc, 9) AS auc, round(pr_auc, 9) AS pr_auc, round(auc - max(CASE WHEN w = 0 THEN auc END) OVER (), 9) AS delta_auc, row_number() OVER (ORDER BY auc DESC, w) = 1 AS best FROM auc JOIN pr USING (w)"),
     "soft_penalize": (lambda s, d: r9(U.soft_penalize(scores(s, d)), "ap"), f"WITH {S.SCORES}, l AS (SELECT round(i * 0.1, 1)::DOUBLE AS param, label, round(conf * (1 - round(i * 0.1, 1)::DOUBLE * (1 - score)), 12) AS score FROM scores CROSS JOIN range(1, 10) t(i)), {_pr('l', 'param')} SELECT 'soft_penalize' AS rule, param, round(ap, 9) AS ap FROM pr"),
     "hard_filter": (lambda s, d: r9(U.hard_filter(scores(s, d)), "ap"), f"WITH {S.SCORES}, l AS (SELECT round(i * 0.05, 2)::DOUBLE AS param, label, CASE WHEN score >= round(i * 0.05, 2)::DOUBLE THEN round(conf, 12) ELSE 0 END AS score, score >= round(i * 0.05, 2)::DOUBLE AS k FROM scores CROSS JOIN range(1, 19) t(i)), {_pr('l', 'param')} SELECT 'hard_filter' AS rule, param, round(ap, 9) AS ap FROM pr WHERE param IN (SELECT param FROM l WHERE k GROUP BY param HAVING count(*) >= 10)"),
+    "geometric_mean": (lambda s, d: r9(U.geometric_mean(scores(s, d)), "ap"), None),
     "best_rules": (lambda s, d: r9(U.best_rules(scores(s, d)), "ap", "baseline"), None),
     "correlations": (lambda s, d: r9(U.correlations(scores(s, d)), "pearson", "spearman"), f"WITH {S.SCORES}, r AS (SELECT score, conf, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS a, rank() OVER (ORDER BY conf) + (count(*) OVER (PARTITION BY conf) - 1) / 2 AS b FROM scores) SELECT round(corr(score, conf), 9) AS pearson, round(corr(a, b), 9) AS spearman FROM r"),
     "adaptive_score": (lambda s, d: U.adaptive_score(scores(s, d), "grp").groupBy("grp", "rule").agg(F.round(F.sum("fused"), 6).alias("fused")), f"WITH {S.SCORES}, l AS (SELECT grp, label, conf AS score FROM scores), {_auc('l', 'grp')} SELECT grp, CASE WHEN auc < 0.7 THEN 'classifier' WHEN auc < 0.85 THEN 'product' ELSE 'confidence' END AS rule, round(sum(CASE WHEN auc < 0.7 THEN score WHEN auc < 0.85 THEN score * conf ELSE conf END), 6) AS fused FROM scores JOIN auc USING (grp) GROUP BY 1, 2"),
@@ -135,11 +136,11 @@ SELECT id, CASE k WHEN 0 THEN p WHEN 1 THEN 0.75 ELSE 0.5 END AS is_organoid, 0.
     "calinski_harabasz": (lambda s, d: r9(V.calinski_harabasz(S.vectors(s, d)), "score"), f"WITH {S.VECTORS}, l AS (SELECT cls, i, values[i] AS x, avg(values[i]) OVER (PARTITION BY cls, i) AS m, avg(values[i]) OVER (PARTITION BY i) AS g FROM (SELECT *, unnest(range(1, 65)) AS i FROM vectors)) SELECT round(sum(pow(m - g, 2)) / (count(DISTINCT cls) - 1) / (sum(pow(x - m, 2)) / (count(*) / 64 - count(DISTINCT cls))), 9) AS score FROM l"),
     "silhouette": (lambda s, d: r9(V.silhouette(S.vectors(s, d)), "silhouette"), None),
     "channel_stats": (lambda s, d: V.channel_stats(S.vectors(s, d).select("id", "values"), ["values"], -0.5, 0.5).select("id", F.round("values_mean", 9).alias("values_mean"), F.round("values_sd", 9).alias("values_sd"), F.array_join(F.transform("values_hist", lambda x: F.format_string("%.6f", x)), " ").alias("values_hist")), f"WITH {S.VECTORS} SELECT id, round(list_avg(values), 9) AS values_mean, round(list_stddev_pop(values), 9) AS values_sd, array_to_string([printf('%.6f', len([x for x in values if x >= -0.5 + i * 0.125 AND (x < -0.5 + (i + 1) * 0.125 OR (i = 7 AND x <= 0.5))]) / 64) for i in range(0, 8)], ' ') AS values_hist FROM vectors"),
-    "encode_profile": (lambda s, d: C.encode_profile(_profiles(s, d)).select("id", F.posexplode("values").alias("pos", "v")).select("id", "pos", F.round("v", 9).alias("v")), f"WITH p AS ({_PROFILE}), v AS (SELECT id, [round(least(1, greatest(0, x)), 9) for x in [area / 50000, perimeter / 1000, circularity, solidity, 0, eccentricity, n_organoids / 50, 0.002, 0]] || [0.33, 0.33, 0.34]::DOUBLE[] AS values FROM p) SELECT id, (i - 1)::INT AS pos, values[i] AS v FROM v CROSS JOIN range(1, 13) t(i)"),
-    "decode_profile": (lambda s, d: r9(C.decode_profile(C.encode_profile(_profiles(s, d)).select("id", "values")).select("id", "area", "perimeter", "eccentricity"), "area", "perimeter", "eccentricity"), f"WITH p AS ({_PROFILE}) SELECT id, round(least(50000, area), 9) AS area, round(least(1000, perimeter), 9) AS perimeter, round(least(1, eccentricity), 9) AS eccentricity FROM p"),
+    "encode_profile": (lambda s, d: C.encode_profile(_profiles(s, d)).select("id", F.posexplode("values").alias("pos", "v")).select("id", "pos", F.round("v", 9).alias("v")), f"WITH p AS ({_PROFILE}), v AS (SELECT id, [round(least(1, greatest(0, x)), 9) for x in [(area - 100) / 49900, (perimeter - 50) / 1950, circularity, (solidity - 0.5) / 0.5, 0, eccentricity, (n_organoids - 1) / 19, 0, 0]] || [0.33, 0.33, 0.34]::DOUBLE[] AS values FROM p) SELECT id, (i - 1)::INT AS pos, values[i] AS v FROM v CROSS JOIN range(1, 13) t(i)"),
+    "decode_profile": (lambda s, d: r9(C.decode_profile(C.encode_profile(_profiles(s, d)).select("id", "values")).select("id", "area", "perimeter", "eccentricity"), "area", "perimeter", "eccentricity"), f"WITH p AS ({_PROFILE}) SELECT id, round(greatest(100, least(50000, area)), 9) AS area, round(greatest(50, least(2000, perimeter)), 9) AS perimeter, round(least(1, eccentricity), 9) AS eccentricity FROM p"),
     "case_report": (lambda s, d: (lambda c: C.case_report(_queries100(c), c, 5).select("query_id", "status", "n_cases", "n_hospitals", "diagnosis", "vote_share", "mean_confidence"))(_case_rows(s, d)), f"""WITH {S.VECTORS}, {_CASES}, q AS (SELECT * FROM vectors WHERE id % 100 = 0), {_near('cosine', 5, queries='q')}, j AS (SELECT near.*, -s AS sim, hospital_id, diagnosis, confidence FROM near JOIN cases USING (id)), v AS (SELECT query_id, diagnosis, sum(sim) AS w, min(rank) AS f FROM j GROUP BY 1, 2), b AS (SELECT *, w / sum(w) OVER (PARTITION BY query_id) AS share FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(w, 12) DESC, f) = 1)
 SELECT query_id, 'ok' AS status, n_cases, n_hospitals, diagnosis, round(share, 3) AS vote_share, round(c, 3) AS mean_confidence FROM (SELECT query_id, count(*) AS n_cases, count(DISTINCT hospital_id) AS n_hospitals, avg(confidence) AS c FROM j GROUP BY 1) JOIN b USING (query_id)"""),
-    "recommendations": (lambda s, d: C.recommendations(_profiles(s, d).withColumn("diagnosis", F.lit("late_stage"))).select("id", F.size("recommendations").alias("n")), f"WITH p AS ({_PROFILE}) SELECT id, (1 + (circularity < 0.5)::INT + (eccentricity > 0.6)::INT + (solidity < 0.7)::INT + (n_organoids > 10)::INT)::INT AS n FROM p"),
+    "recommendations": (lambda s, d: C.recommendations(_profiles(s, d).withColumn("diagnosis", F.lit("late_stage"))).select("id", F.size("recommendations").alias("n")), f"WITH p AS ({_PROFILE}) SELECT id, (1 + (eccentricity > 0.6)::INT + (solidity < 0.7)::INT + (n_organoids > 10)::INT)::INT AS n FROM p"),
     "anonymize_id": (lambda s, d: S.table(s, d, "customer").select("c_custkey", C.anonymize_id(F.col("c_name")).alias("anon")), "SELECT c_custkey, substr(sha256(c_name), 1, 16) AS anon FROM customer"),
     "case_stats": (lambda s, d: C.case_stats(_case_rows(s, d)), f"WITH {S.VECTORS}, {_CASES} SELECT hospital_id, diagnosis, count(*) AS n FROM cases GROUP BY GROUPING SETS ((hospital_id), (diagnosis), ())"),
 }

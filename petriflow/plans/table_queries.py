@@ -104,7 +104,11 @@ SELECT *, 0::BIGINT AS n_labels_without_image FROM q JOIN b USING (batch)"""),
     "aggregate_round": (lambda s, d: r9(E.aggregate_round(S.params(s, d), S.client_stats(s, d), "EWA-v2"), "value"), f"WITH {S.PARAMS}, {S.CLIENT_STATS} SELECT exp, round, param, pos, round(CASE WHEN bool_or(is_int) THEN arg_min(value, client) ELSE sum(map50 * value) / sum(map50) END, 9) AS value FROM params JOIN client_stats USING (exp, round, client) GROUP BY exp, round, param, pos"),
     "node_order": (lambda s, d: E.node_order(S.client_stats(s, d), "quality"), f"WITH {S.CLIENT_STATS}, l AS (SELECT *, lag(map50) OVER (PARTITION BY exp, client ORDER BY round) AS last FROM client_stats) SELECT exp, round, client, row_number() OVER (PARTITION BY exp, round ORDER BY coalesce(last, 0) DESC, client)::INT AS place FROM l"),
     "sequential_gate": (lambda s, d: (lambda c: r9(E.sequential_gate(c, E.node_order(c), "soft"), "weight"))(S.client_stats(s, d)), None),
-    "sequential_gate_none": (lambda s, d: (lambda c: r9(E.sequential_gate(c, E.node_order(c), "none"), "weight"))(S.client_stats(s, d)), f"WITH {S.CLIENT_STATS} SELECT exp, round, client, round(n_samples / sum(n_samples) OVER (PARTITION BY exp, round), 9) AS weight, true AS accepted FROM client_stats"),
+    "sequential_gate_none": (lambda s, d: (lambda c: r9(E.sequential_gate(c, E.node_order(c), "none"), "weight"))(S.client_stats(s, d)), f"WITH {S.CLIENT_STATS} SELECT a.exp, a.round, b.round AS source_round, b.client, round(b.n_samples / sum(b.n_samples) OVER (PARTITION BY a.exp, a.round), 9) AS weight FROM (SELECT DISTINCT exp, round FROM client_stats) a JOIN client_stats b ON a.exp = b.exp AND b.round <= a.round"),
+    "sequential_gate_hard": (lambda s, d: (lambda c: E.sequential_gate(c, E.node_order(c), "hard"))(S.client_stats(s, d)), f"""WITH RECURSIVE {S.CLIENT_STATS}, o AS (SELECT exp, round, client, map50, row_number() OVER (PARTITION BY exp ORDER BY round, client) AS n FROM client_stats),
+w AS (SELECT exp, n, round, round AS source_round, client, map50 AS cache FROM o WHERE n = 1 UNION ALL SELECT w.exp, o.n, o.round, CASE WHEN o.map50 > w.cache THEN o.round ELSE w.source_round END, CASE WHEN o.map50 > w.cache THEN o.client ELSE w.client END, greatest(o.map50, w.cache) FROM w JOIN o ON o.exp = w.exp AND o.n = w.n + 1)
+SELECT exp, round, source_round, client, 1.0::DOUBLE AS weight FROM w QUALIFY row_number() OVER (PARTITION BY exp, round ORDER BY n DESC) = 1"""),
+    "gated_average": (lambda s, d: (lambda c: r9(E.gated_average(S.params(s, d), E.sequential_gate(c, E.node_order(c), "none")).where("pos < 30"), "value"))(S.client_stats(s, d)), f"WITH {S.PARAMS}, {S.CLIENT_STATS}, k AS (SELECT a.exp, a.round AS target, b.round, b.client, b.n_samples / sum(b.n_samples) OVER (PARTITION BY a.exp, a.round) AS weight FROM (SELECT DISTINCT exp, round FROM client_stats) a JOIN client_stats b ON a.exp = b.exp AND b.round <= a.round) SELECT exp, target AS round, param, pos, round(sum(weight * value), 9) AS value FROM params JOIN k USING (exp, round, client) WHERE pos < 30 GROUP BY exp, target, param, pos"),
     "federated_rounds": (lambda s, d: r9(E.federated_rounds(S.vectors(s, d).select("client", "cls", *(F.get("values", F.lit(i)).alias(f"f{i}") for i in range(16))), [f"f{i}" for i in range(16)], "cls", "client", 10), "accuracy", "loss"), None),
     "convergence": (lambda s, d: r9(H.convergence(S.rounds(s, d)), "gain_20"), f"""WITH {S.ROUNDS}, r AS (SELECT *, lag(map50, 19) OVER (PARTITION BY exp ORDER BY round) AS back, last_value(map50) OVER w AS fin, last_value(val_loss) OVER w AS fl FROM rounds WINDOW w AS (PARTITION BY exp ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT exp, max(map50) AS best_map50, (min(round) FILTER (WHERE map50 = m))::INT AS best_map50_row, max(map) AS best_map, (min(round) FILTER (WHERE map = p))::INT AS best_map_row, min(round) FILTER (WHERE map50 >= 0.95 * fin) AS first_95, min(round) FILTER (WHERE val_loss = v) AS min_val_loss_row, CASE WHEN any_value(fl) > 1.1 * min(val_loss) THEN 'increasing' ELSE 'stable' END AS val_loss_trend, round(coalesce(any_value(fin) - arg_max(back, round), 0), 9) AS gain_20

@@ -74,10 +74,25 @@ def test_average_of_two_clients(spark):
     assert got == {"w": 2.0, "n": 5.0}
 
 
-@pytest.mark.parametrize("kind,want", [("none", {"a": 0.25, "b": 0.75}), ("hard", {"a": 0.0, "b": 1.0}), ("local", {"a": 0.0, "b": 0.0})])
-def test_gates(spark, kind, want):
-    s = spark.createDataFrame([("e", 0, "a", 10, 0.4), ("e", 0, "b", 30, 0.6)], "exp string, round int, client string, n_samples long, map50 double")
-    got = {r.client: r.weight for r in E.sequential_gate(s, E.node_order(s), kind).collect()}
+@pytest.mark.parametrize(
+    "kind,want",
+    [
+        ("none", {(0, 0, "a"): 0.25, (0, 0, "b"): 0.75, (1, 0, "a"): 0.125, (1, 0, "b"): 0.375, (1, 1, "a"): 0.25, (1, 1, "b"): 0.25}),
+        ("hard", {(0, 0, "b"): 1.0, (1, 1, "a"): 1.0}),
+        ("soft", None),  # worked out below
+        ("local", {(0, 0, "a"): 0.5, (0, 0, "b"): 0.5, (1, 1, "a"): 0.5, (1, 1, "b"): 0.5}),
+    ],
+)
+def test_gates_over_two_rounds(spark, kind, want):
+    rows = [("e", 0, "a", 10, 0.4), ("e", 0, "b", 30, 0.6), ("e", 1, "a", 20, 0.9), ("e", 1, "b", 20, 0.78)]
+    s = spark.createDataFrame(rows, "exp string, round int, client string, n_samples long, map50 double")
+    measured = spark.createDataFrame([("e", 0, 0.6)], "exp string, round int, signal double")
+    if kind == "soft":
+        a = 0.9 / 1.5
+        cache = a * 0.9 + (1 - a) * 0.6
+        b = 0.78 / (0.78 + cache)
+        want = {(0, 0, "a"): 0.25, (0, 0, "b"): 0.75, (1, 0, "a"): 0.25 * (1 - a) * (1 - b), (1, 0, "b"): 0.75 * (1 - a) * (1 - b), (1, 1, "a"): a * (1 - b), (1, 1, "b"): b}
+    got = {(r["round"], r.source_round, r.client): r.weight for r in E.sequential_gate(s, E.node_order(s), kind, warmup=1, measured=measured, n_nodes=2).collect()}
     assert got == pytest.approx(want)
 
 
