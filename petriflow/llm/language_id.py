@@ -110,20 +110,20 @@ def decode(margin: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np
     return best, score, score < AMBIGUOUS
 
 
-def train(rows: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
+def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model | None:
     """The model of the labelled rows (null labels aside), or None if there are none.
 
-    About ``per_language`` rows of each language are taken, by a hash of the text, at a rate that the counts of all rows give; the
-    weights of the bits come from the same rows. Languages are in sorted order, so equal input gives an equal model.
+    About ``per_language`` rows of each language are taken, by a hash of key and text, at a rate that the counts of all rows give, so copies of one
+    text are not taken all together; the weights of the bits come from the same rows. The key serves for nothing else. Languages are in sorted order, so equal input gives an equal model.
     """
-    rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("name"))
+    rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(key, text, F.lit(11)).alias("place"), F.col(text).alias("text"), F.col(lang).cast("string").alias("name"))
     have = {r["name"]: r["count"] for r in rows.groupBy("name").count().collect()}
     if not have:
         return None
     languages = sorted(have)
     spark = rows.sparkSession
     table = spark.createDataFrame([(x, i, min(1.0, per_language / have[x])) for i, x in enumerate(languages)], "name string, lang int, rate double")
-    chosen = rows.join(F.broadcast(table), "name").where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < F.col("rate") * 1_000_000).select("text", "lang")
+    chosen = rows.join(F.broadcast(table), "name").where(F.pmod("place", F.lit(1_000_000)) < F.col("rate") * 1_000_000).select("text", "lang")
     counted = chosen.mapInArrow(_counting(languages), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(languages), BUCKETS))
     found = counted.toPandas()  # languages x BUCKETS numbers at most
@@ -200,6 +200,6 @@ def held_out(doc_id: str = "doc_id"):
 
 def language_digest(docs: DataFrame) -> DataFrame:
     """The registered query: each document's language, learnt from the rows that are not held out."""
-    model = train(docs.where(~held_out()).select("text", "lang"))
+    model = train(docs.where(~held_out()).select("doc_id", "text", "lang"))
     out = predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
     return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")

@@ -21,7 +21,10 @@ _BITS = 15
 _ONE = 1 << _BITS
 _LOW = np.int64((1 << 32) - 1)
 _TOP = np.int64(1 << 32)
-_SLOTS = 11
+_SLOTS = 10
+_MASK = (1 << _SLOTS) - 1
+_MOST = np.int32(_ONE - 4)
+_STEPS = np.arange(1, 257, dtype=np.int32)
 _EVERY = 64
 
 
@@ -30,49 +33,48 @@ class ChecksumError(ValueError):
 
 
 class _Models:
-    """The predictors of ``lanes`` blocks."""
+    """The predictors of ``lanes`` blocks. A prediction and its confidence (0 to 3) share one number, so each is one read and one write."""
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes, dtype=np.int64)
-        n = lanes << _SLOTS
-        self.pred = [np.zeros(n, np.int32), np.zeros(n, np.int32)]
-        self.conf = [np.zeros(n, np.int8), np.zeros(n, np.int8)]
+        self.known = [np.zeros(lanes << _SLOTS, np.int32), np.zeros(lanes << _SLOTS, np.int32)]
         self.base = self.lane << _SLOTS
+        self.contexts = self.lane << 5
         self.share = [np.full(lanes * 32, _ONE // 2, np.int32), np.full(lanes * 32, _ONE // 4, np.int32)]
         self.counts = [np.ones((lanes, 256), np.int32), np.ones((lanes, 256), np.int32)]
         self.cumulative = [np.zeros((lanes, 257), np.int32), np.zeros((lanes, 257), np.int32)]
+        self.rows = self.lane * 257
         self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
+        self.order_2 = np.zeros(lanes, np.int64)
         self.refresh(lanes)
 
     def refresh(self, m: int) -> None:
         for counts, cumulative in zip(self.counts, self.cumulative, strict=True):
-            part = np.cumsum(counts[:m], axis=1, dtype=np.int64)
-            cumulative[:m, 1:] = part * (_ONE - 256) // part[:, -1:] + np.arange(1, 257)
+            part = np.cumsum(counts[:m], axis=1, dtype=np.int32)
+            cumulative[:m, 1:] = (part * (float(_ONE - 256) / part[:, -1:])).astype(np.int32) + _STEPS
 
     def look(self, m: int) -> None:
         """Predictions and shares of the first ``m`` blocks."""
-        last, before = self.last[:m], self.before[:m]
-        mask = (1 << _SLOTS) - 1
-        self.at = [self.base[:m] + ((last * 40503 + before * 60493) >> 5 & mask), self.base[:m] + (last * 40503 >> 4 & mask)]
-        self.two, self.one = self.pred[0][self.at[0]], self.pred[1][self.at[1]]
-        self.sure = [self.conf[0][self.at[0]], self.conf[1][self.at[1]]]
-        self.context = (self.lane[:m] << 5) + (self.sure[0] << 3) + (self.sure[1] << 1) + (self.two == self.one)
-        self.q = [self.share[0][self.context], self.share[1][self.context]]
-        self.first = 1 + self.q[0]
-        self.second = 1 + ((_ONE - 2 - self.first) * self.q[1] >> _BITS)
+        base, h = self.base[:m], self.last[:m] * 40503
+        self.at = [base + ((self.order_2[:m] + h) >> 5 & _MASK), base + (h >> 4 & _MASK)]
+        self.v = [self.known[0].take(self.at[0]), self.known[1].take(self.at[1])]
+        self.two, self.one = self.v[0] >> 2, self.v[1] >> 2
+        self.sure = [self.v[0] & 3, self.v[1] & 3]
+        self.context = self.contexts[:m] + ((self.sure[0] << 3) + (self.sure[1] << 1) + (self.two == self.one))
+        self.q = [self.share[0].take(self.context), self.share[1].take(self.context)]
+        self.first = self.q[0] + 1
+        self.second = ((_ONE - 2 - self.first) * self.q[1] >> _BITS) + 1
 
     def learn(self, x: np.ndarray, hit: np.ndarray, near: np.ndarray) -> None:
         """``hit``: x is what order 2 predicted; ``near``: not that, but what order 1 predicted."""
         m = len(x)
-        most = _ONE - 4
-        self.share[0][self.context] = self.q[0] + ((hit * most - self.q[0]) >> 4)
-        self.share[1][self.context] = self.q[1] + (~hit * (near * most - self.q[1]) >> 4)
-        for k, guess in ((0, self.two), (1, self.one)):
-            right, sure = guess == x, self.sure[k]
-            self.pred[k][self.at[k]] = np.where(right | (sure > 1), guess, x)
-            self.conf[k][self.at[k]] = np.where(right, np.minimum(sure + 1, 3), sure >> 1)
-        self.before[:m] = self.last[:m]
+        self.share[0][self.context] = self.q[0] + ((hit * _MOST - self.q[0]) >> 4)
+        self.share[1][self.context] = self.q[1] + (~hit * (near * _MOST - self.q[1]) >> 4)
+        fresh = x << 2
+        for k, right in ((0, hit), (1, self.one == x)):
+            v, sure = self.v[k], self.sure[k]
+            self.known[k][self.at[k]] = np.where(right, v + (sure < 3), np.where(sure > 1, v - sure + (sure >> 1), fresh))
+        self.order_2[:m] = self.last[:m] * 60493
         self.last[:m] = x
 
 
@@ -124,10 +126,12 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         put(slice(0, m), start, size)
         miss = np.flatnonzero(~(hit | near))
         if len(miss):
-            for k, byte in ((0, x[miss] >> 8), (1, x[miss] & 255)):
-                a = models.cumulative[k][miss, byte]
-                put(miss, a, models.cumulative[k][miss, byte + 1] - a)
-                models.counts[k][miss, byte] += 32
+            symbol, row, cell = x[miss], models.rows[miss], miss << 8
+            for k, byte in ((0, symbol >> 8), (1, symbol & 255)):
+                flat, at_byte = models.cumulative[k].ravel(), row + byte
+                a = flat.take(at_byte)
+                put(miss, a, flat.take(at_byte + 1) - a)
+                models.counts[k].ravel()[cell + byte] += 32
         models.learn(x, hit, near)
         if t % _EVERY == _EVERY - 1:
             models.refresh(m)
@@ -198,13 +202,14 @@ def decode(payloads: list[bytes]) -> list[np.ndarray]:
             for k in (0, 1):
                 r = width[miss] >> _BITS
                 value = np.minimum(rest[miss] // r, _ONE - 1).astype(np.int32)
-                flat, row = models.cumulative[k].ravel(), miss * 257
-                byte = np.zeros(len(miss), np.int64)
+                flat, row = models.cumulative[k].ravel(), models.rows[miss]
+                spot = row.copy()
                 for step in (128, 64, 32, 16, 8, 4, 2, 1):
-                    byte += step * (flat[row + byte + step] <= value)
-                a = flat[row + byte]
-                take(miss, r, a, flat[row + byte + 1] - a)
-                models.counts[k][miss, byte] += 32
+                    spot += step * (flat.take(spot + step) <= value)
+                a = flat.take(spot)
+                take(miss, r, a, flat.take(spot + 1) - a)
+                byte = spot - row
+                models.counts[k].ravel()[(miss << 8) + byte] += 32
                 found.append(byte)
             x[miss] = (found[0] << 8) | found[1]
         ids[t, :m] = x

@@ -2,7 +2,7 @@
 an earlier document has too are merged into maximal intervals of words to remove.
 
 Shuffles: (1) every window's hash, packed as binary runs per hash bucket (about ten bytes a window; buckets grow in number
-with the corpus, so a bucket stays small); (2) the starts of repeated windows, by document; (3) the texts, by document.
+with the corpus, so a bucket stays small); (2) the starts of repeated windows, packed by group of documents; (3) the texts, by the same groups of bounded size.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from petriflow.llm import textvec as tv
 
 WINDOW = 13
 #: Windows in one hash bucket, on average; windows that a task gathers before it hands its runs on.
-PER_BUCKET, FLUSH = 2_000_000, 1_000_000
+PER_BUCKET, FLUSH = 2_000_000, 500_000
+#: Bytes of text that one task cuts at a time, about.
+GROUP_BYTES = 4 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -74,50 +76,61 @@ def _runs(k: int, n_buckets: int):
     return run
 
 
-def _repeated(bucket: pd.DataFrame) -> pd.DataFrame:
-    """Of one hash bucket, the starts of windows whose hash an earlier document has: (id, key, starts)."""
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in bucket.hashes])
-    counts = np.concatenate([_unplanes(x) for x in bucket.counts]).astype(np.int64)
-    ids = np.concatenate([_unplanes(x, 8) for x in bucket.ids]).view(np.int64)
-    keys = np.concatenate([np.frombuffer(x, np.int32) for x in bucket["keys"]])
-    gaps = np.concatenate([_unplanes(x) for x in bucket.starts]).astype(np.int64)
-    owner = np.repeat(np.arange(len(ids)), counts)
-    total = np.cumsum(gaps)
-    begin = np.cumsum(counts) - counts
-    starts = total - (total[begin] - gaps[begin])[owner]
-    order = np.argsort(h, kind="stable")
-    sorted_h, doc = h[order], ids[owner[order]]
-    cuts = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]]))
-    least = np.repeat(np.minimum.reduceat(doc, cuts), np.diff(np.append(cuts, len(doc))))
-    hit = np.sort(order[doc > least])
-    if not len(hit):
-        return pd.DataFrame({"id": pd.array([], "Int64"), "key": np.array([], np.int32), "starts": []})
-    own = owner[hit]
-    cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    packed = [x.astype("<i4").tobytes() for x in np.split(starts[hit], cuts[1:])]
-    return pd.DataFrame({"id": ids[own[cuts]], "key": keys[own[cuts]], "starts": packed})
-
-
-def _cut(k: int, passthrough: list[str]):
-    """Arrow batches of (..., _text, _starts) to (..., n_words, n_removed, kept_text)."""
+def _repeated(n_groups: int):
+    """Of one hash bucket, the starts of windows whose hash an earlier document has, packed by group of documents."""
+
+    def run(bucket: pd.DataFrame) -> pd.DataFrame:
+        h = np.concatenate([np.frombuffer(x, np.uint64) for x in bucket.hashes])
+        counts = np.concatenate([_unplanes(x) for x in bucket.counts]).astype(np.int64)
+        ids = np.concatenate([_unplanes(x, 8) for x in bucket.ids]).view(np.int64)
+        keys = np.concatenate([np.frombuffer(x, np.int32) for x in bucket["keys"]])
+        gaps = np.concatenate([_unplanes(x) for x in bucket.starts]).astype(np.int64)
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        total = np.cumsum(gaps)
+        begin = np.cumsum(counts) - counts
+        starts = total - (total[begin] - gaps[begin])[owner]
+        order = np.argsort(h, kind="stable")
+        h, doc = h[order], ids[owner[order]]
+        cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        least = np.repeat(np.minimum.reduceat(doc, cuts), np.diff(np.append(cuts, len(doc))))
+        hit = np.sort(order[doc > least])
+        group = np.mod(keys[owner[hit]].astype(np.int64), n_groups)
+        order = np.argsort(group, kind="stable")
+        hit, group = hit[order], group[order]
+        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
+        rows = []
+        for a, b in zip(cuts, [*cuts[1:], len(hit)], strict=True):
+            own = owner[hit[a:b]]
+            new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            rows.append((int(group[a]), _planes(ids[own[new]], 8), keys[own[new]].tobytes(), _planes(np.diff(np.append(new, b - a))), _planes(starts[hit[a:b]])))
+        return pd.DataFrame(rows, columns=["g", "ids", "keys", "counts", "starts"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, hits = batch.column("_text"), batch.column("_starts")
-            n_words, n_removed, kept = [], [], []
-            for text, found in zip(texts.cast(pa.large_binary()).to_pylist(), hits.to_pylist(), strict=True):
-                words = (text or b"").split()  # bytes: white space is ASCII white space
-                n_words.append(len(words))
-                if found:
-                    gone = np.zeros(len(words) + k, np.int64)
-                    at = np.unique(np.concatenate([np.frombuffer(x, "<i4") for x in found]))
-                    gone[at] += 1
-                    gone = np.cumsum(gone) > np.concatenate([np.zeros(k, np.int64), np.cumsum(gone)[:-k]])
-                    words = [w for w, g in zip(words, gone.tolist(), strict=False) if not g]
-                n_removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words))
-            columns = [batch.column(c) for c in passthrough] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*passthrough, "n_words", "n_removed", "kept_text"])
+    return run
+
+
+def _cut(k: int, passthrough: list[str], text_column: str):
+    """A group's documents (…, _id, _key) and its packed starts to (…, n_words, n_removed, kept_text)."""
+
+    def run(docs: pa.Table, packed: pa.Table) -> pa.Table:
+        found: dict[tuple[int, int], list[np.ndarray]] = {}
+        for ids, keys, counts, starts in zip(*(packed.column(c).to_pylist() for c in ("ids", "keys", "counts", "starts")), strict=True):
+            ends = np.cumsum(_unplanes(counts))[:-1]
+            for i, key, at in zip(_unplanes(ids, 8).view(np.int64).tolist(), np.frombuffer(keys, np.int32).tolist(), np.split(_unplanes(starts), ends), strict=True):
+                found.setdefault((i, key), []).append(at)
+        n_words, n_removed, kept = [], [], []
+        for i, key, text in zip(docs.column("_id").to_pylist(), docs.column("_key").to_pylist(), docs.column(text_column).cast(pa.large_binary()).to_pylist(), strict=True):
+            words = (text or b"").split()  # bytes: white space is ASCII white space
+            n_words.append(len(words))
+            if at := found.get((i, key)):
+                gone = np.zeros(len(words) + k, np.int64)
+                gone[np.concatenate(at)] = 1
+                gone = np.cumsum(gone)
+                gone[k:] -= gone[:-k].copy()
+                words = [w for w, g in zip(words, (gone > 0).tolist(), strict=False) if not g]
+            n_removed.append(n_words[-1] - len(words))
+            kept.append(b" ".join(words))
+        columns = [docs.column(c) for c in passthrough] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        return pa.table(columns, names=[*passthrough, "n_words", "n_removed", "kept_text"])
 
     return run
 
@@ -131,18 +144,17 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeated within one id stay. Columns of ``docs`` named like the results are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_words", "n_removed", "kept_text", "_key", "_id", "_text", "_starts") and c not in (doc_id, text)))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.hash(text).alias("key"), F.col(text).alias("text"))
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_words", "n_removed", "kept_text", "_key", "_id", "_text", "_g") and c not in (doc_id, text)))
+    key = F.hash(F.col(doc_id).cast("long"), F.col(text))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), key.alias("key"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     n_buckets = max(partitions(spark), size // 6 // PER_BUCKET + 1)
+    n_groups = max(partitions(spark), size // GROUP_BYTES + 1)
     runs = rows.mapInArrow(_runs(window, n_buckets), "bucket long, hashes binary, ids binary, keys binary, counts binary, starts binary")
-    repeated = runs.groupBy("bucket").applyInPandas(_repeated, "id long, key int, starts binary")
-    found = repeated.groupBy("id", "key").agg(F.collect_list("starts").alias("_starts"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))).withColumn("_key", F.hash(text))
-    joined = keyed.join(found.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "_starts"), ["_id", "_key"], "left")
-    joined = joined.select(*docs.columns, F.col(text).alias("_text"), "_starts")
+    packed = runs.groupBy("bucket").applyInPandas(_repeated(n_groups), "g long, ids binary, keys binary, counts binary, starts binary")
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), "_key": key, "_g": F.pmod(key.cast("long"), F.lit(n_groups))})
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_words long, n_removed long, kept_text string"])
-    return joined.mapInArrow(_cut(window, docs.columns), schema)
+    return keyed.groupBy("_g").cogroup(packed.groupBy("g")).applyInArrow(_cut(window, docs.columns, text), schema)
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from petriflow.functions.lineage import checkpointed, partitions
 from petriflow.llm import range_coder
 
 #: Ids of a block, blocks coded in step, different words whose ids a worker remembers, and the id that ends a document.
-BLOCK_IDS, LANES, CACHE, END = 2_048, 2_048, 400_000, 2
+BLOCK_IDS, LANES, CACHE, END = 2_048, 1_024, 400_000, 2
 _BLOCKS = "part int, seq long, before long, n_ids long, docs array<struct<id:bigint,ordinal:bigint,begin:bigint,n:bigint>>, payload binary"
 _DOCS = pa.list_(pa.struct([("id", pa.int64()), ("ordinal", pa.int64()), ("begin", pa.int64()), ("n", pa.int64())]))
 
