@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,30 +33,36 @@ def iou_pairs(left: DataFrame, right: DataFrame, thr: float = 0.0, cell: float =
     return j.where(F.col("iou") >= thr if thr > 0 else F.col("iou") > 0)
 
 
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    """In order of detections each takes the best reference box that is left; ties go to the first."""
-    pairs = pairs.sort_values(["rank", "iou", "r_idx"], ascending=[True, False, True])
-    used, kept, last = set(), [], None
-    for at, (rank, r) in enumerate(zip(pairs["rank"].tolist(), pairs.r_idx.tolist(), strict=True)):
-        if rank != last and r not in used:
-            used.add(r)
-            kept.append(at)
-            last = rank
-    return pairs.iloc[kept][["image", "l_idx", "r_idx", "iou"]]
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs in order of image, detection and preference to the ones taken: each detection takes its first reference box that is left."""
+    image = det = None
+    used: set[int] = set()
+    for batch in batches:
+        at = []
+        for i, (im, d, r) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("image", "l_idx", "r_idx")), strict=True)):
+            if im != image:
+                image, det = im, None
+                used.clear()
+            if d != det and r not in used:
+                used.add(r)
+                det = d
+                at.append(i)
+        yield batch.take(pa.array(at, pa.int64()))
 
 
 def match_greedy(det: DataFrame, gt: DataFrame, thr: float = 0.5, by_score: bool = True, strict: bool = False, pairs: DataFrame | None = None) -> DataFrame:
     """Detections with matched (boolean), gt_idx and match_iou under one-to-one greedy matching within each image.
 
-    Pairs below ``thr`` can never win and go before anything is gathered, so a task holds an image's candidate pairs only. by_score:
+    Pairs below ``thr`` can never win and go first; a task streams through its images' candidate pairs in order. by_score:
     highest score first (ties: lower idx), else input order (idx). strict: iou must exceed ``thr``.
     """
     pairs = iou_pairs(det, gt, thr, left_extra=["score"]) if pairs is None else pairs.where(F.col("iou") >= thr)
     if strict:
         pairs = pairs.where(F.col("iou") > thr)
+    # One shuffle: whole images in a partition, each in order; the walk keeps one image's used boxes and nothing else.
     order = [F.desc("l_score"), "l_idx"] if by_score else ["l_idx"]
-    ranked = pairs.withColumn("rank", F.dense_rank().over(Window.partitionBy("image").orderBy(*order)))
-    found = ranked.select("image", "l_idx", "r_idx", "iou", "rank").groupBy("image").applyInPandas(_greedy, "image long, l_idx long, r_idx long, iou double")
+    ranked = pairs.repartition("image").sortWithinPartitions("image", *order, F.desc("iou"), "r_idx")
+    found = ranked.select("image", "l_idx", "r_idx", "iou").mapInArrow(_greedy, "image long, l_idx long, r_idx long, iou double")
     return det.join(found.select("image", F.col("l_idx").alias("idx"), F.col("r_idx").alias("gt_idx"), F.col("iou").alias("match_iou")), ["image", "idx"], "left").withColumn("matched", F.col("gt_idx").isNotNull())
 
 

@@ -6,8 +6,11 @@ be said with joins and windows is.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,22 +30,28 @@ def _iou_with(b: np.ndarray, i: int) -> np.ndarray:
     return np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
 
 
-def _keep_best(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Of boxes in overlapping pairs (a before b in score order), those that no kept box suppresses."""
+def _suppressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping pairs (a before b in score order), by image and then a, to the boxes that a kept one suppresses."""
+    image = None
     gone: set[int] = set()
-    for a, b in zip(*(pairs.sort_values(["a_rank", "b_rank"])[c].tolist() for c in ("a", "b")), strict=True):
-        if a not in gone:
-            gone.add(b)
-    return pd.DataFrame({"image": pairs.image.iloc[0], "idx": sorted(gone)})
+    for batch in batches:
+        at = []
+        for i, (im, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("image", "a", "idx")), strict=True)):
+            if im != image:
+                image = im
+                gone.clear()
+            if a not in gone and b not in gone:
+                gone.add(b)
+                at.append(i)
+        yield batch.select(["image", "idx"]).take(pa.array(at, pa.int64()))
 
 
 def nms(det: DataFrame, thr: float = 0.5) -> DataFrame:
     """Detections that no kept detection of higher score (ties: lower idx) overlaps with iou >= ``thr``."""
     pairs = iou_pairs(det, det, thr, left_extra=["score"], right_extra=["score"])
     before = (F.col("l_score") > F.col("r_score")) | ((F.col("l_score") == F.col("r_score")) & (F.col("l_idx") < F.col("r_idx")))
-    ordered = pairs.where(before).select("image", F.col("l_idx").alias("a"), F.col("r_idx").alias("b"), F.struct((-F.col("l_score")).alias("s"), F.col("l_idx").alias("i")).alias("ka"), F.struct((-F.col("r_score")).alias("s"), F.col("r_idx").alias("i")).alias("kb"))
-    flat = ordered.select("image", "a", "b", F.dense_rank().over(Window.partitionBy("image").orderBy("ka")).alias("a_rank"), F.dense_rank().over(Window.partitionBy("image").orderBy("kb")).alias("b_rank"))
-    gone = flat.groupBy("image").applyInPandas(_keep_best, "image long, idx long")
+    ordered = pairs.where(before).repartition("image").sortWithinPartitions("image", F.desc("l_score"), "l_idx")
+    gone = ordered.select("image", F.col("l_idx").alias("a"), F.col("r_idx").alias("idx")).mapInArrow(_suppressed, "image long, idx long")
     return det.join(gone, ["image", "idx"], "left_anti")
 
 
