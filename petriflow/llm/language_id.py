@@ -92,9 +92,9 @@ def margins(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
     size = np.diff(offsets)
     some = np.flatnonzero(size)
     sums = np.zeros((len(data), bits), np.float32)
-    for place, bucket in ngrams(data, offsets):
+    for gram, (place, bucket) in zip(SIZES, ngrams(data, offsets), strict=False):
         sums[place] += model.odds[bucket]
-        seen += np.bincount(np.searchsorted(offsets, place, "right") - 1, minlength=n)
+        seen += np.maximum(size - gram + 1, 0)
     if len(some):
         total[some] = np.add.reduceat(sums, offsets[:-1][some], axis=0, dtype=np.float64)
     return (total / np.maximum(seen, 1)[:, None] + model.bias * (seen > 0)[:, None]) / model.scale
