@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from petriflow.llm import decontaminate, ngram_join, piece_transducer, quality_rules, substring_dedup
 
 
+def _safe(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with names that no operator makes (but for doc_id and text), and the way back to its own columns."""
+    names = {c: c if c in ("doc_id", "text") else f"_column_{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    return renamed, lambda out: out.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of policy v1 rejects."""
-    led = quality_rules.apply_policy(quality_rules.ledger(docs), "v1")
-    return led.where("kept").select(*docs.columns)
+    named, back = _safe(docs)
+    return back(quality_rules.apply_policy(quality_rules.ledger(named), "v1").where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,15 +30,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that an earlier document has in a window; a document left without words goes."""
-    out = substring_dedup.remove_repeated(docs)
+    named, back = _safe(docs)
+    out = substring_dedup.remove_repeated(named)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     kept = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    cut = back(kept.withColumn("text", text))
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

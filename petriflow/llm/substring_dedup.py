@@ -94,10 +94,12 @@ def _repeated(n_groups: int):
         cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         least = np.repeat(np.minimum.reduceat(doc, cuts), np.diff(np.append(cuts, len(doc))))
         hit = np.sort(order[doc > least])
+        if not len(hit):
+            return pd.DataFrame({"g": np.array([], np.int64), **{c: [] for c in ("ids", "keys", "counts", "starts")}})
         group = np.mod(keys[owner[hit]].astype(np.int64), n_groups)
         order = np.argsort(group, kind="stable")
         hit, group = hit[order], group[order]
-        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
+        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         rows = []
         for a, b in zip(cuts, [*cuts[1:], len(hit)], strict=True):
             own = owner[hit[a:b]]

@@ -193,6 +193,7 @@ def test_substrings_against_brute_force(docs, none):
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeated(docs).collect())
     assert got == sorted(want)
     assert substring_dedup.substring_digest(none).count() == 0
+    assert substring_dedup.substring_digest(docs.where("doc_id in (0, 10)")).where("n_removed > 0").count() == 0
 
 
 def test_substrings_do_not_depend_on_flushes(spark, docs, monkeypatch):

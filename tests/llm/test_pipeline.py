@@ -40,3 +40,19 @@ def test_stages(spark, sf_dir, tmp_path):
     last = kept["sentencepiece_encoding"][1]
     assert last.where("n_tokens <> size(ids) or not round_trip").count() == 0
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id").count() == last.count()
+
+
+def test_clashing_columns_nulls_and_empty_tables_pass_every_stage(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    spec = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, " ".join(f"w{i}" for i in range(80)), "en", None, 1), (None, None, None, None, None), (2, "", "en", "s", 0), (3, " ".join(f"v{i}" for i in range(70)), None, "s", 9)]
+    docs = spark.createDataFrame(rows, spec).withColumns({"n_words": F.lit("x"), "failed": F.lit("y"), "kept": F.lit(2), "spans": F.lit("z")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert sorted(r.doc_id for r in docs.where("doc_id is not null").collect()) == [1, 3]
+    assert {(r.n_words, r.failed, r.kept, r.spans) for r in docs.collect()} == {("x", "y", 2, "z")}
+    none = spark.createDataFrame([], spec)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, sf_dir)
+    assert none.count() == 0
