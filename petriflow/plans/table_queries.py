@@ -117,7 +117,7 @@ FROM (SELECT *, max(map50) OVER (PARTITION BY exp) AS m, max(map) OVER (PARTITIO
     "client_gap": (lambda s, d: r9(H.client_gap(_round_clients(s, d)), "gap"), f"WITH {S.CLIENT_STATS} SELECT exp, round, round(max(map50) - min(map50), 9) AS gap, max(map50) - min(map50) > 0.05 AS warning FROM client_stats GROUP BY exp, round"),
     "client_pivot": (lambda s, d: r9(H.client_pivot(_round_clients(s, d), ["c0", "c1"]), "c0", "c1"), f"WITH {S.CLIENT_STATS} SELECT exp, round, round(max(map50) FILTER (WHERE client = 'c0'), 9) AS c0, round(max(map50) FILTER (WHERE client = 'c1'), 9) AS c1 FROM client_stats GROUP BY exp, round"),
     "strategy_table": (lambda s, d: r9(H.strategy_table(S.rounds(s, d), ["exp"]), "drop_from_best"), f"WITH {S.ROUNDS}, b AS (SELECT *, max(map50) OVER (PARTITION BY exp) AS m FROM rounds) SELECT exp, arg_max(map50, round) AS final, any_value(m) AS best, min(round) FILTER (WHERE map50 = m) AS best_round, min(round) FILTER (WHERE map50 >= 0.95 * m) AS convergence_round, round(any_value(m) - arg_max(map50, round), 9) AS drop_from_best FROM b GROUP BY exp"),
-    "specialist_gap": (lambda s, d: r9(H.specialist_gap(_round_clients(s, d)), "dominant_ap", "other_ap", "gap"), f"WITH {S.CLIENT_STATS} SELECT exp, round, client, round((round(map50 / 4, 9) + round(map50 * 2 / 4, 9)) / 2, 9) AS dominant_ap, round((round(map50 * 3 / 4, 9) + round(map50, 9)) / 2, 9) AS other_ap, round((round(map50 / 4, 9) + round(map50 * 2 / 4, 9)) / 2 - (round(map50 * 3 / 4, 9) + round(map50, 9)) / 2, 9) AS gap FROM client_stats"),
+    "specialist_gap": (lambda s, d: H.specialist_gap(_round_clients(s, d)).withColumns({c: F.round(c, 6) for c in ("dominant_ap", "other_ap", "gap")}), f"WITH {S.CLIENT_STATS} SELECT exp, round, client, round(map50 * 3 / 8, 6) AS dominant_ap, round(map50 * 7 / 8, 6) AS other_ap, round(-map50 / 2, 6) AS gap FROM client_stats"),
     "readiness_score": (lambda s, d: H.readiness_score(S.rounds(s, d), S.rounds(s, d).select("exp", F.col("round").alias("instances"), "map")), f"WITH {S.ROUNDS}, t AS (SELECT exp, max(map50) > 0.85 AS quality_ok, max(round) / greatest(1, min(round)) < 5 AS balance_ok, max(map) - min(map) > 0.05 AS spread_ok, arg_max(val_loss, round) <= 1.1 * min(val_loss) AS loss_ok FROM rounds GROUP BY exp), u AS (SELECT *, (25 * (quality_ok::INT + balance_ok::INT + spread_ok::INT + loss_ok::INT))::INT AS score FROM t) SELECT *, CASE WHEN score >= 75 THEN 'ready' WHEN score >= 50 THEN 'cautious' ELSE 'not_ready' END AS verdict FROM u"),
     "best_round": (lambda s, d: H.best_round(S.rounds(s, d)).select("exp", "round", "map"), f"WITH {S.ROUNDS} SELECT exp, round, map FROM rounds QUALIFY row_number() OVER (PARTITION BY exp ORDER BY map DESC, round) = 1"),
     "round_averages": (lambda s, d: r9(H.round_averages(_round_clients(s, d)), "train_loss", "train_acc"), f"WITH {S.CLIENT_STATS} SELECT exp, round, round(avg(1 - map50), 9) AS train_loss, round(avg(map50), 9) AS train_acc FROM client_stats GROUP BY exp, round"),
