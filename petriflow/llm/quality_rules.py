@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from petriflow.functions.grid import with_each
+
 #: A word is a run of anything but ASCII white space.
 GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -109,10 +111,9 @@ def ablations(led: DataFrame, policies: dict[str, tuple[int, ...]] | None = None
     policies = POLICIES if policies is None else policies
     folded = led.groupBy("failed").agg(F.count("*").alias("n"))
     grid = [(name, mask(rules), bit, RULES[bit][0]) for name, rules in policies.items() for bit in rules]
-    spec = led.sparkSession.createDataFrame(grid, "policy string, mask long, bit int, rule string")
     one = F.expr("shiftleft(1L, bit)")
-    failed = F.col("failed").bitwiseAND(F.col("mask"))
-    both = folded.join(F.broadcast(spec))  # at most 2^rules masks against the fixed list of policies
+    failed = F.col("failed").bitwiseAND(F.col("mask").cast("long"))
+    both = with_each(folded, ["policy", "mask", "bit", "rule"], grid)
     return both.groupBy("policy", "rule").agg(
         F.sum("n").alias("n_docs"),
         F.sum(F.when(failed == 0, F.col("n")).otherwise(0)).alias("n_kept"),
