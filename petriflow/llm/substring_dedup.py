@@ -1,14 +1,14 @@
 """Substring dedup: Rabin-Karp hashes of every window of ``k`` words are brought together by hash, and the windows that
 an earlier document has too are merged into maximal intervals of words to remove.
 
-Shuffles: (1) every window's hash, packed as binary runs per hash bucket (about ten bytes a window; buckets grow in number
-with the corpus, so a bucket stays small); (2) the starts of repeated windows, packed by group of documents; (3) the texts, by the same groups of bounded size.
+Shuffles: (1) the texts, by groups of documents of about ``GROUP_BYTES``, used by steps 2 and 4; (2) each group's distinct
+hashes with the least id that has them there, packed per hash bucket (about ten bytes a hash); (3) to each group, which of its
+hashes an earlier document of another group has. A bucket holds a hash once a group, so a window's copies meet as one entry
+for each ``GROUP_BYTES`` of text at most, never one by one; a group finds its own occurrences again from its texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,8 +19,8 @@ from petriflow.functions.lineage import partitions
 from petriflow.llm import textvec as tv
 
 WINDOW = 13
-#: Windows in one hash bucket, on average; windows that a task gathers before it hands its runs on.
-PER_BUCKET, FLUSH = 2_000_000, 500_000
+#: Hashes in one hash bucket, on average, at most.
+PER_BUCKET = 2_000_000
 #: Bytes of text that one task cuts at a time, about.
 GROUP_BYTES = 4 << 20
 _LAST = np.iinfo(np.int64).max
@@ -35,97 +35,91 @@ def _unplanes(b: bytes, width: int = 4) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
-def _runs(k: int, n_buckets: int):
-    """Arrow batches of (id, key, text) to rows (bucket, hashes, ids, keys, counts, starts), one a bucket and flush."""
-
-    def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        h, ids, keys, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        bucket = (tv.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(n_buckets)).astype(np.int64)
-        del parts[:]
-        order = np.argsort(bucket, kind="stable")
-        bucket, h, ids, keys, starts = (x[order] for x in (bucket, h, ids, keys, starts))
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+def _hashes(docs: pa.Table, text_column: str, k: int, n_buckets: int) -> tuple[np.ndarray, ...]:
+    """Of a group's documents, (row, start) of each window and the number of its hash; and (hash, least id, bucket) of the distinct
+    hashes, ordered by these from the last to the first, so that their order is the same whatever order the rows come in."""
+    ids = docs.column("_id").to_numpy()
+    parts = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32))]
+    for row, data, offsets in tv.blocks(docs.column(text_column)):
+        starts, ends, text = tv.words(data, offsets, tv.SPACED)
+        first = np.concatenate([[0], np.cumsum(tv.per_text(text, len(offsets) - 1))])
+        at, h = tv.windows(tv.word_hashes(data, starts, ends), text, k)
+        parts.append((h, row + text[at], (at - first[text[at]]).astype(np.int32)))
+    h, row, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    cuts = np.flatnonzero(new)
+    least = np.minimum.reduceat(ids[row[order]], cuts) if len(h) else np.empty(0, np.int64)
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    h = h[order[cuts]]
+    bucket = (tv.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(n_buckets)).astype(np.int64)
+    order = np.lexsort((least, bucket))  # stable, and by hash before
+    place = np.empty(len(h), np.int64)
+    place[order] = np.arange(len(h))
+    return row, start, place[which], h[order], least[order], bucket[order]
+
+
+def _runs(k: int, n_buckets: int, text_column: str):
+    """A group's documents to rows (bucket, g, hashes, ids, counts), one a bucket; each hash of the group is there once."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        _, _, _, h, least, bucket = _hashes(docs, text_column, k, n_buckets)
+        g = docs.column("_g")[0].as_py()
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         rows: list[tuple] = []
-        for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True):
-            new = np.flatnonzero(np.concatenate([[True], (ids[a + 1 : b] != ids[a : b - 1]) | (keys[a + 1 : b] != keys[a : b - 1]) | (starts[a + 1 : b] < starts[a : b - 1])]))
-            gaps = np.diff(starts[a:b], prepend=starts.dtype.type(0))
-            gaps[new] = starts[a:b][new]
-            rows.append((int(bucket[a]), h[a:b].tobytes(), _planes(ids[a:b][new], 8), keys[a:b][new].tobytes(), _planes(np.diff(np.append(new, b - a))), _planes(gaps)))
-        kinds = [pa.int64(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "hashes", "ids", "keys", "counts", "starts"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            ids = batch.column("id").fill_null(_LAST).to_numpy(zero_copy_only=False)
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            for row, data, offsets in tv.blocks(batch.column("text")):
-                starts, ends, text = tv.words(data, offsets, tv.SPACED)
-                first = np.concatenate([[0], np.cumsum(tv.per_text(text, len(offsets) - 1))])
-                at, h = tv.windows(tv.word_hashes(data, starts, ends), text, k)
-                if len(at):
-                    of = text[at]
-                    parts.append((h, ids[row + of], keys[row + of], (at - first[of]).astype(np.int32)))
-                    held += len(at)
-                if held >= FLUSH:
-                    yield flush(parts)
-                    parts, held = [], 0
-        if held:
-            yield flush(parts)
+        for a, b in zip(cuts, np.append(cuts, len(h))[1:], strict=True):
+            new = np.flatnonzero(np.concatenate([[True], least[a + 1 : b] != least[a : b - 1]]))
+            rows.append((int(bucket[a]), g, h[a:b].tobytes(), _planes(least[a:b][new], 8), _planes(np.diff(np.append(new, b - a)))))
+        columns = zip(*rows, strict=True) if rows else [()] * 5
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["bucket", "g", "hashes", "ids", "counts"])
 
     return run
 
 
-def _repeated(n_groups: int):
-    """Of one hash bucket, the starts of windows whose hash an earlier document has, packed by group of documents."""
+def _repeated():
+    """Of one hash bucket, rows (g, bucket, places): the places in a group's run of the hashes that an earlier document has elsewhere."""
 
     def run(bucket: pd.DataFrame) -> pd.DataFrame:
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in bucket.hashes])
         counts = np.concatenate([_unplanes(x) for x in bucket.counts]).astype(np.int64)
-        ids = np.concatenate([_unplanes(x, 8) for x in bucket.ids]).view(np.int64)
-        keys = np.concatenate([np.frombuffer(x, np.int32) for x in bucket["keys"]])
-        gaps = np.concatenate([_unplanes(x) for x in bucket.starts]).astype(np.int64)
-        owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
-        total = np.cumsum(gaps)
-        begin = np.cumsum(counts) - counts
-        starts = total - (total[begin] - gaps[begin])[owner]
+        doc = np.repeat(np.concatenate([_unplanes(x, 8) for x in bucket.ids]).view(np.int64), counts)
         order = np.argsort(h, kind="stable")
-        h, doc = h[order], ids[owner[order]]
+        h, doc = h[order], doc[order]
         cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         least = np.repeat(np.minimum.reduceat(doc, cuts), np.diff(np.append(cuts, len(doc))))
         hit = np.sort(order[doc > least])
-        if not len(hit):
-            return pd.DataFrame({"g": np.array([], np.int64), **{c: [] for c in ("ids", "keys", "counts", "starts")}})
-        group = np.mod(keys[owner[hit]].astype(np.int64), n_groups)
-        order = np.argsort(group, kind="stable")
-        hit, group = hit[order], group[order]
-        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        rows = []
-        for a, b in zip(cuts, [*cuts[1:], len(hit)], strict=True):
-            own = owner[hit[a:b]]
-            new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            rows.append((int(group[a]), _planes(ids[own[new]], 8), keys[own[new]].tobytes(), _planes(np.diff(np.append(new, b - a))), _planes(starts[hit[a:b]])))
-        return pd.DataFrame(rows, columns=["g", "ids", "keys", "counts", "starts"])
+        ends = np.cumsum([len(x) // 8 for x in bucket.hashes])
+        rows, a = [], 0
+        for g, b, end, size in zip(bucket.g, bucket.bucket, ends, np.diff(ends, prepend=0), strict=True):
+            if (upto := int(np.searchsorted(hit, end))) > a:
+                rows.append((int(g), int(b), _planes(np.diff(hit[a:upto] - (end - size), prepend=0))))
+            a = upto
+        return pd.DataFrame({"g": np.array([r[0] for r in rows], np.int64), "bucket": np.array([r[1] for r in rows], np.int64), "places": [r[2] for r in rows]})
 
     return run
 
 
-def _cut(k: int, passthrough: list[str], text_column: str):
-    """A group's documents (…, _id, _key) and its packed starts to (…, n_words, n_removed, kept_text)."""
+def _cut(k: int, n_buckets: int, passthrough: list[str], text_column: str):
+    """A group's documents (…, _id, _g) and the places of its repeated hashes to (…, n_words, n_removed, kept_text)."""
 
-    def run(docs: pa.Table, packed: pa.Table) -> pa.Table:
-        found: dict[tuple[int, int], list[np.ndarray]] = {}
-        for ids, keys, counts, starts in zip(*(packed.column(c).to_pylist() for c in ("ids", "keys", "counts", "starts")), strict=True):
-            ends = np.cumsum(_unplanes(counts))[:-1]
-            for i, key, at in zip(_unplanes(ids, 8).view(np.int64).tolist(), np.frombuffer(keys, np.int32).tolist(), np.split(_unplanes(starts), ends), strict=True):
-                found.setdefault((i, key), []).append(at)
+    def run(docs: pa.Table, places: pa.Table) -> pa.Table:
+        row, start, which, h, least, bucket = _hashes(docs, text_column, k, n_buckets)
+        elsewhere = np.zeros(len(h), bool)
+        for b, at in zip(places.column("bucket").to_pylist(), places.column("places").to_pylist(), strict=True):
+            elsewhere[np.searchsorted(bucket, b) + np.cumsum(_unplanes(at).astype(np.int64))] = True
+        hit = np.flatnonzero(elsewhere[which] | (docs.column("_id").to_numpy()[row] > least[which]))
+        row, start = row[hit], start[hit]
+        bounds = np.searchsorted(row, np.arange(docs.num_rows + 1))
         n_words, n_removed, kept = [], [], []
-        for i, key, text in zip(docs.column("_id").to_pylist(), docs.column("_key").to_pylist(), docs.column(text_column).cast(pa.large_binary()).to_pylist(), strict=True):
+        for i, text in enumerate(docs.column(text_column).cast(pa.large_binary()).to_pylist()):
             words = (text or b"").split()  # bytes: white space is ASCII white space
             n_words.append(len(words))
-            if at := found.get((i, key)):
+            if bounds[i] < bounds[i + 1]:
                 gone = np.zeros(len(words) + k, np.int64)
-                gone[np.concatenate(at)] = 1
+                gone[start[bounds[i] : bounds[i + 1]]] = 1
                 gone = np.cumsum(gone)
                 gone[k:] -= gone[:-k].copy()
                 words = [w for w, g in zip(words, (gone > 0).tolist(), strict=False) if not g]
@@ -147,16 +141,16 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_words", "n_removed", "kept_text", "_key", "_id", "_text", "_g") and c not in (doc_id, text)))
-    key = F.hash(F.col(doc_id).cast("long"), F.col(text))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), key.alias("key"), F.col(text).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
     n_buckets = max(partitions(spark), size // 6 // PER_BUCKET + 1)
     n_groups = max(partitions(spark), size // GROUP_BYTES + 1)
-    runs = rows.mapInArrow(_runs(window, n_buckets), "bucket long, hashes binary, ids binary, keys binary, counts binary, starts binary")
-    packed = runs.groupBy("bucket").applyInPandas(_repeated(n_groups), "g long, ids binary, keys binary, counts binary, starts binary")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), "_key": key, "_g": F.pmod(key.cast("long"), F.lit(n_groups))})
+    number = F.col(doc_id).cast("long")
+    # Both uses of the groups read one exchange; a group is the same rows in any case.
+    grouped = docs.withColumns({"_id": F.coalesce(number, F.lit(_LAST)), "_g": F.pmod(F.xxhash64(number, F.col(text)), F.lit(n_groups))}).groupBy("_g")
+    runs = grouped.applyInArrow(_runs(window, n_buckets, text), "bucket long, g long, hashes binary, ids binary, counts binary")
+    places = runs.groupBy("bucket").applyInPandas(_repeated(), "g long, bucket long, places binary")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_words long, n_removed long, kept_text string"])
-    return keyed.groupBy("_g").cogroup(packed.groupBy("g")).applyInArrow(_cut(window, docs.columns, text), schema)
+    return grouped.cogroup(places.groupBy("g")).applyInArrow(_cut(window, n_buckets, docs.columns, text), schema)
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:

@@ -202,6 +202,26 @@ def test_substrings_do_not_depend_on_flushes(spark, docs, monkeypatch):
     assert one == again
 
 
+def test_substrings_of_many_copies_meet_as_one_entry_a_group(spark, monkeypatch):
+    judge, n = substring_dedup._repeated, 2000
+    text = words(8, 20)
+
+    def watched(*args):
+        inner = judge(*args)
+
+        def run(bucket):
+            held = sum(len(x) for x in bucket.hashes) // 8
+            assert held < 100, f"{held} occurrences in one bucket"
+            return inner(bucket)
+
+        return run
+
+    monkeypatch.setattr(substring_dedup, "_repeated", watched)
+    rows = [(i, text) for i in range(n)] + [(n, words(9, 15) + " " + text)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeated(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {0: (20, 0), **{i: (20, 20) for i in range(1, n)}, n: (35, 20)}
+
+
 # --- sharding
 
 
