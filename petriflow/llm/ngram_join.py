@@ -83,11 +83,14 @@ def _signatures(k: int, bands: int, rows: int, seed: int = 1):
 
 
 def _links(k: int, threshold: float):
-    """One group of (node, comp, side, copies, text): links between the sides, or within it where there is one."""
+    """One group of (node, comp, side, copies, lo, hi, text): links within block lo where it is hi too, else between the two blocks (none if one has no node)."""
 
     def compare(part: pd.DataFrame) -> list[tuple]:
         part = part.drop_duplicates("node").reset_index(drop=True)
-        n = len(part)
+        n, across = len(part), bool(0 <= part.lo[0] != part.hi[0])  # lo is -1 for a component of one block
+        side = part.side.to_numpy()
+        if across and (side == side[0]).all():
+            return []  # block (b, b) compares these
         owners, sets, base = [], [], 0
         for row, data, offsets in tv.blocks(pa.array(part.text, pa.large_string())):
             owner, grams = gram_sets(data, offsets, k)
@@ -109,8 +112,7 @@ def _links(k: int, threshold: float):
             both += x @ x.T
         hit = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
         np.fill_diagonal(hit, False)
-        side = part.side.to_numpy()
-        if (side != side[0]).any():
+        if across:
             hit &= side[:, None] != side[None, :]
         copies, node = part.copies.to_numpy(), part.node.to_numpy()
         docs, texts = hit @ copies, hit.sum(1)

@@ -117,6 +117,18 @@ def test_a_large_group_is_cut_into_blocks(spark, monkeypatch):
         assert got[i].class_id == 0
 
 
+@pytest.mark.parametrize("block_grams", [20, 60, 150])
+def test_links_count_once_when_a_block_is_empty(spark, monkeypatch, block_grams):
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", block_grams)
+    base = words(17, 104).split()
+    rows = []
+    for pair in range(4):
+        w = [f"{x}{pair}" for x in base]
+        rows += [(2 * pair, " ".join(w)), (2 * pair + 1, " ".join([*w[:-1], "changed"]))]
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_linked_texts) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: (i - i % 2, 1, 1) for i in range(8)}
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.9999), (0.5, 0.9), (0.9, 0.99)):
         b, r = ngram_join.bands_for(threshold, recall)
