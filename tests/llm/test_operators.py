@@ -252,6 +252,21 @@ def test_shards_are_exact_and_stable(docs, none):
     assert crc[3] == (1, 0) and crc[6] == (14, zlib.crc32(b"one two three"))
 
 
+def test_the_query_shards_whole_documents(docs, monkeypatch):
+    given, shuffle = [], shuffle_shards.shuffle_shards
+
+    def watched(df, *args, **more):
+        given.append({*df.columns})
+        return shuffle(df, *args, **more)
+
+    monkeypatch.setattr(shuffle_shards, "shuffle_shards", watched)
+    out = shuffle_shards.shard_digest(docs)
+    assert given == [{"doc_id", "text"}]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert all("crc32" not in x for x in plan[1:] if "Window" in x or "Sort" in x)
+    assert sum("crc32" in x for x in plan) == 1 and "crc32" in plan[0]  # above both permutations
+
+
 def test_communication_matrix_has_its_sums_and_the_right_mean():
     rows, shards = np.array([5, 0, 7, 8]), np.array([10, 6, 4])
     total = np.zeros((4, 3))
