@@ -17,7 +17,9 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -329,7 +331,7 @@ def _compiled(model: bytes) -> Transducer:
     return Transducer(model)
 
 
-def _encoding(model: bytes, kept: list[str], digest: bool):
+def _encoding(model: bytes, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = _compiled(model)
         for batch in batches:
@@ -339,15 +341,10 @@ def _encoding(model: bytes, kept: list[str], digest: bool):
                 back = fst.decode_bytes(raw)
                 rows.append((len(raw) // 4, zlib.crc32(raw), back == (text or "").encode(), raw))
             n, crc, same, raw = zip(*rows, strict=True) if rows else ((), (), (), ())
-            made = [pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
-            names = ["n_tokens", "ids_crc32", "round_trip"]
-            if not digest:
-                ids = [pa.array(memoryview(x).cast("I").tolist(), pa.int32()) for x in raw]
-                offsets = [0]
-                for x in ids:
-                    offsets.append(offsets[-1] + len(x))
-                made.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(ids) if ids else pa.array([], pa.int32())))
-                names.append("ids")
+            offsets = pa.array([0, *accumulate(n)], pa.int32())
+            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raw), "<i4"), pa.int32()))
+            made = [pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), ids]
+            names = ["n_tokens", "ids_crc32", "round_trip", "ids"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], [*kept, *names])
 
     return run
@@ -359,9 +356,9 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, model: str | bytes | None = None, text: str = "text", ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str | bytes | None = None, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, ids_crc32 (unsigned, of the ids as little-endian 32-bit numbers), round_trip (decoding gives the text's
-    bytes) and, with ``ids``, the ids (array<int>). Null and empty texts have no ids. Columns named like these are replaced.
+    bytes) and ids (array<int>). Null and empty texts have no ids. Columns named like these are replaced.
 
     The model file is read once by the driver and shipped with the task (its size does not grow with the data).
     """
@@ -369,8 +366,8 @@ def encode(docs: DataFrame, model: str | bytes | None = None, text: str = "text"
         with open(model or default_model(), "rb") as f:
             model = f.read()
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_tokens", "ids_crc32", "round_trip", "ids", "_text") and c != text))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_tokens long, ids_crc32 long, round_trip boolean"] + ["ids array<int>"] * ids)
-    return docs.withColumn("_text", F.col(text)).mapInArrow(_encoding(model, docs.columns, not ids), schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_tokens long, ids_crc32 long, round_trip boolean, ids array<int>"])
+    return docs.withColumn("_text", F.col(text)).mapInArrow(_encoding(model, docs.columns), schema)
 
 
 def decode(encoded: DataFrame, model: str | bytes | None = None, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -392,5 +389,5 @@ def decode(encoded: DataFrame, model: str | bytes | None = None, ids: str = "ids
 
 
 def encoding_digest(docs: DataFrame) -> DataFrame:
-    """The registered query: token counts and the checksum of the ids of every document."""
-    return encode(docs.select("doc_id", "text"), ids=False)
+    """The registered query: every document's ids, with their number and checksum, and the text they decode to."""
+    return decode(encode(docs.select("doc_id", "text")))

@@ -378,6 +378,15 @@ def test_encoding_equals_the_library(spark, docs, none):
     assert piece_transducer.encoding_digest(docs).count() == 16 and piece_transducer.encoding_digest(none).count() == 0
 
 
+def test_the_encoding_query_returns_ids_and_texts(docs):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_transducer.default_model())
+    for r in piece_transducer.encoding_digest(docs).collect():
+        want = sp.encode(r.text or "")
+        assert r["ids"] == want and r.n_tokens == len(want) and r.decoded == sp.decode(want)
+
+
 def test_unigram_models_take_the_lightest_path():
     def field(n, raw):
         return bytes([n << 3 | 2, len(raw)]) + raw
