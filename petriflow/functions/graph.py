@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from petriflow.functions.lineage import checkpointed
 
 
+#: Into how many parts a node's neighbours are dealt, so that no task holds all of a hub's.
+SALTS = 16
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over edges (u > v). Each node's neighbours are linked to the least of them and itself."""
+    """One step over edges (u > v). Each node's neighbours are linked to the least of them and itself.
+
+    The least neighbour is found by part and then by node, and goes back to the parts, of which a node has ``SALTS`` at most.
+    """
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    linked = both.join(least, "u")
+    both = both.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = both.groupBy("u", "s").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.least(F.min("m"), F.col("u")).alias("m"))
+    linked = both.join(parts.select("u", "s").join(least, "u"), ["u", "s"])
     if large:
         linked = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -23,8 +32,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) for every node of ``edges`` (u, v; long): component is the smallest id that it reaches.
 
-    Both steps only group with partial minima and join on a node, which adaptive execution splits for a hot node; no
-    neighbourhood is gathered. Each round is cut off from its lineage in the shared checkpoint folder. Self loops count as
+    Both steps only group with partial minima and join on a part of a node's neighbours; no neighbourhood is gathered, and a hub's is
+    dealt to several tasks. Each round is cut off from its lineage in the shared checkpoint folder. Self loops count as
     nodes; null ends are ignored.
     """
     nodes = edges.where("u = v").select(F.col("u").alias("id")).distinct()

@@ -7,19 +7,35 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` and read from there, so that a lost executor costs no recomputation.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in which driver and executors meet: ``spark.checkpoint.dir``, or the checkpoint folder that the session was given.
 
-    The folder is the one the cluster names; only a session without the setting (tests, local runs) gets one of its own.
+    A local session without either (tests) gets a temporary one; on a cluster that would be another folder on every machine, so
+    there it is an error.
     """
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="petriflow-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and not _has_dir(spark):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="petriflow-checkpoint-"))
+    base = shared_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
     return df.checkpoint(eager=True)
 
 
-def _has_dir(spark: SparkSession) -> bool:
-    return bool(spark.sparkContext.getCheckpointDir())
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def partitions(spark: SparkSession) -> int:
