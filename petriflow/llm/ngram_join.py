@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from petriflow.functions.graph import components
 from petriflow.functions.lineage import checkpointed
 from petriflow.llm import textvec as tv
+from petriflow.llm.textvec import quoted
 
 NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 #: Documents and n-grams of one block, about; columns of the incidence matrix at a time.
 BLOCK_DOCS, BLOCK_GRAMS, COLUMNS = 256, 1_000_000, 4_096
+_LAST = (1 << 63) - 1
 
 
 def bands_for(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -138,42 +140,70 @@ def _links(k: int, threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, copy_of, n_copies, n_links, n_linked_texts), one row per row of ``docs``.
-
-    Similarity is Jaccard over the sets of ``ngram`` consecutive words (runs of anything but ASCII white space; a text of fewer words
-    is one gram). copy_of: the least id with the same set; class_id: the least id that links reach from here; n_copies: rows
-    with the same set, this one included; n_links: other rows of similarity ``threshold`` or more, copies included;
-    n_linked_texts: representatives among them other than one's own. Null texts and texts without words link to nothing. Rows
-    with the same id are one node of a class. A null id is never another row's class unless no row of its copies has one.
-    """
+def _labelled(docs: DataFrame, doc_id: str, text: str, ngram: int, threshold: float, recall: float) -> DataFrame:
+    """(id, rid, key, row, n_grams, c, class_id, copy_of, copies, docs, texts) of every row. row: a number of its own; rid: the id, or the
+    largest number for null; key: hash of the text; c: a number of the class (null without words)."""
     bands, rows = bands_for(threshold, recall)
-    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    signed = checkpointed(base.mapInArrow(_signatures(ngram, bands, rows), "id long, key long, set_a long, set_b long, n_grams long, bands array<long>"))
-    sets = signed.where("n_grams > 0").groupBy("set_a", "set_b").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "key"))).alias("least"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"))
-    sets = checkpointed(sets.select("set_a", "set_b", F.col("least.id").alias("node"), F.col("least.key").alias("key"), "copies", "n_grams"))
-    reps = sets.where("node is not null")
-    banded = signed.join(reps.select(F.col("node").alias("id"), "key", "set_a", "set_b"), ["id", "key", "set_a", "set_b"]).select(F.col("id").alias("node"), F.explode("bands").alias("band"))
+    number = F.col(quoted(doc_id)).cast("long")
+    base = docs.select(number.alias("id"), F.xxhash64(F.col(quoted(text))).alias("key"), F.col(quoted(text)).alias("text"))
+    signed = base.mapInArrow(_signatures(ngram, bands, rows), "id long, key long, set_a long, set_b long, n_grams long, bands array<long>")
+    signed = checkpointed(signed.withColumns({"rid": F.coalesce("id", F.lit(_LAST)), "row": F.monotonically_increasing_id()}))
+    # A node is the row that stands for an n-gram set, so rows with equal ids and other texts stay apart.
+    sets = signed.where("n_grams > 0").groupBy("set_a", "set_b").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.count("*").alias("copies"))
+    sets = checkpointed(sets)
+    reps = signed.join(sets.select(F.col("node").alias("row"), "copies"), "row").select(F.col("row").alias("node"), "rid", "key", "copies", "n_grams", "bands")
+    banded = reps.select("node", F.explode("bands").alias("band"))
     lead = banded.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
     stars = checkpointed(banded.join(lead, "band").where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct())
-    member = components(stars).select(F.col("id").alias("node"), "component").join(reps, "node")
-    member = checkpointed(member.select("node", "component", "key", "copies", "n_grams"))
+    member = components(stars).select(F.col("id").alias("node"), "component").join(reps.drop("bands"), "node")
+    member = checkpointed(member.select("node", "component", "rid", "key", "copies", "n_grams"))
     share = member.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("k"), F.sum("n_grams").alias("size"))
     packs = int((share.where("k = 1").agg(F.sum("size").alias("n")).first().n or 0) // (BLOCK_GRAMS // 4) + 1)
     blocked = member.join(share.select("component", "k"), "component").withColumn("b", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    placed = blocked.select("node", "key", "copies", "component", "b", F.explode(F.expr("if(k = 1, array(-1), sequence(0, k - 1))")).alias("other"))
-    placed = placed.select("node", "key", "copies", F.col("component").alias("comp"), F.when(F.col("other") >= 0, F.col("b")).otherwise(0).alias("side"), F.when(F.col("other") < 0, F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(F.col("component")).alias("g"), F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi"))
-    full = placed.join(base.where("id is not null").select(F.col("id").alias("node"), "key", "text"), ["node", "key"])
+    placed = blocked.select("node", "rid", "key", "copies", "component", "b", F.explode(F.expr("if(k = 1, array(-1), sequence(0, k - 1))")).alias("other"))
+    placed = placed.select("node", "rid", "key", "copies", F.col("component").alias("comp"), F.when(F.col("other") >= 0, F.col("b")).otherwise(0).alias("side"), F.when(F.col("other") < 0, F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(F.col("component")).alias("g"), F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi"))
+    texts = base.select(F.coalesce("id", F.lit(_LAST)).alias("rid"), "key", "text")
+    # Rows alike in id and text have one node's text more than once.
+    full = placed.join(texts, ["rid", "key"]).dropDuplicates(["rid", "key", "node", "g", "lo", "hi"]).drop("rid", "key")
     found = checkpointed(full.groupBy("g", "lo", "hi").applyInPandas(_links(ngram, threshold), "u long, v long, docs long, texts long"))
     counts = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
-    classes = components(found.where("v is not null").select("u", "v")).select(F.col("id").alias("node"), "component")
-    known = sets.select("set_a", "set_b", "node", "copies").join(counts, "node", "left").join(classes, "node", "left").withColumnRenamed("node", "rep")
-    out = signed.select("id", "n_grams", F.when(F.col("n_grams") > 0, F.col("set_a")).alias("set_a"), "set_b").join(known, ["set_a", "set_b"], "left")
-    copies = F.coalesce("copies", F.lit(1)).cast("long")
-    return out.select(F.col("id").alias(doc_id), F.coalesce("component", "rep", "id").alias("class_id"), F.coalesce("rep", "id").alias("copy_of"), copies.alias("n_copies"), (copies - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"))
+    classes = components(found.where("v is not null").select("u", "v")).select(F.col("id").alias("node"), F.col("component").alias("c"))
+    leasts = classes.join(sets.select("node", "least"), "node").groupBy("c").agg(F.min("least").alias("class_id"))
+    known = sets.join(counts, "node", "left").join(classes, "node", "left").join(leasts, "c", "left")
+    known = known.select("set_a", "set_b", F.coalesce("c", "node").alias("c"), F.when(F.col("c").isNull(), F.col("least")).otherwise(F.col("class_id")).alias("class_id"), "least", "copies", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("texts", F.lit(0)).alias("texts"))
+    out = signed.select("id", "rid", "key", "row", "n_grams", F.when(F.col("n_grams") > 0, F.col("set_a")).alias("set_a"), "set_b").join(known, ["set_a", "set_b"], "left")
+    own = lambda c: F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col(c))
+    return out.select("id", "rid", "key", "row", "n_grams", "c", own("class_id").alias("class_id"), own("least").alias("copy_of"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), F.coalesce("docs", F.lit(0)).cast("long").alias("docs"), F.coalesce("texts", F.lit(0)).cast("long").alias("texts"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, copy_of, n_copies, n_links, n_linked_texts), one row per row of ``docs``.
+
+    Similarity is Jaccard over the sets of ``ngram`` consecutive words (runs of anything but ASCII white space; a text of fewer words
+    is one gram). copy_of: the least id with the same set; class_id: the least id that links reach from here; n_copies: rows
+    with the same set, this one included; n_links: other rows of similarity ``threshold`` or more, copies included;
+    n_linked_texts: representatives among them other than one's own. Null texts and texts without words link to nothing. Every row
+    is judged by its own text, whatever its id: repeated rows are copies of one another, and rows of one id with other texts are not
+    brought together by it. Rows without an id link like any other; a class in which no row has one has a null class_id. Other columns
+    of ``docs`` are not read. A text of n bytes costs about 60 n bytes of memory.
+    """
+    out = _labelled(docs, doc_id, text, ngram, threshold, recall)
+    return out.select(F.col("id").alias(doc_id), "class_id", "copy_of", F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.col("docs")).alias("n_links"), F.col("texts").alias("n_linked_texts"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate class: the one of the least id (rows without an id all stay)."""
-    other = near_duplicates(docs, doc_id, text).where(F.col("class_id") != F.col(doc_id)).select(F.col(doc_id)).distinct()
-    return docs.join(other, doc_id, "left_anti")
+    """``docs`` with one row of each near-duplicate class: one of the least id (null ids last). Rows without words all stay.
+
+    Any other columns are kept, whatever their names; of rows alike in id and text any one may stand for the class.
+    """
+    rows = checkpointed(_labelled(docs, doc_id, text, NGRAM, THRESHOLD, RECALL).where("c is not null").select("rid", "key", "row", "c"))
+    chosen = rows.groupBy("c").agg(F.min(F.struct("rid", "row")).alias("least")).select(F.col("least.row").alias("row"))
+    chosen = checkpointed(rows.join(chosen, "row").select("rid", "key"))
+    other = rows.select("rid", "key").distinct().join(chosen, ["rid", "key"], "left_anti")
+    twice = rows.join(chosen, ["rid", "key"], "left_semi").groupBy("rid", "key").count().where("count > 1").drop("count")
+    number = F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(_LAST))
+    named = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("doc"), number.alias("rid"), F.xxhash64(F.col(quoted(text))).alias("key"))
+    kept = named.join(other, ["rid", "key"], "left_anti")
+    if not twice.isEmpty():
+        kept = kept.join(twice, ["rid", "key"], "left_anti").unionByName(kept.join(twice, ["rid", "key"], "left_semi").dropDuplicates(["rid", "key"]))
+    return kept.select("doc.*")

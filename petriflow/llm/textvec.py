@@ -25,6 +25,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark's parser reads it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> _U(30))
