@@ -2,8 +2,9 @@
 
 Each notice may be met with a bounded number of edits. By the pigeonhole principle, of ``errors + 1`` pieces of a notice one
 is left whole by ``errors`` edits, so an Aho-Corasick automaton over all pieces finds every place to look at; the regex
-library then matches the notice there with that many errors at most and gives the span. Exact base phrases are found apart,
-word by word.
+library then matches the notice there with that many errors at most and gives the span. Words that tell one notice from another (a
+licence's name, a version's digits) must stand in the span whole and in order; edits belong to the rest. Exact base phrases are
+found apart, word by word.
 """
 
 from __future__ import annotations
@@ -18,26 +19,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from petriflow.llm import textvec as tv
+from petriflow.llm.textvec import quoted
 
 #: Phrases that count where their words stand in a row.
 BASE: dict[str, str] = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices (words in lower case) and their labels.
+#: Notices (words in lower case; those after a star must be met exactly) and their labels.
 NOTICES: tuple[tuple[str, str], ...] = (
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("licensed under the mit license", "mit"),
-    ("released under the mit license", "mit"),
+    ("licensed under the *apache license version *2 *0", "apache-2.0"),
+    ("licensed under the *apache license version *1 *1", "apache-1.1"),
+    ("apache software license version *1 *1", "apache-1.1"),
+    ("licensed under the *mit license", "mit"),
+    ("released under the *mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("licensed under the gnu general public license", "gpl"),
-    ("gnu general public license version", "gpl"),
-    ("gnu lesser general public license", "lgpl"),
-    ("gnu affero general public license", "agpl"),
-    ("mozilla public license version 2 0", "mpl-2.0"),
+    ("licensed under the *isc license", "isc"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("licensed under the gnu *general public license", "gpl"),
+    ("gnu *general public license version", "gpl"),
+    ("gnu *general public license version *2", "gpl-2.0"),
+    ("gnu *general public license version *3", "gpl-3.0"),
+    ("gnu *lesser general public license", "lgpl"),
+    ("gnu *library general public license", "lgpl"),
+    ("gnu *affero general public license", "agpl"),
+    ("gnu free *documentation license", "gfdl"),
+    ("*mozilla public license version *2 *0", "mpl-2.0"),
+    ("*mozilla public license version *1 *1", "mpl-1.1"),
+    ("released under the *mpl license", "mpl"),
+    ("*eclipse public license version *1 *0", "epl-1.0"),
+    ("*eclipse public license version *2 *0", "epl-2.0"),
+    ("common *development and *distribution license", "cddl"),
+    ("*boost software license version *1 *0", "bsl-1.0"),
     ("redistribution and use in source and binary forms", "bsd"),
-    ("licensed under the bsd license", "bsd"),
-    ("creative commons attribution", "cc"),
-    ("licensed under cc by nc", "cc-by-nc"),
-    ("licensed under cc by sa", "cc-by-sa"),
+    ("licensed under the *bsd license", "bsd"),
+    ("released under the *bsd license", "bsd"),
+    ("the *artistic license *2 *0", "artistic-2.0"),
+    ("licensed under the *zlib license", "zlib"),
+    ("do what the fuck you want to public license", "wtfpl"),
+    ("sil open *font license", "ofl"),
+    ("creative commons *attribution", "cc"),
+    ("creative commons *zero", "cc0"),
+    ("licensed under *cc *by *nc", "cc-by-nc"),
+    ("licensed under *cc *by *nd", "cc-by-nd"),
+    ("licensed under *cc *by *sa", "cc-by-sa"),
+    ("licensed under *cc *by *nc *nd", "cc-by-nc-nd"),
+    ("licensed under *cc *by *nc *sa", "cc-by-nc-sa"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("dedicated to the public domain", "public-domain"),
     ("all rights reserved", "reserved"),
 )
 #: One edit for so many characters, rounded down, at most ``MOST_ERRORS``; notices shorter than that allow one.
@@ -60,11 +86,12 @@ def pieces(notice: str, errors: int) -> list[tuple[int, str]]:
 
 class Scanner:
     def __init__(self, notices: tuple[tuple[str, str], ...]):
-        self.notices = notices
-        self.errors = [errors_for(n) for n, _ in notices]
-        self.patterns = [regex.compile(rf"(?b)(?:{regex.escape(n, special_only=True)}){{e<={e}}}") for (n, _), e in zip(notices, self.errors, strict=True)]
+        self.notices = tuple((n.replace("*", ""), label) for n, label in notices)
+        self.exact = [tuple(w[1:] for w in n.split() if w[0] == "*") for n, _ in notices]
+        self.errors = [errors_for(n) for n, _ in self.notices]
+        self.patterns = [regex.compile(rf"(?b)(?:{regex.escape(n, special_only=True)}){{e<={e}}}") for (n, _), e in zip(self.notices, self.errors, strict=True)]
         where: dict[str, list[tuple[int, int]]] = {}
-        for i, (n, _) in enumerate(notices):
+        for i, (n, _) in enumerate(self.notices):
             for offset, piece in pieces(n, self.errors[i]):
                 where.setdefault(piece, []).append((i, offset))
         self.automaton = ahocorasick.Automaton()
@@ -72,17 +99,24 @@ class Scanner:
             self.automaton.add_word(piece, (len(piece), tuple(places)))
         self.automaton.make_automaton()
 
+    def _told_apart(self, i: int, text: str, start: int, end: int) -> bool:
+        """Whether the words that the span touches have the notice's exact ones, in order."""
+        if not self.exact[i]:
+            return True
+        left, right = text.rfind(" ", 0, start + 1) + 1, text.find(" ", max(end - 1, 0))
+        words = iter(text[left : right if right >= 0 else len(text)].split())
+        return all(any(w == x for w in words) for x in self.exact[i])
+
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, errors) of the notices in a folded text; of overlapping ones of one notice the first."""
         found, until = [], {}
         looks = sorted({(i, max(0, end + 1 - size - offset - self.errors[i])) for end, (size, places) in self.automaton.iter(text) for i, offset in places})
         for i, start in looks:
-            if start < until.get(i, 0):
-                continue
             e = self.errors[i]
-            stop = start + len(self.notices[i][0]) + 3 * e
-            hit = self.patterns[i].search(text, start, min(len(text), stop))
-            if hit:
+            stop = min(len(text), start + len(self.notices[i][0]) + 3 * e)
+            start = max(start, until.get(i, 0))  # a look may begin before the end of the match before it
+            hit = self.patterns[i].search(text, start, stop) if start < stop else None
+            if hit and self._told_apart(i, text, hit.start(), hit.end()):
                 found.append((i, hit.start(), hit.end(), sum(hit.fuzzy_counts)))
                 until[i] = hit.end()
         return found
@@ -109,7 +143,7 @@ def _scanning(notices: tuple[tuple[str, str], ...], base: dict[str, str], kept:
         scanner = _scanner(notices)
         for batch in batches:
             counts, exact, fuzzy, scores = [], [], [], []
-            for raw in batch.column("_text").cast(pa.large_binary()).to_pylist():
+            for raw in batch.column(len(kept)).cast(pa.large_binary()).to_pylist():
                 parts = (raw or b"").translate(_FOLD).split()
                 counts.append(len(parts))
                 text = f" {b' '.join(parts).decode()} "
@@ -120,12 +154,12 @@ def _scanning(notices: tuple[tuple[str, str], ...], base: dict[str, str], kept:
                 for i, a, b, e in scanner.matches(text):
                     while text[a] == " ":
                         a += 1
-                    near.append({"label": notices[i][1], "start_word": text.count(" ", 0, a) - 1, "end_word": text.count(" ", 0, len(text[:b].rstrip(" "))), "errors": e})
-                    best = max(best, 1 - e / len(notices[i][0]))
+                    near.append({"label": scanner.notices[i][1], "start_word": text.count(" ", 0, a) - 1, "end_word": text.count(" ", 0, len(text[:b].rstrip(" "))), "errors": e})
+                    best = max(best, 1 - e / len(scanner.notices[i][0]))
                 fuzzy.append(near)
                 scores.append(best)
             made = [pa.array(counts, pa.int64()), pa.array(exact, kind), pa.array(fuzzy, kind), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], [*kept, "n_words", "phrases", "notices", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], *made], [*kept, "n_words", "phrases", "notices", "score"])
 
     return run
 
@@ -136,13 +170,15 @@ def scan(docs: DataFrame, text: str = "text", notices: tuple[tuple[str, str], ..
     Words are runs of ASCII letters (lower-cased), digits and characters beyond ASCII; null and empty texts have none. phrases are
     exact; notices may differ by insertions, deletions and substitutions, one for each ``PER_ERROR`` characters; words are counted
     from 0 and end_word is past the last. score: the best match's share of characters without an error, 0 without a match.
-    Columns named like the results are replaced.
+    Notices of one label or of several may overlap; equal places of one notice count once. Columns named like the results are
+    replaced, all others kept. A text of n bytes costs about 10 n bytes of memory.
     """
     base = BASE if base is None else base
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_words", "phrases", "notices", "score", "_text") and c != text))
+    kept = [c for c in docs.columns if c == text or c.lower() not in ("n_words", "phrases", "notices", "score")]
     spans = "array<struct<label:string,start_word:bigint,end_word:bigint,errors:int>>"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"n_words long, phrases {spans}, notices {spans}, score double"])
-    return docs.withColumn("_text", F.col(text)).mapInArrow(_scanning(notices, base, docs.columns), schema)
+    schema = ", ".join([*(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in kept), f"n_words long, phrases {spans}, notices {spans}, score double"])
+    ready = docs.select(*(F.col(quoted(c)) for c in kept), F.col(quoted(text)).alias("_input"))
+    return ready.mapInArrow(_scanning(notices, base, kept), schema)
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
