@@ -1,8 +1,12 @@
 """Benchmark decontamination by winnowing.
 
 Documents and items are fingerprinted alike: of every ``SPAN - GRAM + 1`` consecutive hashes of ``GRAM`` words the least one
-is kept, so two texts that share ``SPAN`` words share a fingerprint inside them. Shared fingerprints are only seeds: each is
-extended word by word along its diagonal, and a stretch counts when it holds a whole window of an item.
+is kept, so two texts that share ``SPAN`` words share a fingerprint inside them. Fingerprints of both sides are joined in Spark; a
+document and an item that share one are then compared at every window of ``SPAN`` words, which extends each hit as far as the texts
+agree. Items shorter than a window are one window each and are met by the hash of all their words.
+
+Before the join a bitmap of fixed size, made of the items' fingerprints by a Spark aggregation, drops documents' fingerprints that
+no item has. Nothing else of the benchmark is shipped to tasks or passes through the driver.
 """
 
 from __future__ import annotations
@@ -15,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from petriflow.functions.lineage import checkpointed, partitions
 from petriflow.llm import textvec as tv
+from petriflow.llm.textvec import quoted
 
 SPAN, GRAM = 10, 5
-#: Bytes of benchmark text in one block; a larger benchmark is taken in several blocks, one pass over the documents each.
-BLOCK_BYTES = 32 << 20
+#: Bits of the bitmap as a power of two; parts of a fingerprint's documents in the join; pairs that one task compares, about; most
+#: bytes of a table that is broadcast (its size is counted first).
+BITMAP, SALTS, PER_TASK, BROADCAST = 24, 16, 2_000, 32 << 20
+_LAST = (1 << 63) - 1
 
 
 def winnow(h: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
@@ -34,135 +42,176 @@ def winnow(h: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
     return np.unique(best[text[:n] == text[width - 1 :]])
 
 
-def _split(texts: pa.Array) -> tuple[np.ndarray, ...]:
+def _split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words with their text and, by text, the first word."""
-    data, offsets = next(((d, o) for _, d, o in tv.blocks(texts, 1 << 62)), (np.empty(0, np.uint8), np.zeros(1, np.int64)))
     starts, ends, text = tv.words(data, offsets, tv.ALNUM)
     first = np.concatenate([[0], np.cumsum(tv.per_text(text, len(offsets) - 1))])
     return tv.word_hashes(tv.LOWER[data], starts, ends), text, first
 
 
-class Index:
-    """The fingerprints of one block of items, sorted, and the items' words."""
-
-    def __init__(self, ids: list[int | None], texts: list[str | None], span: int, gram: int):
-        self.ids, self.span, self.gram = ids, span, gram
-        self.h, self.text, self.first = _split(pa.array(texts, pa.large_string()))
-        n = np.diff(self.first)
-        at, grams = tv.windows(self.h, self.text, gram)
-        keep = winnow(grams, self.text[at], span - gram + 1)
-        self.fingerprints, self.at = self._sorted(grams[keep], at[keep])
-        #: Items shorter than a window are one window each, found by the hash of all their words; by their length.
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in np.unique(n[(n > 0) & (n < span)]).tolist():
-            item = np.flatnonzero(n == size)
-            at, h = tv.windows(self.h, self.text, size)
-            whole = np.isin(at, self.first[item])
-            self.short[size] = self._sorted(h[whole], at[whole])
-
-    @staticmethod
-    def _sorted(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(h, kind="stable")
-        return h[order], at[order]
-
-    @staticmethod
-    def _meet(h: np.ndarray, known: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index into h, place among the items) of every equal pair."""
-        low, high = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
-        hit = np.flatnonzero(high > low)
-        times = (high - low)[hit]
-        inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        return np.repeat(hit, times), at[np.repeat(low[hit], times) + inner]
-
-    def stretches(self, h: np.ndarray, text: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Rows (text, item, first word, end word) of documents' words that stand in windows of items."""
-        found = []
-        at, grams = tv.windows(h, text, self.gram)
-        keep = winnow(grams, text[at], self.span - self.gram + 1)
-        seed, place = self._meet(grams[keep], self.fingerprints, self.at)
-        doc_at = at[keep][seed]
-        # One seed for each diagonal and stretch is enough; the ones inside a stretch that is known are passed over.
-        order = np.lexsort((doc_at, doc_at - place))
-        diagonal, end = None, -1
-        for d, p in zip(doc_at[order].tolist(), place[order].tolist(), strict=True):
-            if d - p == diagonal and d < end:
-                continue
-            i, j = d, p
-            low_d, high_d, low_p, high_p = first[text[d]], first[text[d] + 1], self.first[self.text[p]], self.first[self.text[p] + 1]
-            while i > low_d and j > low_p and h[i - 1] == self.h[j - 1]:
-                i, j = i - 1, j - 1
-            e, f = d, p
-            while e < high_d and f < high_p and h[e] == self.h[f]:
-                e, f = e + 1, f + 1
-            diagonal, end = d - p, e
-            if e - i >= self.span:
-                found.append((text[d], self.text[p], i, e))
-        for size, (known, place) in self.short.items():
-            at, whole = tv.windows(h, text, size)
-            seed, p = self._meet(whole, known, place)
-            found += [(text[at[s]], self.text[q], at[s], at[s] + size) for s, q in zip(seed.tolist(), p.tolist(), strict=True)]
-        return np.array(found, np.int64).reshape(-1, 4)
-
-
-def _scan(index: Index, extra: list[str]):
+def _windows(h: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of every window; windows of different sizes have different hashes."""
+    at, grams = tv.windows(h, text, size)
+    return at, tv.mix(grams + np.uint64(size))
+
+
+def fingerprints(h: np.ndarray, text: np.ndarray, span: int, gram: int, short: tuple[int, ...], whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, fingerprint) of the winnowed grams and of windows of the ``short`` sizes; with ``whole`` (words of each text), of texts
+    of exactly that size only."""
+    at, grams = _windows(h, text, gram)
+    keep = winnow(grams, text[at], span - gram + 1)
+    owners, found = [text[at[keep]]], [grams[keep]]
+    for size in short:
+        at, grams = _windows(h, text, size)
+        # A gram of the same size as a short item is told apart from the winnowed ones.
+        grams = tv.mix(grams ^ np.uint64(0x5A5A5A5A5A5A5A5A))
+        if whole is not None:
+            at, grams = at[whole[text[at]] == size], grams[whole[text[at]] == size]
+        owners.append(text[at])
+        found.append(grams)
+    return np.concatenate(owners), np.concatenate(found)
+
+
+def _place(f: np.ndarray) -> np.ndarray:
+    return (f >> np.uint64(64 - BITMAP)).astype(np.int64)
+
+
+def _prints_of_items(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, offsets in tv.blocks(batch.column("_text")):
-                n = len(offsets) - 1
-                starts, ends, text = tv.words(data, offsets, tv.ALNUM)
-                first = np.concatenate([[0], np.cumsum(tv.per_text(text, n))])
-                found = index.stretches(tv.word_hashes(tv.LOWER[data], starts, ends), text, first)
-                spans: list[list[list[int]]] = [[] for _ in range(n)]
-                items: list[set[int]] = [set() for _ in range(n)]
-                for t, item, a, b in sorted(found.tolist(), key=lambda x: (x[0], x[2], x[3])):
-                    items[t].add(item)
-                    a, b = a - int(first[t]), b - int(first[t])
-                    if spans[t] and a <= spans[t][-1][1]:
-                        spans[t][-1][1] = max(b, spans[t][-1][1])
-                    else:
-                        spans[t].append([a, b])
-                kept = [batch.column(c)[row : row + n] for c in extra]
-                ids = [[index.ids[i] for i in sorted(x) if index.ids[i] is not None] for x in items]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(ids, pa.list_(pa.int64()))], [*extra, "n_words", "spans", "items"])
+            for row, data, offsets in tv.blocks(batch.column("text")):
+                h, text, first = _split(data, offsets)
+                n = np.diff(first)
+                owner, f = fingerprints(h, text, span, gram, tuple(range(1, span)), n)
+                items = batch.column("item").to_numpy()[row + owner]
+                yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(f.view(np.int64)), pa.array(_place(f)), pa.array(n[owner])], ["item", "f", "place", "n"])
+
+    return run
+
+
+def _prints_of_docs(span: int, gram: int, short: tuple[int, ...], bitmap: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap, np.uint8)
+        for batch in batches:
+            for row, data, offsets in tv.blocks(batch.column("text")):
+                h, text, _ = _split(data, offsets)
+                owner, f = fingerprints(h, text, span, gram, short)
+                place = _place(f)
+                hit = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                owner, f = owner[hit], f[hit]
+                order = np.lexsort((f, owner))
+                owner, f = owner[order], f[order]
+                new = np.ones(len(f), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (f[1:] != f[:-1])
+                rows = pa.array(row + owner[new])
+                yield pa.RecordBatch.from_arrays([batch.column("rid").take(rows), batch.column("key").take(rows), pa.array(f[new].view(np.int64))], ["rid", "key", "f"])
+
+    return run
+
+
+def _bitmap(prints: DataFrame) -> bytes:
+    """2^BITMAP bits, folded to 64-bit words by Spark: 2^(BITMAP-6) rows come to the driver at most."""
+    words = prints.groupBy((F.col("place") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (BITMAP - 6), np.int64)
+    out[words.w] = words.bits
+    return out.astype("<i8").tobytes()
+
+
+def stretches(h: np.ndarray, items: list[np.ndarray], span: int) -> tuple[list[list[int]], list[int]]:
+    """([first word, end word) of a document's words that stand in windows of the items, and which items have such a window), from word hashes."""
+    gone, found = np.zeros(len(h) + 1, np.int64), []
+    one = np.zeros(len(h), np.int64)
+    sizes = [min(span, len(x)) for x in items]
+    for size in {*sizes} - {0}:
+        which = [i for i, n in enumerate(sizes) if n == size]
+        own = np.repeat(which, [len(items[i]) for i in which])
+        at, theirs = tv.windows(np.concatenate([items[i] for i in which]), own, size)
+        start, ours = tv.windows(h, one, size)
+        found += np.unique(own[at[np.isin(theirs, ours)]]).tolist()
+        start = start[np.isin(ours, theirs)]
+        np.add.at(gone, start, 1)
+        np.add.at(gone, start + size, -1)
+    covered = np.concatenate([[0], (np.cumsum(gone) > 0).astype(np.int8)[: len(h)], [0]])
+    edges = np.flatnonzero(np.diff(covered)).tolist()
+    return [[a, b] for a, b in zip(edges[::2], edges[1::2], strict=True)], sorted(found)
+
+
+def _compare(span: int):
+    kinds = [("rid", pa.int64()), ("key", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64()))]
+
+    def hashes(texts: pa.ChunkedArray) -> list[np.ndarray]:
+        out = []
+        for _, data, offsets in tv.blocks(texts):
+            h, _, first = _split(data, offsets)
+            out += [h[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        return out
+
+    def run(docs: pa.Table, pairs: pa.Table) -> pa.Table:
+        theirs: dict[tuple[int, int], list[int]] = {}
+        for i, k in enumerate(zip(pairs.column("rid").to_pylist(), pairs.column("key").to_pylist(), strict=True)):
+            theirs.setdefault(k, []).append(i)
+        names, texts = pairs.column("id").to_pylist(), hashes(pairs.column("text"))
+        rows, done = [], set()
+        for rid, key, h in zip(docs.column("rid").to_pylist(), docs.column("key").to_pylist(), hashes(docs.column("text")), strict=True):
+            if (rid, key) in done:  # rows alike in id and text have one result
+                continue
+            done.add((rid, key))
+            mine = theirs.get((rid, key), [])
+            spans, items = stretches(h, [texts[i] for i in mine], span)
+            if spans:
+                rows.append((rid, key, spans, sorted({names[mine[i]] for i in items if names[mine[i]] is not None})))
+        columns = zip(*rows, strict=True) if rows else [()] * 4
+        return pa.table([pa.array(x, t) for x, (_, t) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _small(df: DataFrame, n_bytes: int) -> DataFrame:
+    """``df`` for a broadcast if its counted bytes allow it; otherwise the join is left to the planner."""
+    return F.broadcast(df) if n_bytes <= BROADCAST else df
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, span: int, gram: int) -> tuple[DataFrame, int]:
+    """(rid, key, spans, items) of the documents with hits, and how many bytes they take, about."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.col(quoted(item_id)).cast("long").alias("id"), F.col(quoted(item_text)).alias("text")).where("text is not null")
+    items = checkpointed(items.withColumn("item", F.monotonically_increasing_id()))
+    prints = checkpointed(items.select("item", "text").mapInArrow(_prints_of_items(span, gram), "item long, f long, place long, n long"))
+    short = tuple(sorted(r.n for r in prints.where(F.col("n") < span).select("n").distinct().collect()))  # span - 1 numbers at most
+    ours = docs.select(F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(_LAST)).alias("rid"), F.xxhash64(F.col(quoted(text))).alias("key"), F.col(quoted(text)).alias("text"))
+    seeds = ours.mapInArrow(_prints_of_docs(span, gram, short, _bitmap(prints)), "rid long, key long, f long")
+    # A fingerprint that very many documents have is dealt to SALTS tasks.
+    salted = seeds.withColumn("s", F.pmod(F.xxhash64("rid", "key"), F.lit(SALTS)).cast("int"))
+    known = prints.select("f", "item").distinct().select("f", "item", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    pairs = checkpointed(salted.join(known, ["f", "s"]).select("rid", "key", "item").distinct())
+    n_pairs = pairs.count()
+    n_groups = max(partitions(spark), n_pairs // PER_TASK + 1)
+    group = F.pmod(F.xxhash64("rid", "key"), F.lit(n_groups)).alias("g")
+    left = ours.join(_small(pairs.select("rid", "key").distinct(), 16 * n_pairs), ["rid", "key"], "left_semi").select(group, "rid", "key", "text")
+    right = pairs.join(items, "item").select(group, "rid", "key", "id", "text")
+    found = left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(_compare(span), "rid long, key long, spans array<array<long>>, items array<long>")
+    found = checkpointed(found)
+    size = found.agg(F.sum(64 + 40 * F.size("spans") + 8 * F.size("items"))).first()[0] or 0
+    return found, size
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, gram: int = GRAM, doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with n_words, spans (array of [first word, end word)) and items (array of item ids, distinct).
 
     A window is ``span`` consecutive words of an item; an item of fewer words, but not none, is one window. spans cover the
     document's words that stand in any occurrence of a window. Words are runs of ASCII letters (lower-cased), digits and
-    characters beyond ASCII; null has none. Items of equal text each count; an item without id counts for spans only.
+    characters beyond ASCII; null has none. Items of equal text each count; an item without id counts for spans only. Rows with the
+    same id and text have the same result, rows of one id with other texts their own. Columns named like the results are replaced, all
+    others kept, whatever their names. A text of n bytes costs about 60 n bytes of memory.
 
-    Items are shipped to the tasks in blocks of ``block_bytes`` of text, whose number follows their measured size: documents
-    never move, whatever a passage's frequency, and the benchmark is never broadcast beyond the block size.
+    Documents move only if they share a fingerprint with an item (or, where results are too large to broadcast, in the last join).
     """
-    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    n_blocks = max(1, -(-size // block_bytes))
-    made = ("n_words", "spans", "items", "_text", "_spans", "_items")
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in made and c != text))
-    extra = docs.columns
-    out = docs
-    for b in range(n_blocks):
-        block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == b)
-        rows = block.orderBy("id", "text").collect()  # about block_bytes of text at most
-        index = Index([r.id for r in rows], [r.text for r in rows], span, gram)
-        held = out.columns
-        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-        out = out.withColumn("_text", F.col(text)).mapInArrow(_scan(index, held), f"{kept}, n_words long, spans array<array<long>>, items array<long>")
-        if b:
-            out = out.withColumn("spans", F.concat("_spans", "spans")).withColumn("items", F.array_union("_items", "items")).drop("_spans", "_items")
-        if b < n_blocks - 1:
-            out = out.drop("n_words").withColumnsRenamed({"spans": "_spans", "items": "_items"})
-    ordered = F.array_sort("spans")
-    merged = F.aggregate(
-        ordered,
-        F.array().cast("array<array<long>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.get(F.element_at(acc, -1), F.lit(1)) >= F.get(s, F.lit(0))), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.get(F.element_at(acc, -1), F.lit(0)), F.greatest(F.get(F.element_at(acc, -1), F.lit(1)), F.get(s, F.lit(1))))))).otherwise(F.concat(acc, F.array(s))),
-    )
-    return out.select(*extra, "n_words", (F.col("spans") if n_blocks == 1 else merged).alias("spans"), F.array_distinct("items").alias("items"))
+    found, size = _found(docs, benchmark, doc_id, text, item_id, item_text, span, gram)
+    kept = [c for c in docs.columns if c in (text, doc_id) or c.lower() not in ("n_words", "spans", "items")]
+    n_words = F.regexp_count(F.coalesce(F.col(quoted(text)), F.lit("")), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")).cast("long")
+    named = docs.select(F.struct(*(F.col(quoted(c)) for c in kept)).alias("doc"), n_words.alias("n_words"), F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(_LAST)).alias("rid"), F.xxhash64(F.col(quoted(text))).alias("key"))
+    out = named.join(_small(found, size), ["rid", "key"], "left")
+    return out.select("doc.*", "n_words", F.coalesce("spans", F.array().cast("array<array<long>>")).alias("spans"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -173,13 +222,11 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a window of a benchmark item."""
-    columns = docs.columns
-    named = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)))
-    at = next(f"c{i}" for i, c in enumerate(columns) if c == "text")
-    out = contamination(named, benchmark, text=at)
-    return out.where(F.size("spans") == 0).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
+    found, size = _found(docs, benchmark, doc_id, text, "item_id", "text", SPAN, GRAM)
+    named = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("doc"), F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(_LAST)).alias("rid"), F.xxhash64(F.col(quoted(text))).alias("key"))
+    return named.join(_small(found.select("rid", "key"), size), ["rid", "key"], "left_anti").select("doc.*")
 
 
 def sha_of(ids: list[int]) -> str:
