@@ -4,7 +4,8 @@ an earlier document has too are merged into maximal intervals of words to remove
 Shuffles: (1) the texts, by groups of documents of about ``GROUP_BYTES``, used by steps 2 and 4; (2) each group's distinct
 hashes with the least id that has them there, packed per hash bucket (about ten bytes a hash); (3) to each group, which of its
 hashes an earlier document of another group has. A bucket holds a hash once a group, so a window's copies meet as one entry
-for each ``GROUP_BYTES`` of text at most, never one by one; a group finds its own occurrences again from its texts.
+for each ``GROUP_BYTES`` of text at most, never one by one, and stay packed but for ``MERGE_HASHES`` at a time; a group finds its own
+occurrences again from its texts.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ from pyspark.sql import functions as F
 
 from petriflow.functions.lineage import partitions
 from petriflow.llm import textvec as tv
+from petriflow.llm.textvec import quoted
 
 WINDOW = 13
 #: Hashes in one hash bucket, on average, at most.
 PER_BUCKET = 2_000_000
 #: Bytes of text that one task cuts at a time, about.
 GROUP_BYTES = 4 << 20
+#: Hashes that a bucket takes in at a time.
+MERGE_HASHES = 1_000_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -79,24 +83,34 @@ def _runs(k: int, n_buckets: int, text_column: str):
     return run
 
 
+def _unpacked(hashes: bytes, ids: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A row's hashes and the least id of each in the row's group."""
+    return np.frombuffer(hashes, np.uint64), np.repeat(_unplanes(ids, 8).view(np.int64), _unplanes(counts).astype(np.int64))
+
+
 def _repeated():
     """Of one hash bucket, rows (g, bucket, places): the places in a group's run of the hashes that an earlier document has elsewhere."""
 
     def run(bucket: pd.DataFrame) -> pd.DataFrame:
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in bucket.hashes])
-        counts = np.concatenate([_unplanes(x) for x in bucket.counts]).astype(np.int64)
-        doc = np.repeat(np.concatenate([_unplanes(x, 8) for x in bucket.ids]).view(np.int64), counts)
-        order = np.argsort(h, kind="stable")
-        h, doc = h[order], doc[order]
-        cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        least = np.repeat(np.minimum.reduceat(doc, cuts), np.diff(np.append(cuts, len(doc))))
-        hit = np.sort(order[doc > least])
-        ends = np.cumsum([len(x) // 8 for x in bucket.hashes])
-        rows, a = [], 0
-        for g, b, end, size in zip(bucket.g, bucket.bucket, ends, np.diff(ends, prepend=0), strict=True):
-            if (upto := int(np.searchsorted(hit, end))) > a:
-                rows.append((int(g), int(b), _planes(np.diff(hit[a:upto] - (end - size), prepend=0))))
-            a = upto
+        runs = list(zip(bucket.hashes, bucket.ids, bucket.counts, strict=True))
+        # A bucket is held as its packed rows and one entry for each distinct hash, however many rows have it.
+        h, least, part, held = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+        for i, run in enumerate(runs):
+            part.append(_unpacked(*run))
+            held += len(part[-1][0])
+            if held >= MERGE_HASHES or i == len(runs) - 1:
+                h, least = (np.concatenate(x) for x in zip((h, least), *part, strict=True))
+                order = np.argsort(h, kind="stable")
+                h, least = h[order], least[order]
+                cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                h, least, part, held = h[cuts], np.minimum.reduceat(least, cuts), [], 0
+        rows = []
+        for g, b, run in zip(bucket.g, bucket.bucket, runs, strict=True):
+            theirs, doc = _unpacked(*run)
+            order = np.argsort(theirs)
+            hit = np.sort(order[doc[order] > least[np.searchsorted(h, theirs[order])]])
+            if len(hit):
+                rows.append((int(g), int(b), _planes(np.diff(hit, prepend=0))))
         return pd.DataFrame({"g": np.array([r[0] for r in rows], np.int64), "bucket": np.array([r[1] for r in rows], np.int64), "places": [r[2] for r in rows]})
 
     return run
@@ -137,20 +151,24 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A word goes if a window of ``window`` words that covers it starts, word for word, in a document with a smaller id too.
     Windows are judged on the input, so what one document loses never hides a repeat in another. Null and empty texts have
     no words; a null id counts as larger than any other; rows with the same id and text are treated alike, and windows
-    repeated within one id stay. Columns of ``docs`` named like the results are replaced.
+    repeated within one id stay. Columns of ``docs`` named like the results are replaced, all others kept, whatever their names. A text of
+    n bytes costs about 60 n bytes of memory.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_words", "n_removed", "kept_text", "_key", "_id", "_text", "_g") and c not in (doc_id, text)))
-    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
+    kept = [c for c in docs.columns if c in (doc_id, text) or c.lower() not in ("n_words", "n_removed", "kept_text")]
+    size = docs.agg(F.sum(F.octet_length(F.col(quoted(text)))).alias("n")).first().n or 0
     n_buckets = max(partitions(spark), size // 6 // PER_BUCKET + 1)
     n_groups = max(partitions(spark), size // GROUP_BYTES + 1)
-    number = F.col(doc_id).cast("long")
-    # Both uses of the groups read one exchange; a group is the same rows in any case.
-    grouped = docs.withColumns({"_id": F.coalesce(number, F.lit(_LAST)), "_g": F.pmod(F.xxhash64(number, F.col(text)), F.lit(n_groups))}).groupBy("_g")
-    runs = grouped.applyInArrow(_runs(window, n_buckets, text), "bucket long, g long, hashes binary, ids binary, counts binary")
+    number = F.col(quoted(doc_id)).cast("long")
+    # Columns go by number inside, so that no name can clash. Both uses of the groups read one exchange; a group is the same rows in any case.
+    inner = [f"c{i}" for i in range(len(kept))]
+    numbered = docs.select(*(F.col(quoted(c)).alias(i) for c, i in zip(kept, inner, strict=True)), F.coalesce(number, F.lit(_LAST)).alias("_id"), F.pmod(F.xxhash64(number, F.col(quoted(text))), F.lit(n_groups)).alias("_g"))
+    grouped, at = numbered.groupBy("_g"), inner[kept.index(text)]
+    runs = grouped.applyInArrow(_runs(window, n_buckets, at), "bucket long, g long, hashes binary, ids binary, counts binary")
     places = runs.groupBy("bucket").applyInPandas(_repeated(), "g long, bucket long, places binary")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_words long, n_removed long, kept_text string"])
-    return grouped.cogroup(places.groupBy("g")).applyInArrow(_cut(window, n_buckets, docs.columns, text), schema)
+    schema = ", ".join([*(f"{i} {docs.schema[c].dataType.simpleString()}" for c, i in zip(kept, inner, strict=True)), "n_words long, n_removed long, kept_text string"])
+    out = grouped.cogroup(places.groupBy("g")).applyInArrow(_cut(window, n_buckets, inner, at), schema)
+    return out.select(*(F.col(i).alias(c) for c, i in zip(kept, inner, strict=True)), "n_words", "n_removed", "kept_text")
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:
