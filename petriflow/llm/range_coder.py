@@ -1,225 +1,241 @@
-"""An adaptive context-mixing range coder for ids below 65,536, many independent blocks in step.
+"""An adaptive context-mixing range coder for ids below 65,536.
 
-The predictors of a block are: order 2 (the id that last followed the two ids before), order 1 (the id that last followed the id
-before) and order 0 (adaptive counts of the upper and the lower byte). How much of the range each gets is learnt while coding, in one
-of 32 contexts made of the confidence of the two predictions and whether they agree. Blocks start from nothing and never
-look at each other, so any block can be read alone; numpy advances all blocks of a batch by one id at a time. All arithmetic
-is on integers, so every machine makes the same bytes.
+The distribution of the next id is a mixture: order 0 (adaptive counts of all ids so far), order 1 (the id that follows the id
+before, with its confidence) and order 2 (the same for the two ids before). The shares of the three are learnt while coding, in 32
+contexts made of the two confidences and of whether both predict one id. An id's probability is the sum of what all three give it,
+and arithmetic coding narrows the range to exactly that part.
 
-Block: ``CMR1``, number of ids, CRC-32 of the ids as little-endian 32-bit numbers, number of words (4 bytes each), 16-bit words.
+A block is coded in ``lanes`` equal stretches side by side, so that numpy advances all of them by one id at a time; they share one
+model, which learns from all of them every ``CHUNK`` ids. Every block starts from nothing and never looks at another, so it
+can be read alone. Shares, counts and ranges are integers; the only floating-point steps are multiplications, divisions and
+roundings that IEEE 754 fixes, so every machine makes the same bytes.
+
+Block: ``CMR2``, number of ids, CRC-32 of the ids as little-endian 32-bit numbers, lanes, one more than the largest id (4 bytes
+each), the number of words of each lane (16 bits), and the lanes' 16-bit words in a row.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC, HEADER = b"CMR1", struct.Struct("<4sIII")
-_BITS = 15
-_ONE = 1 << _BITS
-_LOW = np.int64((1 << 32) - 1)
-_TOP = np.int64(1 << 32)
-_SLOTS = 10
-_MASK = (1 << _SLOTS) - 1
-_MOST = np.int32(_ONE - 4)
-_STEPS = np.arange(1, 257, dtype=np.int32)
-_EVERY = 64
+MAGIC, HEADER = b"CMR2", struct.Struct("<4sIIII")
+#: Most lanes and most ids of one, and the ids of a lane between updates of the model (fewer at first).
+LANES, LANE_IDS, CHUNK = 4_096, 256, 16
+#: Most ids of a block.
+BLOCK_IDS = LANES * LANE_IDS
+#: Bits of a mixture's total and of order 0's; of the range when it is widest, and below which it is widened by 16. Numbers of 48 bits
+#: are exact in double precision, and their quotients by what is left of the range are too far from whole numbers to be rounded up.
+_MIX, _ZERO, _WIDE, _NARROW = 24, 21, 48, 32
+_PAIR_BITS = 18
+_CONTEXTS = 32
+_REST = np.int64((1 << _NARROW) - 1)
 
 
 class ChecksumError(ValueError):
     """A block's ids are not those that were written."""
 
 
-class _Models:
-    """The predictors of ``lanes`` blocks. A prediction and its confidence (0 to 3) share one number, so each is one read and one write."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.known = [np.zeros(lanes << _SLOTS, np.int32), np.zeros(lanes << _SLOTS, np.int32)]
-        self.base = self.lane << _SLOTS
-        self.contexts = self.lane << 5
-        self.share = [np.full(lanes * 32, _ONE // 2, np.int32), np.full(lanes * 32, _ONE // 4, np.int32)]
-        self.counts = [np.ones((lanes, 256), np.int32), np.ones((lanes, 256), np.int32)]
-        self.cumulative = [np.zeros((lanes, 257), np.int32), np.zeros((lanes, 257), np.int32)]
-        self.rows = self.lane * 257
-        self.last = np.zeros(lanes, np.int64)
-        self.order_2 = np.zeros(lanes, np.int64)
-        self.refresh(lanes)
-
-    def refresh(self, m: int) -> None:
-        for counts, cumulative in zip(self.counts, self.cumulative, strict=True):
-            part = np.cumsum(counts[:m], axis=1, dtype=np.int32)
-            cumulative[:m, 1:] = (part * (float(_ONE - 256) / part[:, -1:])).astype(np.int32) + _STEPS
-
-    def look(self, m: int) -> None:
-        """Predictions and shares of the first ``m`` blocks."""
-        base, h = self.base[:m], self.last[:m] * 40503
-        self.at = [base + ((self.order_2[:m] + h) >> 5 & _MASK), base + (h >> 4 & _MASK)]
-        self.v = [self.known[0].take(self.at[0]), self.known[1].take(self.at[1])]
-        self.two, self.one = self.v[0] >> 2, self.v[1] >> 2
-        self.sure = [self.v[0] & 3, self.v[1] & 3]
-        self.context = self.contexts[:m] + ((self.sure[0] << 3) + (self.sure[1] << 1) + (self.two == self.one))
-        self.q = [self.share[0].take(self.context), self.share[1].take(self.context)]
-        self.first = self.q[0] + 1
-        self.second = ((_ONE - 2 - self.first) * self.q[1] >> _BITS) + 1
-
-    def learn(self, x: np.ndarray, hit: np.ndarray, near: np.ndarray) -> None:
-        """``hit``: x is what order 2 predicted; ``near``: not that, but what order 1 predicted."""
-        m = len(x)
-        self.share[0][self.context] = self.q[0] + ((hit * _MOST - self.q[0]) >> 4)
-        self.share[1][self.context] = self.q[1] + (~hit * (near * _MOST - self.q[1]) >> 4)
-        fresh = x << 2
-        for k, right in ((0, hit), (1, self.one == x)):
-            v, sure = self.v[k], self.sure[k]
-            self.known[k][self.at[k]] = np.where(right, v + (sure < 3), np.where(sure > 1, v - sure + (sure >> 1), fresh))
-        self.order_2[:m] = self.last[:m] * 60493
-        self.last[:m] = x
-
-
-def _order(lengths: np.ndarray) -> np.ndarray:
-    return np.argsort(-lengths, kind="stable")
-
-
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ids (below 65,536) as bytes."""
-    if not blocks:
-        return []
-    lengths = np.array([len(b) for b in blocks])
-    order = _order(lengths)
-    steps, lanes = int(lengths.max()), len(blocks)
-    ids = np.zeros((steps, lanes), np.int32)
-    for lane, b in enumerate(order.tolist()):
-        ids[: lengths[b], lane] = blocks[b]
-    if steps and (ids.min() < 0 or ids.max() > 0xFFFF):
+def _chunks(steps: int) -> Iterator[tuple[int, int]]:
+    at, size = 0, 1
+    while at < steps:
+        yield at, min(at + size, steps)
+        at, size = at + size, min(2 * size, CHUNK)
+
+
+class _Model:
+    """What a block has taught so far. A prediction and its confidence (0 to 3) share one number."""
+
+    def __init__(self, n_ids: int, searched: bool = False):
+        self.n_ids, self.searched = n_ids, searched
+        self.counts = np.zeros(n_ids, np.int64)
+        self.after_one = np.zeros(n_ids, np.int64)
+        self.after_two = np.zeros(1 << _PAIR_BITS, np.int64)
+        self.met = np.full((3, _CONTEXTS), 2, np.int64)  # coded ids, those order 1 had right, those only order 2 had right
+        self.met[0] = 8
+        self.refresh()
+
+    def refresh(self) -> None:
+        up = np.cumsum(self.counts * 64 + 1)
+        self.below = np.zeros(self.n_ids + 1, np.int64)
+        # Each id keeps at least one part of 2^_ZERO.
+        self.below[1:] = (up * (float((1 << _ZERO) - self.n_ids) / float(up[-1]))).astype(np.int64) + np.arange(1, self.n_ids + 1)
+        self.below[-1] = 1 << _ZERO
+        if self.searched:
+            # The first id of every 32 parts of order 0; at most 32 ids follow before the next one.
+            self.fine = np.concatenate([self.below[:-1], np.full(32, 1 << 40)])
+            self.coarse = np.cumsum(np.bincount(self.below[:-1] + 31 >> 5, minlength=1 << (_ZERO - 5))) - 1
+        n, one, two = self.met
+        most = 7 << (_MIX - 3)  # order 0 keeps an eighth, so that no id is without a part
+        self.share_one, self.share_two = one * most // n, two * most // n
+        self.share_two[1::2] = 0  # both orders predict one id
+        self.share_zero = (1 << _MIX) - self.share_one - self.share_two
+
+    @staticmethod
+    def slot(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return (last * 0x9E3779B1 + before * 0x85EBCA6B) >> 9 & (1 << _PAIR_BITS) - 1
+
+    def look(self, last: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What orders 1 and 2 know and predict, the context, and the shares of orders 0, 1 and 2."""
+        one, two = self.after_one.take(last), self.after_two.take(slot)
+        a, b = one >> 2, two >> 2
+        context = ((two & 3) << 3) + ((one & 3) << 1) + (a == b)
+        return one, two, a, b, context, self.share_zero.take(context), self.share_one.take(context), self.share_two.take(context)
+
+    def part(self, x, a, b, w0, w1, w2) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of ids ``x`` in their mixtures: what order 0 gives to the ids in a row, widened where another order predicts one."""
+        low, high = self.below.take(x) * w0 >> _ZERO, self.below.take(x + 1) * w0 >> _ZERO
+        return low + w1 * (a < x) + w2 * (b < x), high - low + w1 * (a == x) + w2 * (b == x)
+
+    def at(self, value, a, b, w0, w1, w2) -> np.ndarray:
+        """The ids whose part holds ``value``: the widenings are taken out, and order 0 is searched for the rest."""
+        low_a = (self.below.take(a) * w0 >> _ZERO) + w2 * (b < a)
+        low_b = (self.below.take(b) * w0 >> _ZERO) + w1 * (a < b)
+        zero = value - np.minimum(np.maximum(value - low_a, 0), w1) - np.minimum(np.maximum(value - low_b, 0), w2)
+        y = np.clip(((zero + 1 << _ZERO) - 1) / w0, 0, (1 << _ZERO) - 1).astype(np.int64)
+        x = self.coarse.take(y >> 5)
+        for step in (16, 8, 4, 2, 1):
+            x += (self.fine.take(x + step) <= y) * step
+        return x
+
+    def learn(self, x, last, slot, one, two, a, b, context) -> None:
+        """Of equal contexts in one chunk the last one is kept."""
+        self.counts += np.bincount(x, minlength=self.n_ids)
+        right_one, right_two = a == x, b == x
+        met = np.bincount((context << 2) + (right_two << 1) + right_one, minlength=4 * _CONTEXTS).reshape(_CONTEXTS, 4)
+        self.met += [met.sum(1), met[:, 1] + met[:, 3], met[:, 2]]
+        for table, at, known, right in ((self.after_one, last, one, right_one), (self.after_two, slot, two, right_two)):
+            sure = known & 3
+            table[at] = np.where(right, known + (sure < 3), np.where(sure > 0, known - 1, x << 2))
+        self.refresh()
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """A block of at most ``BLOCK_IDS`` ids below 65,536 as bytes."""
+    n = len(ids)
+    if n > BLOCK_IDS:
+        raise ValueError(f"a block holds {BLOCK_IDS} ids at most")
+    crc = zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
+    if not n:
+        return HEADER.pack(MAGIC, 0, crc, 0, 0)
+    if int(ids.min()) < 0 or int(ids.max()) > 0xFFFF:
         raise ValueError("ids must be from 0 to 65,535")
-    active = np.searchsorted(-lengths[order], -np.arange(steps), "left")
-    low, width, at = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64), np.zeros(lanes, np.int64)
-    room = 3 * steps + 4
-    words = np.zeros(lanes * room, np.int32)
-    begin = np.arange(lanes, dtype=np.int64) * room
-
-    def put(i, start, size) -> None:
-        """Narrow the range of blocks ``i`` (a slice or indexes). A carry stays in the word it belongs to until the end."""
-        r = width[i] >> _BITS
-        new_low, new_width = low[i] + r * start, r * size
-        small = np.flatnonzero(new_width < _TOP)
-        if len(small):
-            lane = small if isinstance(i, slice) else i[small]
-            out = new_low[small]
-            words[begin[lane] + at[lane]] = out >> 32
-            at[lane] += 1
-            new_low[small] = (out & _LOW) << 16
-            new_width[small] <<= 16
-        low[i], width[i] = new_low, new_width
-
-    models = _Models(lanes)
-    for t in range(steps):
-        m = int(active[t])
-        x = ids[t, :m]
-        models.look(m)
-        hit = x == models.two
-        near = ~hit & (x == models.one)
-        start = np.where(hit, 0, np.where(near, models.first, models.first + models.second))
-        size = np.where(hit, models.first, np.where(near, models.second, _ONE - models.first - models.second))
-        put(slice(0, m), start, size)
-        miss = np.flatnonzero(~(hit | near))
-        if len(miss):
-            symbol, row, cell = x[miss], models.rows[miss], miss << 8
-            for k, byte in ((0, symbol >> 8), (1, symbol & 255)):
-                flat, at_byte = models.cumulative[k].ravel(), row + byte
-                a = flat.take(at_byte)
-                put(miss, a, flat.take(at_byte + 1) - a)
-                models.counts[k].ravel()[cell + byte] += 32
-        models.learn(x, hit, near)
-        if t % _EVERY == _EVERY - 1:
-            models.refresh(m)
-    for _ in range(3):  # the rest of low; 48 bits
-        words[begin + at] = low >> 32
-        at += 1
-        low = (low & _LOW) << 16
-    table = words.reshape(lanes, room)
+    steps = -(-n // min(LANES, -(-n // 128)))
+    lanes, n_ids = -(-n // steps), int(ids.max()) + 1
+    table = np.zeros((lanes, steps), np.int64)
+    table.ravel()[:n] = ids
+    # By step: what was coded two ids before, one before, and now.
+    line = np.zeros((steps + 2, lanes), np.int64)
+    line[2:] = table.T
+    low, width = np.zeros(lanes, np.int64), np.full(lanes, 1 << _WIDE, np.int64)
+    room = 2 * steps + 2
+    at = np.arange(lanes, dtype=np.int64) * room
+    words, first = np.zeros(lanes * room, np.int32), at.copy()
+
+    def widen() -> None:
+        small = width < 1 << _NARROW
+        if small.any():
+            words[at] = low >> _NARROW  # a lane that is wide enough writes here again
+            np.copyto(low, (low & _REST) << 16, where=small)
+            np.copyto(width, width << 16, where=small)
+            np.add(at, small, out=at)
+
+    model = _Model(n_ids)
+    for a_step, b_step in _chunks(steps):
+        x, last, before = (line[a_step + k : b_step + k].ravel() for k in (2, 1, 0))
+        slot = model.slot(last, before)
+        one, two, a, b, context, w0, w1, w2 = model.look(last, slot)
+        start, size = (y.reshape(-1, lanes) for y in model.part(x, a, b, w0, w1, w2))
+        for k in range(b_step - a_step):
+            r = width >> _MIX
+            low += r * start[k]
+            np.multiply(r, size[k], out=width)
+            widen()
+            if int(width.min()) < 1 << _NARROW:
+                widen()
+        model.learn(x, last, slot, one, two, a, b, context)
+    words[at] = (low + _REST) >> _NARROW  # one word more names a number inside the range
+    n_words = at + 1 - first
+    grid = words.reshape(lanes, room)
     carry = np.zeros(lanes, np.int32)
-    for w in range(int(at.max()) - 1, -1, -1):
-        value = table[:, w] + carry
+    for w in range(int(n_words.max()) - 1, -1, -1):
+        value = np.where(w < n_words, grid[:, w] + carry, 0)
         carry = value >> 16
-        table[:, w] = value & 0xFFFF
-    out: list[bytes] = [b""] * lanes
-    for lane, b in enumerate(order.tolist()):
-        raw = np.ascontiguousarray(blocks[b], "<u4").tobytes()
-        out[b] = HEADER.pack(MAGIC, int(lengths[b]), zlib.crc32(raw), int(at[lane])) + table[lane, : at[lane]].astype("<u2").tobytes()
+        grid[:, w] = value & 0xFFFF
+    held = np.arange(room) < n_words[:, None]
+    return HEADER.pack(MAGIC, n, crc, lanes, n_ids) + n_words.astype("<u2").tobytes() + grid[held].astype("<u2").tobytes()
+
+
+def decode_block(payload: bytes) -> np.ndarray:
+    """The ids of a block (uint32); a block whose checksum differs is an error."""
+    if len(payload) < HEADER.size:
+        raise ChecksumError("not a whole block of ids")
+    magic, n, crc, lanes, n_ids = HEADER.unpack_from(payload)
+    if magic != MAGIC or n > BLOCK_IDS or lanes > LANES or n_ids > 1 << 16 or (n > 0) != (lanes > 0) or (n > 0) != (n_ids > 0) or len(payload) < HEADER.size + 2 * lanes:
+        raise ChecksumError("not a whole block of ids")
+    n_words = np.frombuffer(payload, "<u2", lanes, HEADER.size).astype(np.int64)
+    if len(payload) < HEADER.size + 2 * lanes + 2 * int(n_words.sum()):
+        raise ChecksumError("not a whole block of ids")
+    steps = -(-n // lanes) if n else 0
+    ids = np.zeros((steps, lanes), np.int64)
+    if n:
+        _decode_steps(ids, np.frombuffer(payload, "<u2", int(n_words.sum()), HEADER.size + 2 * lanes), n_words, n_ids)
+    out = np.ascontiguousarray(ids.T).ravel()[:n].astype("<u4")
+    if zlib.crc32(out.tobytes()) != crc:
+        raise ChecksumError("a block's ids don't match its checksum")
     return out
 
 
+def _decode_steps(ids: np.ndarray, stream: np.ndarray, n_words: np.ndarray, n_ids: int) -> None:
+    steps, lanes = ids.shape
+    room = int(n_words.max()) + 4
+    grid = np.zeros((lanes, room), np.int64)
+    grid[np.arange(room) < n_words[:, None]] = stream
+    words, at = grid.ravel(), np.arange(lanes, dtype=np.int64) * room
+    rest = np.zeros(lanes, np.int64)
+    for _ in range(3):
+        rest = rest << 16 | words[at]
+        at += 1
+    width = np.full(lanes, 1 << _WIDE, np.int64)
+    end = np.arange(1, lanes + 1, dtype=np.int64) * room - 1  # damaged blocks read zeros at the end of their lane
+
+    def widen() -> None:
+        small = width < 1 << _NARROW
+        if small.any():
+            np.copyto(rest, rest << 16 | words.take(at), where=small)
+            np.copyto(width, width << 16, where=small)
+            np.minimum(at + small, end, out=at)
+
+    model = _Model(n_ids, searched=True)
+    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    for a_step, b_step in _chunks(steps):
+        seen = []
+        for t in range(a_step, b_step):
+            slot = model.slot(last, before)
+            found = one, two, a, b, context, w0, w1, w2 = model.look(last, slot)
+            r = np.maximum(width >> _MIX, 1)
+            value = np.clip((rest / r).astype(np.int64), 0, (1 << _MIX) - 1)
+            x = np.clip(model.at(value, a, b, w0, w1, w2), 0, n_ids - 1)
+            start, size = model.part(x, a, b, w0, w1, w2)
+            rest -= r * start
+            np.multiply(r, size, out=width)
+            widen()
+            if int(width.min()) < 1 << _NARROW:
+                widen()
+            ids[t] = x
+            seen.append((x, last, slot, *found[:5]))
+            last, before = x, last
+        model.learn(*(np.concatenate(y) for y in zip(*seen, strict=True)))
+
+
+def encode(blocks: list[np.ndarray]) -> list[bytes]:
+    """Each block of ids as bytes."""
+    return [encode_block(b) for b in blocks]
+
+
 def decode(payloads: list[bytes]) -> list[np.ndarray]:
     """The ids of each block (uint32); a block whose checksum differs is an error."""
-    if not payloads:
-        return []
-    heads = [HEADER.unpack_from(p) for p in payloads]
-    if any(h[0] != MAGIC or len(p) < HEADER.size + 2 * h[3] for h, p in zip(heads, payloads, strict=True)):
-        raise ChecksumError("not a whole block of ids")
-    lengths = np.array([h[1] for h in heads])
-    order = _order(lengths)
-    steps, lanes = int(lengths.max()), len(payloads)
-    room = max(h[3] for h in heads) + 4
-    table = np.zeros((lanes, room), np.int64)
-    for lane, b in enumerate(order.tolist()):
-        table[lane, : heads[b][3]] = np.frombuffer(payloads[b], "<u2", heads[b][3], HEADER.size)
-    words = table.ravel()
-    active = np.searchsorted(-lengths[order], -np.arange(steps), "left")
-    begin = np.arange(lanes, dtype=np.int64) * room
-    rest = (table[:, 0] << 32) | (table[:, 1] << 16) | table[:, 2]
-    width, at = np.full(lanes, 1 << 48, np.int64), begin + 3
-    ids = np.zeros((steps, lanes), np.int32)
-
-    def take(i, r, start, size) -> None:
-        left, new_width = rest[i] - r * start, r * size
-        small = np.flatnonzero(new_width < _TOP)
-        if len(small):
-            lane = small if isinstance(i, slice) else i[small]
-            left[small] = (left[small] << 16) | words[at[lane]]
-            at[lane] += 1
-            new_width[small] <<= 16
-        rest[i], width[i] = left, new_width
-
-    models = _Models(lanes)
-    for t in range(steps):
-        m = int(active[t])
-        models.look(m)
-        r = width[:m] >> _BITS
-        value = np.minimum(rest[:m] // r, _ONE - 1)
-        both = models.first + models.second
-        hit = value < models.first
-        near = ~hit & (value < both)
-        start = np.where(hit, 0, np.where(near, models.first, both))
-        size = np.where(hit, models.first, np.where(near, models.second, _ONE - both))
-        take(slice(0, m), r, start, size)
-        x = np.where(hit, models.two, models.one)
-        miss = np.flatnonzero(~(hit | near))
-        if len(miss):
-            found = []
-            for k in (0, 1):
-                r = width[miss] >> _BITS
-                value = np.minimum(rest[miss] // r, _ONE - 1).astype(np.int32)
-                flat, row = models.cumulative[k].ravel(), models.rows[miss]
-                spot = row.copy()
-                for step in (128, 64, 32, 16, 8, 4, 2, 1):
-                    spot += step * (flat.take(spot + step) <= value)
-                a = flat.take(spot)
-                take(miss, r, a, flat.take(spot + 1) - a)
-                byte = spot - row
-                models.counts[k].ravel()[(miss << 8) + byte] += 32
-                found.append(byte)
-            x[miss] = (found[0] << 8) | found[1]
-        ids[t, :m] = x
-        models.learn(x, hit, near)
-        if t % _EVERY == _EVERY - 1:
-            models.refresh(m)
-    out: list[np.ndarray] = [np.empty(0, np.uint32)] * lanes
-    for lane, b in enumerate(order.tolist()):
-        got = np.ascontiguousarray(ids[: lengths[b], lane]).astype("<u4")
-        if zlib.crc32(got.tobytes()) != heads[b][2]:
-            raise ChecksumError("a block's ids don't match its checksum")
-        out[b] = got
-    return out
+    return [decode_block(p) for p in payloads]

@@ -8,7 +8,9 @@ document ids; no partition, document or block is ever held whole by the driver.
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -16,17 +18,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from petriflow.functions.lineage import checkpointed, partitions
-from petriflow.llm import range_coder
+from petriflow.functions.lineage import checkpointed, partitions, remove, shared_dir
+from petriflow.llm import range_coder, textvec
 
-#: Ids of a block, blocks coded in step, different words whose ids a worker remembers, and the id that ends a document.
-BLOCK_IDS, LANES, CACHE, END = 2_048, 1_024, 400_000, 2
+#: Ids of a block, bytes of text that are tokenized at a time, about, words whose ids a worker remembers, and the id that ends a document.
+BLOCK_IDS, TEXT_BYTES, CACHE, END = range_coder.BLOCK_IDS, 8 << 20, 500_000, 2
 _BLOCKS = "part int, seq long, before long, n_ids long, docs array<struct<id:bigint,ordinal:bigint,begin:bigint,n:bigint>>, payload binary"
 _DOCS = pa.list_(pa.struct([("id", pa.int64()), ("ordinal", pa.int64()), ("begin", pa.int64()), ("n", pa.int64())]))
+#: Texts whose ids must be those of their words in a row.
+_PROBES = ("a b", " a  b ", "the cat sat, on 12 mats.\nIt\'s", "x \u0301y \u00e9 ,", "\n\n a. B", "\U0001f642 \u65e5\u672c z")
 
 
 def default_tokenizer() -> str:
@@ -36,27 +41,93 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that never joins words across spaces and newlines: each different word is encoded once."""
+    """Ids of texts by a tokenizer that never joins words across spaces and newlines: a batch's words are made distinct, and each is
+    encoded once. A tokenizer for which that does not hold is refused."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer = t = Tokenizer.from_str(spec)
+        parts = json.loads(spec)
+        if max(t.get_vocab(with_added_tokens=True).values(), default=0) > 0xFFFF:
+            raise ValueError("the coder takes ids below 65,536")
+        added = parts.get("added_tokens") or []
+        whole = lambda x: t.encode(x, add_special_tokens=False).ids
+        if any(a["lstrip"] or a["rstrip"] or any(c.isspace() for c in a["content"]) for a in added) or any(whole(p) != [i for w in p.replace("\n", " ").split(" ") for i in whole(w)] for p in _PROBES):
+            raise ValueError("the tokenizer joins words across white space")
+        kinds = parts.get("normalizer") or {}
+        kinds = [n.get("type") for n in kinds.get("normalizers", [kinds])]
+        pre = t.pre_tokenizer
+        cut = (lambda x: [p for p, _ in pre.pre_tokenize_str(x)]) if pre else (lambda x: [x])
+        plain = not any(a["content"].isalpha() for a in added)
+        #: Whether the first letter's case counts for nothing, a full stop or comma after a letter is apart, and the model's
+        #: symbols of single Latin letters, if words of them are one piece whose symbols stand in a row.
+        self.lower = "Lowercase" in kinds and plain
+        self.stops = plain and cut("ab,")[0] == "ab" and cut("ab.")[0] == "ab"
+        self.letters: dict[int, str] = {}
+        if plain and all(k in (None, "NFC", "Lowercase", "Replace") for k in kinds):
+            pieces = {i: cut(chr(i)) for i in range(0x250) if chr(i).isalpha() and chr(i).islower()}
+            letters = {i: p[0] for i, p in pieces.items() if len(p) == 1}
+            if cut("abz\u00e9\u00df\u0159q") == ["abz\u00e9\u00df\u0159q".translate(letters)]:
+                self.letters = letters
         self.known: dict[str, bytes] = {"": b""}
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        made = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that are not known yet. Words that differ by a first capital or a last full stop or comma share the work."""
+        known, made, letters, lower = self.known, {}, self.letters, self.lower
+        tokenize, packed = self.tokenizer.model.tokenize, self._packed
+        stops = {x: packed(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in ".,"} if self.stops else {}
+        later = []
+        for w in words:
+            base, tail = w, b""
+            if w[-1] in stops and len(w) > 1 and w[-2] < "\u0250" and w[-2].lower().isalpha():
+                base, tail = w[:-1], stops[w[-1]]
+            if lower and "A" <= base[0] <= "Z" and base[1:2] < "\u0300":  # no mark that joins either case alone
+                base = base[0].lower() + base[1:]
+            got = known.get(base)
+            if got is None and (got := made.get(base)) is None:
+                if not (letters and base.isalpha() and base.islower() and (base.isascii() or max(base) < "\u0250")):
+                    later.append((w, base, tail))
+                    continue
+                got = made[base] = packed([x.id for x in tokenize(base if base.isascii() else base.translate(letters))])
+            made[w] = got + tail
+        rest = list(dict.fromkeys(base for _, base, _ in later))
+        coded = dict(zip(rest, (packed(e.ids) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        for w, base, tail in later:
+            made[w] = coded[base] + tail
         if len(known) < CACHE:
             known.update(made)
-            find = known.__getitem__
-        else:
-            find = lambda w: known[w] if w in known else made[w]
-        end = np.array([END], "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(find, words)) + end, "<u4") for words in split]
+            known.update(coded)
+        return made
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, each followed by ``END``; ids of each text with it)."""
+        lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        # No word holds a space: one string for all of them is made faster than a string for each.
+        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(coded.dictionary) else []
+        values = list(map(self.known.get, words))
+        missing = [i for i, v in enumerate(values) if v is None]
+        made = self._new([words[i] for i in missing])
+        for i in missing:
+            values[i] = made[words[i]]
+        values.append(self._packed([END]))
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        index = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(words))
+        laid = pa.array(values, pa.large_binary()).take(pa.array(index))
+        ids = np.frombuffer(laid.buffers()[2] or b"", "<u2")
+        upto = np.frombuffer(laid.buffers()[1], np.int64)[: len(index) + 1] // 2
+        lengths = np.diff(upto[np.append(0, ends + np.arange(1, len(ends) + 1))])
+        return ids, lengths
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        ids, n = self.flat(pa.array(texts, pa.large_string()))
+        return np.split(ids.astype("<u4"), np.cumsum(n)[:-1]) if texts else []
 
 
 @lru_cache(maxsize=2)
@@ -64,66 +135,54 @@ def _encoder(spec: str) -> Encoder:
     return Encoder(spec)
 
 
-def _write_blocks(spec: str):
+def _write_blocks(spec: str, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = _encoder(spec), TaskContext.get().partitionId()
-        done: list[tuple[list[dict], np.ndarray]] = []
         docs: list[dict] = []
         pieces: list[np.ndarray] = []
         held = seq = before = ordinal = 0
 
-        def close() -> None:
-            nonlocal docs, pieces, held
-            done.append((docs, np.concatenate(pieces).astype(np.uint16)))
-            docs, pieces, held = [], [], 0
-
         def hand_on() -> pa.RecordBatch:
-            nonlocal done, seq, before
-            coded = range_coder.encode([x for _, x in done])
-            n = [len(x) for _, x in done]
-            first = [before + s for s in np.cumsum([0, *n[:-1]]).tolist()]
-            columns = [pa.array([part] * len(done), pa.int32()), pa.array(range(seq, seq + len(done)), pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array([d for d, _ in done], _DOCS), pa.array(coded, pa.binary())]
-            seq, before, done = seq + len(done), before + sum(n), []
+            nonlocal docs, pieces, held, seq, before
+            payload = range_coder.encode_block(np.concatenate(pieces))
+            columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([docs], _DOCS), pa.array([payload], pa.binary())]
+            seq, before, docs, pieces, held = seq + 1, before + held, [], [], 0
             return pa.RecordBatch.from_arrays(columns, ["part", "seq", "before", "n_ids", "docs", "payload"])
 
         for batch in batches:
-            ids = batch.column("id").to_pylist()
-            texts = batch.column("text")
-            for low in range(0, len(ids), 256):
-                for doc, x in zip(ids[low : low + 256], encoder(texts[low : low + 256].to_pylist()), strict=True):
-                    if len(x) and int(x.max()) > 0xFFFF:
-                        raise ValueError("the coder takes ids below 65,536")
+            names, texts = batch.column("id").to_pylist(), batch.column("text")
+            for row, _, offsets in textvec.blocks(texts, TEXT_BYTES):
+                ids, lengths = encoder.flat(texts[row : row + len(offsets) - 1])
+                at = 0
+                for doc, n in zip(names[row : row + len(lengths)], lengths.tolist(), strict=True):
                     begin = 0
-                    while begin < len(x):
-                        piece = x[begin : begin + BLOCK_IDS - held]
-                        docs.append({"id": doc, "ordinal": ordinal, "begin": begin, "n": len(piece)})
-                        pieces.append(piece)
-                        held, begin = held + len(piece), begin + len(piece)
-                        if held == BLOCK_IDS:
-                            close()
-                            if len(done) == LANES:
-                                yield hand_on()
-                    ordinal += 1
+                    while begin < n:
+                        size = min(n - begin, block_ids - held)
+                        docs.append({"id": doc, "ordinal": ordinal, "begin": begin, "n": size})
+                        pieces.append(ids[at + begin : at + begin + size])
+                        held, begin = held + size, begin + size
+                        if held == block_ids:
+                            yield hand_on()
+                    at, ordinal = at + n, ordinal + 1
         if held:
-            close()
-        if done:
             yield hand_on()
 
     return run
 
 
-def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> None:
-    """The ids of all documents, each followed by ``END``, as blocks under ``path`` in ascending id order (null ids first).
+def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, block_ids: int = BLOCK_IDS) -> None:
+    """The ids of all documents, each followed by ``END``, as blocks of ``block_ids`` under ``path`` in ascending id order (null ids first).
 
     Rows with equal ids stay together in one partition, ordered by a hash of their text. Null texts count as empty, so they are
-    one id long. An empty table writes no block.
+    one id long. An empty table writes no block. Texts of any length are cut over blocks; the longest one is tokenized in one piece, for
+    about 30 bytes of memory a byte of text. A tokenizer that joins words across white space, or with ids over 65,535, is refused.
     """
     with open(tokenizer or default_tokenizer()) as f:
         spec = f.read()
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     dealt = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", F.xxhash64("text"))
-    dealt.mapInArrow(_write_blocks(spec), _BLOCKS).write.mode("errorifexists").parquet(path)
+    dealt.mapInArrow(_write_blocks(spec, block_ids), _BLOCKS).write.mode("errorifexists").parquet(path)
 
 
 def _read_blocks(with_ids: bool):
@@ -131,16 +190,13 @@ def _read_blocks(with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, LANES):
-                part = batch.slice(low, LANES)
-                all_ids = range_coder.decode(part.column("payload").to_pylist())
-                rows = []
-                for p, before, docs, ids in zip(part.column("part").to_pylist(), part.column("before").to_pylist(), part.column("docs").to_pylist(), all_ids, strict=True):
-                    at = 0
-                    for d in docs:
-                        x = ids[at : at + d["n"]]
-                        rows.append((p, d["ordinal"], d["id"], before + at - d["begin"], d["begin"], d["n"], zlib.crc32(x.tobytes()), *([x.astype(np.int32)] if with_ids else [])))
-                        at += d["n"]
+            for i in range(batch.num_rows):
+                p, before, docs, payload = (batch.column(c)[i].as_py() for c in ("part", "before", "docs", "payload"))
+                ids, at, rows = range_coder.decode_block(payload), 0, []
+                for d in docs:
+                    x = ids[at : at + d["n"]]
+                    rows.append((p, d["ordinal"], d["id"], before + at - d["begin"], d["begin"], d["n"], zlib.crc32(x), *([x.astype(np.int32)] if with_ids else [])))
+                    at += d["n"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
 
     return run
@@ -210,15 +266,11 @@ def ids(spark: SparkSession, path: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "part", "ordinal", "begin", "ids")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name where executors and driver both write: under spark.checkpoint.dir, else this session's own."""
-    checkpointed(spark.range(0))
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/token-files-{uuid.uuid4().hex}"
-
-
 def token_digest(docs: DataFrame) -> DataFrame:
-    """The registered query: writes the files of all documents and reads them back."""
-    path = scratch(docs.sparkSession)
+    """The registered query: writes the files of all documents into the shared folder, reads them back, and deletes them."""
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write(docs, path)
-    return read(docs.sparkSession, path)
+    out = checkpointed(read(spark, path))
+    remove(spark, path)
+    return out
