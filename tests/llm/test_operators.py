@@ -97,11 +97,67 @@ def test_near_duplicates_against_all_pairs(docs, none):
     by = {r.doc_id: r for r in ngram_join.near_duplicates(docs).collect()}
     assert by[0].class_id == by[1].class_id == by[2].class_id == by[None].class_id == 0
     assert (by[1].copy_of, by[2].copy_of, by[12].class_id, by[3].class_id, by[4].n_links) == (0, 2, 6, 3, 0)
-    kept = {r.doc_id for r in ngram_join.one_of_each(docs).collect()}
-    assert kept == {0, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, None}
+    kept = sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect())
+    assert kept == [0, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13]
     assert ngram_join.near_duplicates(none).count() == 0
 
 
+def _near(word):
+    w = words(41, 90).split()
+    return " ".join([f"{x}{word}" for x in w]), " ".join([f"{x}{word}" for x in w[:-1]] + ["changed"])
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    (a, a2), (b, b2), (c, c2) = _near("a"), _near("b"), _near("c")
+    d = spark.createDataFrame([(1, a), (1, b), (2, a2), (3, b2), (None, c), (None, c2), (None, c)], DOCS)
+    got = sorted(((r.doc_id or 0), r.class_id or 0, r.n_links, r.n_linked_texts, r.n_copies) for r in ngram_join.near_duplicates(d).collect())
+    assert got == [(0, 0, 2, 1, 1), (0, 0, 2, 1, 2), (0, 0, 2, 1, 2), (1, 1, 1, 1, 1), (1, 1, 1, 1, 1), (2, 1, 1, 1, 1), (3, 1, 1, 1, 1)]
+    left = sorted((r.doc_id or 0, r.text) for r in ngram_join.one_of_each(d).collect())
+    assert [x for x in left if x[0]] == sorted([(1, a), (1, b)]) and len(left) == 3
+
+
+def test_one_row_of_each_class_stays_whatever_the_ids(spark):
+    (a, a2), (b, _) = _near("a"), _near("b")
+    d = spark.createDataFrame([(1, a, "x"), (5, a, "x"), (5, b, "y"), (5, b, "z"), (1, a2, "x"), (7, "", "e"), (7, None, "e")], DOCS + ", `o.k` string")
+    kept = ngram_join.one_of_each(d)
+    assert kept.columns == ["doc_id", "text", "o.k"]
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, a if (1, a) in got else a2), (5, b), (7, ""), (7, None)]))
+
+
+def test_every_near_pair_of_the_given_tables_is_found():
+    import os
+
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the given tables are not here")
+    import pyarrow as pa
+
+    from petriflow.llm import textvec as tv
+
+    t = pq.read_table(path, columns=["doc_id", "text"])
+    bands, rows = ngram_join.bands_for(ngram_join.THRESHOLD, ngram_join.RECALL)
+    batch = pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), t.column("doc_id").combine_chunks(), t.column("text").combine_chunks()], ["id", "key", "text"])
+    signed = [r for b in ngram_join._signatures(5, bands, rows)(iter([batch])) for r in b.to_pylist()]
+    sets = []
+    for _, data, offsets in tv.blocks(t.column("text")):
+        owner, grams = ngram_join.gram_sets(data, offsets, 5)
+        sets += [set(grams[owner == i].tolist()) for i in range(len(offsets) - 1)]
+    holders = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    shared = {}
+    for h in holders.values():
+        for x in range(len(h)):
+            for y in range(x):
+                shared[h[y], h[x]] = shared.get((h[y], h[x]), 0) + 1
+    near = [(i, j) for (i, j), n in shared.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+    assert len(near) > 50 and all(set(signed[i]["bands"]) & set(signed[j]["bands"]) for i, j in near)
+
+
 def test_a_large_group_is_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 8)
     base = words(7, 120).split()
@@ -155,12 +211,13 @@ def hits(rows, items):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [32 << 20, 60])
-def test_decontamination_against_brute_force(spark, docs, none, block):
+@pytest.mark.parametrize("most", [32 << 20, 0])
+def test_decontamination_against_brute_force(spark, docs, none, most, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST", most)
     shared = words(99, 30)
     items = [(100, shared), (7, shared.upper()), (3, "One, two three!"), (4, None), (5, ""), (None, "zeta"), (100, shared), (8, words(98, 12))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.contamination(docs, bench, block_bytes=block).collect()
+    out = decontaminate.contamination(docs, bench).collect()
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, sum(b - a for a, b in r.spans), decontaminate.sha_of(list(r["items"]))) for r in out)
     assert got == hits(corpus(), items)
     assert decontaminate.contamination_digest(none, bench).count() == 0
@@ -176,14 +233,33 @@ def test_winnowing_finds_every_shared_span(spark):
         doc = words(seed, r.randint(0, 30)) + " " + shared + " " + words(seed + 500, r.randint(0, 30))
         item = words(seed + 900, r.randint(0, 30)) + " " + shared + " " + words(seed + 700, r.randint(0, 30))
         got = decontaminate.contamination(spark.createDataFrame([(1, doc)], DOCS), spark.createDataFrame([(1, item)], "item_id long, text string")).first() if seed < 3 else None
-        index = decontaminate.Index([1], [item], 10, 5)
-        import pyarrow as pa
-
-        h, text, first = decontaminate._split(pa.array([doc], pa.large_string()))
-        assert len(index.stretches(h, text, first)) > 0
+        prints = []
+        for t in (doc, item):
+            raw = np.frombuffer(t.encode(), np.uint8)
+            h, text, _ = decontaminate._split(raw, np.array([0, len(raw)]))
+            prints.append({*decontaminate.fingerprints(h, text, 10, 5, ())[1].tolist()})
+        assert prints[0] & prints[1]
         assert got is None or got.spans
 
 
+def test_a_passage_in_every_document_is_compared_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PER_TASK", 10)
+    shared = words(99, 14)
+    rows = [(i, f"{words(i, 20)} {shared} {words(i + 500, 5)}") for i in range(200)]
+    items = [(1, shared), (2, words(3, 4) + " " + shared)]
+    got = decontaminate.contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, sum(b - a for a, b in r.spans), decontaminate.sha_of(list(r["items"]))) for r in got) == hits(rows, items)
+
+
+def test_rows_of_one_id_are_decontaminated_by_their_own_texts(spark):
+    shared = words(99, 14)
+    d = spark.createDataFrame([(1, shared, 5), (1, words(4, 20), 6), (None, shared, 7), (1, shared, 8)], DOCS + ", `spans.x` int")
+    bench = spark.createDataFrame([(1, shared)], "item_id long, text string")
+    kept = decontaminate.clean(d, bench)
+    assert kept.columns == ["doc_id", "text", "spans.x"] and [r["spans.x"] for r in kept.collect()] == [6]
+    assert sorted((r["spans.x"], len(r.spans)) for r in decontaminate.contamination(d, bench).collect()) == [(5, 1), (6, 0), (7, 1), (8, 1)]
+
+
 # --- substrings
 
 
@@ -347,17 +423,59 @@ def test_license_phrases_and_fuzzy_notices(spark, docs, none):
     assert license_scan.license_digest(docs).count() == 16 and license_scan.license_digest(none).count() == 0
 
 
+def test_words_that_tell_notices_apart_are_exact():
+    s = license_scan.Scanner(license_scan.NOTICES)
+    found = lambda t: {s.notices[m[0]][1] for m in s.matches(f" {t} ")}
+    assert found("mozilla public license version 1 1") == {"mpl-1.1"} and found("licensed under the apache license version 1 1") == {"apache-1.1"}
+    assert found("licensed under the isc license") == {"isc"} and found("released under the mpl license") == {"mpl"}
+    assert found("licensed under cc by nd") == {"cc-by-nd"} and found("licensed undr the apache licence version 2 0") == {"apache-2.0"}
+    assert found("licensed under the mitt license") == set()
+
+
+def test_a_repeated_notice_is_found_at_every_place():
+    s = license_scan.Scanner(license_scan.NOTICES)
+    text = " " + "licensed under the mit license " * 4
+    assert sum(s.notices[m[0]][1] == "mit" and text[m[1] : m[2]] == "licensed under the mit license" for m in s.matches(text)) == 4
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
 def test_pigeonhole_pieces_find_every_bounded_edit():
     r = random.Random(9)
     s = license_scan.Scanner(license_scan.NOTICES)
-    for notice, label in license_scan.NOTICES[:12]:
-        for _ in range(20):
+    for (notice, label), exact in zip(s.notices, s.exact, strict=True):
+        free = [i for i in range(1, len(notice) - 1) if not any(a - 1 <= i <= a + len(w) for w in exact for a in [f" {notice} ".find(f" {w} ")])]
+        for _ in range(10):
             t = list(notice)
-            for _ in range(license_scan.errors_for(notice)):
-                i = r.randrange(1, len(t) - 1)
-                t[i : i + r.randint(0, 1)] = r.choice(["q", "", "zz"[:1]])
-            hit = {s.notices[m[0]][1] for m in s.matches(f" {''.join(t)} ")}
-            assert label in hit
+            for i in sorted(r.sample(free, min(len(free), license_scan.errors_for(notice))), reverse=True):
+                t[i : i + r.randint(0, 1)] = r.choice(["q", "", "z"])
+            text = f" {''.join(t)} "
+            places = s.matches(text)
+            assert label in {s.notices[m[0]][1] for m in places}, text
+            # Every span is what its notice allows: so many edits and no more.
+            for i, a, b, errors in places:
+                assert _edits(text[a:b], s.notices[i][0]) <= errors <= s.errors[i]
+
+
+def test_base_phrases_against_brute_force(docs, spark):
+    r = random.Random(5)
+    parts = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "CC-BY", "x"]
+    rows = [(i, r.choice(["", None, *[" ".join(r.choice(parts) for _ in range(r.randint(1, 40))) for _ in range(6)]])) for i in range(200)]
+    want = {}
+    for d, t in rows:
+        w = alnum(t)
+        hit = sorted((i, label) for phrase, label in license_scan.BASE.items() for p in [phrase.split()] for i in range(len(w)) if w[i : i + len(p)] == p)
+        want[d] = (len(w), len(hit), hit[0][0] if hit else None, hit[-1][0] if hit else None, ",".join(sorted({x for _, x in hit})))
+    got = license_scan.license_digest(spark.createDataFrame(rows, DOCS)).collect()
+    assert {x.doc_id: (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) for x in got} == want
+    assert all({*x.base_labels.split(",")} <= {*x.labels.split(","), ""} and 0 <= x.score <= 1 for x in got)
 
 
 # --- SentencePiece
@@ -417,13 +535,53 @@ def test_coder_round_trip_and_damage():
         range_coder.decode([bytes(bad)])
     with pytest.raises(ValueError, match="65,535"):
         range_coder.encode([np.array([70000])])
+    for cut in (0, 3, 19, len(coded[3]) - 2):
+        with pytest.raises(range_coder.ChecksumError):
+            range_coder.decode([coded[3][:cut]])
     assert range_coder.encode([]) == [] and range_coder.decode([]) == []
 
 
+def test_any_damage_is_found():
+    r = np.random.default_rng(1)
+    whole = range_coder.encode_block(r.integers(0, 500, 4_000))
+    for at in r.integers(0, len(whole), 60).tolist():
+        bad = bytearray(whole)
+        bad[at] ^= 1 << int(r.integers(8))
+        try:
+            assert len(range_coder.decode_block(bytes(bad))) == 4_000 and at in range(4, 20)
+        except range_coder.ChecksumError:
+            pass
+
+
+def test_the_coder_is_tighter_than_zlib_on_the_same_blocks(sf_dir):
+    import pyarrow.parquet as pq
+
+    encoder = token_files._encoder(open(token_files.default_tokenizer()).read())
+    ids = np.concatenate(encoder(pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"]).column(0).to_pylist()))
+    for size in (2_048, 65_536, len(ids)):
+        blocks = [ids[i : i + size] for i in range(0, len(ids), size)]
+        coded = range_coder.encode(blocks)
+        assert all((a == b).all() for a, b in zip(blocks, range_coder.decode(coded), strict=True))
+        assert sum(map(len, coded)) < sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks)
+
+
+def test_token_ids_are_the_librarys_on_odd_words():
+    import public_tokenizers
+    import tokenizers
+
+    path = token_files.default_tokenizer()
+    t = tokenizers.Tokenizer.from_file(path)
+    odd = ["", None, " ", "\n", "Hello, World. it's I'll, A.B, <|endoftext|>. <|ENDOFTEXT|>, É. Éé, ǅ. x\ty 123,4 日本, 🙂. ŉ, İ. Straße, ΣΑΣ. 'S, a,. ..,", "H\u0331, I\u0307. e\u0301, \u0301x ﬁ, Ω.", "don't, DON'T.  x y", "a" * 3_000]
+    for text, ids in zip(odd, token_files.Encoder(open(path).read())(odd), strict=True):
+        assert ids.tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 2], text
+    with pytest.raises(ValueError, match="across white space"):
+        token_files.Encoder(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+
+
 def test_token_files(spark, docs, none, tmp_path, monkeypatch):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(token_files.default_tokenizer())
-    token_files.write(docs, str(tmp_path / "ids"))
+    token_files.write(docs, str(tmp_path / "ids"), block_ids=2_048)
     got = sorted(token_files.read(spark, str(tmp_path / "ids")).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((d for d, _ in corpus()), key=lambda d: (d is not None, d))
     texts, at = {d: x for d, x in corpus()}, 0
