@@ -40,16 +40,19 @@ def decode_profile(df: DataFrame, values: str = "values") -> DataFrame:
 
 
 def case_report(queries: DataFrame, cases: DataFrame, k: int = 5, min_similarity: float | None = None) -> DataFrame:
-    """(query_id, status, n_cases, n_hospitals, diagnosis, vote_share, mean_confidence, case_ids): a similarity-weighted vote of the nearest cases; ties go to
-    the diagnosis of the nearest case. A query without similar cases has status no_similar_cases."""
+    """(query_id, status, n_cases, n_hospitals, diagnosis, vote_share, mean_confidence, case_ids, breakdown): a similarity-weighted vote of the nearest cases; ties go to
+    the diagnosis of the nearest case. breakdown: each diagnosis among them with its number of cases and its weight, the heaviest
+    first. A query without similar cases has status no_similar_cases."""
     near = knn_cosine(queries.select(F.col("id"), "values"), cases.select("id", "values"), k, min_similarity)
     j = near.join(cases.select("id", "hospital_id", "diagnosis", "confidence"), "id")
     votes = j.groupBy("query_id", "diagnosis").agg(F.sum("similarity").alias("w"), F.min("rank").alias("first"))
     total = F.sum("w").over(Window.partitionBy("query_id"))
     best = votes.withColumn("share", F.col("w") / total).withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("w", 12)), "first"))).where("n = 1")
     facts = j.groupBy("query_id").agg(F.count("*").alias("n_cases"), F.countDistinct("hospital_id").alias("n_hospitals"), F.round(F.avg("confidence"), 3).alias("mean_confidence"), F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda s: s.id).alias("case_ids"))
+    heavy = diagnosis_breakdown(near, cases).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("weight"), "diagnosis", "n")), asc=False), lambda s: F.struct(s.diagnosis.alias("diagnosis"), s.n.alias("n"), F.round(s.weight, 9).alias("weight"))).alias("breakdown"))
+    facts = facts.join(heavy, "query_id")
     out = queries.select(F.col("id").alias("query_id")).join(facts, "query_id", "left").join(best.select("query_id", "diagnosis", F.round("share", 3).alias("vote_share")), "query_id", "left")
-    return out.select("query_id", F.when(F.col("n_cases").isNull(), "no_similar_cases").otherwise("ok").alias("status"), F.coalesce("n_cases", F.lit(0)).alias("n_cases"), F.coalesce("n_hospitals", F.lit(0)).alias("n_hospitals"), "diagnosis", "vote_share", "mean_confidence", "case_ids")
+    return out.select("query_id", F.when(F.col("n_cases").isNull(), "no_similar_cases").otherwise("ok").alias("status"), F.coalesce("n_cases", F.lit(0)).alias("n_cases"), F.coalesce("n_hospitals", F.lit(0)).alias("n_hospitals"), "diagnosis", "vote_share", "mean_confidence", "case_ids", "breakdown")
 
 
 def diagnosis_breakdown(near: DataFrame, cases: DataFrame) -> DataFrame:

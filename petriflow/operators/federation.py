@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,12 +15,12 @@ KEYS = ["exp", "round"]
 def fedavg(params: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """(exp, round, param, pos, value): the weighted mean over clients (equal weights without a table); integer parameters come from the first client.
 
-    Weights (exp, round, client, weight) are one row a client and round and are broadcast; values are summed on the map side first.
+    Weights (exp, round, client, weight) are one row a client and round; values are summed on the map side first.
     """
     if weights is None:
         p = params.withColumn("weight", F.lit(1.0))
     else:
-        p = params.join(F.broadcast(weights.select(*KEYS, "client", "weight")), [*KEYS, "client"])
+        p = params.join(weights.select(*KEYS, "client", "weight"), [*KEYS, "client"])
     g = p.groupBy(*KEYS, "param", "pos").agg(F.max("is_int").alias("is_int"), F.sum(F.col("weight") * F.col("value")).alias("_s"), F.sum("weight").alias("_w"), F.avg("value").alias("_m"), F.min_by("value", "client").alias("_f"))
     return g.select(*KEYS, "param", "pos", F.when(F.col("is_int"), F.col("_f")).when(F.col("_w") > 0, F.col("_s") / F.col("_w")).otherwise(F.col("_m")).alias("value"))
 
@@ -101,13 +103,13 @@ def sequential_gate(stats: DataFrame, order: DataFrame, kind: str = "none", marg
         return pd.DataFrame(rows, columns=["exp", "round", "source_round", "client", "weight"])
 
     s = stats.select(*KEYS, "client", F.col(metric).cast("double").alias("signal"), F.col("n_samples").cast("double").alias("n_samples")).join(order, [*KEYS, "client"])
-    s = s.withColumn("measured", F.lit(None).cast("double")) if measured is None else s.join(F.broadcast(measured.select(*KEYS, F.col("signal").alias("measured"))), KEYS, "left")  # a row a round
+    s = s.withColumn("measured", F.lit(None).cast("double")) if measured is None else s.join(measured.select(*KEYS, F.col("signal").alias("measured")), KEYS, "left")  # a row a round
     return s.groupBy("exp").applyInPandas(fold, "exp string, round int, source_round int, client string, weight double")
 
 
 def gated_average(params: DataFrame, weights: DataFrame) -> DataFrame:
     """(exp, round, param, pos, value): the global model after each round from the weights of `sequential_gate`; integer parameters come from the heaviest update."""
-    w = F.broadcast(weights.select("exp", F.col("round").alias("_target"), F.col("source_round").alias("round"), "client", "weight"))  # a row an update and round
+    w = weights.select("exp", F.col("round").alias("_target"), F.col("source_round").alias("round"), "client", "weight")  # a row an update and round
     g = params.join(w, ["exp", "round", "client"]).groupBy("exp", "_target", "param", "pos").agg(F.max("is_int").alias("is_int"), F.sum(F.col("weight") * F.col("value")).alias("_s"), F.max_by("value", F.struct("weight", "client")).alias("_f"))
     return g.select("exp", F.col("_target").alias("round"), "param", "pos", F.when(F.col("is_int"), F.col("_f")).otherwise(F.col("_s")).alias("value"))
 
@@ -115,40 +117,51 @@ def gated_average(params: DataFrame, weights: DataFrame) -> DataFrame:
 def federated_rounds(rows: DataFrame, features: list[str], label: str, client: str, n_classes: int, rounds: int = 3, steps: int = 20, rate: float = 0.5) -> DataFrame:
     """(round, accuracy, loss, n_clients): softmax regression fitted at every client from the global model, averaged by samples, round after round.
 
-    A client's fit runs in one task over its rows; only parameters (features x classes) come to the driver, and history rows go out.
+    Every step sums each client's gradient over the partitions that hold its rows, so no client is ever gathered; parameters (features x
+    classes a client) come to the driver, and history rows go out.
     """
     shape = (len(features) + 1, n_classes)
     model, history = np.zeros(shape), []
-    data = rows.select(F.col(client).cast("string").alias("client"), F.col(label).cast("int").alias("y"), F.array(*(F.col(f).cast("double") for f in features)).alias("x")).cache()
+    data = rows.select(F.col(client).cast("string").alias("client"), F.col(label).cast("int").alias("y"), F.array(*(F.col(f).cast("double") for f in features)).alias("x")).persist()
+    sizes = {r["client"]: r["n"] for r in data.groupBy("client").agg(F.count("*").alias("n")).collect()}  # a row a client
+    total = sum(sizes.values())
 
     def predict(m: np.ndarray, x: np.ndarray) -> np.ndarray:
         z = np.c_[x, np.ones(len(x))] @ m
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
-    for r in range(1, rounds + 1):
-        start = model.copy()
-
-        def fit(p: pd.DataFrame) -> pd.DataFrame:  # ships this round's model
-            p = p.sort_values("y", kind="stable")
-            x, y, m = np.array(p.x.tolist()), np.eye(n_classes)[p.y.to_numpy()], start.copy()  # noqa: B023
-            one = np.c_[x, np.ones(len(x))]
-            for _ in range(steps):
-                m -= rate * one.T @ (predict(m, x) - y) / len(x)
-            return pd.DataFrame({"n": [len(p)], "m": [m.ravel().tolist()]})
-
-        got = data.groupBy("client").applyInPandas(fit, "n long, m array<double>").collect()  # one model a client
-        n = np.array([g.n for g in got], float)
-        model = (np.array([g.m for g in got]) * (n / n.sum())[:, None]).sum(0).reshape(shape)
-        now = model.copy()
-
-        def score(frames):
+    def gradients(models: dict[str, np.ndarray]) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = {c: np.zeros(shape) for c in models}
+            for p in frames:
+                for c, g in p.groupby("client"):
+                    x = np.array(g.x.tolist())
+                    sums[c] += np.c_[x, np.ones(len(x))].T @ (predict(models[c], x) - np.eye(n_classes)[g.y.to_numpy()])
+            for c, g in sums.items():
+                yield pd.DataFrame({"client": c, "at": np.arange(g.size), "g": g.ravel()})
+
+        return data.mapInPandas(run, "client string, at int, g double").groupBy("client", "at").agg(F.sum("g").alias("g"))
+
+    def scored(now: np.ndarray) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in frames:
                 if len(p):
-                    q = predict(now, np.array(p.x.tolist()))  # noqa: B023
-                    y = p.y.to_numpy()
-                    yield pd.DataFrame({"n": [len(p)], "right": [int((q.argmax(1) == y).sum())], "loss": [float(-np.log(np.maximum(q[np.arange(len(y)), y], 1e-12)).sum())]})
+                    q, y = predict(now, np.array(p.x.tolist())), p.y.to_numpy()
+                    yield pd.DataFrame({"right": [int((q.argmax(1) == y).sum())], "loss": [float(-np.log(np.maximum(q[np.arange(len(y)), y], 1e-12)).sum())]})
+
+        return data.mapInPandas(run, "right long, loss double").agg(F.sum("right").alias("right"), F.sum("loss").alias("loss"))
 
-        s = data.mapInPandas(score, "n long, right long, loss double").agg(F.sum("n").alias("n"), F.sum("right").alias("right"), F.sum("loss").alias("loss")).first()
-        history.append((r, s.right / s.n, s.loss / s.n, len(got)))
+    for r in range(1, rounds + 1):
+        models = {c: model.copy() for c in sizes}
+        for _ in range(steps):
+            got = gradients(models).toPandas()
+            for c, g in got.groupby("client"):
+                step = np.zeros(model.size)
+                step[g["at"].to_numpy()] = g.g.to_numpy()
+                models[c] -= rate * step.reshape(shape) / sizes[c]
+        model = sum(models[c] * (n / total) for c, n in sorted(sizes.items())) if sizes else model
+        s = scored(model).first()
+        history.append((r, (s.right or 0) / max(total, 1), (s.loss or 0.0) / max(total, 1), len(sizes)))
+    data.unpersist()
     return rows.sparkSession.createDataFrame(history, "round int, accuracy double, loss double, n_clients int")

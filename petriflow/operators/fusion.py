@@ -9,16 +9,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from petriflow.functions.grid import with_each
-from petriflow.operators.ranking import average_precision, pr_auc, roc_auc
+from petriflow.functions.lineage import checkpointed
+from petriflow.operators.ranking import areas, average_precision, roc_auc, score_steps
 
 WEIGHTS = [round(0.05 * i, 2) for i in range(21)]
 
 
 def weighted_scan(df: DataFrame, score: str = "score", conf: str = "conf", label: str = "label") -> DataFrame:
     """(w, auc, pr_auc, delta_auc, best): w * score + (1 - w) * conf for each weight; delta to conf alone; best is the first of the highest AUC."""
-    many = with_each(df.select(F.col(label).alias("label"), F.col(score).alias("a"), F.col(conf).alias("b")), ["w"], [(w,) for w in WEIGHTS])
-    many = many.select("w", "label", F.round(F.col("w") * F.col("a") + (1 - F.col("w")) * F.col("b"), 12).alias("score"))
-    g = roc_auc(many, by=["w"]).join(pr_auc(many, by=["w"]), "w")
+    # Rows alike in both scores are one row before they are multiplied by the weights; one running total gives both areas.
+    alike = score_steps(df.select(F.col(label).alias("label"), F.col(score).alias("score"), F.col(conf).alias("b")), "label", "score", ["b"])
+    many = with_each(alike, ["w"], [(w,) for w in WEIGHTS])
+    mixed = F.round(F.col("w") * F.col("score") + (1 - F.col("w")) * F.col("b"), 12).alias("score")
+    g = areas(many.groupBy("w", mixed).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), ["w"])
     every = Window.partitionBy(F.lit(0))  # a row a weight
     base = F.max(F.when(F.col("w") == 0.0, F.col("auc"))).over(every)
     top = F.first("w").over(every.orderBy(F.desc("auc"), "w").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -66,7 +69,7 @@ def fold_of(label: str, key: str, k: int, seed: int = 0) -> Column:
 def lr_meta(df: DataFrame, features: list[str], label: str = "label", key: str = "id", k: int = 5, c: float = 1.0) -> DataFrame:
     """(key, label, fold, prob): out-of-fold probabilities of a logistic regression on the features, for AUC and AP."""
     rows = VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="skip").transform(df.select(key, F.col(label).cast("double").alias("label"), *features))
-    rows = rows.withColumn("fold", fold_of("label", key, k)).cache()
+    rows = checkpointed(rows.withColumn("fold", fold_of("label", key, k)))
     out = None
     n = rows.count()
     for f in range(k):
@@ -98,7 +101,7 @@ def correlations(df: DataFrame, a: str = "score", b: str = "conf") -> DataFrame:
 def adaptive_score(df: DataFrame, by: str, label: str = "label", score: str = "score", conf: str = "conf") -> DataFrame:
     """``df`` with rule and fused: by the group's AUC of conf, below .70 the classifier, below .85 the product, else conf."""
     base = roc_auc(df.select(by, F.col(label).alias("label"), F.col(conf).alias("score")), by=[by]).select(by, F.col("auc").alias("base_auc"))
-    j = df.join(F.broadcast(base), by)  # one row a group
+    j = df.join(base, by)  # one row a group; the planner broadcasts it if it is small
     rule = F.when(F.col("base_auc") < 0.70, "classifier").when(F.col("base_auc") < 0.85, "product").otherwise("confidence")
     fused = F.when(F.col("base_auc") < 0.70, F.col(score)).when(F.col("base_auc") < 0.85, F.col(score) * F.col(conf)).otherwise(F.col(conf))
     return j.withColumn("rule", rule).withColumn("fused", fused)
@@ -111,7 +114,7 @@ def alpha_for_gap(gap: Column) -> Column:
 
 def leave_one_group_out(df: DataFrame, by: str, features: list[str], label: str = "label", key: str = "id") -> DataFrame:
     """(by, n, n_pos, auc) of each group scored by a logistic regression fitted to all others, and pooled (null). One fit a group: groups are few."""
-    rows = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df.select(key, by, F.col(label).cast("double").alias("label"), *features)).cache()
+    rows = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df.select(key, by, F.col(label).cast("double").alias("label"), *features))
     out = None
     for (g,) in sorted(rows.select(by).distinct().collect()):
         model = LogisticRegression(featuresCol="_x", labelCol="label", regParam=1e-3, maxIter=50).fit(rows.where(F.col(by) != g))
@@ -147,14 +150,14 @@ _KEYS = ("is_organoid", "morphology_typical", "confidence")
 
 def parse_score_text(df: DataFrame, text: str = "raw") -> DataFrame:
     """is_organoid, morphology_typical, confidence (doubles) and reason of a model's answer: the JSON between the first { and the last }, with 0.5 for what
-    it lacks; if that is no JSON, a number after each key, with 0.5 without one, and the first 200 characters as the reason."""
+    it lacks; if that is no JSON, a number after each key, with 0.5 without one, and the first 200 characters as the reason. A null text has no result."""
     inner = F.regexp_extract(F.col(text), r"(?s)(\{.*\})", 1)
     j = F.from_json(inner, "is_organoid double, morphology_typical double, confidence double, reason string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     out = df.withColumn("_j", F.when(inner != "", j))
     good = F.col("_j").isNotNull() & F.col("_j._bad").isNull()
     for k in _KEYS:
         found = F.expr(f"try_cast(regexp_extract({text}, '(?i){k}[\"\\']?\\\\s*[:=]\\\\s*([0-9.]+)', 1) as double)")
-        out = out.withColumn(k, F.when(good, F.coalesce(F.col("_j")[k], F.lit(0.5))).otherwise(F.coalesce(found, F.lit(0.5))))
+        out = out.withColumn(k, F.when(F.col(text).isNotNull(), F.when(good, F.coalesce(F.col("_j")[k], F.lit(0.5))).otherwise(F.coalesce(found, F.lit(0.5)))))
     return out.withColumn("reason", F.when(good, F.coalesce("_j.reason", F.lit(""))).otherwise(F.substring(text, 1, 200))).drop("_j")
 
 

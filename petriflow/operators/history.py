@@ -12,7 +12,7 @@ def convergence(rounds: DataFrame, by: str = "exp", order: str = "round") -> Dat
     w = Window.partitionBy(by).orderBy(order)
     d = rounds.withColumn("_n", F.row_number().over(w)).withColumn("_back", F.lag("map50", 19).over(w))
     last = d.groupBy(by).agg(F.max(F.struct("_n", "map50", "val_loss", "_back")).alias("l"))
-    d = d.join(F.broadcast(last), by)  # a row an experiment
+    d = d.join(last, by)  # a row an experiment
     best = lambda c: F.max(F.struct(F.col(c).alias("v"), (-F.col("_n")).alias("n")))
     a = d.groupBy(by).agg(best("map50").alias("a"), best("map").alias("b"), F.min(F.when(F.col("map50") >= 0.95 * F.col("l.map50"), F.col("_n"))).alias("first_95"), F.min(F.struct("val_loss", "_n")).alias("v"), F.first("l").alias("l"))
     rising = F.when(F.col("l.val_loss") > 1.1 * F.col("v.val_loss"), "increasing").otherwise("stable")
@@ -40,7 +40,7 @@ def client_pivot(round_clients: DataFrame, clients: list[str], by: str = "exp",
 def strategy_table(rounds: DataFrame, by: list[str], order: str = "round", metric: str = "map50") -> DataFrame:
     """Final and best value, the round of the best, the gap between them and the first round of .95 of the best."""
     best = rounds.groupBy(*by).agg(F.max(metric).alias("best"))
-    d = rounds.join(F.broadcast(best), by)  # a row a strategy
+    d = rounds.join(best, by)  # a row a strategy
     return d.groupBy(*by).agg(F.max_by(metric, order).alias("final"), F.first("best").alias("best"), F.min(F.when(F.col(metric) == F.col("best"), F.col(order))).alias("best_round"), F.min(F.when(F.col(metric) >= 0.95 * F.col("best"), F.col(order))).alias("convergence_round")).withColumn("drop_from_best", F.col("best") - F.col("final"))
 
 
@@ -48,6 +48,14 @@ def strategy_pivot(table: DataFrame, scenario: str, strategy: str, scenarios: li
     return table.groupBy(strategy).pivot(scenario, scenarios).agg(F.first(value))
 
 
+def mu_sensitivity(rounds: DataFrame, mu: str = "mu", by: str = "exp", order: str = "round", metric: str = "map50") -> DataFrame:
+    """(mu, n_runs, mean_final, best_final, mean_best, drop): the runs of each strength of the pull towards the global model; drop is how far its mean final
+    value lies below that of the best strength."""
+    runs = strategy_table(rounds, [mu, by], order, metric)
+    table = runs.groupBy(mu).agg(F.count("*").alias("n_runs"), F.avg("final").alias("mean_final"), F.max("final").alias("best_final"), F.avg("best").alias("mean_best"))
+    return table.withColumn("drop", F.max("mean_final").over(Window.partitionBy(F.lit(0))) - F.col("mean_final"))  # a row a strength
+
+
 def specialist_gap(round_clients: DataFrame, ap: str = "per_class_ap", dominant: str = "dominant") -> DataFrame:
     """(exp, round, client, dominant_ap, other_ap, gap): mean AP of the client's dominant classes less that of the others."""
     long = round_clients.select("exp", "round", "client", dominant, F.explode(ap).alias("c", "v"))

@@ -1,7 +1,8 @@
 """Merging overlapping boxes within an image, across models and across raters.
 
-The order-dependent rules run on candidate pairs (already cut at their threshold by a grid join), an image a group; everything that can
-be said with joins and windows is.
+What can be said with joins and windows is. Of the order-dependent rules, suppression, matching and the consensus of raters stream
+through candidate pairs that a grid join has cut at their threshold; `soft_nms`, `anchor_fusion` and `weighted_boxes_fusion` change boxes
+or scores as they go, so they take an image's boxes in one group (their number does not grow with the corpus).
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def soft_nms(det: DataFrame, sigma: float = 0.5, floor: float = 0.001, score_fil
 
 def anchor_fusion(det: DataFrame, thr: float = 0.5) -> DataFrame:
     """(image, idx, x1, y1, x2, y2, score, n): each anchor, highest first, absorbs unused boxes that overlap it by ``thr`` or whose centre and
-    its own lie in one another; corners are score-weighted means, the score is the largest."""
+    its own lie in one another; corners are score-weighted means, the score is the largest. A cluster whose scores are all 0 goes."""
 
     def rule(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["score", "idx"], ascending=[False, True])
@@ -97,7 +98,9 @@ def anchor_fusion(det: DataFrame, thr: float = 0.5) -> DataFrame:
             take = free & ((_iou_with(b, i) >= thr) | theirs | own)
             take[i] = True
             free &= ~take
-            w = s[take] / s[take].sum() if s[take].sum() > 0 else np.full(take.sum(), 1 / take.sum())
+            if s[take].sum() <= 0:
+                continue
+            w = s[take] / s[take].sum()
             rows.append((p.image.iloc[0], idx[i], *(w @ b[take]), s[take].max(), int(take.sum())))
         return pd.DataFrame(rows, columns=["image", "idx", *CORNERS, "score", "n"])
 
@@ -132,17 +135,19 @@ def ensemble_intersection(a: DataFrame, b: DataFrame, thr: float = 0.5) -> DataF
 
 
 def ensemble_union(a: DataFrame, b: DataFrame, thr: float = 0.5, penalty: float = 0.7, post_nms: float = 0.5) -> DataFrame:
-    """(image, source, idx, corners, score): matched boxes averaged, the rest with a penalty, then `nms`; an image with one empty side is left as it is."""
+    """(image, source, own, corners, score): matched boxes averaged, all others with their score times ``penalty``, then `nms`, which an
+    image with one empty side is spared. source: both, a or b; own: the box's idx there (of a's where matched)."""
     cols = ["image", *CORNERS, "score"]
     matched, mean = _averaged(a, b, thr)
-    only_a = matched.where(~F.col("matched")).withColumn("score", F.col("score") * penalty)
-    only_b = b.join(mean.select("image", F.col("gt_idx").alias("idx")), ["image", "idx"], "left_anti").withColumn("score", F.col("score") * penalty)
-    parts = mean.select(*cols, F.lit("both").alias("source"), F.col("idx").alias("own")).unionByName(only_a.select(*cols, F.lit("a").alias("source"), F.col("idx").alias("own"))).unionByName(only_b.select(*cols, F.lit("b").alias("source"), F.col("idx").alias("own")))
-    sides = a.select("image").distinct().join(b.select("image").distinct(), "image")
+    alone = lambda d, name: d.select(*cols, F.lit(name).alias("source"), F.col("idx").alias("own")).withColumn("score", F.col("score") * penalty)
+    only_b = b.join(mean.select("image", F.col("gt_idx").alias("idx")), ["image", "idx"], "left_anti")
+    both = mean.select(*cols, F.lit("both").alias("source"), F.col("idx").alias("own"))
+    parts = both.unionByName(alone(matched.where(~F.col("matched")), "a")).unionByName(alone(only_b, "b"))
     order = Window.partitionBy("image").orderBy(F.desc("score"), "source", "own")
-    two = parts.join(sides, "image").withColumn("idx", F.row_number().over(order).cast("long"))
-    raw = lambda d, name, other: d.join(other.select("image").distinct(), "image", "left_anti").select(*cols, F.lit(name).alias("source"), F.col("idx").alias("own"), "idx")
-    return nms(two, post_nms).select("image", "source", "own", *CORNERS, "score").unionByName(raw(a, "a", b).drop("idx")).unionByName(raw(b, "b", a).drop("idx"))
+    parts = parts.withColumn("idx", F.row_number().over(order).cast("long"))
+    sides = a.select("image").distinct().join(b.select("image").distinct(), "image")
+    two, one = parts.join(sides, "image", "left_semi"), parts.join(sides, "image", "left_anti")
+    return nms(two, post_nms).unionByName(one).select("image", "source", "own", *CORNERS, "score")
 
 
 def weighted_boxes_fusion(models: list[DataFrame], thr: float = 0.55) -> DataFrame:
@@ -184,34 +189,25 @@ def label_consensus(boxes: DataFrame, raters: list[str], thr: float = 0.5) -> Da
     The first rater with a box in the patch is the base; each base box takes, from every other rater, its best unmatched box of iou >= ``thr``. Two
     raters or more: mean box; otherwise single; others' unmatched boxes follow. Confidence is raters / raters with a box, and 0.5 with one.
     """
-    order = {r: i for i, r in enumerate(raters)}
-    spec = "image long, idx long, rater string, x1 double, y1 double, x2 double, y2 double, confidence double, n_matched long, kind string"
-
-    def rule(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.assign(o=p.rater.map(order)).sort_values(["o", "idx"])
-        sides = [g for _, g in p.groupby("o", sort=True)]
-        image, n, rows = p.image.iloc[0], len(sides), []
-        base = sides[0]
-        used = [np.zeros(len(g), bool) for g in sides]
-        corner = [g[list(CORNERS)].to_numpy() for g in sides]
-        for i in range(len(base)):
-            group = [corner[0][i]]
-            for k in range(1, n):
-                o = _iou_with(np.vstack([corner[k], corner[0][i]]), len(corner[k]))[:-1]
-                o = np.where(used[k], -1, o)
-                j = int(o.argmax())
-                if o[j] >= thr and o[j] > 0:
-                    used[k][j] = True
-                    group.append(corner[k][j])
-            m = len(group)
-            rows.append((image, int(base.idx.iloc[i]), base.rater.iloc[i], *np.mean(group, axis=0), 0.5 if n == 1 else m / n, m, "consensus" if m > 1 else "single"))
-        for k in range(1, n):
-            for j in np.flatnonzero(~used[k]):
-                rows.append((image, int(sides[k].idx.iloc[j]), sides[k].rater.iloc[j], *corner[k][j], 1 / n, 1, "single"))
-        return pd.DataFrame(rows, columns=["image", "idx", "rater", *CORNERS, "confidence", "n_matched", "kind"])
-
-    known = boxes.where(F.col("rater").isin(raters)).select("image", "idx", "rater", *CORNERS)
-    return known.groupBy("image").applyInPandas(rule, spec)
+    place = F.array_position(F.array(*(F.lit(r) for r in raters)), F.col("rater")).cast("long") - 1
+    known = boxes.where(F.col("rater").isin(raters)).select("image", "idx", "rater", *CORNERS, place.alias("o"))
+    sides = known.groupBy("image").agg(F.min("o").alias("base"), F.countDistinct("o").alias("n"))
+    known = known.join(sides, "image")
+    base, others = known.where("o = base"), known.where("o > base")
+    # Every other rater of a patch is matched with its base anew: the patch and the rater make one key.
+    key = lambda o: (F.col("image") * len(raters) + o).alias("image")
+    own = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(raters) - 1))).alias("k")).where(F.col("k") > F.col("base"))
+    pairs = iou_pairs(own.select(key(F.col("k")), "idx", *CORNERS, F.lit(0.0).alias("score")), others.select(key(F.col("o")), "idx", *CORNERS), thr, left_extra=["score"])
+    det = own.select(key(F.col("k")), "idx", F.lit(0.0).alias("score"))
+    taken = match_greedy(det, det, thr, by_score=False, pairs=pairs).where("matched")
+    taken = taken.select(F.floor(F.col("image") / len(raters)).cast("long").alias("image"), (F.col("image") % len(raters)).alias("o"), "idx", "gt_idx")
+    partner = others.select("image", "o", F.col("idx").alias("gt_idx"), *(F.col(c).alias("_" + c) for c in CORNERS))
+    sums = taken.join(partner, ["image", "o", "gt_idx"]).groupBy("image", "idx").agg(F.count("*").alias("m"), *(F.sum("_" + c).alias("_" + c) for c in CORNERS))
+    m = 1 + F.coalesce("m", F.lit(0))
+    mean = [((F.col(c) + F.coalesce("_" + c, F.lit(0.0))) / m).alias(c) for c in CORNERS]
+    first = base.join(sums, ["image", "idx"], "left").select("image", "idx", "rater", *mean, F.when(F.col("n") == 1, 0.5).otherwise(m / F.col("n")).alias("confidence"), m.cast("long").alias("n_matched"), F.when(m > 1, "consensus").otherwise("single").alias("kind"))
+    left = others.join(taken.select("image", "o", F.col("gt_idx").alias("idx")), ["image", "o", "idx"], "left_anti")
+    return first.unionByName(left.select("image", "idx", "rater", *CORNERS, (1 / F.col("n")).alias("confidence"), F.lit(1).cast("long").alias("n_matched"), F.lit("single").alias("kind")))
 
 
 def consensus_report(consensus: DataFrame, split: str = "split") -> DataFrame:

@@ -6,30 +6,39 @@ first and offset by the buckets before, so a class with most of the rows is neve
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from petriflow.functions.grid import all_pairs_of_keys, with_each
 
 
+#: Rows of a hash bucket in which rows are numbered, about.
+BUCKET_ROWS = 100_000
+
+
 def seeded(key: str | Column, seed: int | str = 0) -> Column:
     """A uniform order over keys: md5 of seed and key."""
     return F.md5(F.concat(F.lit(f"{seed}|"), (F.col(key) if isinstance(key, str) else key).cast("string")))
 
 
-def numbered(df: DataFrame, by: list[str], key: str, seed: int | str = 0, into: str = "n", buckets: int = 2) -> DataFrame:
-    """``df`` with ``into``: 1, 2, ... in seeded order within ``by``, in two passes over hash buckets (first ``buckets`` hex digits)."""
+def numbered(df: DataFrame, by: list[str], key: str, seed: int | str = 0, into: str = "n", buckets: int | None = None) -> DataFrame:
+    """``df`` with ``into``: 1, 2, ... in seeded order within ``by``, in two passes over hash buckets: the first ``buckets`` hex digits, by default so
+    many that a bucket has ``BUCKET_ROWS`` rows at most, about."""
+    if buckets is None:
+        buckets = max(1, math.ceil(math.log(max(1, df.count() / BUCKET_ROWS), 16)))
     d = df.withColumn("_nb_h", seeded(key, seed)).withColumn("_nb_p", F.substring("_nb_h", 1, buckets))
     counts = d.groupBy(*by, "_nb_p").agg(F.count("*").alias("_nb_c"))
     before = counts.withColumn("_nb_b", F.sum("_nb_c").over(Window.partitionBy(*by).orderBy("_nb_p")) - F.col("_nb_c")).drop("_nb_c")
     d = d.withColumn("_nb_n", F.row_number().over(Window.partitionBy(*by, "_nb_p").orderBy("_nb_h", key)))
-    j = d.join(F.broadcast(before), [*by, "_nb_p"])  # 256 rows a group
+    j = d.join(before, [*by, "_nb_p"])
     return j.withColumn(into, (F.col("_nb_n") + F.col("_nb_b")).cast("long")).drop("_nb_h", "_nb_p", "_nb_n", "_nb_b")
 
 
 def _with_total(df: DataFrame, by: list[str], into: str = "total") -> DataFrame:
     n = df.groupBy(*by).agg(F.count("*").alias(into))
-    return df.join(F.broadcast(n), by) if by else df.crossJoin(F.broadcast(n))  # one row a group
+    return df.join(n, by) if by else df.crossJoin(F.broadcast(n))  # one row
 
 
 def split_by_image(df: DataFrame, image: str = "image", train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
@@ -65,7 +74,7 @@ def split_skew(df: DataFrame, cls: str, key: str, clients: int, skew: float, see
     """``df`` with client: int(n * (.3 + .7 * skew)) rows of each class to its primary client (classes dealt round in sorted order), the others to any other."""
     d = _with_total(numbered(df, [cls], key, seed, "_n"), [cls], "_t")
     order = df.select(cls).distinct().withColumn("_k", F.row_number().over(Window.orderBy(cls)) - 1)  # few classes
-    d = d.join(F.broadcast(order), cls)
+    d = d.join(order, cls)
     primary = F.col("_k") % clients
     other = F.conv(F.substring(seeded(key, f"{seed}o"), 1, 8), 16, 10).cast("long") % max(1, clients - 1)
     c = F.when((F.col("_n") <= F.floor(F.col("_t") * (0.3 + 0.7 * skew))) | F.lit(clients == 1), primary).otherwise(F.when(other < primary, other).otherwise(other + 1))
@@ -141,8 +150,12 @@ def client_summary(df: DataFrame, client: str = "client", label: str = "label")
 
 
 def duplicate_content(files: DataFrame) -> DataFrame:
-    """(digest, n, places) of contents (path, content) found in several places."""
-    return files.groupBy(F.md5("content").alias("digest")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("path")).alias("places")).where("n > 1")
+    """(digest, path, n): every path whose content (path, content) is found in several places, n of them; null contents are no content.
+
+    Places come as rows: a content that very many files share is never gathered into one.
+    """
+    named = files.where("content is not null").select(F.md5("content").alias("digest"), "path")
+    return named.join(named.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "digest")
 
 
 def same_names(files: DataFrame, batch: str = "batch", name: str = "name") -> DataFrame:
@@ -167,15 +180,26 @@ def compare_names(left: DataFrame, right: DataFrame, name: str = "name") -> Data
     return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.exceptAll(b).withColumn("side", F.lit("left"))).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def label_profile(images: DataFrame, labels: DataFrame, by: str = "batch") -> DataFrame:
+def label_profile(images: DataFrame, labels: DataFrame, by: str = "batch", lines: DataFrame | None = None) -> DataFrame:
     """One row a batch: boxes, images, images without label, labels without image, boxes outside, of no area, tiny and huge, least, largest and mean
-    size, and images by number of boxes (0, 1-2, 3-5, 6-10, more). labels: (batch, image, xc, yc, w, h); images: (batch, image)."""
+    area, width and height, images by number of boxes (0, 1-2, 3-5, 6-10, more), boxes by class (array of cls and n), and malformed lines.
+
+    labels: (batch, image, cls, xc, yc, w, h); images: (batch, image); lines: (batch, line), the label files' lines, of which a good one has five
+    numbers; without them n_malformed is null.
+    """
     area = F.col("w") * F.col("h")
     out = (F.col("xc") - F.col("w") / 2 < 0) | (F.col("yc") - F.col("h") / 2 < 0) | (F.col("xc") + F.col("w") / 2 > 1) | (F.col("yc") + F.col("h") / 2 > 1)
     count = lambda c, n: F.sum(c.cast("long")).alias(n)
-    boxes = labels.groupBy(by).agg(F.count("*").alias("n_boxes"), count(out, "n_outside"), count(area <= 0, "n_zero_area"), count((area > 0) & (area < 0.001), "n_tiny"), count(area > 0.5, "n_huge"), F.min(area).alias("min_area"), F.max(area).alias("max_area"), F.avg(area).alias("mean_area"), F.avg("w").alias("mean_w"), F.avg("h").alias("mean_h"))
+    size = [f(c).alias(f"{name}_{c}") for c in ("w", "h") for f, name in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"))]
+    boxes = labels.groupBy(by).agg(F.count("*").alias("n_boxes"), count(out, "n_outside"), count(area <= 0, "n_zero_area"), count((area > 0) & (area < 0.001), "n_tiny"), count(area > 0.5, "n_huge"), F.min(area).alias("min_area"), F.max(area).alias("max_area"), F.avg(area).alias("mean_area"), *size)
     per = images.join(labels.groupBy(by, "image").agg(F.count("*").alias("k")), [by, "image"], "left").fillna(0, ["k"])
     k = F.col("k")
     buckets = per.groupBy(by).agg(F.count("*").alias("n_images"), count(k == 0, "images_0"), count((k >= 1) & (k <= 2), "images_1_2"), count((k >= 3) & (k <= 5), "images_3_5"), count((k >= 6) & (k <= 10), "images_6_10"), count(k > 10, "images_more"))
     lost = labels.select(by, "image").distinct().join(images.select(by, "image"), [by, "image"], "left_anti").groupBy(by).agg(F.count("*").alias("n_labels_without_image"))
-    return buckets.join(boxes, by, "left").join(lost, by, "left").fillna(0)
+    classes = labels.groupBy(by, "cls").agg(F.count("*").alias("n")).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("classes"))  # a row a class
+    found = buckets.join(boxes, by, "left").join(lost, by, "left").fillna(0).join(classes, by, "left")
+    if lines is None:
+        return found.withColumn("n_malformed", F.lit(None).cast("long"))
+    number = r"[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?"
+    bad = ~F.trim("line").rlike(rf"^{number}(\s+{number}){{4}}$")
+    return found.join(lines.groupBy(by).agg(count(F.coalesce(bad, F.lit(True)), "n_malformed")), by, "left").fillna(0, ["n_malformed"])

@@ -16,25 +16,31 @@ from pyspark.sql import types as T
 
 from petriflow.functions.grid import all_pairs_of_keys, with_each
 
-#: Ranges that the scores of a group are cut into for running totals.
-RANGES = 256
+#: Rows of one range of a group's distinct scores in a running total, about.
+RANGE_ROWS = 100_000
 
 
 def running_totals(steps: DataFrame, by: list[str], order: str, sums: list[str], descending: bool = True) -> DataFrame:
     """``steps`` with cum_* of each of ``sums``, up to and including the row, in order of ``order`` within ``by``.
 
-    Ranges are equal parts of the order's span in its group, so no window holds more than one range's distinct values.
+    Each group is cut into ranges of about ``RANGE_ROWS`` rows at approximate percentiles of its own values, so no window holds more than
+    one range's rows, however the values lie; a range's total is carried into the ranges after it.
     """
-    span = steps.groupBy(*by).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    joined = steps.join(F.broadcast(span), by) if by else steps.crossJoin(F.broadcast(span))  # one row a group
-    part = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (RANGES - 1))).otherwise(0).cast("int")
-    s = joined.withColumn("_part", part).drop("_lo", "_hi")
     way = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    n = steps.groupBy(*by).agg(F.count("*").alias("_n"))
+    most = n.agg(F.max("_n").alias("n")).first().n or 0
+    if most <= RANGE_ROWS:  # every group is one range
+        whole = Window.partitionBy(*(by or [F.lit(0)])).orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
+        return steps.withColumns({"cum_" + c: F.sum(c).over(whole) for c in sums})
+    k = int(most // RANGE_ROWS) + 1
+    cuts = steps.groupBy(*by).agg(F.percentile_approx(order, [i / k for i in range(1, k)], 10 * k).alias("_cuts"))
+    joined = steps.join(cuts, by) if by else steps.crossJoin(cuts)  # one row a group
+    s = joined.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
     totals = s.groupBy(*by, "_part").agg(*(F.sum(c).alias("_t_" + c) for c in sums))
-    w = Window.partitionBy(*by).orderBy(way("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(way("_part")).rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*by, "_part", *(F.coalesce(F.sum("_t_" + c).over(w), F.lit(0)).alias("_b_" + c) for c in sums))
     inner = Window.partitionBy(*by, "_part").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = s.join(F.broadcast(before), [*by, "_part"])  # RANGES rows a group
+    out = s.join(before, [*by, "_part"])
     for c in sums:
         out = out.withColumn("cum_" + c, F.sum(c).over(inner) + F.col("_b_" + c))
     return out.drop("_part", *("_b_" + c for c in sums))
@@ -60,7 +66,7 @@ def pr_table(df: DataFrame, label: str = "label", score: str = "score", by: list
     by = by or []
     s = running_totals(score_steps(df, label, score, by), by, "score", ["pos", "neg"])
     n = s.groupBy(*by).agg(F.sum("pos").alias("n_pos"))
-    s = s.join(F.broadcast(n), by) if by else s.crossJoin(F.broadcast(n))  # one row a group
+    s = s.join(n, by) if by else s.crossJoin(n)  # one row a group
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     return s.select(*by, "score", "pos", tp.alias("tp"), fp.alias("fp"), "n_pos", (tp / (tp + fp)).alias("precision"), F.when(F.col("n_pos") > 0, tp / F.col("n_pos")).otherwise(0.0).alias("recall"))
 
@@ -75,17 +81,31 @@ def average_precision(df: DataFrame, label: str = "label", score: str = "score",
 def pr_auc(df: DataFrame, label: str = "label", score: str = "score", by: list[str] | None = None) -> DataFrame:
     """(by, pr_auc): area under straight lines between the points, from recall 0 at precision 1. Not the same number as `average_precision`."""
     by = by or []
-    t = pr_table(df, label, score, by)
     # The point before a row is known from its own counts, unless it is the first.
     tp, fp = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
     t = running_totals(score_steps(df, label, score, by), by, "score", ["pos", "neg"]).withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
     n = t.groupBy(*by).agg(F.sum("pos").alias("n_pos"))
-    t = t.join(F.broadcast(n), by) if by else t.crossJoin(F.broadcast(n))  # one row a group
+    t = t.join(n, by) if by else t.crossJoin(n)  # one row a group
     before = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(1.0)
     area = F.col("pos") / F.col("n_pos") * (F.col("tp") / (F.col("tp") + F.col("fp")) + before) / 2
     return t.groupBy(*by).agg(F.sum(F.when(F.col("n_pos") > 0, area).otherwise(0.0)).alias("pr_auc"))
 
 
+def areas(steps: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, n_pos, auc, ap, pr_auc) from rows (by, score, pos, neg), one for each distinct score, by one running total."""
+    t = running_totals(steps, by, "score", ["pos", "neg"])
+    n = steps.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
+    t = t.join(n, by) if by else t.crossJoin(n)  # one row a group
+    tp, fp, p, q = F.col("cum_pos"), F.col("cum_neg"), F.col("_p"), F.col("_q")
+    tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
+    precision, before = tp / (tp + fp), F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(1.0)
+    part = F.when(p > 0, F.col("pos") / p).otherwise(0.0)
+    won = F.col("pos") * (q - fp) + F.col("pos") * F.col("neg") / 2
+    a = t.groupBy(*by).agg(F.first("_p").alias("n_pos"), F.first("_q").alias("_n"), F.sum(won).alias("_w"), F.sum(part * precision).alias("ap"), F.sum(part * (precision + before) / 2).alias("pr_auc"))
+    pairs = F.col("n_pos") * F.col("_n")
+    return a.select(*by, (F.col("n_pos") + F.col("_n")).alias("n"), "n_pos", F.when(pairs > 0, F.col("_w") / pairs).otherwise(0.5).alias("auc"), "ap", "pr_auc")
+
+
 def best_f1(df: DataFrame, label: str = "label", score: str = "score", by: list[str] | None = None) -> DataFrame:
     """(by, threshold, f1): the best of every distinct score, F1 = 2PR / (P + R + 1e-10); of equals the lowest threshold."""
     by = by or []
@@ -143,7 +163,7 @@ def mann_whitney(df: DataFrame, value: str = "value", label: str = "label", by:
     u = F.col("pos") * (F.col("cum_neg") - F.col("neg")) + F.col("pos") * F.col("neg") / 2
     a = steps.groupBy(*by).agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0"), F.sum(u).cast("double").alias("u"), F.sum(t * t * t - t).alias("_ties"))
     med = df.groupBy(*by).agg(F.percentile(F.when(F.col(label) == 1, F.col(value)), F.lit(0.5)).alias("median1"), F.percentile(F.when(F.col(label) != 1, F.col(value)), F.lit(0.5)).alias("median0"))
-    a = (a.join(med, by) if by else a.crossJoin(F.broadcast(med))).where("n1 >= 3 and n0 >= 3")  # one row a group
+    a = (a.join(med, by) if by else a.crossJoin(med)).where("n1 >= 3 and n0 >= 3")  # one row a group
     n1, n0, n = F.col("n1").cast("double"), F.col("n0").cast("double"), (F.col("n1") + F.col("n0")).cast("double")
     sd = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
     d = F.col("u") - n1 * n0 / 2
@@ -211,7 +231,7 @@ def normal_range(df: DataFrame, by: str, features: list[str], label: str = "labe
     long = unpivot(df, [by, label], features)
     r = long.where(F.col(label) == 1).groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("p"))
     r = r.select("feature", *(F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p5", "p50", "p95"))))
-    j = long.where(F.col(label) != 1).join(F.broadcast(r), "feature")  # a row a feature
+    j = long.where(F.col(label) != 1).join(r, "feature")  # a row a feature
     out = (F.col("value") < F.col("p5")) | (F.col("value") > F.col("p95"))
     return j.groupBy(by, "feature").agg(F.first("p5").alias("p5"), F.first("p50").alias("p50"), F.first("p95").alias("p95"), F.count("*").alias("n"), F.avg(out.cast("double")).alias("outside")).where("n >= 3")
 
@@ -230,6 +250,14 @@ def trajectory_metrics(df: DataFrame, label: str = "label", scores: str = "score
     return roc_auc(long, "label", "score", ["tick"]).join(acc, "tick").select("tick", "auc", "accuracy", "mean_certainty")
 
 
+def best_tick(metrics: DataFrame, by: str = "auc") -> DataFrame:
+    """(best_tick, best, final, gain): of `trajectory_metrics` rows the first tick of the highest value, that value, the last tick's, and how much the
+    best is above it."""
+    value = F.round(F.col(by), 12)
+    top = metrics.agg(F.max(F.struct(value.alias("v"), (-F.col("tick")).alias("t"))).alias("b"), F.max(F.struct("tick", value.alias("v"))).alias("l"))
+    return top.select((-F.col("b.t")).cast("int").alias("best_tick"), F.col("b.v").alias("best"), F.col("l.v").alias("final"), (F.col("b.v") - F.col("l.v")).alias("gain"))
+
+
 def trajectory_stops(df: DataFrame, scores: str = "scores", certainties: str = "certainties", least: float = 0.8) -> DataFrame:
     """``df`` with first_certain (first tick of certainty ``least``, else the number of ticks) and score_at_peak (score at the most certain tick)."""
     first = F.array_position(F.transform(certainties, lambda c: c >= least), F.lit(True))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, StandardScaler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from petriflow.operators.ranking import mann_whitney, pr_auc, roc_auc
 
 #: Rows of one block of a block product, about.
-BLOCK_ROWS = 2_000
+BLOCK_ROWS = 20_000
+#: Rows of a block of sketches, and bytes of distances that a task holds at a time.
+SKETCH_ROWS, CELLS = 100_000, 32 << 20
 
 
 def split_batch(batch: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
@@ -39,15 +43,28 @@ def metadata_filter(table: DataFrame, wanted: dict[str, str], column: str = "met
     return table
 
 
-def vector_stats(table: DataFrame, total_inserted: int | None = None) -> DataFrame:
-    """(live, dimension, total_inserted) in one row."""
-    return table.agg(F.count("*").alias("live"), F.max(F.size("values")).alias("dimension")).withColumn("total_inserted", F.lit(total_inserted).cast("long"))
+def vector_stats(table: DataFrame, total_inserted: int | None = None, cls: str = "cls") -> DataFrame:
+    """One row: live vectors, their dimension, how many were ever inserted, and how many there are of each class (array of the class and n)."""
+    counts = table.groupBy(F.col(cls).alias("cls")).agg(F.count("*").alias("n"), F.max(F.size("values")).alias("d"))  # a row a class
+    classes = F.sort_array(F.collect_list(F.struct("cls", "n")))
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("live"), F.max("d").alias("dimension"), classes.alias("classes")).withColumn("total_inserted", F.lit(total_inserted).cast("long"))
 
 
 def _blocks(df: DataFrame, n: int, name: str) -> DataFrame:
     return df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
 
 
+def _least(s: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` least numbers of each row, in order; of equals the first. What ties with the last of them is put in order too."""
+    every = np.tile(np.arange(s.shape[1]), (len(s), 1))
+    if k < s.shape[1]:
+        edge = np.partition(s, k - 1, axis=1)[:, k - 1 : k]
+        few = int((s <= edge).sum(1).max())
+        if few < s.shape[1]:
+            every = np.sort(np.argpartition(s, few - 1, axis=1)[:, :few], axis=1)
+    return np.take_along_axis(every, np.argsort(np.take_along_axis(s, every, 1), axis=1, kind="stable")[:, :k], 1)
+
+
 def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean", group: str | None = None, same_group: bool | None = None, exclude_self: bool = False) -> DataFrame:
     """(query_id, id, distance or similarity, rank): the ``k`` nearest base rows of each query, exactly; ties by id.
 
@@ -61,31 +78,41 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean",
     own = lambda d: d.select(*(F.col(c).alias(c) for c in ("id", "values", *([group] if group else []))))
     q = _blocks(own(queries), n_q, "_q").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
     b = _blocks(own(base), n_b, "_b").withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    keys = ["_q", "_b"]
+    if group and same_group:
+        # Rows of other groups never meet: the group is a part of the key.
+        keys.append("_g")
+        q, b = (d.withColumn("_g", F.col(group)) for d in (q, b))
     cosine = metric == "cosine"
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+        out = [pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})]
         if not len(left) or not len(right):
-            return none
+            return out[0]
         right = right.sort_values("id")
-        x, y = (np.array(d["values"].tolist(), np.float64) for d in (left, right))
-        if cosine:
-            nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-            s = -(x @ y.T) / np.where(nx > 0, nx, 1)[:, None] / np.where(ny > 0, ny, 1)[None, :]
-            s = np.where((nx > 0)[:, None] & (ny > 0)[None, :], np.round(s, 12), np.inf)
-        else:
-            s = np.round(np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)), 9)
-        if group and same_group is not None:
-            s = np.where((left[group].to_numpy()[:, None] == right[group].to_numpy()[None, :]) == same_group, s, np.inf)
-        if exclude_self:
-            s = np.where(left.id.to_numpy()[:, None] == right.id.to_numpy()[None, :], np.inf, s)
-        best = np.argsort(s, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(left)), best.shape[1])
-        score = s[rows, best.ravel()]
-        ok = np.isfinite(score)
-        return pd.DataFrame({"query_id": left.id.to_numpy()[rows][ok], "id": right.id.to_numpy()[best.ravel()][ok], "score": score[ok]})
-
-    part = q.groupBy("_q", "_b").cogroup(b.groupBy("_q", "_b")).applyInPandas(product, "query_id long, id long, score double")
+        y = np.array(right["values"].tolist(), np.float64)
+        step = max(1, CELLS // (8 * len(right)))
+        for low in range(0, len(left), step):
+            some = left.iloc[low : low + step]
+            x = np.array(some["values"].tolist(), np.float64)
+            if cosine:
+                nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+                s = -(x @ y.T) / np.where(nx > 0, nx, 1)[:, None] / np.where(ny > 0, ny, 1)[None, :]
+                s = np.where((nx > 0)[:, None] & (ny > 0)[None, :], np.round(s, 12), np.inf)
+            else:
+                s = np.round(np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)), 9)
+            if group and same_group is False:
+                s = np.where(some[group].to_numpy()[:, None] == right[group].to_numpy()[None, :], np.inf, s)
+            if exclude_self:
+                s = np.where(some.id.to_numpy()[:, None] == right.id.to_numpy()[None, :], np.inf, s)
+            best = _least(s, k)
+            rows = np.repeat(np.arange(len(some)), best.shape[1])
+            score = s[rows, best.ravel()]
+            ok = np.isfinite(score)
+            out.append(pd.DataFrame({"query_id": some.id.to_numpy()[rows][ok], "id": right.id.to_numpy()[best.ravel()][ok], "score": score[ok]}))
+        return pd.concat(out)
+
+    part = q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(product, "query_id long, id long, score double")
     top = part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k)
     value = (-F.col("score")).alias("similarity") if cosine else F.col("score").alias("distance")
     return top.select("query_id", "id", value, "rank")
@@ -107,13 +134,56 @@ def class_match_rate(neighbours: DataFrame, rows: DataFrame, cls: str = "cls") -
     return j.groupBy("query_id").agg(F.avg((F.col("_q") == F.col("_n")).cast("double")).alias("match_rate"))
 
 
-def approx_knn(queries: DataFrame, base: DataFrame, k: int, tables: int = 8, bucket: float = 2.0, seed: int = 1) -> DataFrame:
-    """Approximate Euclidean neighbours: random projection buckets give candidates, exact distances rank them."""
-    vec = lambda d: d.select("id", array_to_vector("values").alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(vec(base))
-    j = model.approxSimilarityJoin(vec(queries), vec(base), float("inf"), "distance")
-    j = j.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), "distance")
-    return j.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+def _sketched(df: DataFrame, bits: int, seed: int) -> DataFrame:
+    """(id, sketch): on which side of ``bits`` random planes each vector lies, a bit a plane."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes = None
+        for f in frames:
+            if not len(f):
+                continue
+            x = np.array(f["values"].tolist(), np.float64)
+            if planes is None:
+                planes = np.random.default_rng(seed).normal(size=(x.shape[1], bits))
+            yield pd.DataFrame({"id": f["id"], "sketch": [b.tobytes() for b in np.packbits(x @ planes > 0, axis=1)]})
+
+    return df.select("id", "values").mapInPandas(run, "id long, sketch binary")
+
+
+def approx_knn(queries: DataFrame, base: DataFrame, k: int, bits: int = 512, oversample: int = 8, seed: int = 1) -> DataFrame:
+    """(query_id, id, distance, rank, n_compared): approximate Euclidean neighbours of vectors of one length.
+
+    Both sides are reduced to sketches of ``bits`` bits, whose differing bits estimate the angle. Blocks of sketches meet block by block, and a
+    task hands on the ``oversample * k`` nearest of each query; only these candidates' vectors are fetched and compared exactly
+    (n_compared of them). Every row is indexed, and any row can be a candidate. A larger ``oversample`` gives a higher recall, and that of all
+    rows is exact; `recall_at_k` measures it.
+    """
+    most = max(1, oversample * k)
+    n_q, n_b = (max(1, d.count() // SKETCH_ROWS + 1) for d in (queries, base))
+    q = _blocks(_sketched(queries, bits, seed), n_q, "_q").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
+    b = _blocks(_sketched(base, bits, seed), n_b, "_b").withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "apart": pd.Series([], dtype="int64")})]
+        if len(left) and len(right):
+            right = right.sort_values("id")
+            x, y = (np.frombuffer(b"".join(d["sketch"]), np.uint8).reshape(len(d), -1) for d in (left, right))
+            step = max(1, CELLS // (x.shape[1] * len(right)))
+            for low in range(0, len(left), step):
+                apart = np.bitwise_count(x[low : low + step, None] ^ y[None]).sum(2, dtype=np.int64)
+                best = _least(apart, most)
+                rows = np.repeat(np.arange(len(apart)), best.shape[1])
+                out.append(pd.DataFrame({"query_id": left.id.to_numpy()[low + rows], "id": right.id.to_numpy()[best.ravel()], "apart": apart[rows, best.ravel()]}))
+        return pd.concat(out)
+
+    part = q.groupBy("_q", "_b").cogroup(b.groupBy("_q", "_b")).applyInPandas(nearest, "query_id long, id long, apart long")
+    candidates = part.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("apart", "id"))).where(F.col("_n") <= most).select("query_id", "id")
+    near = candidates.join(queries.select(F.col("id").alias("query_id"), F.col("values").alias("_x")), "query_id").join(base.select("id", F.col("values").alias("_y")), "id")
+    far = F.sqrt(F.aggregate(F.zip_with("_x", "_y", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
+    near = near.select("query_id", "id", F.round(far, 9).alias("distance"))
+    w = Window.partitionBy("query_id")
+    ranked = near.withColumn("rank", F.row_number().over(w.orderBy("distance", "id"))).withColumn("n_compared", F.count("*").over(w))
+    return ranked.where(F.col("rank") <= k)
 
 
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -141,7 +211,7 @@ def knn_vote_loo(rows: DataFrame, k: int = 7, scope: str = "global", client: str
         v = _vote(knn(rows, rows, k, "cosine", exclude_self=True), rows)
     else:
         size = rows.groupBy(client).agg(F.count("*").alias("_n"), F.countDistinct("label").alias("_c")).where((F.col("_n") > k + 1) & (F.col("_c") > 1))
-        fit = rows.join(F.broadcast(size.select(client)), client, "left_semi")  # a row a client
+        fit = rows.join(size.select(client), client, "left_semi")  # a row a client
         v = _vote(knn(fit, fit, k, "cosine", group=client, same_group=True, exclude_self=True), rows)
     return rows.select("id").join(v.withColumnRenamed("query_id", "id"), "id", "left").fillna(0.5, ["vote"])
 
@@ -163,7 +233,7 @@ def knn_outlier(rows: DataFrame, k: int = 5, client: str = "client") -> DataFram
     Clients with fewer than 3 negatives are left out; rows with fewer than k foreign positives too.
     """
     neg = rows.groupBy(client).agg(F.sum((F.col("label") != 1).cast("long")).alias("_n")).where("_n >= 3")
-    q = rows.join(F.broadcast(neg.select(client)), client, "left_semi")  # a row a client
+    q = rows.join(neg.select(client), client, "left_semi")  # a row a client
     near = knn(q, rows.where("label = 1"), k, group=client, same_group=False)
     d = near.groupBy("query_id").agg(F.avg("distance").alias("distance"), F.count("*").alias("_k")).where(F.col("_k") == k)
     return q.select("id", client, "label").join(d.select(F.col("query_id").alias("id"), "distance"), "id")
@@ -196,7 +266,7 @@ def _scaled(rows: DataFrame) -> DataFrame:
 
 def kmeans_clusters(rows: DataFrame, k: int = 8, nearest: int = 8, seed: int = 42) -> DataFrame:
     """(id, cluster, distance, n, pct, rank): K-means on standardised values; rank 1 to ``nearest`` are the rows nearest each centre."""
-    x = _scaled(rows).cache()
+    x = _scaled(rows)
     model = KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster").fit(x)
     centres = F.array(*(F.array(*(F.lit(float(a)) for a in c)) for c in model.clusterCenters()))
     p = model.transform(x).select("id", "cluster", vector_to_array("_x").alias("v"))
@@ -204,7 +274,7 @@ def kmeans_clusters(rows: DataFrame, k: int = 8, nearest: int = 8, seed: int = 4
     w = Window.partitionBy("cluster")
     p = p.select("id", "cluster", d.alias("distance"))
     size = p.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("pct", 100 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
-    return p.withColumn("rank", F.row_number().over(w.orderBy("distance", "id"))).join(F.broadcast(size), "cluster")  # k rows
+    return p.withColumn("rank", F.row_number().over(w.orderBy("distance", "id"))).join(size, "cluster")  # k rows
 
 
 def pca_project(rows: DataFrame, k: int = 50) -> tuple[DataFrame, list[float]]:
@@ -219,7 +289,7 @@ def pca_project(rows: DataFrame, k: int = 50) -> tuple[DataFrame, list[float]]:
 def mixture_score(rows: DataFrame, components: int = 4, pcs: int = 8, seed: int = 42) -> DataFrame:
     """``rows`` with log_likelihood under a Gaussian mixture fitted to the label-1 rows in principal component space."""
     p, _ = pca_project(rows, pcs)
-    v = p.withColumn("_v", array_to_vector("pc")).cache()
+    v = p.withColumn("_v", array_to_vector("pc"))
     model = GaussianMixture(k=components, featuresCol="_v", seed=seed).fit(v.where("label = 1"))
     weights = np.array(model.weights)
     means = np.array([g.mean.toArray() for g in model.gaussians])
@@ -239,7 +309,7 @@ def mixture_score(rows: DataFrame, components: int = 4, pcs: int = 8, seed: int
 def centroid_spread(rows: DataFrame, cls: str = "cls") -> DataFrame:
     """(cls, n, mean_distance, sd_distance) of rows to their class's centroid."""
     c = rows.select(cls, F.posexplode("values").alias("p", "x")).groupBy(cls, "p").agg(F.avg("x").alias("m")).groupBy(cls).agg(F.sort_array(F.collect_list(F.struct("p", "m"))).alias("_c"))
-    j = rows.join(F.broadcast(c), cls)  # a row a class
+    j = rows.join(c, cls)  # a row a class
     d = F.sqrt(F.aggregate(F.zip_with("values", "_c", lambda x, m: (x - m.m) * (x - m.m)), F.lit(0.0), lambda s, a: s + a))
     return j.groupBy(cls).agg(F.count("*").alias("n"), F.avg(d).alias("mean_distance"), F.stddev_pop(d).alias("sd_distance"))
 
@@ -256,7 +326,7 @@ def calinski_harabasz(rows: DataFrame, cls: str = "cls") -> DataFrame:
 
 
 def silhouette(rows: DataFrame, cls: str = "cls") -> DataFrame:
-    """(cls, silhouette): mean over rows by exact mean Euclidean distances; block pairs hand on one sum a row and class."""
+    """(cls, silhouette): mean over rows by exact mean Euclidean distances; pairs of blocks hand on one sum a row and class."""
     n_b = max(1, rows.count() // BLOCK_ROWS + 1)
     base = rows.select("id", F.col(cls).cast("long").alias("c"), "values")
     again = base.select(*(F.col(c).alias(c) for c in base.columns))
@@ -266,16 +336,20 @@ def silhouette(rows: DataFrame, cls: str = "cls") -> DataFrame:
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": pd.Series([], dtype="int64"), "c": pd.Series([], dtype="int64"), "o": pd.Series([], dtype="int64"), "d": pd.Series([], dtype="float64")})
-        x, y = (np.array(d["values"].tolist(), np.float64) for d in (left, right))
-        dist = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
-        dist[left.id.to_numpy()[:, None] == right.id.to_numpy()[None, :]] = 0
-        kinds = np.unique(right.c)
-        d = np.stack([dist[:, right.c.to_numpy() == o].sum(1) for o in kinds], axis=1)
-        return pd.DataFrame({"id": np.repeat(left.id.to_numpy(), len(kinds)), "c": np.repeat(left.c.to_numpy(), len(kinds)), "o": np.tile(kinds, len(left)), "d": d.ravel()})
+        y, kinds, out = np.array(right["values"].tolist(), np.float64), np.unique(right.c), []
+        own = (right.c.to_numpy()[:, None] == kinds[None, :]).astype(np.float64)
+        step = max(1, CELLS // (8 * len(right)))
+        for low in range(0, len(left), step):
+            some = left.iloc[low : low + step]
+            x = np.array(some["values"].tolist(), np.float64)
+            dist = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
+            dist[some.id.to_numpy()[:, None] == right.id.to_numpy()[None, :]] = 0
+            out.append(pd.DataFrame({"id": np.repeat(some.id.to_numpy(), len(kinds)), "c": np.repeat(some.c.to_numpy(), len(kinds)), "o": np.tile(kinds, len(some)), "d": (dist @ own).ravel()}))
+        return pd.concat(out)
 
     part = a.groupBy("_q", "_b").cogroup(b.groupBy("_q", "_b")).applyInPandas(sums, "id long, c long, o long, d double")
     size = base.groupBy(F.col("c").alias("o")).agg(F.count("*").alias("n"))
-    m = part.groupBy("id", "c", "o").agg(F.sum("d").alias("d")).join(F.broadcast(size), "o")  # a row a class
+    m = part.groupBy("id", "c", "o").agg(F.sum("d").alias("d")).join(size, "o")  # a row a class
     own = F.col("o") == F.col("c")
     mean = F.when(own, F.col("d") / (F.col("n") - 1)).otherwise(F.col("d") / F.col("n"))
     s = m.groupBy("id", "c").agg(F.max(F.when(own, mean)).alias("a"), F.min(F.when(~own, mean)).alias("b"))
@@ -301,13 +375,3 @@ def channel_stats(df: DataFrame, channels: list[str], low: float = 0.0, high: fl
         df = df.withColumn(f"{c}_sd", F.sqrt(total(F.transform(c, spread(f"{c}_mean"))) / n))
         df = df.withColumn(f"{c}_hist", F.array(*(F.size(F.filter(c, inside(i))) / n for i in range(bins))))
     return df
-
-
-def mean_vector(rows: DataFrame, by: str) -> DataFrame:
-    """(by, values): the mean of each group's vectors."""
-    m = rows.select(by, F.posexplode("values").alias("p", "x")).groupBy(by, "p").agg(F.avg("x").alias("m"))
-    return m.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "m"))), lambda s: s.m).alias("values"))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

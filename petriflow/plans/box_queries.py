@@ -11,6 +11,7 @@ from petriflow.operators import matching as M
 from petriflow.operators import merging as G
 from petriflow.operators import tiling as T
 from petriflow.plans import standins as S
+from petriflow.plans import walk_sql
 
 IOU = """(CASE WHEN (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) > 0
   THEN greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) /
@@ -110,25 +111,25 @@ SELECT coalesce(e.image, f.image) AS image, coalesce(n_expected, 0) AS n_expecte
     "label_by_iou_band": (lambda s, d: (lambda r, a, n: r9(M.label_by_iou_band(r, n.withColumn("quality", F.col("score"))), "best_iou", "score"))(*_split(s, d)), f"""WITH {S.BOXES}, p AS (SELECT a.image, a.idx, b.idx AS g, {IOU} AS iou FROM boxes a JOIN boxes b ON a.image = b.image AND a.role = 'R' AND b.role = 'N' AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2), m AS (SELECT image, idx, max(iou) AS iou FROM p GROUP BY 1, 2),
 l AS (SELECT boxes.image, boxes.idx, score, coalesce(iou, 0) AS best_iou FROM boxes LEFT JOIN m USING (image, idx) WHERE role = 'R')
 SELECT image, idx, round(score, 9) AS score, round(best_iou, 9) AS best_iou, (best_iou >= 0.5)::INT AS target, false AS rescued FROM l WHERE best_iou >= 0.5 OR best_iou < 0.1 UNION ALL SELECT image, idx, 0.05, 0.0, 1, true FROM boxes WHERE role = 'N' AND score >= 0.8 AND (image, idx) NOT IN (SELECT (image, g) FROM p WHERE iou >= 0.3)"""),
-    "mine_hard_negatives": (lambda s, d: (lambda r, a, n: M.mine_hard_negatives(r, n, 1000, 1000).select("name", "cx1", "cy1", "cx2", "cy2"))(*_split(s, d)), None),
+    "mine_hard_negatives": (lambda s, d: (lambda r, a, n: M.mine_hard_negatives(r, n, 1000, 1000).select("name", "cx1", "cy1", "cx2", "cy2"))(*_split(s, d)), walk_sql.SQL["mine_hard_negatives"]),
     "nms": (lambda s, d: G.nms(S.boxes(s, d).where("role = 'R'"), 0.5).select("image", "idx"), f"""WITH RECURSIVE {S.BOXES}, det AS (SELECT * FROM boxes WHERE role = 'R'), p AS (SELECT a.image, a.idx AS a, b.idx AS b FROM det a JOIN det b ON a.image = b.image AND (a.score > b.score OR (a.score = b.score AND a.idx < b.idx)) AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 WHERE {IOU} >= 0.5),
 c AS (SELECT image, idx, row_number() OVER (PARTITION BY image ORDER BY score DESC, idx) AS n FROM det WHERE (image, idx) IN (SELECT (image, a) FROM p UNION SELECT (image, b) FROM p)),
 q AS (SELECT c.image, c.n, c.idx, list(p.a) FILTER (WHERE p.a IS NOT NULL) AS over FROM c LEFT JOIN p ON p.image = c.image AND p.b = c.idx GROUP BY 1, 2, 3),
 w AS (SELECT image, 0::BIGINT AS n, []::BIGINT[] AS kept FROM q GROUP BY image UNION ALL SELECT w.image, w.n + 1, CASE WHEN list_has_any(w.kept, coalesce(q.over, []::BIGINT[])) THEN w.kept ELSE list_append(w.kept, q.idx) END FROM w JOIN q ON q.image = w.image AND q.n = w.n + 1),
 k AS (SELECT image, unnest(kept) AS idx FROM w), z AS (SELECT DISTINCT image, idx FROM k)
 SELECT image, idx FROM det WHERE (image, idx) NOT IN (SELECT (image, idx) FROM c) UNION ALL SELECT image, idx FROM z"""),
-    "soft_nms": (lambda s, d: r9(G.soft_nms(S.boxes(s, d).where("role = 'R'"), 0.5, 0.001, 0.1).select("image", "idx", "score"), "score"), None),
-    "anchor_fusion": (lambda s, d: r9(G.anchor_fusion(S.boxes(s, d).where("role = 'R'"), 0.5), *B.CORNERS, "score"), None),
+    "soft_nms": (lambda s, d: r9(G.soft_nms(S.boxes(s, d).where("role = 'R'"), 0.5, 0.001, 0.1).select("image", "idx", "score"), "score"), walk_sql.SQL["soft_nms"]),
+    "anchor_fusion": (lambda s, d: r9(G.anchor_fusion(S.boxes(s, d).where("role = 'R'"), 0.5), *B.CORNERS, "score"), walk_sql.SQL["anchor_fusion"]),
     "pairwise_decay": (lambda s, d: r9(G.pairwise_decay(S.boxes(s, d).where("role = 'R'"), 0.3, 0.1).select("image", "idx", "score"), "score"), f"WITH {S.BOXES}, p AS (SELECT a.image, a.idx, product(1 - {IOU}) AS f FROM boxes a JOIN boxes b ON a.image = b.image AND a.role = 'R' AND b.role = 'R' AND a.idx <> b.idx WHERE {IOU} > 0.3 GROUP BY 1, 2) SELECT image, idx, round(score * coalesce(f, 1), 9) AS score FROM boxes LEFT JOIN p USING (image, idx) WHERE role = 'R' AND score * coalesce(f, 1) >= 0.1"),
     "top_n_per_image": (lambda s, d: G.top_n_per_image(S.boxes(s, d), 20).select("image", "idx"), f"WITH {S.BOXES} SELECT image, idx FROM boxes QUALIFY row_number() OVER (PARTITION BY image ORDER BY score DESC, idx) <= 20"),
     "ensemble_intersection": (lambda s, d: (lambda r, a, n: r9(G.ensemble_intersection(r, n), *B.CORNERS, "score"))(*_split(s, d)), f"{GREEDY} SELECT m.image, m.idx, round((m.x1 + g.x1) / 2, 9) AS x1, round((m.y1 + g.y1) / 2, 9) AS y1, round((m.x2 + g.x2) / 2, 9) AS x2, round((m.y2 + g.y2) / 2, 9) AS y2, round((m.score + g.score) / 2, 9) AS score FROM matched m JOIN gt g ON m.image = g.image AND m.gt_idx = g.idx"),
-    "ensemble_union": (lambda s, d: (lambda r, a, n: r9(G.ensemble_union(r, a), *B.CORNERS, "score"))(*_split(s, d)), None),
-    "weighted_boxes_fusion": (lambda s, d: (lambda r, a, n: r9(G.weighted_boxes_fusion([r, a]), *B.CORNERS, "score"))(*_split(s, d)), None),
-    "label_consensus": (lambda s, d: r9(G.label_consensus(S.boxes(s, d).where("role = 'N'"), ["F", "O"]), *B.CORNERS, "confidence"), None),
-    "consensus_report": (lambda s, d: r9(G.consensus_report(G.label_consensus(S.boxes(s, d).where("role = 'N'"), ["F", "O"]).withColumn("split", F.when(F.col("image") % 5 == 0, "test").otherwise("train"))), "agreed_pct"), None),
-    "map_range": (lambda s, d: (lambda r, a, n: D.map_range(r, n).groupBy("thr").agg(F.round(F.avg("ap"), 9).alias("map"), F.sum("tp").alias("tp")))(*_split(s, d)), None),
-    "ap_101_pooled": (lambda s, d: (lambda r, a, n: r9(D.ap_101_pooled(r, n), "ap"))(*_split(s, d)), None),
-    "filter_sweep": (lambda s, d: (lambda r, a, n: r9(D.filter_sweep(r, n), "map", "precision", "recall", "f1"))(*_split(s, d)), None),
+    "ensemble_union": (lambda s, d: (lambda r, a, n: r9(G.ensemble_union(r, a), *B.CORNERS, "score"))(*_split(s, d)), walk_sql.SQL["ensemble_union"]),
+    "weighted_boxes_fusion": (lambda s, d: (lambda r, a, n: r9(G.weighted_boxes_fusion([r, a]), *B.CORNERS, "score"))(*_split(s, d)), walk_sql.SQL["weighted_boxes_fusion"]),
+    "label_consensus": (lambda s, d: r9(G.label_consensus(S.boxes(s, d).where("role = 'N'"), ["F", "O"]), *B.CORNERS, "confidence"), walk_sql.SQL["label_consensus"]),
+    "consensus_report": (lambda s, d: r9(G.consensus_report(G.label_consensus(S.boxes(s, d).where("role = 'N'"), ["F", "O"]).withColumn("split", F.when(F.col("image") % 5 == 0, "test").otherwise("train"))), "agreed_pct"), walk_sql.SQL["consensus_report"]),
+    "map_range": (lambda s, d: (lambda r, a, n: D.map_range(r, n).groupBy("thr").agg(F.round(F.avg("ap"), 9).alias("map"), F.sum("tp").alias("tp")))(*_split(s, d)), walk_sql.SQL["map_range"]),
+    "ap_101_pooled": (lambda s, d: (lambda r, a, n: r9(D.ap_101_pooled(r, n), "ap"))(*_split(s, d)), walk_sql.SQL["ap_101_pooled"]),
+    "filter_sweep": (lambda s, d: (lambda r, a, n: r9(D.filter_sweep(r, n), "map", "precision", "recall", "f1"))(*_split(s, d)), walk_sql.SQL["filter_sweep"]),
     "pool_experiments": (lambda s, d: (lambda r, a, n: r9(D.pool_experiments(D.ap_per_image(r, n).withColumn("batch", F.col("image") % 3)), "precision", "recall", "f1"))(*_split(s, d)), f"{GREEDY}, {AP}, s AS (SELECT image % 3 AS batch, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM ap GROUP BY ROLLUP (image % 3)) SELECT batch, tp, fp, fn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM s"),
     "detection_summary": (lambda s, d: r9(D.detection_summary(S.boxes(s, d)), "mean_confidence", "mean_area"), f"WITH {S.BOXES} SELECT count(*) AS total, round(avg(score), 9) AS mean_confidence, round(avg((x2 - x1) * (y2 - y1)), 9) AS mean_area, min((x2 - x1) * (y2 - y1)) AS min_area, max((x2 - x1) * (y2 - y1)) AS max_area FROM boxes"),
     "class_counts": (lambda s, d: r9(D.class_counts(S.boxes(s, d)), "mean_confidence"), f"WITH {S.BOXES} SELECT cls, count(*) AS n, round(avg(score), 9) AS mean_confidence FROM boxes GROUP BY cls"),

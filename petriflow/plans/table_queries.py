@@ -30,7 +30,7 @@ _SQL_DOMINANT = "dom AS (SELECT * FROM (VALUES (0, 'AUTOMOBILE'), (0, 'BUILDING'
 
 def _files(s: SparkSession, d: str) -> DataFrame:
     t = S.table(s, d, "documents")
-    return t.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("source").alias("batch"), (F.col("doc_id") % 40).cast("string").alias("name"), F.col("text").alias("content"))
+    return t.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("lang").alias("batch"), (F.col("doc_id") % 50).cast("string").alias("name"), F.col("text").alias("content"))
 
 
 def _paths(s: SparkSession, d: str) -> DataFrame:
@@ -73,6 +73,32 @@ def _round_clients(s: SparkSession, d: str) -> DataFrame:
     return c.select("exp", "round", "client", "map50", (1 - F.col("map50")).alias("train_loss"), F.col("map50").alias("train_acc"), F.map_from_arrays(F.array(*(F.lit(str(i)) for i in range(4))), F.array(*(F.round(F.col("map50") * (i + 1) / 4, 9) for i in range(4)))).alias("per_class_ap"), F.array(F.lit(0), F.lit(1)).alias("dominant"))
 
 
+#: The fold of updates in order of round and client: the first two rounds by samples, then by signal against the cached one.
+_SOFT_GATE = f"""WITH RECURSIVE {S.CLIENT_STATS}, o AS (SELECT exp, round, client, map50 AS s, n_samples::DOUBLE AS k, row_number() OVER (PARTITION BY exp ORDER BY round, client) AS n, dense_rank() OVER (PARTITION BY exp ORDER BY round) AS place FROM client_stats),
+w AS (SELECT exp, n, round, [{{'r': round, 'c': client, 'w': 1.0::DOUBLE}}] AS model, k AS count, 0.0::DOUBLE AS cache FROM o WHERE n = 1
+  UNION ALL
+  SELECT exp, n, round, list_append([{{'r': x.r, 'c': x.c, 'w': x.w * (1 - share)}} for x in model], {{'r': round, 'c': client, 'w': share}}), count + CASE WHEN place <= 2 THEN k ELSE 0 END, CASE WHEN place <= 2 THEN cache ELSE share * s + (1 - share) * cache END
+  FROM (SELECT o.*, w.model, w.count, w.cache, CASE WHEN o.place <= 2 THEN o.k / (o.k + w.count) ELSE greatest(o.s, 1e-8) / (greatest(o.s, 1e-8) + greatest(w.cache, 1e-8)) END AS share FROM w JOIN o ON o.exp = w.exp AND o.n = w.n + 1)),
+e AS (SELECT exp, round, unnest(model) AS x FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY exp, round ORDER BY n DESC) = 1))
+SELECT exp, round, x.r AS source_round, x.c AS client, round(x.w, 9) AS weight FROM e WHERE x.w > 0"""
+
+def _label_profile(s: SparkSession, d: str) -> DataFrame:
+    labels = _label_rows(s, d)
+    images = S.boxes(s, d).select((F.col("image") % 3).alias("batch"), "image").distinct()
+    # The files' lines as they are written; of boxes of rater O the last number is missing.
+    lines = S.boxes(s, d).select((F.col("image") % 3).alias("batch"), F.concat_ws(" ", F.col("cls").cast("string"), F.round("x1", 2).cast("string"), F.round("y1", 2).cast("string"), F.lit("1e-3"), F.when(F.col("rater") == "F", "0.5")).alias("line"))
+    out = P.label_profile(images, labels, lines=lines)
+    return r9(out, "min_area", "max_area", "mean_area", *(f"{k}_{c}" for c in ("w", "h") for k in ("min", "max", "mean"))).withColumn("classes", F.to_json("classes"))
+
+
+_LABEL_PROFILE = f"""WITH {S.BOXES}, {_LABELS}, i AS (SELECT DISTINCT image % 3 AS batch, image FROM boxes), p AS (SELECT i.batch, i.image, count(lab.idx) AS k FROM i LEFT JOIN lab ON lab.image = i.image GROUP BY 1, 2),
+q AS (SELECT batch, count(*) AS n_images, sum((k = 0)::INT)::BIGINT AS images_0, sum((k BETWEEN 1 AND 2)::INT)::BIGINT AS images_1_2, sum((k BETWEEN 3 AND 5)::INT)::BIGINT AS images_3_5, sum((k BETWEEN 6 AND 10)::INT)::BIGINT AS images_6_10, sum((k > 10)::INT)::BIGINT AS images_more FROM p GROUP BY batch),
+b AS (SELECT batch, count(*) AS n_boxes, sum((xc - w / 2 < 0 OR yc - h / 2 < 0 OR xc + w / 2 > 1 OR yc + h / 2 > 1)::INT)::BIGINT AS n_outside, sum((w * h <= 0)::INT)::BIGINT AS n_zero_area, sum((w * h > 0 AND w * h < 0.001)::INT)::BIGINT AS n_tiny, sum((w * h > 0.5)::INT)::BIGINT AS n_huge,
+  round(min(w * h), 9) AS min_area, round(max(w * h), 9) AS max_area, round(avg(w * h), 9) AS mean_area, round(min(w), 9) AS min_w, round(max(w), 9) AS max_w, round(avg(w), 9) AS mean_w, round(min(h), 9) AS min_h, round(max(h), 9) AS max_h, round(avg(h), 9) AS mean_h FROM lab GROUP BY batch),
+c AS (SELECT batch, '[' || string_agg('{{"cls":' || cls || ',"n":' || n || '}}', ',' ORDER BY cls) || ']' AS classes FROM (SELECT batch, cls, count(*) AS n FROM lab GROUP BY 1, 2) GROUP BY 1),
+m AS (SELECT image % 3 AS batch, sum((rater <> 'F')::INT)::BIGINT AS n_malformed FROM boxes GROUP BY 1)
+SELECT *, 0::BIGINT AS n_labels_without_image FROM q JOIN b USING (batch) JOIN c USING (batch) JOIN m USING (batch)"""
+
 QUERIES = {
     "split_by_image": (lambda s, d: P.split_by_image(S.boxes(s, d)).select("image", "idx", "split"), f"WITH {S.BOXES}, i AS ({_numbered('(SELECT DISTINCT image FROM boxes)', '', '42', 'image')}), t AS (SELECT image, CASE WHEN n <= floor(c * 0.7) THEN 'train' WHEN n <= floor(c * 0.7) + floor(c * 0.15) THEN 'val' ELSE 'test' END AS split FROM (SELECT *, count(*) OVER () AS c FROM i)) SELECT image, idx, split FROM boxes JOIN t USING (image)"),
     "balance_classes": (lambda s, d: P.balance_classes(members(s, d), "cls", "id"), f"WITH {S.MEMBERS}, m AS ({_numbered('members', 'cls', '42')}) SELECT id, cls FROM m WHERE n <= (SELECT min(c) FROM (SELECT count(*) AS c FROM members GROUP BY cls))"),
@@ -89,26 +115,23 @@ n AS (SELECT *, row_number() OVER (PARTITION BY client, cls ORDER BY md5('42|' |
     "client_totals": (lambda s, d: P.client_totals(members(s, d).withColumn("client", (F.col("id") % 3).cast("int"))), f"WITH {S.MEMBERS} SELECT (id % 3)::INT AS client, cls, count(*) AS n FROM members GROUP BY CUBE ((id % 3)::INT, cls)"),
     "merge_domains": (lambda s, d: (lambda m: P.domain_totals(P.merge_domains({"a": m.where("id % 2 = 0"), "b": m.where("id % 2 = 1")}, "id").withColumn("label", (F.col("cls") == "BUILDING").cast("int"))))(members(s, d)), f"WITH {S.MEMBERS} SELECT CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS domain, count(*) AS n, count(*) FILTER (WHERE cls = 'BUILDING') AS n_tp, count(*) FILTER (WHERE cls <> 'BUILDING') AS n_fp FROM members GROUP BY ROLLUP (CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END)"),
     "client_summary": (lambda s, d: r9(P.client_summary(S.boxes(s, d).select(P.client_of_path(F.concat_ws("/", "role", "rater", "idx")).alias("client"), (F.col("cls") == 1).cast("int").alias("label"))), "tp_pct"), f"WITH {S.BOXES} SELECT role || '_' || rater AS client, count(*) AS n, count(*) FILTER (WHERE cls = 1) AS n_tp, count(*) FILTER (WHERE cls <> 1) AS n_fp, round(100 * count(*) FILTER (WHERE cls = 1) / count(*), 9) AS tp_pct FROM boxes GROUP BY 1"),
-    "duplicate_content": (lambda s, d: P.duplicate_content(_files(s, d)).select("digest", "n", F.array_join("places", ",").alias("places")), "SELECT md5(text) AS digest, count(*) AS n, string_agg(source || '/' || doc_id::VARCHAR, ',' ORDER BY source || '/' || doc_id::VARCHAR) AS places FROM documents GROUP BY 1 HAVING count(*) > 1"),
-    "same_names": (lambda s, d: P.same_names(_files(s, d)), "SELECT (doc_id % 40)::VARCHAR AS name, count(*) AS n, count(DISTINCT md5(text)) AS n_contents, count(DISTINCT md5(text)) = 1 AS same FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1"),
+    "duplicate_content": (lambda s, d: P.duplicate_content(_files(s, d)), "SELECT digest, source || '/' || doc_id::VARCHAR AS path, n FROM (SELECT *, md5(text) AS digest, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents WHERE text IS NOT NULL) WHERE n > 1"),
+    "same_names": (lambda s, d: P.same_names(_files(s, d)), "WITH f AS (SELECT (doc_id % 50)::VARCHAR AS name, lang AS batch, md5(text) AS digest FROM documents) SELECT name, count(*) AS n, count(DISTINCT digest) AS n_contents, count(DISTINCT digest) = 1 AS same FROM f GROUP BY 1 HAVING count(DISTINCT batch) > 1"),
     "pairing_check": (lambda s, d: (lambda o: P.pairing_check(o.select("batch", F.concat(F.lit("a"), "k").alias("name")), o.select("batch", F.concat(F.lit("b"), "k").alias("name")), o.select("batch", F.concat(F.lit("a"), "k").alias("left"), F.concat(F.lit("b"), F.when(F.col("batch") == 1, F.col("k")).otherwise("x")).alias("right"))))(S.table(s, d, "supplier").select((F.col("s_suppkey") % 3).alias("batch"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0").alias("k"))), "WITH t AS (SELECT s_suppkey % 3 AS batch, lpad(s_suppkey::VARCHAR, 9, '0') AS k FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY k) AS n, count(*) OVER (PARTITION BY batch) AS c FROM t) SELECT batch, count(*) AS n, sum((batch <> 1)::INT)::BIGINT AS n_wrong, sum((batch <> 1 OR 2 * n <> c + 1)::INT)::BIGINT AS n_wrong_reversed FROM r GROUP BY batch"),
     "compare_names": (lambda s, d: P.compare_names(S.table(s, d, "customer").select(F.col("c_custkey").alias("name")), S.table(s, d, "orders").select((F.col("o_custkey") + 5).alias("name"))), "WITH a AS (SELECT c_custkey AS name FROM customer), b AS (SELECT DISTINCT o_custkey + 5 AS name FROM orders) SELECT name, 'both' AS side FROM a WHERE name IN (SELECT name FROM b) UNION ALL SELECT name, 'left' FROM a WHERE name NOT IN (SELECT name FROM b) UNION ALL SELECT name, 'right' FROM b WHERE name NOT IN (SELECT name FROM a)"),
-    "label_profile": (lambda s, d: r9(P.label_profile(S.boxes(s, d).select((F.col("image") % 3).alias("batch"), "image").distinct(), _label_rows(s, d)), "min_area", "max_area", "mean_area", "mean_w", "mean_h"), f"""WITH {S.BOXES}, {_LABELS}, i AS (SELECT DISTINCT image % 3 AS batch, image FROM boxes), p AS (SELECT i.batch, i.image, count(lab.idx) AS k FROM i LEFT JOIN lab ON lab.image = i.image GROUP BY 1, 2),
-q AS (SELECT batch, count(*) AS n_images, sum((k = 0)::INT)::BIGINT AS images_0, sum((k BETWEEN 1 AND 2)::INT)::BIGINT AS images_1_2, sum((k BETWEEN 3 AND 5)::INT)::BIGINT AS images_3_5, sum((k BETWEEN 6 AND 10)::INT)::BIGINT AS images_6_10, sum((k > 10)::INT)::BIGINT AS images_more FROM p GROUP BY batch),
-b AS (SELECT batch, count(*) AS n_boxes, sum((xc - w / 2 < 0 OR yc - h / 2 < 0 OR xc + w / 2 > 1 OR yc + h / 2 > 1)::INT)::BIGINT AS n_outside, sum((w * h <= 0)::INT)::BIGINT AS n_zero_area, sum((w * h > 0 AND w * h < 0.001)::INT)::BIGINT AS n_tiny, sum((w * h > 0.5)::INT)::BIGINT AS n_huge, round(min(w * h), 9) AS min_area, round(max(w * h), 9) AS max_area, round(avg(w * h), 9) AS mean_area, round(avg(w), 9) AS mean_w, round(avg(h), 9) AS mean_h FROM lab GROUP BY batch)
-SELECT *, 0::BIGINT AS n_labels_without_image FROM q JOIN b USING (batch)"""),
+    "label_profile": (_label_profile, _LABEL_PROFILE),
     "fedavg": (lambda s, d: r9(E.fedavg(S.params(s, d), S.client_stats(s, d).select("exp", "round", "client", F.col("n_samples").cast("double").alias("weight"))), "value"), f"WITH {S.PARAMS}, {S.CLIENT_STATS} SELECT exp, round, param, pos, round(CASE WHEN bool_or(is_int) THEN arg_min(value, client) ELSE sum(n_samples * value) / sum(n_samples) END, 9) AS value FROM params JOIN client_stats USING (exp, round, client) GROUP BY exp, round, param, pos"),
     "fedavg_equal": (lambda s, d: r9(E.fedavg(S.params(s, d)), "value"), f"WITH {S.PARAMS} SELECT exp, round, param, pos, round(CASE WHEN bool_or(is_int) THEN arg_min(value, client) ELSE avg(value) END, 9) AS value FROM params GROUP BY exp, round, param, pos"),
     "quality_weights": (lambda s, d: r9(E.quality_weights(S.client_stats(s, d), warmup=2, warm="samples"), "weight"), f"WITH {S.CLIENT_STATS} SELECT exp, round, client, round(CASE WHEN round < 2 THEN n_samples / sum(n_samples) OVER w ELSE map50 / sum(map50) OVER w END, 9) AS weight FROM client_stats WINDOW w AS (PARTITION BY exp, round)"),
-    "fedprox_pull": (lambda s, d: (lambda p: r9(E.fedprox_pull(p, p.where("client = 'c0' and round = 0 and pos < 20"), 0.1), "value"))(S.params(s, d)), f"WITH {S.PARAMS} SELECT p.exp, p.round, p.client, p.param, p.pos, round(CASE WHEN p.is_int OR g.value IS NULL THEN p.value ELSE 0.9 * p.value + 0.1 * g.value END, 9) AS value, p.is_int FROM params p LEFT JOIN (SELECT * FROM params WHERE client = 'c0' AND round = 0 AND pos < 20) g ON g.param = p.param AND g.pos = p.pos"),
+    "fedprox_pull": (lambda s, d: (lambda p: r9(E.fedprox_pull(p, p.where("client = 'c0' and round = 0"), 0.1), "value"))(S.params(s, d)), f"WITH {S.PARAMS} SELECT p.exp, p.round, p.client, p.param, p.pos, round(CASE WHEN p.is_int OR g.value IS NULL THEN p.value ELSE 0.9 * p.value + 0.1 * g.value END, 9) AS value, p.is_int FROM params p LEFT JOIN (SELECT * FROM params WHERE client = 'c0' AND round = 0) g ON g.param = p.param AND g.pos = p.pos"),
     "aggregate_round": (lambda s, d: r9(E.aggregate_round(S.params(s, d), S.client_stats(s, d), "EWA-v2"), "value"), f"WITH {S.PARAMS}, {S.CLIENT_STATS} SELECT exp, round, param, pos, round(CASE WHEN bool_or(is_int) THEN arg_min(value, client) ELSE sum(map50 * value) / sum(map50) END, 9) AS value FROM params JOIN client_stats USING (exp, round, client) GROUP BY exp, round, param, pos"),
     "node_order": (lambda s, d: E.node_order(S.client_stats(s, d), "quality"), f"WITH {S.CLIENT_STATS}, l AS (SELECT *, lag(map50) OVER (PARTITION BY exp, client ORDER BY round) AS last FROM client_stats) SELECT exp, round, client, row_number() OVER (PARTITION BY exp, round ORDER BY coalesce(last, 0) DESC, client)::INT AS place FROM l"),
-    "sequential_gate": (lambda s, d: (lambda c: r9(E.sequential_gate(c, E.node_order(c), "soft"), "weight"))(S.client_stats(s, d)), None),
+    "sequential_gate": (lambda s, d: (lambda c: r9(E.sequential_gate(c, E.node_order(c), "soft"), "weight"))(S.client_stats(s, d)), _SOFT_GATE),
     "sequential_gate_none": (lambda s, d: (lambda c: r9(E.sequential_gate(c, E.node_order(c), "none"), "weight"))(S.client_stats(s, d)), f"WITH {S.CLIENT_STATS} SELECT a.exp, a.round, b.round AS source_round, b.client, round(b.n_samples / sum(b.n_samples) OVER (PARTITION BY a.exp, a.round), 9) AS weight FROM (SELECT DISTINCT exp, round FROM client_stats) a JOIN client_stats b ON a.exp = b.exp AND b.round <= a.round"),
     "sequential_gate_hard": (lambda s, d: (lambda c: E.sequential_gate(c, E.node_order(c), "hard"))(S.client_stats(s, d)), f"""WITH RECURSIVE {S.CLIENT_STATS}, o AS (SELECT exp, round, client, map50, row_number() OVER (PARTITION BY exp ORDER BY round, client) AS n FROM client_stats),
 w AS (SELECT exp, n, round, round AS source_round, client, map50 AS cache FROM o WHERE n = 1 UNION ALL SELECT w.exp, o.n, o.round, CASE WHEN o.map50 > w.cache THEN o.round ELSE w.source_round END, CASE WHEN o.map50 > w.cache THEN o.client ELSE w.client END, greatest(o.map50, w.cache) FROM w JOIN o ON o.exp = w.exp AND o.n = w.n + 1)
 SELECT exp, round, source_round, client, 1.0::DOUBLE AS weight FROM w QUALIFY row_number() OVER (PARTITION BY exp, round ORDER BY n DESC) = 1"""),
-    "gated_average": (lambda s, d: (lambda c: r9(E.gated_average(S.params(s, d), E.sequential_gate(c, E.node_order(c), "none")).where("pos < 30"), "value"))(S.client_stats(s, d)), f"WITH {S.PARAMS}, {S.CLIENT_STATS}, k AS (SELECT a.exp, a.round AS target, b.round, b.client, b.n_samples / sum(b.n_samples) OVER (PARTITION BY a.exp, a.round) AS weight FROM (SELECT DISTINCT exp, round FROM client_stats) a JOIN client_stats b ON a.exp = b.exp AND b.round <= a.round) SELECT exp, target AS round, param, pos, round(sum(weight * value), 9) AS value FROM params JOIN k USING (exp, round, client) WHERE pos < 30 GROUP BY exp, target, param, pos"),
+    "gated_average": (lambda s, d: (lambda c: r9(E.gated_average(S.params(s, d), E.sequential_gate(c, E.node_order(c), "none")), "value"))(S.client_stats(s, d)), f"WITH {S.PARAMS}, {S.CLIENT_STATS}, k AS (SELECT a.exp, a.round AS target, b.round, b.client, b.n_samples, b.n_samples / sum(b.n_samples) OVER (PARTITION BY a.exp, a.round) AS weight FROM (SELECT DISTINCT exp, round FROM client_stats) a JOIN client_stats b ON a.exp = b.exp AND b.round <= a.round) SELECT exp, target AS round, param, pos, round(CASE WHEN bool_or(is_int) THEN list({{'n': n_samples, 'c': client, 'v': value}} ORDER BY n_samples DESC, client DESC)[1].v ELSE sum(weight * value) END, 9) AS value FROM params JOIN k USING (exp, round, client) GROUP BY exp, target, param, pos"),
     "federated_rounds": (lambda s, d: r9(E.federated_rounds(S.vectors(s, d).select("client", "cls", *(F.get("values", F.lit(i)).alias(f"f{i}") for i in range(16))), [f"f{i}" for i in range(16)], "cls", "client", 10), "accuracy", "loss"), None),
     "convergence": (lambda s, d: r9(H.convergence(S.rounds(s, d)), "gain_20"), f"""WITH {S.ROUNDS}, r AS (SELECT *, lag(map50, 19) OVER (PARTITION BY exp ORDER BY round) AS back, last_value(map50) OVER w AS fin, last_value(val_loss) OVER w AS fl FROM rounds WINDOW w AS (PARTITION BY exp ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT exp, max(map50) AS best_map50, (min(round) FILTER (WHERE map50 = m))::INT AS best_map50_row, max(map) AS best_map, (min(round) FILTER (WHERE map = p))::INT AS best_map_row, min(round) FILTER (WHERE map50 >= 0.95 * fin) AS first_95, min(round) FILTER (WHERE val_loss = v) AS min_val_loss_row, CASE WHEN any_value(fl) > 1.1 * min(val_loss) THEN 'increasing' ELSE 'stable' END AS val_loss_trend, round(coalesce(any_value(fin) - arg_max(back, round), 0), 9) AS gain_20
@@ -117,6 +140,7 @@ FROM (SELECT *, max(map50) OVER (PARTITION BY exp) AS m, max(map) OVER (PARTITIO
     "client_gap": (lambda s, d: r9(H.client_gap(_round_clients(s, d)), "gap"), f"WITH {S.CLIENT_STATS} SELECT exp, round, round(max(map50) - min(map50), 9) AS gap, max(map50) - min(map50) > 0.05 AS warning FROM client_stats GROUP BY exp, round"),
     "client_pivot": (lambda s, d: r9(H.client_pivot(_round_clients(s, d), ["c0", "c1"]), "c0", "c1"), f"WITH {S.CLIENT_STATS} SELECT exp, round, round(max(map50) FILTER (WHERE client = 'c0'), 9) AS c0, round(max(map50) FILTER (WHERE client = 'c1'), 9) AS c1 FROM client_stats GROUP BY exp, round"),
     "strategy_table": (lambda s, d: r9(H.strategy_table(S.rounds(s, d), ["exp"]), "drop_from_best"), f"WITH {S.ROUNDS}, b AS (SELECT *, max(map50) OVER (PARTITION BY exp) AS m FROM rounds) SELECT exp, arg_max(map50, round) AS final, any_value(m) AS best, min(round) FILTER (WHERE map50 = m) AS best_round, min(round) FILTER (WHERE map50 >= 0.95 * m) AS convergence_round, round(any_value(m) - arg_max(map50, round), 9) AS drop_from_best FROM b GROUP BY exp"),
+    "mu_sensitivity": (lambda s, d: r9(H.mu_sensitivity(S.rounds(s, d).withColumn("mu", F.substring("exp", 2, 1).cast("int") % 2 / 10)), "mean_final", "mean_best", "drop"), f"WITH {S.ROUNDS}, r AS (SELECT exp, (substr(exp, 2, 1)::INT % 2) / 10 AS mu, arg_max(map50, round) AS final, max(map50) AS best FROM rounds GROUP BY exp), t AS (SELECT mu, count(*) AS n_runs, avg(final) AS f, max(final) AS best_final, avg(best) AS b FROM r GROUP BY mu) SELECT mu, n_runs, round(f, 9) AS mean_final, best_final, round(b, 9) AS mean_best, round(max(f) OVER () - f, 9) AS drop FROM t"),
     "specialist_gap": (lambda s, d: H.specialist_gap(_round_clients(s, d)).withColumns({c: F.round(c, 6) for c in ("dominant_ap", "other_ap", "gap")}), f"WITH {S.CLIENT_STATS} SELECT exp, round, client, round(map50 * 3 / 8, 6) AS dominant_ap, round(map50 * 7 / 8, 6) AS other_ap, round(-map50 / 2, 6) AS gap FROM client_stats"),
     "readiness_score": (lambda s, d: H.readiness_score(S.rounds(s, d), S.rounds(s, d).select("exp", F.col("round").alias("instances"), "map")), f"WITH {S.ROUNDS}, t AS (SELECT exp, max(map50) > 0.85 AS quality_ok, max(round) / greatest(1, min(round)) < 5 AS balance_ok, max(map) - min(map) > 0.05 AS spread_ok, arg_max(val_loss, round) <= 1.1 * min(val_loss) AS loss_ok FROM rounds GROUP BY exp), u AS (SELECT *, (25 * (quality_ok::INT + balance_ok::INT + spread_ok::INT + loss_ok::INT))::INT AS score FROM t) SELECT *, CASE WHEN score >= 75 THEN 'ready' WHEN score >= 50 THEN 'cautious' ELSE 'not_ready' END AS verdict FROM u"),
     "best_round": (lambda s, d: H.best_round(S.rounds(s, d)).select("exp", "round", "map"), f"WITH {S.ROUNDS} SELECT exp, round, map FROM rounds QUALIFY row_number() OVER (PARTITION BY exp ORDER BY map DESC, round) = 1"),
@@ -128,7 +152,8 @@ FROM (SELECT *, max(map50) OVER (PARTITION BY exp) AS m, max(map) OVER (PARTITIO
     "recent_blocks": (lambda s, d: A.recent(_chain(s, d), 3).select("chain_id", "index", "place"), f"{_CHAIN} SELECT chain_id, index, row_number() OVER (PARTITION BY chain_id ORDER BY index DESC)::INT AS place FROM b QUALIFY place <= 3"),
     "audit_trail": (lambda s, d: A.trail(_chain(s, d), 2, "click").select("chain_id", "index", "place"), f"{_CHAIN}, t AS (SELECT chain_id, index FROM b WHERE operation = 'click' QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY index DESC) <= 2) SELECT chain_id, index, row_number() OVER (PARTITION BY chain_id ORDER BY index)::INT AS place FROM t"),
     "retained_chain": (lambda s, d: A.verify_chain(A.retain(_chain(s, d), 5)), f"{_CHAIN} SELECT chain_id, least(count(*), 5) AS n_blocks, true AS valid, NULL::BIGINT AS first_bad_index FROM b GROUP BY chain_id"),
-    "audit_stats": (lambda s, d: A.audit_stats(_chain(s, d)).select("chain_id", "length", "valid", "latest_hash", F.to_json("operations").alias("operations")), None),
+    "audit_stats": (lambda s, d: A.audit_stats(_chain(s, d)).select("chain_id", "length", "valid", "latest_hash", F.to_json("operations").alias("operations")), f"""{_CHAIN}, o AS (SELECT chain_id, '{{' || string_agg('"' || operation || '":' || n, ',' ORDER BY operation) || '}}' AS operations FROM (SELECT chain_id, operation, count(*) AS n FROM chain GROUP BY 1, 2) GROUP BY 1)
+SELECT chain_id, count(*) AS length, true AS valid, substr(arg_max(hash, index), 1, 16) || '...' AS latest_hash, any_value(operations) AS operations FROM chain JOIN o USING (chain_id) GROUP BY chain_id"""),
     "audit_display": (lambda s, d: A.display(_chain(s, d)).select("chain_id", "index", "details", "hash"), f"{_CHAIN} SELECT chain_id, index, substr(details, 1, 80) AS details, substr(hash, 1, 16) AS hash FROM chain"),
     "read_label_lines": (lambda s, d: r9(R.label_lines_of(W.label_lines(_label_rows(s, d), "image").withColumnRenamed("image", "source").drop("idx")), "xc", "yc", "w", "h"), f"WITH {S.BOXES}, {_LABELS} SELECT image AS source, cls, round(xc, 6) AS xc, round(yc, 6) AS yc, round(w, 6) AS w, round(h, 6) AS h FROM lab"),
     "read_polygons": (lambda s, d: R.polygons_of(W.polygon_json(S.boxes(s, d)).withColumnRenamed("image", "source")).select("source", "key", "x1", "y1", "x2", "y2"), f"WITH {S.BOXES} SELECT image AS source, (row_number() OVER (PARTITION BY image ORDER BY idx) - 1)::VARCHAR AS key, x1, y1, x2, y2 FROM boxes"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from petriflow.operators.boxes import corners_from_xywh
+
 _DETECTION = "bbox array<double>, confidence double, rfdetr_conf double, area double, perimeter double, circularity double, solidity double, aspect_ratio double, matched boolean, is_tp boolean, match_iou double"
 NESTED = f"per_image array<struct<{', '.join(x.replace(' ', ':', 1) for x in ('image string', 'detections array<struct<' + ', '.join(y.replace(' ', ':', 1) for y in _DETECTION.split(', ')) + '>>'))}>>"
 FLAT = f"cache_key string, image string, det_idx int, {_DETECTION}, crop_path string, image_size array<int>, n_gt int"
@@ -59,7 +61,7 @@ def read_box_annotations(spark: SparkSession, path: str) -> DataFrame:
     """(image, n_organoids, width, height, x1, y1, x2, y2): a row a box, and one with null corners for an image without boxes."""
     schema = "image string, source_annotated string, source_original string, n_organoids int, bboxes array<struct<x:double,y:double,w:double,h:double>>, image_size array<int>"
     j = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("b", F.explode_outer("bboxes"))
-    return j.select("image", "source_annotated", "source_original", "n_organoids", F.get("image_size", F.lit(0)).alias("width"), F.get("image_size", F.lit(1)).alias("height"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1"), (F.col("b.x") + F.col("b.w")).alias("x2"), (F.col("b.y") + F.col("b.h")).alias("y2"))
+    return j.select("image", "source_annotated", "source_original", "n_organoids", F.get("image_size", F.lit(0)).alias("width"), F.get("image_size", F.lit(1)).alias("height"), *corners_from_xywh("b.x", "b.y", "b.w", "b.h"))
 
 
 def _detection_columns(d: str) -> list[Column]:

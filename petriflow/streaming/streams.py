@@ -6,38 +6,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from petriflow.operators.audit import SCHEMA, block_hash
 from petriflow.operators.vectors import split_batch
 
 
-def ingest_vectors(stream: DataFrame, dim: int, table: str, audit: str, checkpoint: str, available_now: bool = True):
-    """Each micro-batch: rows of the right length are written under ``table`` (latest per id wins on reading), one audit row with the counts under ``audit``.
+def ingest_vectors(stream: DataFrame, dim: int, table: str, audit: str, checkpoint: str, available_now: bool = True, chain: str = "vectors"):
+    """Each micro-batch: rows of the right length go to ``table`` (`read_vectors` takes the last write of an id), and one block with the batch's
+    counts goes to the hash chain under ``audit``, linked to the block before, so that `verify_chain` accepts it.
 
-    A batch that is run again overwrites its own folder, so it counts once.
+    A batch that is run again overwrites its own folders, so it counts once and makes the same block but for its time, which is the
+    stream's batch number.
     """
 
     def store(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
         batch = batch.persist()
         good, bad = split_batch(batch, dim)
         good.withColumn("seq", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
-        counts = good.agg(F.count("*").alias("accepted")).crossJoin(bad.agg(F.count("*").alias("rejected")))  # one row each
-        counts.select(F.lit("vectors").alias("chain_id"), F.lit("Insert").alias("operation"), "accepted", "rejected").write.mode("overwrite").json(f"{audit}/epoch={epoch}")
+        accepted, rejected = good.count(), bad.count()
         batch.unpersist()
+        before = None if epoch == 0 else spark.read.schema(SCHEMA).json(f"{audit}/epoch={epoch - 1}").orderBy(F.desc("index")).first()
+        row = (chain, epoch, str(epoch), "Insert", f"accepted={accepted} rejected={rejected}", "0" if before is None else before["hash"], 0)
+        block = spark.createDataFrame([row], "chain_id string, index long, ts string, operation string, details string, prev_hash string, nonce int")
+        block.withColumn("hash", block_hash()).select(*(c.split()[0] for c in SCHEMA.split(", "))).write.mode("overwrite").json(f"{audit}/epoch={epoch}")
 
     w = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+def read_vectors(spark: SparkSession, table: str, key: str = "id") -> DataFrame:
+    """The table that `ingest_vectors` wrote: the last write of each id."""
+    rows = spark.read.parquet(table).drop("epoch")
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("seq")))).where("_n = 1").drop("_n")
+
+
+def read_audit(spark: SparkSession, audit: str) -> DataFrame:
+    """The chain of blocks that `ingest_vectors` wrote."""
+    return spark.read.schema(SCHEMA).json(f"{audit}/epoch=*")
+
+
 _VERDICT = "chain_id string, index long, hash_ok boolean, link_ok boolean, late boolean"
 
 
 def verify_stream(blocks: DataFrame) -> DataFrame:
     """A verdict for each arriving block; the state of a chain is its last index and hash. A repeated or older index is late and changes nothing."""
-    from petriflow.operators.audit import block_hash
-
     def check(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, prev = state.get if state.exists else (-1, "")
         rows = []
@@ -57,13 +73,18 @@ def verify_stream(blocks: DataFrame) -> DataFrame:
 _ROUND = "exp string, round int, n_clients int, n_samples long, value array<double>"
 
 
-def average_rounds(updates: DataFrame, min_clients: int) -> DataFrame:
+def average_rounds(updates: DataFrame, min_clients: int, forget_after: str = "1 hour") -> DataFrame:
     """Updates (exp, round, client, n_samples, value array<double>) to the sample-weighted mean of a round, once ``min_clients`` sent one.
 
-    A client's later update replaces its earlier one while the round is open; updates of a closed round are not accepted.
+    A client's later update replaces its earlier one while the round is open; updates of a closed round are not accepted. A closed round keeps
+    no values, and any round that has heard nothing for ``forget_after`` leaves the state.
     """
+    wait = int(pd.Timedelta(forget_after).total_seconds() * 1000)
 
     def gather(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         done, clients, samples, values = state.get if state.exists else (False, [], [], [])
         held = {c: (n, v) for c, n, v in zip(clients, samples, values, strict=True)}
         for u in pd.concat(list(frames)).itertuples(index=False):
@@ -76,5 +97,6 @@ def average_rounds(updates: DataFrame, min_clients: int) -> DataFrame:
             yield pd.DataFrame({"exp": [key[0]], "round": [int(key[1])], "n_clients": [len(held)], "n_samples": [int(n.sum())], "value": [mean.tolist()]})
             held = {}
         state.update((done, list(held), [x[0] for x in held.values()], [x[1] for x in held.values()]))
+        state.setTimeoutDuration(wait)
 
-    return updates.groupBy("exp", "round").applyInPandasWithState(gather, _ROUND, "done boolean, clients array<string>, samples array<long>, values array<array<double>>", "append", GroupStateTimeout.NoTimeout)
+    return updates.groupBy("exp", "round").applyInPandasWithState(gather, _ROUND, "done boolean, clients array<string>, samples array<long>, values array<array<double>>", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -100,10 +100,39 @@ def test_nms_against_brute_force(spark):
     assert {(r.image, r.idx) for r in G.nms(spark.createDataFrame(rows, SPEC), 0.4).collect()} == kept
 
 
-def test_union_leaves_an_image_with_one_empty_side(spark):
+def test_union_penalises_what_only_one_side_has(spark):
     a = spark.createDataFrame([(0, 0, 0.0, 0.0, 10.0, 10.0, 0.9), (0, 1, 0.0, 1.0, 10.0, 11.0, 0.8)], SPEC)
     none = spark.createDataFrame([], SPEC)
-    assert sorted(r.score for r in G.ensemble_union(a, none).collect()) == [0.8, 0.9]
+    for x, y in ((a, none), (none, a)):
+        assert sorted(round(r.score, 9) for r in G.ensemble_union(x, y).collect()) == [0.56, 0.63]
+
+
+def test_an_anchor_without_any_score_goes(spark):
+    d = spark.createDataFrame([(0, 0, 0.0, 0.0, 10.0, 10.0, 0.0), (0, 1, 50.0, 50.0, 60.0, 60.0, 0.5)], SPEC)
+    assert [(r.idx, r.score) for r in G.anchor_fusion(d).collect()] == [(1, 0.5)]
+
+
+def test_consensus_of_three_raters_against_brute_force(spark):
+    rows = [(i, j, *b, "abc"[j % 3]) for i, j, *b, _ in (r for seed in range(4) for r in some(seed))]
+    rows = list({(r[0], r[1]): r for r in rows}.values())
+    d = spark.createDataFrame(rows, "image long, idx long, x1 double, y1 double, x2 double, y2 double, rater string")
+    got = {(r.image, r.idx): (round(r.x1, 9), round(r.confidence, 9), r.n_matched, r.kind) for r in G.label_consensus(d, ["a", "b", "c"], 0.3).collect()}
+    want = {}
+    for image in {r[0] for r in rows}:
+        sides = {k: sorted(r for r in rows if r[0] == image and r[6] == k) for k in "abc"}
+        sides = {k: v for k, v in sides.items() if v}
+        base, n, used = min(sides), len(sides), set()
+        for r in sides[base]:
+            group = [r]
+            for k in sorted(sides):
+                best = max(((iou(r[2:6], o[2:6]), -o[1], o) for o in sides[k] if k != base and o[:2] not in used), default=None)
+                if best and best[0] >= 0.3:
+                    used.add(best[2][:2])
+                    group.append(best[2])
+            m = len(group)
+            want[r[:2]] = (round(sum(g[2] for g in group) / m, 9), round(0.5 if n == 1 else m / n, 9), m, "consensus" if m > 1 else "single")
+        want |= {o[:2]: (round(o[2], 9), round(1 / n, 9), 1, "single") for k in sides if k != base for o in sides[k] if o[:2] not in used}
+    assert got == want
 
 
 def test_consensus(spark):
