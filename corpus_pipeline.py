@@ -12,8 +12,9 @@ from petriflow.llm import decontaminate, ngram_join, piece_transducer, quality_r
 
 def _safe(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with names that no operator makes (but for doc_id and text), and the way back to its own columns."""
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
     names = {c: c if c in ("doc_id", "text") else f"_column_{i}" for i, c in enumerate(docs.columns)}
-    renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    renamed = docs.select(*(F.col(quoted(c)).alias(n) for c, n in names.items()))
     return renamed, lambda out: out.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
@@ -25,7 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: the one of the least id."""
-    return ngram_join.one_of_each(docs).select(*docs.columns)
+    named, back = _safe(docs)
+    return back(ngram_join.one_of_each(named))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +42,15 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    named, back = _safe(docs)
+    return back(decontaminate.clean(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids under the SentencePiece model, with their number and checksum."""
-    return piece_transducer.encode(docs.select("doc_id", "lang", "source", "text")).drop("text")
+    """Each document's ids under the SentencePiece model, with their number and checksum, and doc_id, lang and source where there are such; the text and
+    any other column have done their work and are left out."""
+    kept = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    return piece_transducer.encode(docs.select(*kept, "text")).drop("text")
 
 
 STAGES = [
