@@ -8,7 +8,7 @@ leaves their pieces apart and infinity otherwise: the one finite path is the res
 space pieces, which all have one rank, are merged from the left.
 
 Paths are independent between characters that stand side by side in no piece, so the lattice is cut there. A batch's words are made
-distinct first, and a worker keeps the ids of the first ``CACHE`` it met.
+distinct first, and a worker keeps the ids of ``CACHE`` words and then starts anew.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from petriflow.llm import textvec as tv
 
 SPACE = "▁"
 #: Words whose ids a worker keeps, bytes of text and characters of new words taken at a time.
-CACHE, TEXT_BYTES, LATTICE = 300_000, 4 << 20, 1 << 17
+CACHE, TEXT_BYTES, LATTICE = 1_500_000, 4 << 20, 1 << 17
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 _INF = float("inf")
@@ -81,52 +81,6 @@ def rewrite_rules(blob: bytes) -> dict[str, str]:
     return rules
 
 
-class _Table:
-    """Non-negative numbers to numbers, by open addressing; -1 for what is not there."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.n = 0
-        self._empty(len(keys))
-        self.add(keys, values)
-
-    def _empty(self, n: int) -> None:
-        self.mask = (1 << max(8, (4 * n).bit_length())) - 1
-        self.keys, self.values = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, -1, np.int32)
-
-    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Takes in keys that differ from one another and from those here."""
-        self.n += len(keys)
-        if 2 * self.n > self.mask:
-            held = self.keys >= 0
-            keys, values = np.concatenate([self.keys[held], keys]), np.concatenate([self.values[held], values])
-            self._empty(self.n)
-        slot = self._slot(keys)
-        while len(keys):
-            free = self.keys[slot] < 0
-            self.keys[slot[free]] = keys[free]  # of keys that meet in a slot one stays
-            there = self.keys[slot] == keys
-            self.values[slot[there]] = values[there]
-            keys, values, slot = keys[~there], values[~there], slot[~there] + 1 & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.int64(0x2545F4914F6CDD1D) >> np.int64(20)) & self.mask
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        known = self.keys[slot]
-        out = np.where(known == keys, self.values[slot], -1)
-        left = np.flatnonzero((known != keys) & (known >= 0))
-        keys, slot = keys[left], slot[left]
-        while len(left):
-            slot = slot + 1 & self.mask
-            known = self.keys[slot]
-            hit = known == keys
-            out[left[hit]] = self.values[slot[hit]]
-            more = ~hit & (known >= 0)
-            left, keys, slot = left[more], keys[more], slot[more]
-        return out
-
-
 class Transducer:
     """The compiled model; `encode` gives ids, `decode` the text."""
 
@@ -182,7 +136,7 @@ class Transducer:
         sizes = np.array([len(t) for t in table], np.int64)
         self.out = np.frombuffer(b"".join(table), np.uint8)
         self.out_size, self.out_first = sizes, np.cumsum(sizes) - sizes
-        self.known: dict[str, bytes] = {}
+        self.known = tv.WordTable("<u4", CACHE)
 
     def _compile_automaton(self) -> None:
         usable = [p for p in (self.right if self.kind == BPE else self.rank) if p]
@@ -205,15 +159,15 @@ class Transducer:
                 state = to
             final[state] = self.id[p]
         numbers = lambda x: np.fromiter(x, np.int64)
-        self.arcs = _Table(numbers(arcs), numbers(arcs.values()))
+        self.arcs = tv.Table(numbers(arcs), numbers(arcs.values()))
         self.final = np.array(final, np.int64)
-        self.near = _Table(numbers(a * k + b for a, b in near), np.zeros(len(near), np.int64))
+        self.near = tv.Table(numbers(a * k + b for a, b in near), np.zeros(len(near), np.int64))
         self.weight = np.zeros(len(self.pieces) + 1)
         if self.kind != BPE:
             self.weight[-1] = self.worst
             for p in usable:
                 self.weight[self.id[p]] = self.rank[p]
-        self.apart = _Table(np.empty(0, np.int64), np.empty(0, np.int64))
+        self.apart = tv.Table(np.empty(0, np.int64), np.empty(0, np.int64))
 
     def _merge(self, text: str) -> list[tuple[str, str]]:
         """The merges of ``text`` in order, white space runs aside; the last makes the whole if it is reachable."""
@@ -270,9 +224,9 @@ class Transducer:
             new = np.unique(keys[found < 0])
             pieces = self.pieces
             made = [self._stay_apart(pieces[x], pieces[y]) for x, y in zip((new // len(pieces)).tolist(), (new % len(pieces)).tolist(), strict=True)]
-            fresh = _Table(new, np.array(made, np.int64))
+            fresh = tv.Table(new, np.array(made, np.int64))
             found = np.where(found < 0, fresh.find(keys), found)
-            if self.apart.n < 4 * CACHE:
+            if self.apart.n < CACHE:
                 self.apart.add(new, np.array(made, np.int64))
         out[inner] = found > 0
         return out
@@ -454,42 +408,35 @@ class Transducer:
         """(ids of all texts in a row, ids of each). Null counts as the empty text."""
         texts = texts.cast(pa.large_string()).fill_null("")
         # Single spaces between words, none at the ends, and nothing to rewrite: words are what stands between spaces.
-        odd = "^ | $|  |" + SPACE
-        simple = pc.invert(pc.match_substring_regex(texts, odd)) if self.by_word and self.prefix and not self.rewritten else pa.array([False] * len(texts))
+        simple = pc.invert(pc.match_substring_regex(texts, "^ | $|  |" + SPACE)) if self.by_word and self.prefix and not self.rewritten else pa.array([False] * len(texts))
         simple = pc.and_(simple, pc.not_equal(texts, ""))
-        lists = pc.split_pattern(pc.if_else(simple, texts, ""), " ")
-        n_words = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        # No word holds a space: one string for all of them is made faster than a string for each.
-        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), pa.scalar(" " + SPACE, pa.large_string()))[0].as_py() if len(coded.dictionary) else None
-        words = [] if words is None else (SPACE + words).split(" ")
+        words, index, n_words = tv.distinct_words(pc.if_else(simple, texts, ""))
+        words = pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), words, pa.scalar("", pa.large_string()))
+        index = index.astype(np.int64)
         others = np.flatnonzero(~simple.to_numpy(zero_copy_only=False))
         if len(others):
-            number = {w: i for i, w in enumerate(words)}
-            spots, extra = np.cumsum(n_words)[others] - 1, []
-            for text in texts.take(pa.array(others)).to_pylist():
-                extra.append([number.setdefault(w, len(number)) for w in self._words(text)])
-            words += list(number)[len(words) :]
+            number: dict[str, int] = {}
+            split = [[number.setdefault(w, len(number)) for w in self._words(t)] for t in texts.take(pa.array(others)).to_pylist()]
             kept = np.ones(len(index), bool)
-            kept[spots] = False  # such a text was split as the empty one, to one word
-            times = np.fromiter(map(len, extra), np.int64, len(extra))
-            where = np.repeat(spots - np.arange(len(spots)), times)
-            index = np.insert(index[kept], where, np.array([i for x in extra for i in x], np.int64))
+            spots = np.cumsum(n_words)[others] - 1
+            kept[spots] = False  # such a text was cut as the empty one, to one word
+            times = np.fromiter(map(len, split), np.int64, len(split))
+            index = np.insert(index[kept], np.repeat(spots - np.arange(len(spots)), times), len(words) + np.array([i for x in split for i in x], np.int64))
             n_words[others] = times
-        values = list(map(self.known.get, words))
-        missing = [i for i, v in enumerate(values) if v is None]
-        if missing:
-            made = self._find([words[i] for i in missing])
-            for i in missing:
-                values[i] = made[words[i]]
-            if len(self.known) < CACHE:
-                self.known.update((words[i], values[i]) for i in missing)
-        laid = pa.array(values, pa.large_binary()).take(pa.array(index))
-        ids = np.frombuffer(laid.buffers()[2] or b"", "<u4")
-        upto = np.frombuffer(laid.buffers()[1], np.int64)[: len(index) + 1] // 4
-        ends = np.cumsum(n_words)
-        return ids, upto[ends] - upto[ends - n_words]
+            words = pa.concat_arrays([words, pa.array(number, pa.large_string())])
+        known = self.known
+        if known.n > known.most:
+            known.clear()
+        key, check = known.hashes(words)
+        entry = known.find(key, check)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            fresh = words.take(pa.array(new)).to_pylist()
+            made = self._find(fresh)
+            entry[new] = known.add(key[new], check[new], [made[w] for w in fresh])
+        ids, upto = known.laid_out(entry[index])
+        ends, whole = np.cumsum(n_words), np.concatenate([[0], upto])
+        return ids, whole[ends] - whole[ends - n_words]
 
     def decode_flat(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all texts in a row, bytes of each): the inverse transducer, white space restored and the prefix taken off."""

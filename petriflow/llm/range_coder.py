@@ -24,7 +24,7 @@ import numpy as np
 
 MAGIC, HEADER = b"CMR2", struct.Struct("<4sIIII")
 #: Most lanes and most ids of one, and the ids of a lane between updates of the model (fewer at first).
-LANES, LANE_IDS, CHUNK = 4_096, 256, 16
+LANES, LANE_IDS, CHUNK = 4_096, 256, 32
 #: Most ids of a block.
 BLOCK_IDS = LANES * LANE_IDS
 #: Bits of a mixture's total and of order 0's; of the range when it is widest, and below which it is widened by 16. Numbers of 48 bits

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 19
 _U = np.uint64
@@ -56,7 +57,7 @@ class _Powers:
         return self.up, self.down
 
 
-_BYTES, _WORDS = _Powers(0x5851F42D4C957F2D), _Powers(0xD1342543DE82EF95)
+_BYTES, _WORDS, _AGAIN = _Powers(0x5851F42D4C957F2D), _Powers(0xD1342543DE82EF95), _Powers(0x9FB21C651E98DF25)
 
 
 def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -95,9 +96,9 @@ def words(data: np.ndarray, offsets: np.ndarray, allowed: np.ndarray) -> tuple[n
     return starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    up, down = _BYTES(len(data) + 1)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, again: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; ``again`` gives another one, independent of the first."""
+    up, down = (_AGAIN if again else _BYTES)(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
@@ -118,3 +119,121 @@ def windows(hashes: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, n
 def per_text(text: np.ndarray, n: int) -> np.ndarray:
     """How many words each of ``n`` texts has."""
     return np.bincount(text, minlength=n).astype(np.int64)
+
+
+class Table:
+    """Non-negative numbers to numbers, by open addressing; -1 for what is not there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.n = 0
+        self._empty(len(keys))
+        self.add(keys, values)
+
+    def _empty(self, n: int) -> None:
+        self.mask = (1 << max(8, (2 * n).bit_length())) - 1
+        self.keys, self.values = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, -1, np.int32)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Takes in keys that differ from one another and from those here."""
+        self.n += len(keys)
+        if 2 * self.n > self.mask:
+            held = self.keys >= 0
+            keys, values = np.concatenate([self.keys[held], keys]), np.concatenate([self.values[held], values])
+            self._empty(self.n)
+        slot = self._slot(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]  # of keys that meet in a slot one stays
+            there = self.keys[slot] == keys
+            self.values[slot[there]] = values[there]
+            keys, values, slot = keys[~there], values[~there], slot[~there] + 1 & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.int64(0x2545F4914F6CDD1D) >> np.int64(20)) & self.mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        known = self.keys[slot]
+        out = np.where(known == keys, self.values[slot], -1)
+        left = np.flatnonzero((known != keys) & (known >= 0))
+        keys, slot = keys[left], slot[left]
+        while len(left):
+            slot = slot + 1 & self.mask
+            known = self.keys[slot]
+            hit = known == keys
+            out[left[hit]] = self.values[slot[hit]]
+            more = ~hit & (known >= 0)
+            left, keys, slot = left[more], keys[more], slot[more]
+        return out
+
+
+class WordTable:
+    """Words to stretches of numbers, in arrays of about 70 bytes a word: 128 bits of hashes tell words apart. Past ``most`` words it starts anew."""
+
+    def __init__(self, dtype: str, most: int):
+        self.dtype, self.most = dtype, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.table = Table(np.empty(0, np.int64), np.empty(0, np.int64))
+        self.check, self.first, self.size, self.pool = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, self.dtype)
+        self.n = self.held = 0
+
+    @staticmethod
+    def hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each of an array of large strings."""
+        _, where, data = words.buffers()
+        offsets = np.frombuffer(where, np.int64)[words.offset : words.offset + len(words) + 1]
+        raw = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+        starts, ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+        return (word_hashes(raw, starts, ends) >> _U(1)).view(np.int64), word_hashes(raw, starts, ends, True)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The entry of each word, or -1."""
+        at = self.table.find(key).astype(np.int64)
+        if self.n:
+            at[(at >= 0) & (self.check[at] != check)] = -1
+        return at
+
+    def add(self, key: np.ndarray, check: np.ndarray, values: list[bytes]) -> np.ndarray:
+        """The entries of words that are not here; a word given twice has two, either of which serves."""
+        numbers = np.frombuffer(b"".join(values), self.dtype)
+        size = np.fromiter(map(len, values), np.int64, len(values)) // numbers.itemsize
+        at = np.arange(self.n, self.n + len(values))
+        first = self.held + np.cumsum(size) - size
+        self.check, self.first, self.size = (self._grown(x, self.n, y) for x, y in ((self.check, check), (self.first, first), (self.size, size)))
+        self.pool = self._grown(self.pool, self.held, numbers)
+        self.n, self.held = self.n + len(values), self.held + len(numbers)
+        keys, once = np.unique(key, return_index=True)
+        fresh = self.table.find(keys) < 0
+        self.table.add(keys[fresh], at[once[fresh]])
+        return at
+
+    @staticmethod
+    def _grown(x: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+        if n + len(more) > len(x):
+            x = np.concatenate([x[:n], np.empty(max(n, 1 << 16, 2 * len(more)), x.dtype)])
+        x[n : n + len(more)] = more
+        return x
+
+    def laid_out(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the stretches of ``entries`` in a row, where each ends)."""
+        n = self.size[entries]
+        upto = np.cumsum(n, dtype=np.int64)
+        at = np.arange(upto[-1] if len(upto) else 0)
+        at += np.repeat(self.first[entries] - upto + n, n)
+        return self.pool[at], upto
+
+
+def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(different words, which of them stands at each place, words of each text) of large strings cut at single spaces."""
+    lists = pc.split_pattern(texts, " ")
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def strings(words: pa.Array) -> list[str]:
+    """Words without spaces as Python strings, by way of one string for all of them."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")

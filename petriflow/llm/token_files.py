@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from petriflow.functions.lineage import checkpointed, partitions, remove, shared_dir
-from petriflow.llm import range_coder, textvec
+from petriflow.llm import range_coder
+from petriflow.llm import textvec as tv
 
 #: Ids of a block, bytes of text that are tokenized at a time, about, words whose ids a worker remembers, and the id that ends a document.
-BLOCK_IDS, TEXT_BYTES, CACHE, END = range_coder.BLOCK_IDS, 8 << 20, 500_000, 2
+BLOCK_IDS, TEXT_BYTES, CACHE, END = range_coder.BLOCK_IDS, 8 << 20, 1_500_000, 2
 _BLOCKS = "part int, seq long, before long, n_ids long, docs array<struct<id:bigint,ordinal:bigint,begin:bigint,n:bigint>>, payload binary"
 _DOCS = pa.list_(pa.struct([("id", pa.int64()), ("ordinal", pa.int64()), ("begin", pa.int64()), ("n", pa.int64())]))
 #: Texts whose ids must be those of their words in a row.
@@ -64,66 +65,66 @@ class Encoder:
         #: Whether the first letter's case counts for nothing, a full stop or comma after a letter is apart, and the model's
         #: symbols of single Latin letters, if words of them are one piece whose symbols stand in a row.
         self.lower = "Lowercase" in kinds and plain
-        self.stops = plain and cut("ab,")[0] == "ab" and cut("ab.")[0] == "ab"
+        self.stops = {x: self._packed(whole(x)) for x in ".,"} if plain and cut("ab,")[0] == "ab" and cut("ab.")[0] == "ab" else {}
         self.letters: dict[int, str] = {}
         if plain and all(k in (None, "NFC", "Lowercase", "Replace") for k in kinds):
             pieces = {i: cut(chr(i)) for i in range(0x250) if chr(i).isalpha() and chr(i).islower()}
             letters = {i: p[0] for i, p in pieces.items() if len(p) == 1}
             if cut("abz\u00e9\u00df\u0159q") == ["abz\u00e9\u00df\u0159q".translate(letters)]:
                 self.letters = letters
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = tv.WordTable("<u2", CACHE)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}H", *ids)
 
-    def _new(self, words: list[str]) -> dict[str, bytes]:
+    def _new(self, words: list[str]) -> list[bytes]:
         """Ids of words that are not known yet. Words that differ by a first capital or a last full stop or comma share the work."""
-        known, made, letters, lower = self.known, {}, self.letters, self.lower
+        letters, lower, stops = self.letters, self.lower, self.stops
         tokenize, packed = self.tokenizer.model.tokenize, self._packed
-        stops = {x: packed(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in ".,"} if self.stops else {}
-        later = []
+        parts, others = [], {}
         for w in words:
             base, tail = w, b""
-            if w[-1] in stops and len(w) > 1 and w[-2] < "\u0250" and w[-2].lower().isalpha():
+            if w[-1:] in stops and len(w) > 1 and w[-2] < "\u0250" and w[-2].lower().isalpha():
                 base, tail = w[:-1], stops[w[-1]]
-            if lower and "A" <= base[0] <= "Z" and base[1:2] < "\u0300":  # no mark that joins either case alone
+            if lower and "A" <= base[:1] <= "Z" and base[1:2] < "\u0300":  # no mark that joins either case alone
                 base = base[0].lower() + base[1:]
-            got = known.get(base)
-            if got is None and (got := made.get(base)) is None:
-                if not (letters and base.isalpha() and base.islower() and (base.isascii() or max(base) < "\u0250")):
-                    later.append((w, base, tail))
-                    continue
-                got = made[base] = packed([x.id for x in tokenize(base if base.isascii() else base.translate(letters))])
-            made[w] = got + tail
-        rest = list(dict.fromkeys(base for _, base, _ in later))
-        coded = dict(zip(rest, (packed(e.ids) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-        for w, base, tail in later:
-            made[w] = coded[base] + tail
-        if len(known) < CACHE:
-            known.update(made)
-            known.update(coded)
-        return made
+            if base is not w:
+                others[base] = None
+            parts.append((base, tail))
+        made: dict[str, bytes] = {"": b""}
+        key, check = tv.WordTable.hashes(pa.array(others, pa.large_string()))
+        there = self.known.find(key, check)
+        for base, e in zip(others, there.tolist(), strict=True):
+            if e >= 0:
+                made[base] = self.known.pool[self.known.first[e] : self.known.first[e] + self.known.size[e]].tobytes()
+        rest = {}
+        for base, _ in parts:
+            if base not in made and base not in rest:
+                if letters and base.isalpha() and base.islower() and (base.isascii() or max(base) < "\u0250"):
+                    made[base] = packed([x.id for x in tokenize(base if base.isascii() else base.translate(letters))])
+                else:
+                    rest[base] = None
+        made.update(zip(rest, (packed(e.ids) for e in self.tokenizer.encode_batch_fast(list(rest), add_special_tokens=False)), strict=True))
+        new = np.flatnonzero(there < 0)
+        self.known.add(key[new], check[new], [made[b] for b, e in zip(others, there.tolist(), strict=True) if e < 0])
+        return [made[base] + tail for base, tail in parts]
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each followed by ``END``; ids of each text with it)."""
-        lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "), " ")
-        coded = lists.flatten().dictionary_encode()
-        # No word holds a space: one string for all of them is made faster than a string for each.
-        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(coded.dictionary) else []
-        values = list(map(self.known.get, words))
-        missing = [i for i, v in enumerate(values) if v is None]
-        made = self._new([words[i] for i in missing])
-        for i in missing:
-            values[i] = made[words[i]]
-        values.append(self._packed([END]))
-        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-        index = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(words))
-        laid = pa.array(values, pa.large_binary()).take(pa.array(index))
-        ids = np.frombuffer(laid.buffers()[2] or b"", "<u2")
-        upto = np.frombuffer(laid.buffers()[1], np.int64)[: len(index) + 1] // 2
-        lengths = np.diff(upto[np.append(0, ends + np.arange(1, len(ends) + 1))])
-        return ids, lengths
+        known = self.known
+        if not 0 < known.n <= known.most:
+            known.clear()
+            known.add(*known.hashes(pa.array(["\n"], pa.large_string())), [self._packed([END])])  # entry 0; no word is a newline
+        words, index, n_words = tv.distinct_words(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "))
+        key, check = known.hashes(words)
+        entry = known.find(key, check)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            entry[new] = known.add(key[new], check[new], self._new(tv.strings(words.take(pa.array(new)))))
+        ends = np.cumsum(n_words)
+        ids, upto = known.laid_out(np.insert(entry[index], ends, 0))
+        return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         ids, n = self.flat(pa.array(texts, pa.large_string()))
@@ -151,7 +152,7 @@ def _write_blocks(spec: str, block_ids: int):
 
         for batch in batches:
             names, texts = batch.column("id").to_pylist(), batch.column("text")
-            for row, _, offsets in textvec.blocks(texts, TEXT_BYTES):
+            for row, _, offsets in tv.blocks(texts, TEXT_BYTES):
                 ids, lengths = encoder.flat(texts[row : row + len(offsets) - 1])
                 at = 0
                 for doc, n in zip(names[row : row + len(lengths)], lengths.tolist(), strict=True):
