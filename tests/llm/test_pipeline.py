@@ -1,9 +1,11 @@
 """The pipeline's stages against brute force, and the registered queries against SQL."""
 
+import re
+
 import pytest
 
 import corpus_pipeline
-from petriflow.llm import registry
+from petriflow.llm import piece_transducer, registry
 from tests.compare import database, same
 
 
@@ -17,6 +19,46 @@ def _grams(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
+def _brute(name, rows, items):
+    """What a stage leaves of {id: text}, by plain loops."""
+    if name == "quality_rules":
+        out = {}
+        for d, t in rows.items():
+            w, seen, covered = re.findall(r"[^\x20\x09-\x0D]+", t or ""), {}, set()
+            for i in range(len(w) - 2):
+                seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+            for places in seen.values():
+                if len(places) > 1:
+                    covered |= {p + j for p in places for j in range(3)}
+            lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+            chars, n = sum(map(len, w)), len(w)
+            bad = n < 50 or 100 * len(covered) > 50 * n or 10 * len(re.findall(r"[#*$%&|<>]", t or "")) > 3 * n or len(lines) >= 4 and 10 * (len(lines) - len({*lines})) > 5 * len(lines) or chars > 40 * n or 2 * chars < 3 * n
+            if not bad:
+                out[d] = t
+        return out
+    if name == "substring_dedup":
+        first = {}
+        split = {d: (t or "").split() for d, t in rows.items()}
+        for d in sorted(split):
+            for i in range(len(split[d]) - 12):
+                first.setdefault(tuple(split[d][i : i + 13]), d)
+        out = {}
+        for d, w in split.items():
+            gone = {i + j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for j in range(13)}
+            if not gone or len(gone) < len(w):
+                out[d] = " ".join(x for i, x in enumerate(w) if i not in gone) if gone else rows[d]
+        return out
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    windows = {}
+    for t in items:
+        y = words(t)
+        n = min(10, len(y))
+        for j in range(len(y) - n + 1) if y else ():
+            windows.setdefault(n, set()).add(tuple(y[j : j + n]))
+    clean = lambda w: not any(tuple(w[i : i + n]) in known for n, known in windows.items() for i in range(len(w) - n + 1))
+    return {d: t for d, t in rows.items() if clean(words(t))}
+
+
 def test_stages(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, kept = docs.columns, {}
@@ -35,8 +77,15 @@ def test_stages(spark, sf_dir, tmp_path):
     assert not any(near(a, b) for i, a in enumerate(ids) for b in ids[:i] if a in left and b in left)
     gone = set(ids) - left
     assert all(any(near(g, b) for b in ids if b != g) for g in gone)
-    before, after = kept["benchmark_decontamination"]
-    assert {r.doc_id for r in after.select("doc_id").collect()} < set(before)
+    items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    for name in ("quality_rules", "substring_dedup", "benchmark_decontamination"):
+        before, after = kept[name]
+        assert {r.doc_id: r.text for r in after.select("doc_id", "text").collect()} == _brute(name, before, items)
+    before, after = kept["sentencepiece_encoding"]
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_transducer.default_model())
+    assert {r.doc_id: r["ids"] for r in after.collect()} == {d: sp.encode(t) for d, t in before.items()}
     last = kept["sentencepiece_encoding"][1]
     assert last.where("n_tokens <> size(ids) or not round_trip").count() == 0
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id").count() == last.count()
@@ -47,11 +96,13 @@ def test_clashing_columns_nulls_and_empty_tables_pass_every_stage(spark, sf_dir)
 
     spec = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, " ".join(f"w{i}" for i in range(80)), "en", None, 1), (None, None, None, None, None), (2, "", "en", "s", 0), (3, " ".join(f"v{i}" for i in range(70)), None, "s", 9)]
-    docs = spark.createDataFrame(rows, spec).withColumns({"n_words": F.lit("x"), "failed": F.lit("y"), "kept": F.lit(2), "spans": F.lit("z")})
+    docs = spark.createDataFrame(rows, spec).withColumns({"n_words": F.lit("x"), "failed": F.lit("y"), "kept": F.lit(2), "spans": F.lit("z"), "a.b": F.lit("d"), "we`ird": F.lit("e"), "doc": F.lit(1)})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
         assert sorted(r.doc_id for r in docs.where("doc_id is not null").collect()) == [1, 3]
     assert {(r.n_words, r.failed, r.kept, r.spans) for r in docs.collect()} == {("x", "y", 2, "z")}
+    assert {(r["a.b"], r["we`ird"], r.doc) for r in docs.collect()} == {("d", "e", 1)}
+    assert corpus_pipeline.encoding(spark, docs.drop("lang", "source"), sf_dir).columns == ["doc_id", "n_tokens", "ids_crc32", "round_trip", "ids"]
     none = spark.createDataFrame([], spec)
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, sf_dir)
