@@ -176,9 +176,8 @@ def scan(docs: DataFrame, text: str = "text", notices: tuple[tuple[str, str], ..
     base = BASE if base is None else base
     kept = [c for c in docs.columns if c == text or c.lower() not in ("n_words", "phrases", "notices", "score")]
     spans = "array<struct<label:string,start_word:bigint,end_word:bigint,errors:int>>"
-    schema = ", ".join([*(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in kept), f"n_words long, phrases {spans}, notices {spans}, score double"])
-    ready = docs.select(*(F.col(quoted(c)) for c in kept), F.col(quoted(text)).alias("_input"))
-    return ready.mapInArrow(_scanning(notices, base, kept), schema)
+    made = {"n_words": "long", "phrases": spans, "notices": spans, "score": "double"}
+    return tv.beside(docs, kept, [F.col(quoted(text))], lambda names: _scanning(notices, base, names), made)
 
 
 def license_digest(docs: DataFrame) -> DataFrame:

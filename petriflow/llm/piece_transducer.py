@@ -522,11 +522,9 @@ def encode(docs: DataFrame, model: str | bytes | None = None, text: str = "text"
     """
     model = _read(model)
     made = {"n_tokens", "ids_crc32", "round_trip", "ids", *([decoded.lower()] if decoded else [])}
-    kept = [f for f in docs.schema if f.name == text or f.name.lower() not in made]
-    quoted = lambda name: "`" + name.replace("`", "``") + "`"
-    schema = ", ".join([*(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in kept), "n_tokens long, ids_crc32 long, round_trip boolean, ids array<int>", *([f"{quoted(decoded)} string"] if decoded else [])])
-    ready = docs.select(*(F.col(quoted(f.name)) for f in kept), F.col(quoted(text)).alias("_input"))
-    return ready.mapInArrow(_encoding(model, [f.name for f in kept], decoded), schema)
+    kept = [c for c in docs.columns if c == text or c.lower() not in made]
+    types = {"n_tokens": "long", "ids_crc32": "long", "round_trip": "boolean", "ids": "array<int>"} | ({decoded: "string"} if decoded else {})
+    return tv.beside(docs, kept, [F.col(tv.quoted(text))], lambda names: _encoding(model, names, decoded), types)
 
 
 def decode(encoded: DataFrame, model: str | bytes | None = None, ids: str = "ids", into: str = "decoded") -> DataFrame:

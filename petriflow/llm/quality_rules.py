@@ -87,13 +87,16 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 def ledger(docs: DataFrame, text: str = "text", rules: dict[int, tuple[str, str]] | None = None) -> DataFrame:
     """`measured` plus ``failed`` (long): bit b is set if rule b fails. One row per input row, columns kept.
 
-    Columns of ``docs`` that share a measurement's name are replaced by it.
+    Columns of ``docs`` that share a result's name are replaced by it, all others kept, whatever their names. A text is held a few times over in
+    its row while it is measured.
     """
     rules = RULES if rules is None else rules
-    made = {"n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words", "failed"}
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in made or c in ("_t", "_w", "_n", "_joined", "_p", "_c", "_e", "_h", "_l")))
+    made = ("n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words")
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    inner = {c: f"column_{i}" for i, c in enumerate(docs.columns) if c == text or c.lower() not in (*made, "failed")}
+    named = docs.select(*(F.col(quoted(c)).alias(i) for c, i in inner.items()))
     bits = [F.when(F.expr(test), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long") for bit, (_, test) in sorted(rules.items())]
-    return measured(docs, text).withColumn("failed", reduce(Column.bitwiseOR, bits))
+    return measured(named, inner[text]).select(*(F.col(i).alias(c) for c, i in inner.items()), *made, reduce(Column.bitwiseOR, bits).alias("failed"))
 
 
 def apply_policy(led: DataFrame, policy: str | tuple[int, ...] = "v1") -> DataFrame:
@@ -101,16 +104,17 @@ def apply_policy(led: DataFrame, policy: str | tuple[int, ...] = "v1") -> DataFr
     return led.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask(policy))) == 0)
 
 
-def ablations(led: DataFrame, policies: dict[str, tuple[int, ...]] | None = None) -> DataFrame:
+def ablations(led: DataFrame, policies: dict[str, tuple[int, ...]] | None = None, rules: dict[int, tuple[str, str]] | None = None) -> DataFrame:
     """How many documents each policy keeps, and how many it would keep without each of its rules.
 
     The ledger is first folded to one row per distinct failure mask (2^rules rows at most), so everything after that is
-    independent of the corpus size. ``never_alone`` says whether, among documents that fail the rule, each fails
-    another rule of the policy too (bit_and over their masks has only that rule's bit or more).
+    independent of the corpus size. ``always_with`` is the mask of the policy's rules that every document failing the rule fails, the
+    rule's own bit included (null without such a document). ``rules`` are the ones that the ledger was made with.
     """
     policies = POLICIES if policies is None else policies
+    known = RULES if rules is None else rules
     folded = led.groupBy("failed").agg(F.count("*").alias("n"))
-    grid = [(name, mask(rules), bit, RULES[bit][0]) for name, rules in policies.items() for bit in rules]
+    grid = [(name, mask(chosen), bit, known[bit][0]) for name, chosen in policies.items() for bit in chosen]
     one = F.expr("shiftleft(1L, bit)")
     failed = F.col("failed").bitwiseAND(F.col("mask").cast("long"))
     both = with_each(folded, ["policy", "mask", "bit", "rule"], grid)

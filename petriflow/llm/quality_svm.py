@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -165,20 +166,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with score: the probability of a good text, from the text alone. Null counts as the empty text, which has a score too."""
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("score", "_text") and c != text))
-    kept = docs.columns
+    """``docs`` with score: the probability of a good text, from the text alone. Null counts as the empty text, which has a score too; equal texts have
+    equal scores. Columns named like it are replaced, all others kept. A text of n bytes costs about 60 n bytes of memory."""
+    kept = [c for c in docs.columns if c == text or c.lower() != "score"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for _, data, offsets in tv.blocks(batch.column("_text")):
+            for _, data, offsets in tv.blocks(batch.column(len(kept))):
                 out += [float(model.weight[x].sum()) / max(np.sqrt(len(x)), 1.0) for x in features(data, offsets)]
             z = np.clip(model.slope * (np.array(out) + model.bias) + model.offset, -30, 30)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(1 / (1 + np.exp(-z)), pa.float64())], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], pa.array(1 / (1 + np.exp(-z)), pa.float64())], [*names, "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"])
-    return docs.withColumn("_text", F.col(text)).mapInArrow(run, schema)
+    return tv.beside(docs, kept, [F.col(tv.quoted(text))], lambda names: partial(run, names), {"score": "double"})
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

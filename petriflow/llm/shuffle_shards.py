@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from petriflow.llm import textvec as tv
+
 #: Rows of a bucket, about, and the most buckets (the matrix has buckets x shards numbers and is broadcast).
 BUCKET_ROWS, MOST_BUCKETS = 20_000, 16_384
 
@@ -36,13 +38,18 @@ def _bucket(key: list[str], n: int, seed: int):
 def shuffle_shards(df: DataFrame, n_shards: int, key: list[str], seed: int = 7, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``df`` with shard (int, 0 to n_shards-1) and slot (long, gapless from 0 in each shard), in uniformly random order.
 
-    Shard sizes differ by one at most; the first shards hold the larger ones. ``key`` names columns that tell rows apart: rows
-    with equal keys are ordered by a hash of the whole row, and only rows alike in every column may swap places between
-    runs. An empty table gives no rows; null keys are keys like any other. Columns named shard or slot are replaced.
+    Shard sizes differ by one at most; the first shards hold the larger ones. ``key`` names columns that tell rows apart; every choice is by
+    the key and a hash of the whole row, so rows of one key are spread like any others, and only rows alike in every column share a bucket
+    and may swap places between runs. An empty table gives no rows; null keys are keys like any other. Columns named shard or slot are
+    replaced, all others kept, whatever their names.
     """
-    df = df.drop(*(c for c in df.columns if c.lower() in ("shard", "slot", "_bucket", "_first", "_second", "_row", "_cuts", "_sub", "_before")))
+    own = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    inner = {c: f"c{i}" for i, c in enumerate(own)}
+    df = df.select(*(F.col(tv.quoted(c)).alias(i) for c, i in inner.items()))
+    key = [inner[k] for k in key] + ["_row"]
+    df = df.withColumn("_row", F.xxhash64(*inner.values()))
     spark = df.sparkSession
-    total = df.select(*key).count()
+    total = df.count()
     n_buckets = int(min(MOST_BUCKETS, max(1, total // bucket_rows + 1)))
     per = {r["_bucket"]: r["count"] for r in df.select(_bucket(key, n_buckets, seed).alias("_bucket")).groupBy("_bucket").count().collect()}
     rows = np.array([per.get(b, 0) for b in range(n_buckets)], np.int64)
@@ -51,8 +58,7 @@ def shuffle_shards(df: DataFrame, n_shards: int, key: list[str], seed: int = 7,
     cuts = np.cumsum(communication_matrix(rows, sizes, seed), axis=1)
     matrix = spark.createDataFrame([(b, [int(x) for x in row[:-1]]) for b, row in enumerate(cuts)], "_bucket int, _cuts array<long>")
 
-    columns = df.columns
-    named = df.withColumn("_bucket", _bucket(key, n_buckets, seed)).withColumn("_row", F.xxhash64(*columns))
+    named = df.withColumn("_bucket", _bucket(key, n_buckets, seed))
     local = Window.partitionBy("_bucket").orderBy(F.xxhash64(F.lit(seed + 1), *key), "_row")
     ranked = named.withColumn("_first", F.row_number().over(local) - 1)
     dealt = ranked.join(F.broadcast(matrix), "_bucket")  # MOST_BUCKETS x n_shards numbers at most
@@ -65,7 +71,7 @@ def shuffle_shards(df: DataFrame, n_shards: int, key: list[str], seed: int = 7,
     before = counts.withColumn("_before", F.sum("n").over(Window.partitionBy("shard").orderBy("_sub")) - F.col("n")).drop("n")
     again = Window.partitionBy("shard", "_sub").orderBy(F.xxhash64(F.lit(seed + 3), *key), "_row")
     placed = dealt.withColumn("_second", F.row_number().over(again) - 1).join(before, ["shard", "_sub"])
-    return placed.select(*columns, "shard", (F.col("_before") + F.col("_second")).cast("long").alias("slot"))
+    return placed.select(*(F.col(i).alias(c) for c, i in inner.items()), "shard", (F.col("_before") + F.col("_second")).cast("long").alias("slot"))
 
 
 def shard_digest(docs: DataFrame, n_shards: int = 8) -> DataFrame:

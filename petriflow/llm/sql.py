@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express, over whole tables."""
 
+from petriflow.llm.quality_rules import POLICIES, RULES, mask
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -17,6 +19,12 @@ f AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_wor
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, (failed & 63) = 0 AS kept, failed, n_upper, n_lines FROM f
 """
 
+_POLICIES = ", ".join(f"('{name}', {mask(rules)}::BIGINT, {bit}, '{RULES[bit][0]}')" for name, rules in POLICIES.items() for bit in rules)
+ABLATIONS = QUALITY[: QUALITY.rindex("SELECT doc_id")].rstrip() + f""",
+p AS (SELECT * FROM (VALUES {_POLICIES}) t(policy, mask, bit, rule)), x AS (SELECT policy, rule, failed & mask AS failed, (1::BIGINT << bit) AS one FROM f CROSS JOIN p)
+SELECT policy, rule, count(*) AS n_docs, sum((failed = 0)::INT)::BIGINT AS n_kept, sum((failed & ~one = 0)::INT)::BIGINT AS n_kept_without, sum((failed & one <> 0)::INT)::BIGINT AS n_failed, bit_and(failed) FILTER (WHERE failed & one <> 0) AS always_with FROM x GROUP BY policy, rule
+"""
+
 DECONTAMINATION = rf"""
 WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
 b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
@@ -44,4 +52,5 @@ ORACLES: dict[str, str] = {
     "op5_quality_rules": QUALITY,
     "op6_benchmark_decontamination": DECONTAMINATION,
     "op9_substring_dedup": SUBSTRINGS,
+    "rule_ablations": ABLATIONS,
 }

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 BLOCK = 1 << 19
 _U = np.uint64
@@ -31,6 +33,15 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def beside(docs: DataFrame, kept: list[str], inputs: list[Column], run, made: dict[str, str]) -> DataFrame:
+    """Columns ``kept`` of ``docs`` and those that ``run(names of the kept ones)`` makes (name to type), batch by batch from the kept columns and
+    ``inputs`` behind them. Inside, kept columns go by number, so that no name can clash or be misread."""
+    inner = [f"c{i}" for i in range(len(kept))]
+    ready = docs.select(*(F.col(quoted(c)).alias(i) for c, i in zip(kept, inner, strict=True)), *(x.alias(f"x{j}") for j, x in enumerate(inputs)))
+    schema = ", ".join([*(f"{i} {docs.schema[c].dataType.simpleString()}" for c, i in zip(kept, inner, strict=True)), *(f"{quoted(n)} {t}" for n, t in made.items())])
+    return ready.mapInArrow(run(inner), schema).select(*(F.col(i).alias(c) for c, i in zip(kept, inner, strict=True)), *(F.col(quoted(n)) for n in made))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> _U(30))

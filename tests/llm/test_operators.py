@@ -80,6 +80,21 @@ def test_policies_and_ablations(docs, none):
     assert quality_rules.quality_digest(none).count() == 0
 
 
+def test_ablations_of_own_rules(docs):
+    rules = {0: ("short", "n_words < 3"), 3: ("loud", "n_upper > 0")}
+    led = quality_rules.ledger(docs, rules=rules).withColumn("n", F.lit(1))
+    rows = {x.rule: x for x in quality_rules.ablations(led, {"p": (0, 3)}, rules).collect()}
+    masks = [x.failed for x in led.collect()]
+    for bit, (name, _) in rules.items():
+        hit = [m for m in masks if m >> bit & 1]
+        both = None
+        for m in hit:
+            both = m if both is None else both & m
+        x = rows[name]
+        assert (x.n_docs, x.n_failed, x.always_with) == (len(masks), len(hit), both)
+        assert (x.n_kept, x.n_kept_without) == (masks.count(0), sum(m & ~(1 << bit) == 0 for m in masks))
+
+
 def test_a_filter_on_the_ledger_keeps_a_small_plan(docs):
     plan = quality_rules.apply_policy(quality_rules.ledger(docs)).where("kept")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("xxhash64") <= 3
@@ -353,9 +368,101 @@ def test_communication_matrix_has_its_sums_and_the_right_mean():
     assert np.abs(total / 400 - np.outer(rows, shards) / 20).max() < 0.3
 
 
+def test_shards_replayed_by_plain_loops(spark):
+    rows = [(i % 7 if i % 3 else None, f"text {i % 5}", i % 4) for i in range(60)]
+    d = spark.createDataFrame(rows, DOCS + ", `odd.name` int").repartition(4)
+    seed, buckets, n_shards = 7, 60 // 9 + 1, 4
+    place = lambda n, k: F.pmod(F.xxhash64(F.lit(seed + n), "doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in d.columns])), F.lit(k)).cast("int")
+    order = lambda n: F.xxhash64(F.lit(seed + n), "doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in d.columns]))
+    subs = 60 // n_shards // 9 + 1
+    keyed = [(*r[:3], r.b, r.first, r.sub, r.second, r.h) for r in d.withColumns({"b": place(0, buckets), "first": order(1), "sub": place(2, subs), "second": order(3), "h": F.xxhash64(*[F.col(f"`{c}`") for c in d.columns])}).collect()]
+    counts = np.bincount([k[3] for k in keyed], minlength=buckets)
+    sizes = np.array([60 // n_shards + (s < 60 % n_shards) for s in range(n_shards)])
+    matrix, shards = shuffle_shards.communication_matrix(counts, sizes, seed), {s: [] for s in range(n_shards)}
+    for b in range(buckets):
+        mine = sorted((k for k in keyed if k[3] == b), key=lambda k: (k[4], k[7]))
+        for s in range(n_shards):
+            taken, mine = mine[: matrix[b, s]], mine[matrix[b, s] :]
+            shards[s] += taken
+    want = sorted((str(k[:3]), s, slot) for s, ks in shards.items() for slot, k in enumerate(sorted(ks, key=lambda k: (k[5], k[6], k[7]))))
+    out = shuffle_shards.shuffle_shards(d, n_shards, ["doc_id"], bucket_rows=9)
+    assert out.columns == ["doc_id", "text", "odd.name", "shard", "slot"]
+    assert sorted((str(tuple(r[:3])), r.shard, r.slot) for r in out.collect()) == want
+
+
 # --- language and quality
 
 
+def _loops(text, sizes, buckets, fold):
+    """Buckets of a text's byte n-grams by plain loops."""
+    out = []
+    raw = [fold(b) for b in text.encode()]
+    for size in sizes:
+        for i in range(len(raw) - size + 1):
+            h = 0
+            for b in raw[i : i + size]:
+                h = (h * 0x01000193 + b + 1) & 0xFFFFFFFF
+            h ^= h >> 15
+            h = h * 0x2C1B3C6D & 0xFFFFFFFF
+            out.append((h ^ h >> 13) & buckets - 1)
+    return out
+
+
+def test_language_decoding_against_plain_loops(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    names = ["aa", "bb", "cc", "dd", "ee"]
+    code = language_id.codewords(5)
+    bits = code.shape[1]
+    weight = r.random(bits)
+    model = language_id.Model(names, code, r.normal(size=(language_id.BUCKETS, bits)).astype(np.float32), r.normal(size=bits), weight / weight.sum(), 1 + r.random(bits))
+    monkeypatch.setattr(language_id, "AT_ONCE", 50)
+    texts = ["Some plain words, 12 of 34!", "é日本\tx", "a", "ab " * 40, "12 !?", "", None, words(3, 30)]
+
+    def fold(b):
+        b = b + 32 if 65 <= b <= 90 else b
+        return 48 if 48 <= b <= 57 else 32 if b in (9, 10, 11, 12, 13, 32) else b
+
+    got = {x.doc_id: x for x in language_id.predict(spark.createDataFrame(list(enumerate(texts)), DOCS), model).collect()}
+    for i, t in enumerate(texts):
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score, got[i].ambiguous) == ("und", 0.0, True)
+            continue
+        grams = _loops(t, language_id.SIZES, language_id.BUCKETS, fold)
+        margin = [(sum(float(model.odds[g, b]) for g in grams) / len(grams) + model.bias[b]) / model.scale[b] for b in range(bits)]
+        loss = [sum(model.weight[b] * np.log1p(np.exp(-4 * margin[b] * word[b])) for b in range(bits)) for word in code]
+        likely = np.exp(-4 * (np.array(loss) - min(loss)))
+        best = int(np.argmin(loss))
+        assert got[i].lang_pred == names[best] and abs(got[i].score - likely[best] / likely.sum()) < 1e-6
+        assert got[i].ambiguous == (got[i].score < language_id.AMBIGUOUS)
+
+
+def test_quality_scores_against_plain_loops(spark):
+    from petriflow.llm import textvec as tv
+
+    r = np.random.default_rng(6)
+    model = quality_svm.Model(r.normal(size=quality_svm.BUCKETS), 0.3, 1.7, -0.2)
+    texts = ["Some plain words, 12 of 34 words!", "", None, "x", "é日本 x", words(3, 60)]
+    got = {x.doc_id: x.score for x in quality_svm.score(spark.createDataFrame(list(enumerate(texts)), DOCS).withColumn("a.b", F.lit(1)), model).collect()}
+    for i, t in enumerate(texts):
+        grams = {*_loops(t or "", quality_svm.BYTE_SIZES, quality_svm.BUCKETS, lambda b: 48 if 48 <= b <= 57 else b)}
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        a, b, _ = tv.words(raw, np.array([0, len(raw)]), tv.SPACED)
+        h = tv.word_hashes(raw, a, b)
+        for size in quality_svm.WORD_SIZES:
+            for j in range(len(h) - size + 1):
+                whole = tv.windows(h[j : j + size], np.zeros(size, np.int64), size)[1]
+                grams.add(int(tv.mix(whole + np.uint64(size))[0] & np.uint64(quality_svm.BUCKETS - 1)))
+        z = 1.7 * (sum(model.weight[g] for g in grams) / max(len(grams) ** 0.5, 1) + 0.3) - 0.2
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_ties_and_equal_texts_are_judged_alike(spark):
+    d = spark.createDataFrame([(1, "same words here", "bb"), (2, "same words here", "aa"), (3, "same words here", "bb"), (4, "same words here", "aa")], DOCS + ", lang string")
+    out = language_id.predict(d, language_id.train(d)).collect()
+    assert {(x.lang_pred, round(x.score, 9), x.ambiguous) for x in out} == {("aa", 0.5, True)}
+
+
+
 def test_language_is_learnt_from_the_text_alone(spark, none):
     vocab = {"en": "the of and to with that house water", "de": "der und die nicht wasser haus über straße", "fr": "le de la une été maison eau où"}
     r = random.Random(5)
@@ -598,3 +705,89 @@ def test_token_files(spark, docs, none, tmp_path, monkeypatch):
 def test_checksums_of_pieces_join():
     a, b = b"some bytes", bytes(range(200)) * 3
     assert token_files.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+# --- very long texts
+
+
+def test_texts_over_a_block_pass_every_operator(spark, tmp_path):
+    import sentencepiece
+    import tokenizers
+
+    from petriflow.llm import textvec as tv
+
+    long = words(77, 130_000)
+    assert len(long) > tv.BLOCK
+    notice = " licensed under the mit license "
+    near = long + " one more"
+    rows = [(1, long), (2, near), (3, "alpha beta " + words(78, 60)), (4, None), (5, words(79, 70) + notice + long)]
+    d = spark.createDataFrame(rows, DOCS)
+    texts = dict(rows)
+    links = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(d).collect()}
+    sets = {i: {tuple(w[j : j + 5]) for w in [spaced(t)] for j in range(max(1, len(w) - 4))} if spaced(t) else set() for i, t in rows}
+    assert links == {i: sum(1 for j in sets if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in sets}
+    removed = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_digest(d).collect()}
+    assert removed[2] == (130_002, 130_000) and removed[1] == (130_000, 0) and removed[5] == (130_000 + 75, 130_000)
+    bench = spark.createDataFrame([(9, " ".join(spaced(long)[64_000:64_040]))], "item_id long, text string")
+    hit = {r.doc_id: r.n_hit for r in decontaminate.contamination_digest(d, bench).collect()}
+    assert hit[1] >= 40 and hit[2] >= 40 and hit[5] >= 40 and hit[4] == 0
+    scan = {r.doc_id: r for r in license_scan.license_digest(d).collect()}
+    assert scan[5].labels == "mit" and scan[5].n_words == 130_000 + 75 and scan[1].labels == ""
+    r = np.random.default_rng(1)
+    svm = quality_svm.Model(r.normal(size=quality_svm.BUCKETS), 0.0, 1.0, 0.0)
+    raw = np.frombuffer(long.encode(), np.uint8)
+    one = next(quality_svm.features(raw, np.array([0, len(raw)])))
+    assert abs({x.doc_id: x.score for x in quality_svm.score(d, svm).collect()}[1] - 1 / (1 + np.exp(-svm.weight[one].sum() / len(one) ** 0.5))) < 1e-9
+    model = language_id.Model(["a", "b"], language_id.codewords(2), r.normal(size=(language_id.BUCKETS, 1)).astype(np.float32), np.zeros(1), np.ones(1), np.ones(1))
+    parts = [model.odds[bucket].sum(dtype=np.float64) for _, bucket in language_id.ngrams(raw, np.array([0, len(raw)]))]
+    n = sum(len(raw) - k + 1 for k in language_id.SIZES)
+    assert abs(language_id.margins(raw, np.array([0, len(raw)]), model)[0, 0] - sum(parts) / n) < 1e-6
+    assert {x.doc_id: x.lang_pred in ("a", "b") for x in language_id.predict(d, model).collect()} == {1: True, 2: True, 3: True, 4: False, 5: True}
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_transducer.default_model())
+    assert all(x["ids"] == sp.encode(texts[x.doc_id] or "") for x in piece_transducer.encode(d).collect())
+    t = tokenizers.Tokenizer.from_file(token_files.default_tokenizer())
+    token_files.write(d, str(tmp_path / "ids"), block_ids=50_000)
+    for x in token_files.read(spark, str(tmp_path / "ids")).collect():
+        ids = np.array([*t.encode(texts[x.doc_id] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (x.n_tokens, x.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+    led = {x.doc_id: x.n_words for x in quality_rules.quality_digest(d).collect()}
+    assert led == {i: len(spaced(t)) for i, t in rows}
+    assert shuffle_shards.shard_digest(d).count() == 5
+
+
+def test_a_models_character_map_is_applied():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    import struct
+
+    def field(n, raw):
+        return bytes([n << 3 | 2]) + (bytes([len(raw)]) if len(raw) < 128 else bytes([len(raw) & 127 | 128, len(raw) >> 7 & 127 | 128, len(raw) >> 14])) + raw
+
+    rules = {"ä": "ae", "äb": "X", "ﬁ": "fi", "\t": " "}
+    # A double array in which every node has 256 places of its own.
+    nodes, targets = [{}], b""
+    for source, to in rules.items():
+        at = 0
+        for byte in source.encode():
+            at = nodes[at].setdefault(byte, len(nodes))
+            if at == len(nodes):
+                nodes.append({})
+        nodes[at]["value"] = len(targets)
+        targets += to.encode() + b"\0"
+    units = np.zeros(256 * (len(nodes) + 1), np.uint32)
+    units[0] = (256 ^ 0) << 10
+    for i, node in enumerate(nodes):
+        base = 256 * (i + 1)
+        for byte, child in node.items():
+            if byte == "value":
+                units[base] = np.uint32(1 << 31 | child)
+                continue
+            place = base ^ byte
+            units[place] = (place ^ 256 * (child + 1)) << 10 | byte | (1 << 8 if "value" in nodes[child] else 0)
+    charsmap = struct.pack("<I", units.nbytes) + units.astype("<u4").tobytes() + targets
+    assert piece_transducer.rewrite_rules(charsmap) == rules
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(c, -3.0, 1) for c in "▁abefiX"] + [("fi", -3.5, 1), ("▁a", -4.0, 1), ("ae", -4.0, 1)]
+    model = b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + bytes([0x18, k])) for p, s, k in pieces)
+    model += field(2, bytes([0x18, 1])) + field(3, field(1, b"own") + field(2, charsmap) + bytes([0x18, 1, 0x20, 1, 0x28, 1]))
+    sp, fst = sentencepiece.SentencePieceProcessor(model_proto=model), piece_transducer.Transducer(model)
+    for text in ("ä", "äb a", "aﬁ\tb", "  ä  äa ", "ab fi", "q qq aq", ""):
+        assert fst.encode(text) == sp.encode(text), text
