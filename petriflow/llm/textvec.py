@@ -223,7 +223,7 @@ class WordTable:
     @staticmethod
     def _grown(x: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
         if n + len(more) > len(x):
-            x = np.concatenate([x[:n], np.empty(max(n, 1 << 16, 2 * len(more)), x.dtype)])
+            x = np.concatenate([x[:n], np.empty(max(n // 2, 1 << 16, 2 * len(more)), x.dtype)])
         x[n : n + len(more)] = more
         return x
 
@@ -231,8 +231,8 @@ class WordTable:
         """(the stretches of ``entries`` in a row, where each ends)."""
         n = self.size[entries]
         upto = np.cumsum(n, dtype=np.int64)
-        at = np.arange(upto[-1] if len(upto) else 0)
-        at += np.repeat(self.first[entries] - upto + n, n)
+        at = np.repeat(self.first[entries] - upto + n, n)
+        at += np.arange(len(at))
         return self.pool[at], upto
 
 

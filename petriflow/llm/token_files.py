@@ -28,7 +28,7 @@ from petriflow.llm import range_coder
 from petriflow.llm import textvec as tv
 
 #: Ids of a block, bytes of text that are tokenized at a time, about, words whose ids a worker remembers, and the id that ends a document.
-BLOCK_IDS, TEXT_BYTES, CACHE, END = range_coder.BLOCK_IDS, 8 << 20, 1_500_000, 2
+BLOCK_IDS, TEXT_BYTES, CACHE, END = range_coder.BLOCK_IDS, 4 << 20, 1_500_000, 2
 _BLOCKS = "part int, seq long, before long, n_ids long, docs array<struct<id:bigint,ordinal:bigint,begin:bigint,n:bigint>>, payload binary"
 _DOCS = pa.list_(pa.struct([("id", pa.int64()), ("ordinal", pa.int64()), ("begin", pa.int64()), ("n", pa.int64())]))
 #: Texts whose ids must be those of their words in a row.
