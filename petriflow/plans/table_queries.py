@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from petriflow.functions.lineage import checkpointed, remove, shared_dir
 from petriflow.operators import audit as A
 from petriflow.operators import federation as E
 from petriflow.operators import history as H
@@ -99,7 +102,67 @@ c AS (SELECT batch, '[' || string_agg('{{"cls":' || cls || ',"n":' || n || '}}',
 m AS (SELECT image % 3 AS batch, sum((rater <> 'F')::INT)::BIGINT AS n_malformed FROM boxes GROUP BY 1)
 SELECT *, 0::BIGINT AS n_labels_without_image FROM q JOIN b USING (batch) JOIN c USING (batch) JOIN m USING (batch)"""
 
+def _through_files(s: SparkSession, write, read) -> DataFrame:
+    """What ``read`` finds in a new folder of the shared file system after ``write`` filled it. The folder goes again."""
+    path = f"{shared_dir(s)}/files-{uuid.uuid4().hex}"
+    write(path)
+    out = checkpointed(read(path))
+    remove(s, path)
+    return out
+
+
+def _documents(rows: DataFrame, value, path: str) -> None:
+    """One JSON document for every 64 images in a row, each a file by itself."""
+    g = rows.withColumn("g", F.floor(F.col("image") / 64))
+    g.groupBy("g").agg(value.alias("value")).write.partitionBy("g").text(path)
+
+
+def _read_box_annotations(s: SparkSession, d: str) -> DataFrame:
+    b = S.boxes(s, d).groupBy("image").agg(F.collect_list(F.when(F.col("role") == "N", F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h")))).alias("bboxes"))
+    one = F.struct(F.concat(F.lit("i"), F.col("image").cast("string")).alias("image"), F.size("bboxes").alias("n_organoids"), "bboxes", F.array(F.lit(1000), F.lit(700)).alias("image_size"))
+    found = _through_files(s, lambda p: _documents(b, F.to_json(F.collect_list(one)), p), lambda p: R.read_box_annotations(s, p))
+    return found.select("image", "n_organoids", "width", "height", "x1", "y1", "x2", "y2")
+
+
+def _read_detections(s: SparkSession, d: str, layout: str) -> DataFrame:
+    measures = [F.col(c) for c in ("circularity", "solidity", "aspect_ratio")]
+    b = S.boxes(s, d).where("role = 'R'")
+    box, name = F.array("x1", "y1", "x2", "y2").alias("bbox"), F.concat(F.lit("a/"), F.col("image").cast("string")).alias("image")
+    conf = F.when(F.col("idx") % 2 == 0, F.col("score"))
+    if layout == "flat":
+        one = F.struct(name, F.col("idx").cast("int").alias("det_idx"), box, conf.alias("rfdetr_conf"), F.col("score").alias("confidence"), *measures)
+        value = F.to_json(F.collect_list(one))
+    else:
+        one = F.struct("idx", box, conf.alias("confidence"), *measures, (F.col("cls") == 1).alias("is_tp"))
+        b = b.groupBy("image").agg(F.sort_array(F.collect_list(one)).alias("detections"))
+        value = F.to_json(F.struct(F.collect_list(F.struct(name, "detections")).alias("per_image")))
+    found = _through_files(s, lambda p: _documents(b, value, p), lambda p: R.read_detections(s, p, layout))
+    return r9(found.select("cache_key", "image", "det_idx", "x1", "y1", "x2", "y2", "score", "circularity", "solidity", "aspect_ratio", "area", "matched"), "score", "circularity", "solidity", "aspect_ratio")
+
+
+def _read_training_csv(s: SparkSession, d: str) -> DataFrame:
+    t = S.rounds(s, d).select(F.concat(F.lit(" "), F.col("round").cast("string")).alias(" epoch "), F.when(F.col("round") % 3 > 0, F.col("map50")).alias("metrics/mAP50(B)"), F.substring("exp", 2, 1).alias("  run"))
+    return _through_files(s, lambda p: t.write.option("header", True).csv(p), lambda p: R.read_training_csv(s, p)).withColumnRenamed("metrics/mAP50(B)", "map50")
+
+
+def _report(s: SparkSession, d: str) -> DataFrame:
+    rows = S.client_stats(s, d)
+    return r9(_through_files(s, lambda p: W.write_report(rows, p, "csv"), lambda p: s.read.option("header", True).schema(rows.schema).csv(p)), "map50")
+
+
+def _json_lines(s: SparkSession, d: str) -> DataFrame:
+    return A.verify_chain(_through_files(s, lambda p: A.append_json_lines(_chain(s, d), p), lambda p: A.read_json_lines(s, p)))
+
+
+_DETECTED = "CASE WHEN idx % 2 = 0 THEN score ELSE {other} END"
+
 QUERIES = {
+    "read_box_annotations": (_read_box_annotations, f"WITH {S.BOXES}, n AS (SELECT image, sum((role = 'N')::INT)::INT AS k FROM boxes GROUP BY image) SELECT 'i' || image AS image, k AS n_organoids, 1000::INT AS width, 700::INT AS height, x1, y1, x2, y2 FROM n LEFT JOIN (SELECT * FROM boxes WHERE role = 'N') b USING (image)"),
+    "read_detections": (lambda s, d: _read_detections(s, d, "nested"), f"WITH {S.BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY idx) - 1 AS k FROM boxes WHERE role = 'R') SELECT 'a_' || image || '_' || k AS cache_key, 'a/' || image AS image, k::INT AS det_idx, x1, y1, x2, y2, round({_DETECTED.format(other='0.5')}, 9) AS score, round(circularity, 9) AS circularity, round(solidity, 9) AS solidity, round(aspect_ratio, 9) AS aspect_ratio, 0.0::DOUBLE AS area, cls = 1 AS matched FROM r"),
+    "read_detections_flat": (lambda s, d: _read_detections(s, d, "flat"), f"WITH {S.BOXES} SELECT 'a_' || image || '_' || idx AS cache_key, 'a/' || image AS image, idx::INT AS det_idx, x1, y1, x2, y2, round(score, 9) AS score, round(circularity, 9) AS circularity, round(solidity, 9) AS solidity, round(aspect_ratio, 9) AS aspect_ratio, 0.0::DOUBLE AS area, false AS matched FROM boxes WHERE role = 'R'"),
+    "read_training_csv": (_read_training_csv, f"WITH {S.ROUNDS} SELECT round::DOUBLE AS epoch, CASE WHEN round % 3 > 0 THEN map50 ELSE 0 END AS map50, substr(exp, 2, 1)::DOUBLE AS run FROM rounds"),
+    "write_report": (_report, f"WITH {S.CLIENT_STATS} SELECT exp, round, client, n_samples, round(map50, 9) AS map50 FROM client_stats"),
+    "audit_json_lines": (_json_lines, f"{_CHAIN} SELECT chain_id, count(*) AS n_blocks, true AS valid, NULL::BIGINT AS first_bad_index FROM chain GROUP BY chain_id"),
     "split_by_image": (lambda s, d: P.split_by_image(S.boxes(s, d)).select("image", "idx", "split"), f"WITH {S.BOXES}, i AS ({_numbered('(SELECT DISTINCT image FROM boxes)', '', '42', 'image')}), t AS (SELECT image, CASE WHEN n <= floor(c * 0.7) THEN 'train' WHEN n <= floor(c * 0.7) + floor(c * 0.15) THEN 'val' ELSE 'test' END AS split FROM (SELECT *, count(*) OVER () AS c FROM i)) SELECT image, idx, split FROM boxes JOIN t USING (image)"),
     "balance_classes": (lambda s, d: P.balance_classes(members(s, d), "cls", "id"), f"WITH {S.MEMBERS}, m AS ({_numbered('members', 'cls', '42')}) SELECT id, cls FROM m WHERE n <= (SELECT min(c) FROM (SELECT count(*) AS c FROM members GROUP BY cls))"),
     "sample_per_class": (lambda s, d: P.sample_per_class(members(s, d), "cls", "id", {"BUILDING": 20, "FURNITURE": 10}), f"WITH {S.MEMBERS}, m AS ({_numbered('members', 'cls', '42')}) SELECT id, cls FROM m WHERE (cls = 'BUILDING' AND n <= 20) OR (cls = 'FURNITURE' AND n <= 10)"),
