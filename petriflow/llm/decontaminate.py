@@ -187,7 +187,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_i
     n_pairs = pairs.count()
     n_groups = max(partitions(spark), n_pairs // PER_TASK + 1)
     group = F.pmod(F.xxhash64("rid", "key"), F.lit(n_groups)).alias("g")
-    left = ours.join(_small(pairs.select("rid", "key").distinct(), 16 * n_pairs), ["rid", "key"], "left_semi").select(group, "rid", "key", "text")
+    left = ours.join(_small(pairs.select("rid", "key").distinct(), 48 * n_pairs), ["rid", "key"], "left_semi").select(group, "rid", "key", "text")
     right = pairs.join(items, "item").select(group, "rid", "key", "id", "text")
     found = left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(_compare(span), "rid long, key long, spans array<array<long>>, items array<long>")
     found = checkpointed(found)

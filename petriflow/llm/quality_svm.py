@@ -123,7 +123,7 @@ def _logistic(margin: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        packed = [f.tobytes() for _, data, offsets in tv.blocks(batch.column("text")) for f in features(data, offsets)]
+        packed = [f.astype("<u2").tobytes() for _, data, offsets in tv.blocks(batch.column("text")) for f in features(data, offsets)]
         yield pa.RecordBatch.from_arrays([batch.column("good"), batch.column("part"), pa.array(packed, pa.binary())], ["good", "part", "grams"])
 
 
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     got = sorted(((r.good, r.part, bytes(r.grams)) for r in got), key=lambda r: (r[2], r[0]))
     if len(found := {g for g, _, _ in got}) < 2:
         return alone(found)
-    rows = [np.frombuffer(g, np.int32) for _, _, g in got]
+    rows = [np.frombuffer(g, "<u2").astype(np.int32) for _, _, g in got]
     good, part = np.array([r[0] for r in got]), np.array([r[1] for r in got])
     fit = part != 0
     if len({*good[fit].tolist()}) < 2:
