@@ -207,7 +207,11 @@ def kl_matrix(df: DataFrame, by: str, value: str, n_bins: int = 20, low: float =
 
 
 def kl_adaptive(df: DataFrame, by: str, value: str, n_bins: int = 20) -> DataFrame:
-    """(a, b, kl): bins over the pooled range of each pair of groups; shares plus 1e-8, renormalised. -1 with fewer than 3 values, 0 for an empty range."""
+    """(a, b, kl): bins over the pooled range of each pair of groups; shares plus 1e-8, renormalised. -1 with fewer than 3 values, 0 for an empty range.
+
+    Equal values of a group are one row before they meet the pairs that the group is in; groups are few.
+    """
+    folded = df.groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("_c"))
     s = df.groupBy(by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))
     pairs = all_pairs_of_keys(df.select(by).distinct().withColumn("_o", F.col(by)), by, "_o", "a", "b")
     for x in ("a", "b"):
@@ -215,9 +219,9 @@ def kl_adaptive(df: DataFrame, by: str, value: str, n_bins: int = 20) -> DataFra
     pairs = pairs.withColumn("lo", F.least("loa", "lob")).withColumn("hi", F.greatest("hia", "hib"))
     sides = []
     for x in ("a", "b"):
-        j = pairs.select("a", "b", "lo", "hi", F.col("n" + x).alias("n"), F.col(x).alias(by)).join(df.select(by, F.col(value).alias("v")), by)
+        j = pairs.select("a", "b", "lo", "hi", F.col("n" + x).alias("n"), F.col(x).alias(by)).join(folded, by)
         at = F.least(F.lit(n_bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * n_bins)).cast("int")
-        sides.append(j.where("hi > lo").groupBy("a", "b", at.alias("bin")).agg((F.count("*") / F.first("n")).alias("q" + x)))
+        sides.append(j.where("hi > lo").groupBy("a", "b", at.alias("bin")).agg((F.sum("_c") / F.first("n")).alias("q" + x)))
     every = with_each(pairs, ["bin"], [(i,) for i in range(n_bins)])
     q = every.join(sides[0], ["a", "b", "bin"], "left").join(sides[1], ["a", "b", "bin"], "left").fillna(0.0, ["qa", "qb"])
     norm = 1 + n_bins * 1e-8

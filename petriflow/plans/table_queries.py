@@ -154,6 +154,13 @@ def _json_lines(s: SparkSession, d: str) -> DataFrame:
     return A.verify_chain(_through_files(s, lambda p: A.append_json_lines(_chain(s, d), p), lambda p: A.read_json_lines(s, p)))
 
 
+def _aggregated(weight: str, pulled: bool) -> str:
+    """Parameters averaged by ``weight``, drawn towards the first update of client c0 before if ``pulled``."""
+    value = "CASE WHEN p.is_int OR g.value IS NULL THEN p.value ELSE 0.9 * p.value + 0.1 * g.value END" if pulled else "p.value"
+    return f"""WITH {S.PARAMS}, {S.CLIENT_STATS}, q AS (SELECT p.* REPLACE ({value} AS value) FROM params p LEFT JOIN (SELECT * FROM params WHERE client = 'c0' AND round = 0) g ON g.param = p.param AND g.pos = p.pos)
+SELECT exp, round, param, pos, round(CASE WHEN bool_or(is_int) THEN arg_min(value, client) ELSE sum({weight} * value) / sum({weight}) END, 9) AS value FROM q JOIN client_stats USING (exp, round, client) GROUP BY exp, round, param, pos"""
+
+
 _DETECTED = "CASE WHEN idx % 2 = 0 THEN score ELSE {other} END"
 
 QUERIES = {
@@ -188,6 +195,14 @@ n AS (SELECT *, row_number() OVER (PARTITION BY client, cls ORDER BY md5('42|' |
     "quality_weights": (lambda s, d: r9(E.quality_weights(S.client_stats(s, d), warmup=2, warm="samples"), "weight"), f"WITH {S.CLIENT_STATS} SELECT exp, round, client, round(CASE WHEN round < 2 THEN n_samples / sum(n_samples) OVER w ELSE map50 / sum(map50) OVER w END, 9) AS weight FROM client_stats WINDOW w AS (PARTITION BY exp, round)"),
     "fedprox_pull": (lambda s, d: (lambda p: r9(E.fedprox_pull(p, p.where("client = 'c0' and round = 0"), 0.1), "value"))(S.params(s, d)), f"WITH {S.PARAMS} SELECT p.exp, p.round, p.client, p.param, p.pos, round(CASE WHEN p.is_int OR g.value IS NULL THEN p.value ELSE 0.9 * p.value + 0.1 * g.value END, 9) AS value, p.is_int FROM params p LEFT JOIN (SELECT * FROM params WHERE client = 'c0' AND round = 0) g ON g.param = p.param AND g.pos = p.pos"),
     "aggregate_round": (lambda s, d: r9(E.aggregate_round(S.params(s, d), S.client_stats(s, d), "EWA-v2"), "value"), f"WITH {S.PARAMS}, {S.CLIENT_STATS} SELECT exp, round, param, pos, round(CASE WHEN bool_or(is_int) THEN arg_min(value, client) ELSE sum(map50 * value) / sum(map50) END, 9) AS value FROM params JOIN client_stats USING (exp, round, client) GROUP BY exp, round, param, pos"),
+    "aggregate_round_fedavg": (lambda s, d: r9(E.aggregate_round(S.params(s, d), S.client_stats(s, d), "FedAvg"), "value"), _aggregated("n_samples", False)),
+    "aggregate_round_fedprox": (lambda s, d: (lambda p: r9(E.aggregate_round(p, S.client_stats(s, d), "FedProx", p.where("client = 'c0' and round = 0"), 0.1), "value"))(S.params(s, d)), _aggregated("n_samples", True)),
+    "aggregate_round_ewa_fedprox": (lambda s, d: (lambda p: r9(E.aggregate_round(p, S.client_stats(s, d), "EWA-FedProx", p.where("client = 'c0' and round = 0"), 0.1), "value"))(S.params(s, d)), _aggregated("map50", True)),
+    "node_order_fixed": (lambda s, d: E.node_order(S.client_stats(s, d)), f"WITH {S.CLIENT_STATS} SELECT exp, round, client, row_number() OVER (PARTITION BY exp, round ORDER BY client)::INT AS place FROM client_stats"),
+    "node_order_reversed": (lambda s, d: E.node_order(S.client_stats(s, d), "reversed"), f"WITH {S.CLIENT_STATS} SELECT exp, round, client, row_number() OVER (PARTITION BY exp, round ORDER BY client DESC)::INT AS place FROM client_stats"),
+    "node_order_random": (lambda s, d: E.node_order(S.client_stats(s, d), "random", 3), f"WITH {S.CLIENT_STATS} SELECT exp, round, client, row_number() OVER (PARTITION BY exp, round ORDER BY md5('3|' || round || '|' || client))::INT AS place FROM client_stats"),
+    "sequential_gate_local": (lambda s, d: (lambda c: r9(E.sequential_gate(c, E.node_order(c), "local", n_nodes=6), "weight"))(S.client_stats(s, d)), f"WITH {S.CLIENT_STATS} SELECT a.exp, a.round, b.round AS source_round, b.client, round(1 / 6, 9) AS weight FROM (SELECT DISTINCT exp, round FROM client_stats) a JOIN client_stats b ON a.exp = b.exp AND b.round <= a.round QUALIFY row_number() OVER (PARTITION BY a.exp, a.round, b.client ORDER BY b.map50 DESC, b.round) = 1"),
+    "holdout_tail": (lambda s, d: P.holdout_every(members(s, d), "cls", "id", 0.2, tail=True).select("id", "cls", "split"), f"WITH {S.MEMBERS} SELECT id, cls, CASE WHEN row_number() OVER (PARTITION BY cls ORDER BY id) > count(*) OVER (PARTITION BY cls) - floor(count(*) OVER (PARTITION BY cls) * 0.2) THEN 'val' ELSE 'train' END AS split FROM members"),
     "node_order": (lambda s, d: E.node_order(S.client_stats(s, d), "quality"), f"WITH {S.CLIENT_STATS}, l AS (SELECT *, lag(map50) OVER (PARTITION BY exp, client ORDER BY round) AS last FROM client_stats) SELECT exp, round, client, row_number() OVER (PARTITION BY exp, round ORDER BY coalesce(last, 0) DESC, client)::INT AS place FROM l"),
     "sequential_gate": (lambda s, d: (lambda c: r9(E.sequential_gate(c, E.node_order(c), "soft"), "weight"))(S.client_stats(s, d)), _SOFT_GATE),
     "sequential_gate_none": (lambda s, d: (lambda c: r9(E.sequential_gate(c, E.node_order(c), "none"), "weight"))(S.client_stats(s, d)), f"WITH {S.CLIENT_STATS} SELECT a.exp, a.round, b.round AS source_round, b.client, round(b.n_samples / sum(b.n_samples) OVER (PARTITION BY a.exp, a.round), 9) AS weight FROM (SELECT DISTINCT exp, round FROM client_stats) a JOIN client_stats b ON a.exp = b.exp AND b.round <= a.round"),
