@@ -29,7 +29,7 @@ from petriflow.llm import textvec as tv
 
 SPACE = "▁"
 #: Words whose ids a worker keeps, bytes of text and characters of new words taken at a time.
-CACHE, TEXT_BYTES, LATTICE = 1_500_000, 4 << 20, 1 << 17
+CACHE, TEXT_BYTES, LATTICE = 800_000, 2 << 20, 1 << 17
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 _INF = float("inf")

@@ -62,10 +62,13 @@ class _Powers:
         self.up = self.down = np.ones(1, np.uint64)
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, BLOCK + 1)
-            self.up, self.down = (np.cumprod(np.concatenate([[_U(1)], np.full(n, b, np.uint64)])) for b in (self.base, self.inverse))
-        return self.up, self.down
+        if len(self.up) >= n:
+            return self.up, self.down
+        size = max(n, BLOCK + 1)
+        up, down = (np.cumprod(np.concatenate([[_U(1)], np.full(size, b, np.uint64)])) for b in (self.base, self.inverse))
+        if size <= 2 * BLOCK:  # those of a very long text are not kept
+            self.up, self.down = up, down
+        return up, down
 
 
 _BYTES, _WORDS, _AGAIN = _Powers(0x5851F42D4C957F2D), _Powers(0xD1342543DE82EF95), _Powers(0x9FB21C651E98DF25)
@@ -193,11 +196,9 @@ class WordTable:
     @staticmethod
     def hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of each of an array of large strings."""
-        _, where, data = words.buffers()
-        offsets = np.frombuffer(where, np.int64)[words.offset : words.offset + len(words) + 1]
-        raw = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
-        starts, ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
-        return (word_hashes(raw, starts, ends) >> _U(1)).view(np.int64), word_hashes(raw, starts, ends, True)
+        made = [(word_hashes(raw, cuts[:-1], cuts[1:]), word_hashes(raw, cuts[:-1], cuts[1:], True)) for _, raw, cuts in blocks(words)]
+        key, check = (np.concatenate([x[i] for x in made]) if made else np.empty(0, np.uint64) for i in (0, 1))
+        return (key >> _U(1)).view(np.int64), check
 
     def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
         """The entry of each word, or -1."""
