@@ -10,6 +10,7 @@ from petriflow.llm.decontaminate import contamination_digest
 from petriflow.llm.language_id import language_digest
 from petriflow.llm.license_scan import license_digest
 from petriflow.llm.ngram_join import near_duplicates
+from petriflow.llm.personal_data import personal_digest
 from petriflow.llm.piece_transducer import encoding_digest
 from petriflow.llm.quality_rules import ablations, ledger, quality_digest
 from petriflow.llm.quality_svm import quality_scores
@@ -39,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece_transducer": lambda s, d: encoding_digest(_docs(s, d)),
         "op9_substring_dedup": lambda s, d: substring_digest(_docs(s, d)),
         "op10_token_files": lambda s, d: token_digest(_docs(s, d)),
+        "op13_personal_data": lambda s, d: personal_digest(_docs(s, d)),
         "rule_ablations": lambda s, d: ablations(ledger(_docs(s, d).select("doc_id", "text"))),
     }
 
