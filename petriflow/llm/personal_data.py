@@ -33,7 +33,7 @@ _PARTS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])*+")
 _DIALLED = re.compile(r"[ ().0-9-]++")
 _LOGIN = re.compile(r"[^\s/?#@<>\"]++@([A-Za-z0-9.-]++)(?::[0-9]{1,5})?")
-_AFTER_CUE = re.compile(r"[ \t]*+(?:(?:number|num|no|nr|id)\b)?+[.:#= \t-]++")
+_AFTER_CUE = re.compile(r"(?:[ \t]*(?:number|num|no|nr|id)\b)?+[.:#= \t-]++", re.IGNORECASE)
 _IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30}")
 _IDENTIFIER = {
     "ssn": re.compile(r"([0-9]{3})[ -]?([0-9]{2})[ -]?([0-9]{4})(?![0-9A-Za-z])"),
