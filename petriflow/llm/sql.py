@@ -48,9 +48,22 @@ k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FRO
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
+SEARCH = rf"""
+WITH t AS (SELECT doc_id, unnest({_ALNUM}) AS word FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_words FROM n),
+q AS (SELECT DISTINCT item_id, unnest({_ALNUM}) AS word FROM benchmark),
+f AS (SELECT doc_id, word, count(*) AS tf FROM t WHERE word IN (SELECT word FROM q) GROUP BY doc_id, word),
+w AS (SELECT word, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT word, count(*)::BIGINT AS df FROM f GROUP BY word), c),
+s AS (SELECT q.item_id, f.doc_id, sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * (50 + (50 * n.n * c.n_docs) // c.n_words))))::BIGINT AS score
+  FROM q JOIN f USING (word) JOIN w USING (word) JOIN n USING (doc_id), c GROUP BY q.item_id, f.doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
+
 ORACLES: dict[str, str] = {
     "op5_quality_rules": QUALITY,
     "op6_benchmark_decontamination": DECONTAMINATION,
     "op9_substring_dedup": SUBSTRINGS,
+    "op11_lexical_search": SEARCH,
     "rule_ablations": ABLATIONS,
 }
