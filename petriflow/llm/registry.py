@@ -10,6 +10,7 @@ from petriflow.llm.decontaminate import contamination_digest
 from petriflow.llm.language_id import language_digest
 from petriflow.llm.lexical_search import search
 from petriflow.llm.license_scan import license_digest
+from petriflow.llm.merkle_manifest import manifest_digest
 from petriflow.llm.ngram_join import near_duplicates
 from petriflow.llm.personal_data import personal_digest
 from petriflow.llm.piece_transducer import encoding_digest
@@ -42,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": lambda s, d: substring_digest(_docs(s, d)),
         "op10_token_files": lambda s, d: token_digest(_docs(s, d)),
         "op11_lexical_search": lambda s, d: search(_docs(s, d), _benchmark(s, d)),
+        "op12_merkle_manifest": lambda s, d: manifest_digest(_docs(s, d)),
         "op13_personal_data": lambda s, d: personal_digest(_docs(s, d)),
         "rule_ablations": lambda s, d: ablations(ledger(_docs(s, d).select("doc_id", "text"))),
     }

@@ -60,10 +60,62 @@ s AS (SELECT q.item_id, f.doc_id, sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf
 SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0) WHERE rank <= 50
 """
 
+
+
+def _tree(name: str, levels: int, key: str) -> str:
+    """CTEs of a tree of 16-fold runs over ``{name}0`` (key, i, h), level by level, for `_paths`."""
+    out = [f"{name}0c AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY {key}) AS c FROM {name}0)"]
+    for k in range(levels):
+        out.append(f"""{name}{k + 1}c AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY {key}) AS c FROM (
+  SELECT {key}, i // 16 AS i, CASE WHEN any_value(c) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {name}{k}c GROUP BY {key}, i // 16))""")
+    return ",\n".join(out)
+
+
+def _paths(name: str, levels: int, key: str, start: str, tag: str) -> str:
+    """CTEs from ``start`` (doc_id, key, i, acc, proof) up the tree ``name``: each level's siblings are added to the proof and folded into acc."""
+    out, before = [], start
+    for k in range(levels):
+        here = f"{tag}{k + 1}"
+        out.append(f"""{here} AS MATERIALIZED (SELECT p.doc_id, p.{key}, p.i // 16 AS i,
+  CASE WHEN any_value(n.c) > 1 THEN sha256(string_agg(CASE WHEN n.i = p.i THEN p.acc ELSE n.h END, '' ORDER BY n.i)) ELSE any_value(p.acc) END AS acc,
+  any_value(p.proof) || coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (WHERE n.i <> p.i), '') AS proof
+  FROM {before} p JOIN {name}{k}c n ON n.{key} = p.{key} AND n.i // 16 = p.i // 16 GROUP BY p.doc_id, p.{key}, p.i)""")
+        before = here
+    return ",\n".join(out)
+
+
+_LEVELS, _UPPER = 5, "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in fields) + ")"
+
+
+_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+MANIFEST = f"""
+WITH RECURSIVE r AS (SELECT b::BIGINT AS b, b::BIGINT AS c, 0 AS k FROM range(256) t(b) UNION ALL SELECT b, {_STEP}, k + 1 FROM r WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM r WHERE k = 8),
+d AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM documents),
+l AS MATERIALIZED (SELECT doc_id, s, {_leaf("text")} AS leaf, {_leaf(f"translate(text, {_UPPER}, lower({_UPPER}))")} AS low,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) % 5 = 0 AS picked FROM d, crc),
+a0 AS MATERIALIZED (SELECT s, row_number() OVER (PARTITION BY s ORDER BY doc_id) - 1 AS i, leaf AS h, doc_id FROM l),
+{_tree("a", _LEVELS, "s")},
+b0 AS MATERIALIZED (SELECT 0 AS z, s AS i, h FROM a{_LEVELS}c),
+{_tree("b", _LEVELS, "z")},
+p0 AS MATERIALIZED (SELECT a.doc_id, a.s, a.i, CASE WHEN picked THEN low ELSE leaf END AS acc, '' AS proof FROM a0 a JOIN l USING (doc_id)),
+{_paths("a", _LEVELS, "s", "p0", "p")},
+q0 AS MATERIALIZED (SELECT doc_id, 0 AS z, s AS i, acc, proof FROM p{_LEVELS}),
+{_paths("b", _LEVELS, "z", "q0", "q")}
+SELECT l.doc_id, l.leaf, b0.h AS subroot, t.h AS root, sha256(q.proof) AS proof_sha256, q.acc AS folded_root, q.acc = t.h AS verified
+FROM l JOIN b0 ON b0.i = l.s JOIN q{_LEVELS} q USING (doc_id), b{_LEVELS}c t
+"""
+
 ORACLES: dict[str, str] = {
     "op5_quality_rules": QUALITY,
     "op6_benchmark_decontamination": DECONTAMINATION,
     "op9_substring_dedup": SUBSTRINGS,
     "op11_lexical_search": SEARCH,
+    "op12_merkle_manifest": MANIFEST,
     "rule_ablations": ABLATIONS,
 }
