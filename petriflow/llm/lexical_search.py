@@ -203,10 +203,10 @@ def _search(docs: DataFrame, vocabulary: Vocabulary, k: int) -> DataFrame:
     found = classes.select("first", "h", "m", "bag").mapInArrow(_scoring(vocabulary, weights, k), "item long, score long, first long, h long, m long")
     order = Window.partitionBy("item").orderBy(F.desc("score"), "first")
     top = checkpointed(found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n"))
-    # Members of the classes that are in some item's best; a class adds its first k at most.
+    # Members of the classes that are in some item's best; a class keeps its first k at most, in each task before they meet.
     chosen = classes.join(top.select("h", "m", "first").distinct(), ["h", "m", "first"])
-    inside = Window.partitionBy("h", "m", "first").orderBy(F.asc_nulls_last("doc_id"))
-    members = keyed.join(chosen, ["h", "m", "bag"]).select("h", "m", "first", "doc_id").withColumn("_n", F.row_number().over(inside)).where(F.col("_n") <= k).drop("_n")
+    inside = Window.partitionBy("h", "m", "bag").orderBy(F.asc_nulls_last("doc_id"))
+    members = keyed.withColumn("_n", F.row_number().over(inside)).where(F.col("_n") <= k).join(chosen, ["h", "m", "bag"]).select("h", "m", "first", "doc_id")
     last = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = top.join(members, ["h", "m", "first"]).withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
     return ranked.select("item", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
