@@ -29,6 +29,8 @@ from petriflow.llm.textvec import quoted
 MOST_TERMS = 1 << 19
 #: Cells of scores, and of words met with items, that a task holds at a time.
 CELLS = 1 << 21
+#: Parts into which the members of a class are dealt, by the task that has them, before they meet.
+SALTS = 16
 #: The class id of rows without an id; they rank behind those with one.
 NO_ID = np.iinfo(np.int64).max
 
@@ -205,8 +207,12 @@ def _search(docs: DataFrame, vocabulary: Vocabulary, k: int) -> DataFrame:
     top = checkpointed(found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n"))
     # Members of the classes that are in some item's best; a class keeps its first k at most, in each task before they meet.
     chosen = classes.join(top.select("h", "m", "first").distinct(), ["h", "m", "first"])
-    inside = Window.partitionBy("h", "m", "bag").orderBy(F.asc_nulls_last("doc_id"))
-    members = keyed.withColumn("_n", F.row_number().over(inside)).where(F.col("_n") <= k).join(chosen, ["h", "m", "bag"]).select("h", "m", "first", "doc_id")
+    # Tasks hand their part of a class to one of SALTS tasks, and these to one.
+    by_id, salts = F.asc_nulls_last("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    some = Window.partitionBy("h", "m", "bag", "salt").orderBy(by_id)
+    members = keyed.withColumn("salt", F.spark_partition_id() % SALTS).withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= k)
+    members = members.join(chosen.withColumn("salt", salts), ["h", "m", "bag", "salt"]).select("h", "m", "first", "doc_id")
+    members = members.withColumn("_n", F.row_number().over(Window.partitionBy("h", "m", "first").orderBy(by_id))).where(F.col("_n") <= k).drop("_n")
     last = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = top.join(members, ["h", "m", "first"]).withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
     return ranked.select("item", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
