@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
@@ -12,12 +10,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from petriflow.operators.neighbours import CELLS, approx_knn, knn, recall_at_k
 from petriflow.operators.ranking import mann_whitney, pr_auc, roc_auc
 
 #: Rows of one block of a block product, about.
 BLOCK_ROWS = 20_000
-#: Rows of a block of sketches, and bytes of distances that a task holds at a time.
-SKETCH_ROWS, CELLS = 100_000, 32 << 20
 
 
 def split_batch(batch: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
@@ -54,70 +51,6 @@ def _blocks(df: DataFrame, n: int, name: str) -> DataFrame:
     return df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
 
 
-def _least(s: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the ``k`` least numbers of each row, in order; of equals the first. What ties with the last of them is put in order too."""
-    every = np.tile(np.arange(s.shape[1]), (len(s), 1))
-    if k < s.shape[1]:
-        edge = np.partition(s, k - 1, axis=1)[:, k - 1 : k]
-        few = int((s <= edge).sum(1).max())
-        if few < s.shape[1]:
-            every = np.sort(np.argpartition(s, few - 1, axis=1)[:, :few], axis=1)
-    return np.take_along_axis(every, np.argsort(np.take_along_axis(s, every, 1), axis=1, kind="stable")[:, :k], 1)
-
-
-def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean", group: str | None = None, same_group: bool | None = None, exclude_self: bool = False) -> DataFrame:
-    """(query_id, id, distance or similarity, rank): the ``k`` nearest base rows of each query, exactly; ties by id.
-
-    Both sides are cut into blocks of bounded size; each pair of blocks is one task's matrix product that hands on k rows a query, and a
-    last top-k merges them. ``same_group`` True or False keeps pairs of equal or of different ``group`` only. Cosine: queries and base
-    rows of zero length give nothing.
-    """
-    k = max(1, k)
-    n_q, n_b = (max(1, d.count() // BLOCK_ROWS + 1) for d in (queries, base))
-    # Aliases make the two sides' columns different ones even where both come from one table.
-    own = lambda d: d.select(*(F.col(c).alias(c) for c in ("id", "values", *([group] if group else []))))
-    q = _blocks(own(queries), n_q, "_q").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
-    b = _blocks(own(base), n_b, "_b").withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    keys = ["_q", "_b"]
-    if group and same_group:
-        # Rows of other groups never meet: the group is a part of the key.
-        keys.append("_g")
-        q, b = (d.withColumn("_g", F.col(group)) for d in (q, b))
-    cosine = metric == "cosine"
-
-    def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})]
-        if not len(left) or not len(right):
-            return out[0]
-        right = right.sort_values("id")
-        y = np.array(right["values"].tolist(), np.float64)
-        step = max(1, CELLS // (8 * len(right)))
-        for low in range(0, len(left), step):
-            some = left.iloc[low : low + step]
-            x = np.array(some["values"].tolist(), np.float64)
-            if cosine:
-                nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-                s = -(x @ y.T) / np.where(nx > 0, nx, 1)[:, None] / np.where(ny > 0, ny, 1)[None, :]
-                s = np.where((nx > 0)[:, None] & (ny > 0)[None, :], np.round(s, 12), np.inf)
-            else:
-                s = np.round(np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)), 9)
-            if group and same_group is False:
-                s = np.where(some[group].to_numpy()[:, None] == right[group].to_numpy()[None, :], np.inf, s)
-            if exclude_self:
-                s = np.where(some.id.to_numpy()[:, None] == right.id.to_numpy()[None, :], np.inf, s)
-            best = _least(s, k)
-            rows = np.repeat(np.arange(len(some)), best.shape[1])
-            score = s[rows, best.ravel()]
-            ok = np.isfinite(score)
-            out.append(pd.DataFrame({"query_id": some.id.to_numpy()[rows][ok], "id": right.id.to_numpy()[best.ravel()][ok], "score": score[ok]}))
-        return pd.concat(out)
-
-    part = q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(product, "query_id long, id long, score double")
-    top = part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k)
-    value = (-F.col("score")).alias("similarity") if cosine else F.col("score").alias("distance")
-    return top.select("query_id", "id", value, "rank")
-
-
 def knn_euclidean(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     return knn(queries, base, k)
 
@@ -134,64 +67,6 @@ def class_match_rate(neighbours: DataFrame, rows: DataFrame, cls: str = "cls") -
     return j.groupBy("query_id").agg(F.avg((F.col("_q") == F.col("_n")).cast("double")).alias("match_rate"))
 
 
-def _sketched(df: DataFrame, bits: int, seed: int) -> DataFrame:
-    """(id, sketch): on which side of ``bits`` random planes each vector lies, a bit a plane."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes = None
-        for f in frames:
-            if not len(f):
-                continue
-            x = np.array(f["values"].tolist(), np.float64)
-            if planes is None:
-                planes = np.random.default_rng(seed).normal(size=(x.shape[1], bits))
-            yield pd.DataFrame({"id": f["id"], "sketch": [b.tobytes() for b in np.packbits(x @ planes > 0, axis=1)]})
-
-    return df.select("id", "values").mapInPandas(run, "id long, sketch binary")
-
-
-def approx_knn(queries: DataFrame, base: DataFrame, k: int, bits: int = 512, oversample: int = 8, seed: int = 1) -> DataFrame:
-    """(query_id, id, distance, rank, n_compared): approximate Euclidean neighbours of vectors of one length.
-
-    Both sides are reduced to sketches of ``bits`` bits, whose differing bits estimate the angle. Blocks of sketches meet block by block, and a
-    task hands on the ``oversample * k`` nearest of each query; only these candidates' vectors are fetched and compared exactly
-    (n_compared of them). Every row is indexed, and any row can be a candidate. A larger ``oversample`` gives a higher recall, and that of all
-    rows is exact; `recall_at_k` measures it.
-    """
-    most = max(1, oversample * k)
-    n_q, n_b = (max(1, d.count() // SKETCH_ROWS + 1) for d in (queries, base))
-    q = _blocks(_sketched(queries, bits, seed), n_q, "_q").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
-    b = _blocks(_sketched(base, bits, seed), n_b, "_b").withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "apart": pd.Series([], dtype="int64")})]
-        if len(left) and len(right):
-            right = right.sort_values("id")
-            x, y = (np.frombuffer(b"".join(d["sketch"]), np.uint8).reshape(len(d), -1) for d in (left, right))
-            step = max(1, CELLS // (x.shape[1] * len(right)))
-            for low in range(0, len(left), step):
-                apart = np.bitwise_count(x[low : low + step, None] ^ y[None]).sum(2, dtype=np.int64)
-                best = _least(apart, most)
-                rows = np.repeat(np.arange(len(apart)), best.shape[1])
-                out.append(pd.DataFrame({"query_id": left.id.to_numpy()[low + rows], "id": right.id.to_numpy()[best.ravel()], "apart": apart[rows, best.ravel()]}))
-        return pd.concat(out)
-
-    part = q.groupBy("_q", "_b").cogroup(b.groupBy("_q", "_b")).applyInPandas(nearest, "query_id long, id long, apart long")
-    candidates = part.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("apart", "id"))).where(F.col("_n") <= most).select("query_id", "id")
-    near = candidates.join(queries.select(F.col("id").alias("query_id"), F.col("values").alias("_x")), "query_id").join(base.select("id", F.col("values").alias("_y")), "id")
-    far = F.sqrt(F.aggregate(F.zip_with("_x", "_y", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
-    near = near.select("query_id", "id", F.round(far, 9).alias("distance"))
-    w = Window.partitionBy("query_id")
-    ranked = near.withColumn("rank", F.row_number().over(w.orderBy("distance", "id"))).withColumn("n_compared", F.count("*").over(w))
-    return ranked.where(F.col("rank") <= k)
-
-
-def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:
-    """(recall): the share of exact neighbours that were found."""
-    hit = exact.join(found.select("query_id", "id").withColumn("_hit", F.lit(1)), ["query_id", "id"], "left")
-    return hit.agg(F.avg(F.coalesce("_hit", F.lit(0)).cast("double")).alias("recall"))
-
-
 def _vote(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     return neighbours.join(labels.select("id", "label"), "id").groupBy("query_id").agg(F.avg(F.col("label").cast("double")).alias("vote"))
 
