@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from petriflow.functions.grid import all_pairs_of_keys, with_each
+from petriflow.operators.order_stats import percentiles
 
 #: Rows of one range of a group's distinct scores in a running total, about.
 RANGE_ROWS = 100_000
@@ -128,7 +129,7 @@ def best_f1_fixed(df: DataFrame, label: str = "label", score: str = "score", by:
 def percentile_sweep(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(pct, threshold, precision, recall, f1, kept, rejected, fp_reduction_rate) at the exact score percentiles 5 to 95."""
     at = [p / 100 for p in range(5, 100, 5)]
-    cuts = df.agg(F.percentile(score, F.array(*(F.lit(p) for p in at))).alias("t")).select(F.posexplode("t").alias("k", "threshold"))
+    cuts = percentiles(df, score, at).select(F.posexplode("p").alias("k", "threshold"))
     cut_row = cuts.agg(F.sort_array(F.collect_list(F.struct("k", "threshold"))).alias("cuts"))
     s = score_steps(df, label, score, []).crossJoin(F.broadcast(cut_row)).select("score", "pos", "neg", F.inline("cuts"))
     kept = F.col("score") >= F.col("threshold")
@@ -162,7 +163,8 @@ def mann_whitney(df: DataFrame, value: str = "value", label: str = "label", by:
     t = (F.col("pos") + F.col("neg")).cast("double")
     u = F.col("pos") * (F.col("cum_neg") - F.col("neg")) + F.col("pos") * F.col("neg") / 2
     a = steps.groupBy(*by).agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0"), F.sum(u).cast("double").alias("u"), F.sum(t * t * t - t).alias("_ties"))
-    med = df.groupBy(*by).agg(F.percentile(F.when(F.col(label) == 1, F.col(value)), F.lit(0.5)).alias("median1"), F.percentile(F.when(F.col(label) != 1, F.col(value)), F.lit(0.5)).alias("median0"))
+    med = percentiles(df.withColumn("_side", F.col(label) == 1), value, [0.5], [*by, "_side"]).withColumn("_m", F.get("p", F.lit(0)))
+    med = med.groupBy(*by).agg(F.max(F.when(F.col("_side"), F.col("_m"))).alias("median1"), F.max(F.when(~F.col("_side"), F.col("_m"))).alias("median0"))
     a = (a.join(med, by) if by else a.crossJoin(med)).where("n1 >= 3 and n0 >= 3")  # one row a group
     n1, n0, n = F.col("n1").cast("double"), F.col("n0").cast("double"), (F.col("n1") + F.col("n0")).cast("double")
     sd = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
@@ -233,7 +235,7 @@ def kl_adaptive(df: DataFrame, by: str, value: str, n_bins: int = 20) -> DataFra
 def normal_range(df: DataFrame, by: str, features: list[str], label: str = "label") -> DataFrame:
     """(by, feature, p5, p50, p95, n, outside): share of each group's label-0 rows outside the 5 to 95 percent range of all label-1 rows; 3 rows at least."""
     long = unpivot(df, [by, label], features)
-    r = long.where(F.col(label) == 1).groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("p"))
+    r = percentiles(long.where(F.col(label) == 1), "value", [0.05, 0.5, 0.95], ["feature"])
     r = r.select("feature", *(F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p5", "p50", "p95"))))
     j = long.where(F.col(label) != 1).join(r, "feature")  # a row a feature
     out = (F.col("value") < F.col("p5")) | (F.col("value") > F.col("p95"))
