@@ -1,47 +1,148 @@
-"""Streams: vectors in, chains verified as they arrive, rounds averaged once enough clients sent theirs."""
+"""Streams: vectors in and out of a versioned table, chains verified as they arrive in any order, rounds averaged once enough clients sent theirs.
+
+State lies in the RocksDB store in small entries (one a client, one an early block), so neither a long chain nor a round of many clients is ever
+read whole; `state_store` sets the store for the queries started inside it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from petriflow.functions.lineage import remove
 from petriflow.operators.audit import SCHEMA, block_hash
 from petriflow.operators.vectors import split_batch
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """Queries that are started inside keep their state in RocksDB, as `verify_stream` and `average_rounds` need; the session's own choice comes back."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
+# --- vectors: a log of writes by epoch, and snapshots that take in the log up to a version
+
 
-def ingest_vectors(stream: DataFrame, dim: int, table: str, audit: str, checkpoint: str, available_now: bool = True, chain: str = "vectors"):
-    """Each micro-batch: rows of the right length go to ``table`` (`read_vectors` takes the last write of an id), and one block with the batch's
-    counts goes to the hash chain under ``audit``, linked to the block before, so that `verify_chain` accepts it.
+def ingest_vectors(stream: DataFrame, dim: int, table: str, audit: str, checkpoint: str, available_now: bool = True, chain: str = "vectors", compact_every: int = 0):
+    """Each micro-batch: writes of rows of the right length and deletes go to the log of ``table``, and one block with the batch's counts goes to the hash
+    chain under ``audit``, linked to the block before, so that `verify_chain` accepts it.
 
-    A batch that is run again overwrites its own folders, so it counts once and makes the same block but for its time, which is the
-    stream's batch number.
+    Rows carry id and values; one with ``deleted`` true is a tombstone and needs no values; ``seq``, if given, is the writer's order of writes, else the
+    batch's number is. A batch that is run again overwrites its own folders, so it counts once and makes the same block but for its time, which is
+    the stream's batch number. Every ``compact_every`` batches the log goes into a snapshot (0: never; see `compact_vectors`).
     """
+    stream = stream if "deleted" in stream.columns else stream.withColumn("deleted", F.lit(False))
 
     def store(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        good, bad = split_batch(batch, dim)
-        good.withColumn("seq", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
-        accepted, rejected = good.count(), bad.count()
+        batch = batch.withColumn("deleted", F.coalesce("deleted", F.lit(False))).persist()
+        gone = batch.where("deleted").withColumn("values", F.lit(None).cast(batch.schema["values"].dataType))
+        good, bad = split_batch(batch.where("NOT deleted"), dim)
+        rows = good.unionByName(gone)
+        if "seq" not in rows.columns:
+            rows = rows.withColumn("seq", F.lit(epoch).cast("long"))
+        rows.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
+        accepted, rejected, deleted = good.count(), bad.count(), gone.count()
         batch.unpersist()
         before = None if epoch == 0 else spark.read.schema(SCHEMA).json(f"{audit}/epoch={epoch - 1}").orderBy(F.desc("index")).first()
-        row = (chain, epoch, str(epoch), "Insert", f"accepted={accepted} rejected={rejected}", "0" if before is None else before["hash"], 0)
+        said = f"accepted={accepted} rejected={rejected}" + f" deleted={deleted}" * (deleted > 0)
+        row = (chain, epoch, str(epoch), "Insert", said, "0" if before is None else before["hash"], 0)
         block = spark.createDataFrame([row], "chain_id string, index long, ts string, operation string, details string, prev_hash string, nonce int")
         block.withColumn("hash", block_hash()).select(*(c.split()[0] for c in SCHEMA.split(", "))).write.mode("overwrite").json(f"{audit}/epoch={epoch}")
+        if compact_every and (epoch + 1) % compact_every == 0:
+            compact_vectors(spark, table)
 
     w = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+def _names(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the folders ``prefix=number`` in a folder of any file system that Spark reaches."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.listStatus(hadoop) if fs.exists(hadoop) else []
+    return sorted(int(f.getPath().getName()[len(prefix) + 1 :]) for f in found if f.getPath().getName().startswith(f"{prefix}="))
+
+
+def _version(spark: SparkSession, table: str) -> tuple[int, int]:
+    """(last snapshot, writes that it and those before it took in); a snapshot counts once its own note of these is written."""
+    for v in reversed(_names(spark, f"{table}/_notes", "version")):
+        note = spark.read.schema("inserted long").json(f"{table}/_notes/version={v}").first()
+        if note is not None:
+            return v, note.inserted
+    return -1, 0
+
+
+def _log(spark: SparkSession, table: str, after: int) -> DataFrame | None:
+    epochs = [e for e in _names(spark, table, "epoch") if e > after]
+    return spark.read.option("basePath", table).parquet(*(f"{table}/epoch={e}" for e in epochs)) if epochs else None
+
+
+def _last_writes(rows: DataFrame, key: str) -> DataFrame:
+    """The last write of each key, tombstones among them; of equal ``seq`` the later epoch."""
+    order = Window.partitionBy(key).orderBy(F.desc("seq"), F.desc("epoch"))
+    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def _current(spark: SparkSession, table: str, key: str) -> DataFrame:
+    version, _ = _version(spark, table)
+    log = _log(spark, table, version)
+    if version < 0:
+        if log is None:
+            raise ValueError(f"no vectors in {table}")
+        return _last_writes(log, key)
+    held = spark.read.parquet(f"{table}/_snapshots/version={version}")
+    return held if log is None else _last_writes(held.unionByName(log, allowMissingColumns=True), key)
+
+
 def read_vectors(spark: SparkSession, table: str, key: str = "id") -> DataFrame:
-    """The table that `ingest_vectors` wrote: the last write of each id."""
-    rows = spark.read.parquet(table).drop("epoch")
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("seq")))).where("_n = 1").drop("_n")
+    """The table that `ingest_vectors` wrote: the last write of each id that is not a delete, from the last snapshot and the log after it."""
+    return _current(spark, table, key).where("NOT deleted").drop("deleted", "epoch")
+
+
+def total_inserted(spark: SparkSession, table: str) -> int:
+    """How many writes the table has ever accepted, those of rows that were deleted or written again included."""
+    version, before = _version(spark, table)
+    log = _log(spark, table, version)
+    return before + (0 if log is None else log.where("NOT deleted").count())
+
+
+def compact_vectors(spark: SparkSession, table: str, key: str = "id", keep: int = 1) -> int:
+    """Takes the log into a new snapshot and returns its version, the log's last epoch. A snapshot's rows keep their seq and tombstones (a late write must not
+    bring a row back). The log up to the last ``keep`` earlier versions and the snapshots before them are then removed, so readers of those go on.
+    """
+    version, inserted = _version(spark, table)
+    epochs = [e for e in _names(spark, table, "epoch") if e > version]
+    if epochs:
+        version, log = epochs[-1], _log(spark, table, version)
+        rows = _current(spark, table, key)
+        rows.write.mode("overwrite").parquet(f"{table}/_snapshots/version={version}")
+        note = spark.createDataFrame([(inserted + log.where("NOT deleted").count(),)], "inserted long")
+        note.coalesce(1).write.mode("overwrite").json(f"{table}/_notes/version={version}")
+    if version < 0:
+        return version
+    kept = _names(spark, f"{table}/_snapshots", "version")[-1 - keep :]
+    for v in _names(spark, f"{table}/_snapshots", "version"):
+        if v < kept[0]:
+            remove(spark, f"{table}/_snapshots/version={v}")
+            remove(spark, f"{table}/_notes/version={v}")
+    for e in _names(spark, table, "epoch"):
+        if e <= kept[0]:
+            remove(spark, f"{table}/epoch={e}")
+    return version
 
 
 def read_audit(spark: SparkSession, audit: str) -> DataFrame:
@@ -49,54 +150,146 @@ def read_audit(spark: SparkSession, audit: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(f"{audit}/epoch=*")
 
 
+# --- chains
+
+
 _VERDICT = "chain_id string, index long, hash_ok boolean, link_ok boolean, late boolean"
 
 
-def verify_stream(blocks: DataFrame) -> DataFrame:
-    """A verdict for each arriving block; the state of a chain is its last index and hash. A repeated or older index is late and changes nothing."""
-    def check(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, prev = state.get if state.exists else (-1, "")
-        rows = []
-        for b in pd.concat(list(frames)).sort_values("index").itertuples(index=False):
-            late = b.index <= last
-            link = (not late) and (last < 0 or (b.index == last + 1 and b.prev_hash == prev))
-            rows.append((key[0], int(b.index), bool(b.own), bool(link), bool(late)))
-            if not late:
-                last, prev = int(b.index), b.hash
-        state.update((last, prev))
-        yield pd.DataFrame(rows, columns=["chain_id", "index", "hash_ok", "link_ok", "late"])
+class _Verifier(StatefulProcessor):
+    """State of a chain: its last judged block, and the blocks that came before their turn, by index."""
+
+    def __init__(self, first: int, wait_ms: int):
+        self.first, self.wait_ms = first, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "index long, hash string")
+        self.early = handle.getMapState("early", "index long", "prev string, hash string, own boolean")
+        self.least = handle.getValueState("least", "index long")
+
+    def _judge(self, chain: str, block: tuple, last: tuple | None, out: list) -> tuple:
+        """A verdict for a block; ``last`` is the one before it, None at the chain's start."""
+        index, prev, digest, own = block
+        linked = last is None if index == self.first else last is not None and index == last[0] + 1 and prev == last[1]
+        out.append((chain, index, bool(own), bool(linked), False))
+        return index, digest
+
+    def _drain(self, chain: str, last: tuple | None, out: list, gap: bool = False) -> tuple | None:
+        """Judges early blocks while the next is there; ``gap``: the least early block is judged though something before it is missing, and those after it."""
+        if not self.early.exists():
+            return last
+        if gap:
+            for index in sorted(k[0] for k in self.early.keys()):  # indices only; blocks are read one by one
+                last = self._judge(chain, (index, *self.early.getValue((index,))), last, out)
+                self.early.removeKey((index,))
+            return last
+        while self.early.containsKey(((self.first if last is None else last[0] + 1),)):
+            index = self.first if last is None else last[0] + 1
+            last = self._judge(chain, (index, *self.early.getValue((index,))), last, out)
+            self.early.removeKey((index,))
+        return last
+
+    def _keep(self, last: tuple | None) -> None:
+        if last is not None:
+            self.last.update(last)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = tuple(self.last.get()) if self.last.exists() else None
+        waited = False
+        for frame in rows:
+            out: list[tuple] = []
+            for b in frame.sort_values("index").itertuples(index=False):
+                turn = self.first if last is None else last[0] + 1
+                if b.index < turn or b.index > turn and self.early.containsKey((int(b.index),)):
+                    out.append((key[0], int(b.index), bool(b.own), False, True))
+                elif b.index == turn:
+                    last = self._drain(key[0], self._judge(key[0], (int(b.index), b.prev_hash, b.hash, b.own), last, out), out)
+                else:
+                    self.early.updateValue((int(b.index),), (b.prev_hash, b.hash, bool(b.own)))
+                    waited = True
+            if out:
+                yield pd.DataFrame(out, columns=["chain_id", "index", "hash_ok", "link_ok", "late"])
+        self._keep(last)
+        if waited and self.wait_ms >= 0 and self.early.exists():
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        last = tuple(self.last.get()) if self.last.exists() else None
+        self._keep(self._drain(key[0], last, out, gap=True))
+        if out:
+            yield pd.DataFrame(out, columns=["chain_id", "index", "hash_ok", "link_ok", "late"])
+
+    def close(self) -> None:
+        pass
+
+
+def verify_stream(blocks: DataFrame, first_index: int = 0, wait: str | None = "1 hour") -> DataFrame:
+    """A verdict for each arriving block, in any order of arrival: one that comes before its turn waits in the state until those before it are
+    there, and is judged then. A block whose index was judged, or waits already, is late and changes nothing.
 
+    If blocks are missing for ``wait`` (a processing time; None: for ever), those that wait are judged in order, the first of them and any after a further
+    gap as not linked. ``first_index`` is the index of a chain's first block. Start it inside `state_store`. A query with a ``wait`` runs until it is
+    stopped, as any with timers of processing time; one without ends when its files do (``availableNow``).
+    """
     ready = blocks.withColumn("own", F.col("hash") == block_hash()).select("chain_id", "index", "prev_hash", "hash", "own")
-    return ready.groupBy("chain_id").applyInPandasWithState(check, _VERDICT, "last long, prev string", "append", GroupStateTimeout.NoTimeout)
+    wait_ms = -1 if wait is None else int(pd.Timedelta(wait).total_seconds() * 1000)
+    return ready.groupBy("chain_id").transformWithStateInPandas(_Verifier(first_index, wait_ms), _VERDICT, "Append", "None" if wait is None else "ProcessingTime")
+
+
+# --- rounds
 
 
 _ROUND = "exp string, round int, n_clients int, n_samples long, value array<double>"
 
 
-def average_rounds(updates: DataFrame, min_clients: int, forget_after: str = "1 hour") -> DataFrame:
+class _Averager(StatefulProcessor):
+    """State of a round: whether it is closed, the number of its clients, and one entry a client."""
+
+    def __init__(self, min_clients: int, wait_ms: int):
+        self.min_clients, self.wait_ms = min_clients, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.done = handle.getValueState("done", "n int")  # clients so far; -1 once closed
+        self.clients = handle.getMapState("clients", "client string", "n long, value array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.wait_ms >= 0:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+        held = self.done.get()[0] if self.done.exists() else 0
+        for frame in rows:
+            for u in frame.itertuples(index=False):
+                if held >= 0:
+                    held += not self.clients.containsKey((u.client,))
+                    self.clients.updateValue((u.client,), (int(u.n_samples), [float(x) for x in u.value]))
+        if held >= self.min_clients:
+            total, samples = 0.0, 0
+            for n, value in self.clients.values():  # one client at a time
+                total, samples = total + n * np.array(value, float), samples + n
+            yield pd.DataFrame({"exp": [key[0]], "round": [int(key[1])], "n_clients": [held], "n_samples": [samples], "value": [(total / samples).tolist()]})
+            self.clients.clear()
+            held = -1
+        self.done.update((held,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.done.clear()
+        self.clients.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def average_rounds(updates: DataFrame, min_clients: int, forget_after: str | None = "1 hour") -> DataFrame:
     """Updates (exp, round, client, n_samples, value array<double>) to the sample-weighted mean of a round, once ``min_clients`` sent one.
 
     A client's later update replaces its earlier one while the round is open; updates of a closed round are not accepted. A closed round keeps
-    no values, and any round that has heard nothing for ``forget_after`` leaves the state.
+    no values, and any round that has heard nothing for ``forget_after`` leaves the state (None: never; then a query over files ends with them). Start it
+    inside `state_store`.
     """
-    wait = int(pd.Timedelta(forget_after).total_seconds() * 1000)
-
-    def gather(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        done, clients, samples, values = state.get if state.exists else (False, [], [], [])
-        held = {c: (n, v) for c, n, v in zip(clients, samples, values, strict=True)}
-        for u in pd.concat(list(frames)).itertuples(index=False):
-            if not done:
-                held[u.client] = (int(u.n_samples), [float(x) for x in u.value])
-        if not done and len(held) >= min_clients:
-            n = np.array([x[0] for x in held.values()], float)
-            mean = (np.array([x[1] for x in held.values()]) * (n / n.sum())[:, None]).sum(0)
-            done = True
-            yield pd.DataFrame({"exp": [key[0]], "round": [int(key[1])], "n_clients": [len(held)], "n_samples": [int(n.sum())], "value": [mean.tolist()]})
-            held = {}
-        state.update((done, list(held), [x[0] for x in held.values()], [x[1] for x in held.values()]))
-        state.setTimeoutDuration(wait)
-
-    return updates.groupBy("exp", "round").applyInPandasWithState(gather, _ROUND, "done boolean, clients array<string>, samples array<long>, values array<array<double>>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    wait = -1 if forget_after is None else int(pd.Timedelta(forget_after).total_seconds() * 1000)
+    return updates.groupBy("exp", "round").transformWithStateInPandas(_Averager(min_clients, wait), _ROUND, "Append", "None" if forget_after is None else "ProcessingTime")

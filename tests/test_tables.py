@@ -181,13 +181,15 @@ def test_stream_of_blocks_and_rounds(spark, tmp_path):
     c.where("index < 3").write.parquet(str(tmp_path / "b"))
     for i, part in enumerate((c.where("index >= 3"), c.where("index = 1"))):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "b"))
-    q = T.verify_stream(spark.readStream.schema(A.SCHEMA).option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "b"))).writeStream.format("memory").queryName("verdicts").outputMode("append").option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start()
+    with T.state_store(spark):
+        q = T.verify_stream(spark.readStream.schema(A.SCHEMA).option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "b")), wait=None).writeStream.format("memory").queryName("verdicts").outputMode("append").option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     rows = spark.table("verdicts").collect()
     assert sum(r.late for r in rows) == 1 and all(r.hash_ok for r in rows) and sum(r.link_ok for r in rows) == 6
     spec = "exp string, round int, client string, n_samples long, value array<double>"
     spark.createDataFrame([("e", 1, "a", 1, [1.0]), ("e", 1, "b", 3, [5.0]), ("e", 2, "a", 1, [9.0])], spec).coalesce(1).write.parquet(str(tmp_path / "u"))
-    q = T.average_rounds(spark.readStream.schema(spec).parquet(str(tmp_path / "u")), 2).writeStream.format("memory").queryName("means").outputMode("append").option("checkpointLocation", str(tmp_path / "m")).trigger(availableNow=True).start()
+    with T.state_store(spark):
+        q = T.average_rounds(spark.readStream.schema(spec).parquet(str(tmp_path / "u")), 2, None).writeStream.format("memory").queryName("means").outputMode("append").option("checkpointLocation", str(tmp_path / "m")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r["round"], r.n_samples, r.value) for r in spark.table("means").collect()] == [(1, 4, [4.0])]
 
