@@ -40,15 +40,19 @@ def metadata_filter(table: DataFrame, wanted: dict[str, str], column: str = "met
     return table
 
 
-def vector_stats(table: DataFrame, total_inserted: int | None = None, cls: str = "cls") -> DataFrame:
-    """One row: live vectors, their dimension, how many were ever inserted, and how many there are of each class (array of the class and n)."""
+def vector_stats(table: DataFrame, writes: DataFrame | None = None, dim: int | None = None, cls: str = "cls") -> DataFrame:
+    """One row: live vectors, their dimension, how many were ever inserted, and how many there are of each class (array of the class and n).
+
+    Ever inserted are the rows of ``writes`` (all upserts since the table began; null without them) of length ``dim``, those that are gone or written over
+    included.
+    """
     counts = table.groupBy(F.col(cls).alias("cls")).agg(F.count("*").alias("n"), F.max(F.size("values")).alias("d"))  # a row a class
     classes = F.sort_array(F.collect_list(F.struct("cls", "n")))
-    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("live"), F.max("d").alias("dimension"), classes.alias("classes")).withColumn("total_inserted", F.lit(total_inserted).cast("long"))
-
-
-def _blocks(df: DataFrame, n: int, name: str) -> DataFrame:
-    return df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    out = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("live"), F.max("d").alias("dimension"), classes.alias("classes"))
+    if writes is None:
+        return out.withColumn("total_inserted", F.lit(None).cast("long"))
+    accepted = writes if dim is None else split_batch(writes, dim)[0]
+    return out.crossJoin(accepted.agg(F.count("*").alias("total_inserted")))  # one row
 
 
 def knn_euclidean(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:

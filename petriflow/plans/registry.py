@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from petriflow.plans import box_queries, score_queries, table_queries
+from petriflow.plans import box_queries, score_queries, stream_queries, table_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL: dict[str, tuple[Query, str | None]] = {**box_queries.QUERIES, **score_queries.QUERIES, **table_queries.QUERIES}
+_ALL: dict[str, tuple[Query, str | None]] = {**box_queries.QUERIES, **score_queries.QUERIES, **table_queries.QUERIES, **stream_queries.QUERIES}
 
 
 def queries() -> dict[str, Query]:

@@ -171,7 +171,6 @@ SELECT id, CASE k WHEN 0 THEN p WHEN 1 THEN 0.75 ELSE 0.5 END AS is_organoid, 0.
     "pending_items": (lambda s, d: U.pending(S.table(s, d, "customer").select(F.col("c_custkey").alias("cache_key")), S.table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("cache_key"))), "SELECT c_custkey AS cache_key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "upsert_vectors": (lambda s, d: (lambda v: V.upsert_vectors(v.where("id % 2 = 0").withColumn("seq", F.lit(1)), v.withColumn("seq", F.lit(2)).withColumn("values", F.when(F.col("id") % 5 == 0, F.slice("values", 1, 3)).otherwise(F.transform("values", lambda x: x + 1))), 64).select("id", "seq", F.size("values").alias("dim"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 6).alias("total")))(S.vectors(s, d).select("id", "values")), f"WITH {S.VECTORS} SELECT id, CASE WHEN id % 5 <> 0 THEN 2 ELSE 1 END::INT AS seq, 64::INT AS dim, round(list_sum(values) + CASE WHEN id % 5 <> 0 THEN 64 ELSE 0 END, 6) AS total FROM vectors WHERE id % 5 <> 0 OR id % 2 = 0"),
     "delete_vectors": (lambda s, d: (lambda v: V.delete_vectors(v.select("id", "cls"), v.where("id % 3 = 0").select("id"))[0])(S.vectors(s, d)), f"WITH {S.VECTORS} SELECT id, cls FROM vectors WHERE id % 3 <> 0"),
-    "vector_stats": (lambda s, d: V.vector_stats(S.vectors(s, d), 10).withColumn("classes", F.to_json("classes")), f"""WITH {S.VECTORS}, c AS (SELECT cls, count(*) AS n FROM vectors GROUP BY cls) SELECT (SELECT count(*) FROM vectors) AS live, (SELECT max(len(values)) FROM vectors)::INT AS dimension, '[' || string_agg('{{"cls":' || cls || ',"n":' || n || '}}', ',' ORDER BY cls) || ']' AS classes, 10::BIGINT AS total_inserted FROM c"""),
     "metadata_filter": (lambda s, d: V.metadata_filter(S.vectors(s, d).withColumn("metadata", F.create_map(F.lit("cls"), F.col("cls").cast("string"))), {"cls": "3"}).select("id"), f"WITH {S.VECTORS} SELECT id FROM vectors WHERE cls = 3"),
     "knn_euclidean": (lambda s, d: (lambda v: V.knn_euclidean(_queries100(v), v, 5).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank"))(S.vectors(s, d)), f"WITH {S.VECTORS}, q AS (SELECT * FROM vectors WHERE id % 100 = 0), {_near('euclidean', 5, queries='q')} SELECT query_id, id, round(s, 6) AS distance, rank::INT AS rank FROM near"),
     "knn_cosine": (lambda s, d: (lambda v: V.knn_cosine(_queries100(v), v, 5, 0.1).select("query_id", "id", F.round("similarity", 9).alias("similarity"), "rank"))(S.vectors(s, d)), f"WITH {S.VECTORS}, q AS (SELECT * FROM vectors WHERE id % 100 = 0), {_near('cosine', 5, queries='q')} SELECT query_id, id, round(-s, 9) AS similarity, rank::INT AS rank FROM near WHERE -s >= 0.1"),
