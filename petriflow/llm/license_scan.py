@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,26 +27,31 @@ BASE: dict[str, str] = {"cc by": "cc-by", "general public license": "gpl", "all
 #: Notices (words in lower case; those after a star must be met exactly) and their labels.
 NOTICES: tuple[tuple[str, str], ...] = (
     ("licensed under the *apache license version *2 *0", "apache-2.0"),
+    ("*apache license version *2 *0", "apache-2.0"),
     ("licensed under the *apache license version *1 *1", "apache-1.1"),
     ("apache software license version *1 *1", "apache-1.1"),
     ("licensed under the *mit license", "mit"),
     ("released under the *mit license", "mit"),
+    ("the *mit *license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
     ("licensed under the *isc license", "isc"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
-    ("licensed under the gnu *general public license", "gpl"),
-    ("gnu *general public license version", "gpl"),
-    ("gnu *general public license version *2", "gpl-2.0"),
-    ("gnu *general public license version *3", "gpl-3.0"),
+    ("licensed under the *gnu *general public license", "gpl"),
+    ("*gnu *general public license version", "gpl"),
+    ("*gnu *general public license version *2", "gpl-2.0"),
+    ("*gnu *general public license version *3", "gpl-3.0"),
     ("gnu *lesser general public license", "lgpl"),
     ("gnu *library general public license", "lgpl"),
     ("gnu *affero general public license", "agpl"),
     ("gnu free *documentation license", "gfdl"),
     ("*mozilla public license version *2 *0", "mpl-2.0"),
+    ("*mozilla public license v *2 *0", "mpl-2.0"),
     ("*mozilla public license version *1 *1", "mpl-1.1"),
     ("released under the *mpl license", "mpl"),
     ("*eclipse public license version *1 *0", "epl-1.0"),
+    ("*eclipse public license v *1 *0", "epl-1.0"),
     ("*eclipse public license version *2 *0", "epl-2.0"),
+    ("*eclipse public license v *2 *0", "epl-2.0"),
     ("common *development and *distribution license", "cddl"),
     ("*boost software license version *1 *0", "bsl-1.0"),
     ("redistribution and use in source and binary forms", "bsd"),
@@ -65,7 +71,18 @@ NOTICES: tuple[tuple[str, str], ...] = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("dedicated to the public domain", "public-domain"),
     ("all rights reserved", "reserved"),
+    ("spdx *license *identifier *mit", "mit"),
+    ("spdx *license *identifier *isc", "isc"),
+    ("spdx *license *identifier *apache *2 *0", "apache-2.0"),
+    ("spdx *license *identifier *gpl *2 *0", "gpl-2.0"),
+    ("spdx *license *identifier *gpl *3 *0", "gpl-3.0"),
+    ("spdx *license *identifier *lgpl", "lgpl"),
+    ("spdx *license *identifier *agpl", "agpl"),
+    ("spdx *license *identifier *mpl *2 *0", "mpl-2.0"),
+    ("spdx *license *identifier *bsd", "bsd"),
 )
+#: Headers that a file begins with and identifiers as they stand alone: exact words, at the start of a line or of the text, that make up all of it.
+HEADERS: dict[str, str] = {"mit license": "mit", "the mit license": "mit", "isc license": "isc", "apache 2 0": "apache-2.0", "mpl 2 0": "mpl-2.0", "gpl 2 0": "gpl-2.0", "gpl 3 0": "gpl-3.0", "epl 2 0": "epl-2.0", "bsd 3 clause license": "bsd", "bsd 2 clause license": "bsd"}
 #: One edit for so many characters, rounded down, at most ``MOST_ERRORS``; notices shorter than that allow one.
 PER_ERROR, MOST_ERRORS = 12, 4
 
@@ -140,21 +157,30 @@ def _scanning(notices: tuple[tuple[str, str], ...], base: dict[str, str], kept:
     kind = pa.list_(pa.struct([("label", pa.string()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("errors", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _scanner(notices)
+        scanner, longest = _scanner(notices), max(map(len, HEADERS))
         for batch in batches:
             counts, exact, fuzzy, scores = [], [], [], []
             for raw in batch.column(len(kept)).cast(pa.large_binary()).to_pylist():
-                parts = (raw or b"").translate(_FOLD).split()
+                parts: list[bytes] = []
+                heads = []
+                for line in (raw or b"").split(b"\n"):  # words never go on in the next line
+                    own = line.translate(_FOLD).split()
+                    if 0 < len(own) <= 4 and sum(map(len, own)) < longest and (label := HEADERS.get(b" ".join(own).decode())):
+                        heads.append((label, len(parts), len(parts) + len(own)))
+                    parts += own
                 counts.append(len(parts))
-                text = f" {b' '.join(parts).decode()} "
-                # A start is followed by its word, so the spaces up to it are the words before it and one.
-                spot = lambda at, text=text: text.count(" ", 0, at) - 1
-                exact.append([{"label": label, "start_word": spot(at), "end_word": spot(at) + phrase.count(" ") + 1, "errors": 0} for phrase, label in base.items() for at in _places(text, phrase)])
-                near, best = [], 1.0 if exact[-1] else 0.0
+                joined = b" ".join(parts).decode()
+                text = f" {joined} "
+                starts = np.cumsum([1, *(len(w) + 1 for w in joined.split(" "))])[:-1] if parts else np.empty(0, np.int64)
+                word = lambda at, starts=starts: int(np.searchsorted(starts, at, "right")) - 1
+                exact.append([{"label": label, "start_word": word(at), "end_word": word(at) + phrase.count(" ") + 1, "errors": 0} for phrase, label in base.items() for at in _places(text, phrase)])
+                near, best = [{"label": label, "start_word": i, "end_word": j, "errors": 0} for label, i, j in heads], 1.0 if exact[-1] or heads else 0.0
                 for i, a, b, e in scanner.matches(text):
                     while text[a] == " ":
                         a += 1
-                    near.append({"label": scanner.notices[i][1], "start_word": text.count(" ", 0, a) - 1, "end_word": text.count(" ", 0, len(text[:b].rstrip(" "))), "errors": e})
+                    while text[b - 1] == " ":
+                        b -= 1
+                    near.append({"label": scanner.notices[i][1], "start_word": word(a), "end_word": word(b - 1) + 1, "errors": e})
                     best = max(best, 1 - e / len(scanner.notices[i][0]))
                 fuzzy.append(near)
                 scores.append(best)
@@ -169,7 +195,7 @@ def scan(docs: DataFrame, text: str = "text", notices: tuple[tuple[str, str], ..
 
     Words are runs of ASCII letters (lower-cased), digits and characters beyond ASCII; null and empty texts have none. phrases are
     exact; notices may differ by insertions, deletions and substitutions, one for each ``PER_ERROR`` characters; words are counted
-    from 0 and end_word is past the last. score: the best match's share of characters without an error, 0 without a match.
+    from 0 and end_word is past the last. A line that is one of `HEADERS` and nothing else is a notice too. score: the best match's share of characters without an error, 0 without a match.
     Notices of one label or of several may overlap; equal places of one notice count once. Columns named like the results are
     replaced, all others kept. A text of n bytes costs about 10 n bytes of memory.
     """

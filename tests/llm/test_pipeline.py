@@ -5,6 +5,7 @@ import re
 import pytest
 
 import corpus_pipeline
+from petriflow.functions.lineage import checkpointed
 from petriflow.llm import piece_transducer, registry
 from tests.compare import database, same
 
@@ -107,3 +108,25 @@ def test_clashing_columns_nulls_and_empty_tables_pass_every_stage(spark, sf_dir)
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, sf_dir)
     assert none.count() == 0
+
+
+def test_every_stage_is_computed_once(spark, sf_dir, monkeypatch):
+    passed = {name: spark.sparkContext.accumulator(0) for name, _ in corpus_pipeline.STAGES}
+
+    def counted(name, stage):
+        def through(batches):
+            for b in batches:
+                passed[name].add(b.num_rows)
+                yield b
+
+        return lambda *a: (lambda out: out.mapInArrow(through, out.schema))(stage(*a))
+
+    want = {}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+        want[name] = docs.count()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, counted(n, f)) for n, f in corpus_pipeline.STAGES])
+    out = corpus_pipeline.run(spark, sf_dir)
+    out.write.format("noop").mode("overwrite").save()
+    assert {n: a.value for n, a in passed.items()} == want
