@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from petriflow.functions.lineage import checkpointed
 from petriflow.operators.boxes import CORNERS, corners, iou
 
 #: Side of a grid cell in pixels: near the usual box size, so that a box falls into few cells.
@@ -75,15 +77,72 @@ def match_best_any(det: DataFrame, gt: DataFrame, thr: float = 0.5) -> DataFrame
     return det.join(found, ["image", "idx"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
+#: Reference boxes of an image up to which all of them meet a detection; those of a leaf of the search tree, and the tree's depth (16 cells a level).
+WHOLE_IMAGE, LEAF, DEPTH = 256, 16, 10
+
+
+def _centre(prefix: str, axis: str) -> Column:
+    return (F.col(f"{prefix}{axis}1") + F.col(f"{prefix}{axis}2")) / 2
+
+
+def _cell(level: int, axis: str) -> Column:
+    """The cell of a centre on an axis at a level of its image's tree."""
+    at = (F.col(f"c{axis}") - F.col(f"o{axis}")) / F.col("side") * 4**level
+    return F.greatest(F.lit(0), F.least(F.lit(4**level - 1), F.floor(at))).cast("int")
+
+
+def _to_box(low: bool) -> Column:
+    """Distance of a point (px, py) to the nearest or the farthest point of the hull of a cell's centres."""
+    if low:
+        part = lambda a: F.greatest(F.lit(0.0), F.col(f"lo{a}") - F.col(f"p{a}"), F.col(f"p{a}") - F.col(f"hi{a}"))
+    else:
+        part = lambda a: F.greatest(F.abs(F.col(f"p{a}") - F.col(f"lo{a}")), F.abs(F.col(f"p{a}") - F.col(f"hi{a}")))
+    return F.sqrt(F.pow(part("x"), 2) + F.pow(part("y"), 2))
+
+
+def near_candidates(points: DataFrame, gt: DataFrame) -> DataFrame:
+    """(image, row, gt_idx, g_ corners) for points (image, row, px, py): reference boxes, few a point, that hold the nearest one (ties: least gt_idx).
+
+    All images' centres lie in trees of 16 cells a level. Points go down level by level: a cell is left out once another's farthest centre is
+    nearer than its nearest one, so a point meets about the cells at its neighbour's distance, however many boxes the image has. Of boxes with one centre the
+    least gt_idx stands for all.
+    """
+    ids = ["image", "gt_idx", *("g_" + c for c in CORNERS)]
+    one = gt.groupBy("image", _centre("g_", "x").alias("cx"), _centre("g_", "y").alias("cy")).agg(F.min(F.struct("gt_idx", *ids[2:])).alias("b"))
+    hull = one.groupBy("image").agg(F.min("cx").alias("ox"), F.min("cy").alias("oy"), F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy"), F.lit(1e-300)).alias("side"))
+    one = checkpointed(one.join(hull, "image").select("image", "cx", "cy", "ox", "oy", "side", "b.*"))
+    open_ = points.withColumns({"in_x": F.lit(0), "in_y": F.lit(0), "bound": F.lit(float("inf"))})
+    found = []
+    for level in range(1, DEPTH + 1):
+        cells = one.groupBy("image", _cell(level, "x").alias("x"), _cell(level, "y").alias("y")).agg(F.count("*").alias("n"), *(f(f"c{a}").alias(f"{n}{a}") for a in "xy" for f, n in ((F.min, "lo"), (F.max, "hi"))))
+        cells = cells.withColumns({"in_x": F.floor(F.col("x") / 4).cast("int"), "in_y": F.floor(F.col("y") / 4).cast("int")})
+        met = open_.join(cells, ["image", "in_x", "in_y"]).withColumn("far", _to_box(False)).withColumn("near", _to_box(True))
+        best = F.least("bound", F.min("far").over(Window.partitionBy("image", "row")))
+        left = met.withColumn("bound", best * (1 + 1e-12)).where("near <= bound").select(*points.columns, F.col("x").alias("in_x"), F.col("y").alias("in_y"), "bound", "n")
+        left = checkpointed(left)
+        ended = F.col("n") <= (LEAF if level < DEPTH else 2**62)
+        leaf = left.where(ended).select("image", "row", "in_x", "in_y")
+        found.append(leaf.join(one.withColumns({"in_x": _cell(level, "x"), "in_y": _cell(level, "y")}), ["image", "in_x", "in_y"]).select("row", *ids))
+        open_ = left.where(~ended).drop("n")
+        if open_.isEmpty():
+            break
+    return reduce(DataFrame.union, found).select("image", "row", *ids[1:])
+
+
 def nearest_gt(fp: DataFrame, gt: DataFrame) -> DataFrame:
     """The nearest reference box of the image by centre distance: gt_idx, distance, gt_iou, dist_ratio, diagonal; infinite without one.
 
-    The join is within an image, whose number of boxes does not grow with the corpus.
+    In an image of up to `WHOLE_IMAGE` reference boxes a detection meets all of them, in a larger one those of `near_candidates`.
     """
     g = gt.select("image", F.col("idx").alias("gt_idx"), *(F.col(c).alias("g_" + c) for c in CORNERS))
-    j = fp.join(g, "image", "left")
-    centre = lambda p, a: (F.col(f"{p}{a}1") + F.col(f"{p}{a}2")) / 2
-    j = j.withColumn("distance", F.sqrt(F.pow(centre("", "x") - centre("g_", "x"), 2) + F.pow(centre("", "y") - centre("g_", "y"), 2)))
+    big = checkpointed(g.groupBy("image").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE_IMAGE).select("image"))
+    if big.isEmpty():
+        j = fp.join(g, "image", "left")
+    else:
+        rows = checkpointed(fp.join(big, "image", "left_semi").withColumn("row", F.monotonically_increasing_id()))
+        some = near_candidates(rows.select("image", "row", _centre("", "x").alias("px"), _centre("", "y").alias("py")), g.join(big, "image", "left_semi"))
+        j = fp.join(big, "image", "left_anti").join(g.join(big, "image", "left_anti"), "image", "left").unionByName(rows.join(some, ["image", "row"]).drop("row"))
+    j = j.withColumn("distance", F.sqrt(F.pow(_centre("", "x") - _centre("g_", "x"), 2) + F.pow(_centre("", "y") - _centre("g_", "y"), 2)))
     j = j.withColumn("gt_iou", iou(corners(), corners("g_")))
     longest = F.greatest(F.col("g_x2") - F.col("g_x1"), F.col("g_y2") - F.col("g_y1"))
     diagonal = F.sqrt(F.pow(F.col("g_x2") - F.col("g_x1"), 2) + F.pow(F.col("g_y2") - F.col("g_y1"), 2))

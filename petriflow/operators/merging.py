@@ -2,7 +2,8 @@
 
 What can be said with joins and windows is. Of the order-dependent rules, suppression, matching and the consensus of raters stream
 through candidate pairs that a grid join has cut at their threshold; `soft_nms`, `anchor_fusion` and `weighted_boxes_fusion` change boxes
-or scores as they go, so they take an image's boxes in one group (their number does not grow with the corpus).
+or scores as they go. They take a small image's boxes in one group, and those of a large image region by region: boxes of
+different regions never touch, nor does anything that a rule makes of them, so the rule's result is the same.
 """
 
 from __future__ import annotations
@@ -15,12 +16,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from petriflow.functions.graph import components
+from petriflow.functions.lineage import checkpointed
 from petriflow.operators.boxes import CORNERS
-from petriflow.operators.matching import iou_pairs, match_greedy
-
-
-def _grouped(det: DataFrame, rule, schema: str) -> DataFrame:
-    return det.select("image", "idx", *CORNERS, "score").groupBy("image").applyInPandas(rule, schema)
+from petriflow.operators.matching import CELL, _side, iou_pairs, match_greedy
+
+
+#: Boxes of an image that one group may hold; larger images are cut into regions.
+GROUP_BOXES = 2_000
+
+
+def _touching(boxes: DataFrame) -> DataFrame:
+    """(image, u, v) of boxes (image, idx, corners) that share a point, u > v."""
+    cell = 4 * CELL  # hulls are larger than boxes
+    a, b = (_side(boxes, p, cell, []) for p in ("l_", "r_"))
+    j = a.join(b, ["image", "cell_x", "cell_y"]).where("l_idx > r_idx")
+    own = (F.floor(F.greatest("l_x1", "r_x1") / cell) == F.col("cell_x")) & (F.floor(F.greatest("l_y1", "r_y1") / cell) == F.col("cell_y"))
+    meet = (F.greatest("l_x1", "r_x1") <= F.least("l_x2", "r_x2")) & (F.greatest("l_y1", "r_y1") <= F.least("l_y2", "r_y2"))
+    return j.where(own & meet).select("image", F.col("l_idx").alias("u"), F.col("r_idx").alias("v"))
+
+
+def _regions(boxes: DataFrame, hulls: bool) -> DataFrame:
+    """``boxes`` with _g: components of touching boxes; with ``hulls``, of boxes whose regions' hulls touch, until none do."""
+    rows = checkpointed(boxes.withColumn("_n", F.monotonically_increasing_id()))
+    shapes = rows.select("image", F.col("_n").alias("idx"), *CORNERS)
+    now = rows.select("_n", F.col("_n").alias("_g"))
+    while True:
+        edges = checkpointed(_touching(shapes).select("u", "v"))
+        if edges.isEmpty():
+            break
+        joined = components(edges).select(F.col("id").alias("_g"), "component")
+        now = checkpointed(now.join(joined, "_g", "left").select("_n", F.coalesce("component", "_g").alias("_g")))
+        if not hulls:
+            break
+        by = rows.join(now, "_n").groupBy("image", F.col("_g").alias("idx"))
+        shapes = checkpointed(by.agg(*(F.min(c).alias(c) for c in CORNERS[:2]), *(F.max(c).alias(c) for c in CORNERS[2:])))
+    return rows.join(now, "_n").drop("_n")
+
+
+def _grouped(det: DataFrame, rule, schema: str, hulls: bool = False) -> DataFrame:
+    """``rule`` on each image's boxes, or on each region's of an image with more than `GROUP_BOXES`."""
+    big = checkpointed(det.groupBy("image").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_BOXES).select("image"))
+    if big.isEmpty():
+        return det.groupBy("image").applyInPandas(rule, schema)
+    dealt = _regions(det.join(big, "image", "left_semi"), hulls)
+    whole = det.join(big, "image", "left_anti").withColumn("_g", F.lit(-1).cast("long"))
+    return whole.unionByName(dealt).groupBy("image", "_g").applyInPandas(rule, schema)
 
 
 def _iou_with(b: np.ndarray, i: int) -> np.ndarray:
@@ -76,7 +117,7 @@ def soft_nms(det: DataFrame, sigma: float = 0.5, floor: float = 0.001, score_fil
             s = np.where(left & (o > 0), s * np.exp(-(o**2) / sigma), s)
         return pd.DataFrame({"image": p.image.iloc[0], "idx": [x[0] for x in out], "score": [float(x[1]) for x in out]})
 
-    new = _grouped(det, rule, "image long, idx long, score double")
+    new = _grouped(det.select("image", "idx", *CORNERS, "score"), rule, "image long, idx long, score double")
     out = det.drop("score").join(new, ["image", "idx"])
     return out if score_filter is None else out.where(F.col("score") >= score_filter)
 
@@ -104,7 +145,7 @@ def anchor_fusion(det: DataFrame, thr: float = 0.5) -> DataFrame:
             rows.append((p.image.iloc[0], idx[i], *(w @ b[take]), s[take].max(), int(take.sum())))
         return pd.DataFrame(rows, columns=["image", "idx", *CORNERS, "score", "n"])
 
-    return _grouped(det, rule, "image long, idx long, x1 double, y1 double, x2 double, y2 double, score double, n long")
+    return _grouped(det.select("image", "idx", *CORNERS, "score"), rule, "image long, idx long, x1 double, y1 double, x2 double, y2 double, score double, n long")
 
 
 def pairwise_decay(det: DataFrame, thr: float = 0.3, score_filter: float = 0.0) -> DataFrame:
@@ -161,26 +202,34 @@ def weighted_boxes_fusion(models: list[DataFrame], thr: float = 0.55) -> DataFra
 
     def rule(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["score", "model", "idx"], ascending=[False, True, True])
-        fused: list[np.ndarray] = []
-        held: list[list[tuple[np.ndarray, float]]] = []
-        for box, s in zip(p[list(CORNERS)].to_numpy(), p.score.tolist(), strict=True):
-            best, at = thr, -1
-            if fused:
-                o = _iou_with(np.vstack([*fused, box]), len(fused))[:-1]
+        fused, scores = np.empty((len(p), 4)), p.score.to_numpy(float)
+        weighted, weight, total, held, first = np.zeros((len(p), 4)), np.zeros(len(p)), np.zeros(len(p)), np.zeros(len(p), int), []
+        for i, (box, s) in enumerate(zip(p[list(CORNERS)].to_numpy(), scores, strict=True)):
+            n_fused, at = len(first), -1
+            if n_fused:
+                fused[n_fused] = box  # a free row until a cluster is opened
+                o = _iou_with(fused[: n_fused + 1], n_fused)[:-1]
                 k = int(o.argmax())
-                if o[k] > best:
+                if o[k] > thr:
                     at = k
             if at < 0:
-                held.append([(box, s)])
-                fused.append(box.copy())
-            else:
-                held[at].append((box, s))
-                w = np.array([x[1] for x in held[at]])
-                fused[at] = w @ np.array([x[0] for x in held[at]]) / w.sum()
-        rows = [(p.image.iloc[0], i, *f, float(np.mean([x[1] for x in h]) * min(len(h), n) / n), len(h)) for i, (f, h) in enumerate(zip(fused, held, strict=True))]
-        return pd.DataFrame(rows, columns=["image", "idx", *CORNERS, "score", "n"])
-
-    return all_boxes.groupBy("image").applyInPandas(rule, "image long, idx long, x1 double, y1 double, x2 double, y2 double, score double, n long")
+                at = n_fused
+                first.append(i)
+            weighted[at] += s * box
+            weight[at] += s
+            total[at] += s
+            held[at] += 1
+            fused[at] = box if held[at] == 1 else weighted[at] / weight[at]
+        k = len(first)
+        out = pd.DataFrame(fused[:k], columns=list(CORNERS))
+        begun = p.iloc[first].reset_index(drop=True)
+        return out.assign(image=p.image.iloc[0], score=total[:k] / held[:k] * np.minimum(held[:k], n) / n, n=held[:k], top=begun.score, model=begun.model, own=begun.idx)
+
+    schema = "x1 double, y1 double, x2 double, y2 double, image long, score double, n long, top double, model int, own long"
+    out = _grouped(all_boxes, rule, schema, hulls=True)
+    # Clusters are numbered in the order of their first boxes.
+    place = F.row_number().over(Window.partitionBy("image").orderBy(F.desc("top"), "model", "own")).cast("long") - 1
+    return out.select("image", place.alias("idx"), *CORNERS, "score", "n")
 
 
 def label_consensus(boxes: DataFrame, raters: list[str], thr: float = 0.5) -> DataFrame:
