@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,9 @@ from pyspark.sql import types as T
 SCHEMA = "chain_id string, index long, ts string, operation string, details string, prev_hash string, hash string, nonce long"
 
 
+_BLOCK = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in (c.split() for c in SCHEMA.split(", "))])
+
+
 def block_hash() -> Column:
     """SHA-256 of index:timestamp:operation:prev_hash:nonce."""
     return F.sha2(F.concat_ws(":", F.col("index").cast("string"), "ts", "operation", "prev_hash", F.col("nonce").cast("string")), 256)
@@ -24,22 +29,28 @@ def json_block_hash(index: pd.Series, ts: pd.Series, operation: pd.Series, detai
     return pd.Series([hashlib.sha256(json.dumps({"index": int(i), "timestamp": t, "operation": o, "details": d, "prev_hash": p}, sort_keys=True).encode()).hexdigest() for i, t, o, d, p in zip(index, ts, operation, details, prev, strict=True)])
 
 
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events by chain and index to blocks; from batch to batch only the chain's last hash is carried."""
+    chain, prev = object(), "0"
+    for batch in batches:
+        rows = []
+        for c, i, t, o, d in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            begins = [(0, "Genesis", None)] if c != chain else []
+            chain, prev = c, "0" if begins else prev
+            for index, operation, details in [*begins, (i, o, d)]:
+                h = hashlib.sha256(f"{index}:{t}:{operation}:{prev}:0".encode()).hexdigest()
+                rows.append((c, index, t, operation, details, prev, h, 0))
+                prev = h
+        yield pa.RecordBatch.from_pylist([dict(zip(_BLOCK.names, r, strict=True)) for r in rows], schema=_BLOCK)
+
+
 def build_chain(events: DataFrame) -> DataFrame:
     """Blocks of each chain's events (chain_id, index from 1, ts, operation, details): a genesis block of index 0 and previous hash 0, then one a block,
-    linked to the one before. A chain is sequential by definition; chains are the unit of parallel work."""
-
-    def link(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("index")
-        rows = [(p.chain_id.iloc[0], 0, p.ts.iloc[0], "Genesis", None, "0", "", 0)]
-        rows += [(c, i, t, o, d, "", "", 0) for c, i, t, o, d in p[["chain_id", "index", "ts", "operation", "details"]].itertuples(index=False)]
-        out, prev = [], "0"
-        for c, i, t, o, d, _, _, n in rows:
-            h = hashlib.sha256(f"{i}:{t}:{o}:{prev}:{n}".encode()).hexdigest()
-            out.append((c, i, t, o, d, prev, h, n))
-            prev = h
-        return pd.DataFrame(out, columns=["chain_id", "index", "ts", "operation", "details", "prev_hash", "hash", "nonce"])
-
-    return events.select("chain_id", "index", "ts", "operation", "details").groupBy("chain_id").applyInPandas(link, SCHEMA)
+    linked to the one before. A chain is sequential by definition; a task walks its chains in order, a batch of rows at a time, so a chain of any length
+    takes one batch of memory.
+    """
+    ordered = events.select("chain_id", "index", "ts", "operation", "details").repartition("chain_id").sortWithinPartitions("chain_id", "index")
+    return ordered.mapInArrow(_linked, SCHEMA)
 
 
 def verify_blocks(blocks: DataFrame, check_first: bool = True) -> DataFrame:

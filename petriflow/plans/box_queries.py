@@ -17,7 +17,12 @@ IOU = """(CASE WHEN (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1
   THEN greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) /
   ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))) ELSE 0 END)"""
 
-#: Pairs of model boxes and ground truth, the greedy match in score order as a walk over each image's candidate detections, and all detections with it.
+#: Pairs of model boxes and ground truth; every table is made once.
+PAIRS = f"""WITH {S.BOXES.strip().replace("boxes AS (", "boxes AS MATERIALIZED (", 1)},
+det AS MATERIALIZED (SELECT * FROM boxes WHERE role = 'R'), gt AS MATERIALIZED (SELECT * FROM boxes WHERE role = 'N'),
+pairs AS MATERIALIZED (SELECT a.image, a.idx AS d, b.idx AS g, a.score, {IOU} AS iou FROM det a JOIN gt b ON a.image = b.image AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)"""
+
+#: The same, the greedy match in score order as a walk over each image's candidate detections, and all detections with it.
 GREEDY = f"""WITH RECURSIVE {S.BOXES},
 det AS (SELECT * FROM boxes WHERE role = 'R'), gt AS (SELECT * FROM boxes WHERE role = 'N'),
 pairs AS (SELECT a.image, a.idx AS d, b.idx AS g, a.score, {IOU} AS iou FROM det a JOIN gt b ON a.image = b.image AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2),
@@ -84,7 +89,7 @@ QUERIES = {
 SELECT 'R' AS model, n_images, tp, fp, fn, round(map, 9) AS map, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 9) AS f1 FROM s"""),
     "match_greedy": (lambda s, d: (lambda r, a, n: M.match_greedy(r, n).select("image", "idx", "matched", "gt_idx"))(*_split(s, d)), f"{GREEDY} SELECT image, idx, matched, gt_idx FROM matched"),
     "ap_per_image": (lambda s, d: (lambda r, a, n: r9(D.ap_per_image(r, n), "ap"))(*_split(s, d)), f"{GREEDY}, {AP} SELECT image, n_gt, tp, fp, fn, round(ap, 9) AS ap FROM ap"),
-    "iou_pairs": (lambda s, d: (lambda r, a, n: M.iou_pairs(r, n, 0.3).select("image", "l_idx", "r_idx", F.round("iou", 9).alias("iou")))(*_split(s, d)), f"WITH {S.BOXES} SELECT a.image, a.idx AS l_idx, b.idx AS r_idx, round({IOU}, 9) AS iou FROM boxes a JOIN boxes b ON a.image = b.image AND a.role = 'R' AND b.role = 'N' AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 WHERE {IOU} >= 0.3"),
+    "iou_pairs": (lambda s, d: (lambda r, a, n: M.iou_pairs(r, n, 0.3).select("image", "l_idx", "r_idx", F.round("iou", 9).alias("iou")))(*_split(s, d)), f"{PAIRS} SELECT image, d AS l_idx, g AS r_idx, round(iou, 9) AS iou FROM pairs WHERE iou >= 0.3"),
     "box_formats": (lambda s, d: (lambda b: b.select("image", "idx", *B.centre_from_corners(1000.0, 1000.0)).select("image", "idx", *(F.round(c, 9).alias(c) for c in ("xc", "yc", "w", "h"))))(S.boxes(s, d)), f"WITH {S.BOXES} SELECT image, idx, round((x1 + x2) / 2 / 1000, 9) AS xc, round((y1 + y2) / 2 / 1000, 9) AS yc, round((x2 - x1) / 1000, 9) AS w, round((y2 - y1) / 1000, 9) AS h FROM boxes"),
     "box_round_trip": (lambda s, d: S.boxes(s, d).select("image", "idx", *B.centre_from_corners(1000.0, 1000.0)).select("image", "idx", *B.corners_from_centre("xc", "yc", "w", "h", 1000.0, 1000.0, True)).select("image", "idx", *(F.round(c, 6).alias(c) for c in B.CORNERS)), f"WITH {S.BOXES} SELECT image, idx, least(x1, 1000) AS x1, least(y1, 1000) AS y1, least(x2, 1000) AS x2, least(y2, 1000) AS y2 FROM boxes"),
     "clip_and_drop": (lambda s, d: B.clip_and_drop(S.boxes(s, d), 900, 900, 80).select("image", "idx", *B.CORNERS), f"WITH {S.BOXES} SELECT image, idx, greatest(x1, 0) AS x1, greatest(y1, 0) AS y1, least(x2, 900) AS x2, least(y2, 900) AS y2 FROM boxes WHERE x2 - x1 >= 80 AND y2 - y1 >= 80 AND x2 > 0 AND y2 > 0 AND x1 < 900 AND y1 < 900"),
@@ -98,7 +103,9 @@ SELECT 'R' AS model, n_images, tp, fp, fn, round(map, 9) AS map, round(tp / (tp
     "boxes_over_tiles": (lambda s, d: _placed(s, d, False).select("image", "tx", "ty", "idx", *B.CORNERS), f"WITH {S.BOXES}, {_IMAGES}, {_TILES}, p AS (SELECT image, tx, ty, idx, least(greatest(x1 - tx, 0), 320) AS x1, least(greatest(y1 - ty, 0), 320) AS y1, least(greatest(x2 - tx, 0), 320) AS x2, least(greatest(y2 - ty, 0), 320) AS y2 FROM boxes JOIN tiles USING (image) WHERE role = 'N') SELECT * FROM p WHERE x2 - x1 >= 2 AND y2 - y1 >= 2"),
     "select_tiles": (lambda s, d: T.select_tiles(_tiles(s, d), _placed(s, d), 5, True, 2).select("image", "tx", "ty", "n_objects"), f"WITH {S.BOXES}, {_IMAGES}, {_TILES}, {_PLACED}, n AS (SELECT image, tx, ty, split, count(idx) AS n_objects FROM tiles LEFT JOIN (SELECT * FROM placed WHERE x2 - x1 >= 2 AND y2 - y1 >= 2) USING (image, tx, ty) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY image, n_objects >= 5 ORDER BY ty, tx) AS k FROM n) SELECT image, tx, ty, n_objects FROM r WHERE n_objects >= 5 OR (split = 'train' AND k <= 2)"),
     "windows_to_image": (lambda s, d: T.windows_to_image(S.boxes(s, d).withColumn("window", F.col("idx") % 4), _images(s, d).select("image", F.explode(F.array(*(F.lit(i) for i in range(4)))).alias("window"), (F.col("window") * 100).alias("tx"), (F.col("window") * 50).alias("ty"), F.lit(2).alias("downsample"))).select("image", "idx", *B.CORNERS), f"WITH {S.BOXES} SELECT image, idx, idx % 4 * 100 + x1 * 2 AS x1, idx % 4 * 50 + y1 * 2 AS y1, idx % 4 * 100 + x2 * 2 AS x2, idx % 4 * 50 + y2 * 2 AS y2 FROM boxes"),
-    "match_best_any": (lambda s, d: (lambda r, a, n: M.match_best_any(r, n).select("image", "idx", "gt_idx", "matched"))(*_split(s, d)), f"WITH {S.BOXES}, p AS (SELECT a.image, a.idx, b.idx AS g, a.score, {IOU} AS iou FROM boxes a JOIN boxes b ON a.image = b.image AND a.role = 'R' AND b.role = 'N' AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2), b1 AS (SELECT * FROM p WHERE iou >= 0.5 QUALIFY row_number() OVER (PARTITION BY image, idx ORDER BY iou DESC, g) = 1), f AS (SELECT *, row_number() OVER (PARTITION BY image, g ORDER BY score DESC, idx) AS k FROM b1) SELECT boxes.image, boxes.idx, f.g AS gt_idx, coalesce(f.k = 1, false) AS matched FROM boxes LEFT JOIN f ON boxes.image = f.image AND boxes.idx = f.idx WHERE role = 'R'"),
+    "match_best_any": (lambda s, d: (lambda r, a, n: M.match_best_any(r, n).select("image", "idx", "gt_idx", "matched"))(*_split(s, d)), f"""{PAIRS},
+b1 AS (SELECT * FROM pairs WHERE iou >= 0.5 QUALIFY row_number() OVER (PARTITION BY image, d ORDER BY iou DESC, g) = 1), f AS (SELECT *, row_number() OVER (PARTITION BY image, g ORDER BY score DESC, d) AS k FROM b1)
+SELECT det.image, det.idx, f.g AS gt_idx, coalesce(f.k = 1, false) AS matched FROM det LEFT JOIN f ON det.image = f.image AND det.idx = f.d"""),
     "nearest_gt": (lambda s, d: (lambda r, a, n: r9(M.classify_false_positives(M.nearest_gt(r.select("image", "idx", "score", *B.CORNERS), n)).select("image", "idx", "gt_idx", "distance", "gt_iou", "dist_ratio", "category"), "distance", "gt_iou", "dist_ratio"))(*_split(s, d)), f"""WITH {S.BOXES}, p AS (SELECT a.image, a.idx, b.idx AS gt_idx, sqrt(pow((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2, 2) + pow((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2, 2)) AS distance, {IOU} AS gt_iou, greatest(b.x2 - b.x1, b.y2 - b.y1) AS longest, sqrt(pow(b.x2 - b.x1, 2) + pow(b.y2 - b.y1, 2)) AS diagonal
   FROM (SELECT * FROM boxes WHERE role = 'R') a LEFT JOIN (SELECT * FROM boxes WHERE role = 'N') b ON a.image = b.image QUALIFY row_number() OVER (PARTITION BY a.image, a.idx ORDER BY distance, b.idx) = 1)
 SELECT image, idx, gt_idx, round(coalesce(distance, 'inf'::DOUBLE), 9) AS distance, round(coalesce(gt_iou, 0), 9) AS gt_iou, round(coalesce(distance / longest, 'inf'::DOUBLE), 9) AS dist_ratio, CASE WHEN gt_iou >= 0.3 THEN 'partial_overlap' WHEN distance < diagonal THEN 'near_miss' WHEN distance < 2 * diagonal THEN 'vicinity' ELSE 'isolated' END AS category FROM p"""),
