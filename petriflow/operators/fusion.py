@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from petriflow.functions.grid import with_each
 from petriflow.functions.lineage import checkpointed
+from petriflow.operators.models import held_out_logistic, held_out_scores
 from petriflow.operators.ranking import areas, average_precision, roc_auc, score_steps
 
 WEIGHTS = [round(0.05 * i, 2) for i in range(21)]
@@ -66,19 +65,18 @@ def fold_of(label: str, key: str, k: int, seed: int = 0) -> Column:
     return ((F.row_number().over(Window.partitionBy(label, F.substring(h, 1, 2)).orderBy(h, key)) + F.conv(F.substring(h, 1, 2), 16, 10).cast("int")) % k).cast("int")
 
 
+def _finite(df: DataFrame, kept: list[str], features: list[str], label: str) -> DataFrame:
+    """(kept, label, x): rows without a null or NaN among the features."""
+    x = F.array(*(F.col(c).cast("double") for c in features))
+    return df.select(*kept, F.col(label).cast("double").alias("label"), x.alias("x")).where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
+
+
 def lr_meta(df: DataFrame, features: list[str], label: str = "label", key: str = "id", k: int = 5, c: float = 1.0) -> DataFrame:
-    """(key, label, fold, prob): out-of-fold probabilities of a logistic regression on the features, for AUC and AP."""
-    rows = VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="skip").transform(df.select(key, F.col(label).cast("double").alias("label"), *features))
-    rows = checkpointed(rows.withColumn("fold", fold_of("label", key, k)))
-    out = None
-    n = rows.count()
-    for f in range(k):
-        train, test = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)
-        scale = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(train)
-        model = LogisticRegression(featuresCol="_x", labelCol="label", regParam=1 / (c * max(1, n - n // k)), standardization=False, maxIter=100).fit(scale.transform(train))
-        part = model.transform(scale.transform(test)).select(key, "label", "fold", F.get(vector_to_array("probability"), F.lit(1)).alias("prob"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(key, label, fold, prob): out-of-fold probabilities of a logistic regression on the features, for AUC and AP. All folds are fitted at once."""
+    rows = checkpointed(_finite(df, [key], features, label).withColumn("fold", fold_of("label", key, k)))
+    fit = rows.select("x", F.col("label").alias("y"), F.col("fold").alias("g"))
+    model = held_out_logistic(fit, k, len(features), lambda n: 1 / (c * n))
+    return held_out_scores(rows.withColumn("g", F.col("fold")), model, [key, "label", "fold"]).withColumnRenamed("score", "prob")
 
 
 def correlations(df: DataFrame, a: str = "score", b: str = "conf") -> DataFrame:
@@ -113,13 +111,13 @@ def alpha_for_gap(gap: Column) -> Column:
 
 
 def leave_one_group_out(df: DataFrame, by: str, features: list[str], label: str = "label", key: str = "id") -> DataFrame:
-    """(by, n, n_pos, auc) of each group scored by a logistic regression fitted to all others, and pooled (null). One fit a group: groups are few."""
-    rows = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df.select(key, by, F.col(label).cast("double").alias("label"), *features))
-    out = None
-    for (g,) in sorted(rows.select(by).distinct().collect()):
-        model = LogisticRegression(featuresCol="_x", labelCol="label", regParam=1e-3, maxIter=50).fit(rows.where(F.col(by) != g))
-        part = model.transform(rows.where(F.col(by) == g)).select(by, "label", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
-        out = part if out is None else out.unionByName(part)
+    """(by, n, n_pos, auc) of each group scored by a logistic regression fitted to all others, and pooled (null). All groups are fitted at once, by passes
+    whose number doesn't grow with the groups."""
+    rows = checkpointed(_finite(df, [by], features, label))
+    names = checkpointed(rows.select(by).distinct().withColumn("g", F.row_number().over(Window.orderBy(by)).cast("int") - 1))  # a row a group
+    rows = checkpointed(rows.join(names, by))
+    model = held_out_logistic(rows.select("x", F.col("label").alias("y"), "g"), max(1, names.count()), len(features), lambda n: np.full(len(n), 1e-3))
+    out = held_out_scores(rows, model, [by, "label"])
     return roc_auc(out, by=[by]).unionByName(roc_auc(out).withColumn(by, F.lit(None)), allowMissingColumns=True)
 
 

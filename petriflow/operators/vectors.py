@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from petriflow.operators.neighbours import CELLS, approx_knn, knn, recall_at_k
+from petriflow.functions.lineage import checkpointed
+from petriflow.operators.models import dirichlet_mixture
+from petriflow.operators.neighbours import CELLS, approx_knn, centres, knn, recall_at_k, sample
 from petriflow.operators.ranking import mann_whitney, pr_auc, roc_auc
 
 #: Rows of one block of a block product, about.
@@ -165,24 +167,24 @@ def pca_project(rows: DataFrame, k: int = 50) -> tuple[DataFrame, list[float]]:
     return model.transform(x).select(*rows.columns, vector_to_array("_p").alias("pc")), list(model.explainedVariance)
 
 
-def mixture_score(rows: DataFrame, components: int = 4, pcs: int = 8, seed: int = 42) -> DataFrame:
-    """``rows`` with log_likelihood under a Gaussian mixture fitted to the label-1 rows in principal component space."""
+def mixture_score(rows: DataFrame, components: int | None = None, pcs: int = 8, seed: int = 42, prior: float = 1e-2) -> DataFrame:
+    """``rows`` with log_likelihood under a truncated Dirichlet-process mixture (diagonal Gaussians, weight prior ``prior``) of the label-1 rows in principal
+    component space, and active, how many of its components have more than a hundredth of the weight. None: one component for every 100 of these rows,
+    2 at least and 15 at most."""
     p, _ = pca_project(rows, pcs)
-    v = p.withColumn("_v", array_to_vector("pc"))
-    model = GaussianMixture(k=components, featuresCol="_v", seed=seed).fit(v.where("label = 1"))
-    weights = np.array(model.weights)
-    means = np.array([g.mean.toArray() for g in model.gaussians])
-    covs = [g.cov.toArray() + 1e-6 * np.eye(means.shape[1]) for g in model.gaussians]
-    inv, det = [np.linalg.inv(c) for c in covs], [np.linalg.slogdet(c)[1] for c in covs]
+    p = checkpointed(p)
+    fit = p.where("label = 1").select("id", F.col("pc").alias("values"))
+    k = components or min(15, max(2, fit.count() // 100))
+    some = sample(fit, 4096, seed)
+    if not len(some):
+        return p.withColumns({"log_likelihood": F.lit(None).cast("double"), "active": F.lit(0)}).drop("pc")
+    model = dirichlet_mixture(fit.select(F.col("values").alias("x")), centres(some, k, seed), prior)
 
     @F.pandas_udf("double")
     def loglik(s: pd.Series) -> pd.Series:
-        x = np.array(s.tolist())
-        parts = np.stack([np.log(w) - 0.5 * (np.einsum("ni,ij,nj->n", x - m, i, x - m) + d + x.shape[1] * np.log(2 * np.pi)) for w, m, i, d in zip(weights, means, inv, det, strict=True)])
-        top = parts.max(0)
-        return pd.Series(top + np.log(np.exp(parts - top).sum(0)))
+        return pd.Series(model.log_likelihood(np.array(s.tolist())) if len(s) else [])
 
-    return p.withColumn("log_likelihood", loglik("pc")).drop("pc")
+    return p.withColumns({"log_likelihood": loglik("pc"), "active": F.lit(int((model.weights > 0.01).sum()))}).drop("pc")
 
 
 def centroid_spread(rows: DataFrame, cls: str = "cls") -> DataFrame:

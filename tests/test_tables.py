@@ -289,8 +289,8 @@ def test_clusters_and_mixtures_against_numpy(spark):
     cov = np.cov(p[good].T, ddof=0)
     one = -0.5 * (np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov), d) + np.linalg.slogdet(cov)[1] + 4 * np.log(2 * np.pi))
     got = np.array([scored[i] for i in range(300)])
-    # Two components fit the rows no worse than one, about as well, and tell the other rows apart.
-    assert -0.01 < (got - one)[good].mean() < 1 and got[good].min() > np.median(got[~good])
+    # A posterior of diagonal components under a prior of one row fits the rows nearly as well as one free Gaussian, and tells the other rows apart.
+    assert -0.3 < (got - one)[good].mean() < 1 and got[good].min() > np.median(got[~good])
 
 
 def test_fits_against_gradient_descent(spark):
