@@ -43,6 +43,15 @@ area AS (SELECT image, sum(tp) AS tp, sum(1 - tp) AS fp, sum(CASE WHEN tp = 1 TH
 ap AS (SELECT image, n_gt::BIGINT AS n_gt, coalesce(tp, 0)::BIGINT AS tp, coalesce(fp, 0)::BIGINT AS fp, (n_gt - coalesce(tp, 0))::BIGINT AS fn, CASE WHEN n_gt > 0 THEN coalesce(s, 0) / n_gt ELSE 0 END AS ap FROM every LEFT JOIN area USING (image))"""
 
 
+_SHAPE = ("area", "perimeter", "circularity", "aspect_ratio", "solidity")
+
+
+def _notched(b: DataFrame) -> DataFrame:
+    """Boxes without a corner: polygons that are not convex, with hulls that cut the notch in half."""
+    x, y = (F.col(f"{a}2") - (F.col(f"{a}2") - F.col(f"{a}1")) * (3 - F.col("idx") % n) / 4 for a, n in (("x", 3), ("y", 2)))
+    return b.select("image", "idx", F.array("x1", "x2", "x2", x, x, "x1").alias("xs"), F.array("y1", "y1", y, y, "y2", "y2").alias("ys"))
+
+
 def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     b = S.boxes(spark, d)
     return tuple(b.where(F.col("role") == r) for r in ("R", "A", "N"))  # type: ignore[return-value]
@@ -96,6 +105,12 @@ SELECT 'R' AS model, n_images, tp, fp, fn, round(map, 9) AS map, round(tp / (tp
     "crop_window": (lambda s, d: B.crop_window(S.boxes(s, d), 1000, 1000, 0.5, True, 100).select("image", "idx", "cx1", "cy1", "cx2", "cy2"), f"WITH {S.BOXES}, c AS (SELECT image, idx, greatest(0, trunc(x1 - (x2 - x1) * 0.5))::INT AS cx1, greatest(0, trunc(y1 - (y2 - y1) * 0.5))::INT AS cy1, least(1000, trunc(x2 + (x2 - x1) * 0.5))::INT AS cx2, least(1000, trunc(y2 + (y2 - y1) * 0.5))::INT AS cy2 FROM boxes) SELECT * FROM c WHERE cx2 - cx1 >= 100 AND cy2 - cy1 >= 100"),
     "filter_by_morphology": (lambda s, d: B.filter_by_morphology(S.boxes(s, d), 0.2, 0.2, 0.2, 0.6).select("image", "idx"), f"WITH {S.BOXES} SELECT image, idx FROM boxes WHERE score >= 0.2 AND circularity >= 0.2 AND solidity >= 0.2 AND aspect_ratio >= 0.6"),
     "out_of_bounds": (lambda s, d: B.out_of_bounds(S.boxes(s, d).withColumns({c: F.col(c) / 1000 for c in B.CORNERS})).select("image", "idx"), f"WITH {S.BOXES} SELECT image, idx FROM boxes WHERE x1 < 0 OR y1 < 0 OR x2 > 1000 OR y2 > 1000"),
+    "shape_measures_notched": (
+        lambda s, d: r9(B.shape_measures(_notched(S.boxes(s, d))).select("image", "idx", *_SHAPE), *_SHAPE),
+        f"""WITH {S.BOXES}, n AS (SELECT image, idx, x2 - x1 AS w, y2 - y1 AS h, (x2 - x1) * (3 - idx % 3) / 4 * (y2 - y1) * (3 - idx % 2) / 4 AS cut FROM boxes)
+SELECT image, idx, round(w * h - cut, 9) AS area, round(2 * (w + h), 9) AS perimeter, round(pi() * (w * h - cut) / pow(w + h, 2), 9) AS circularity, round(least(w, h) / greatest(w, h), 9) AS aspect_ratio,
+  round((w * h - cut) / (w * h - cut / 2), 9) AS solidity FROM n""",
+    ),
     "shape_measures": (lambda s, d: B.shape_measures(S.boxes(s, d).select("image", "idx", F.array("x1", "x2", "x2", "x1").alias("xs"), F.array("y1", "y1", "y2", "y2").alias("ys"))).select("image", "idx", *(F.round(c, 9).alias(c) for c in ("area", "perimeter", "circularity", "aspect_ratio", "solidity"))), f"WITH {S.BOXES} SELECT image, idx, (x2 - x1) * (y2 - y1) AS area, 2 * (x2 - x1 + y2 - y1) AS perimeter, round(4 * pi() * (x2 - x1) * (y2 - y1) / pow(2 * (x2 - x1 + y2 - y1), 2), 9) AS circularity, round(aspect_ratio, 9) AS aspect_ratio, 1.0::DOUBLE AS solidity FROM boxes"),
     "tile_grid": (_tiles, f"WITH {S.BOXES}, {_IMAGES}, {_TILES} SELECT image, split, tx, ty, tw, th FROM tiles"),
     "sliding_windows": (lambda s, d: T.sliding_windows(_images(s, d), 512, 0.3).select("image", "tx", "ty", "tw", "th"), f"WITH {S.BOXES}, {_IMAGES} SELECT image, tx, ty, least(512, width - tx)::INT AS tw, least(512, height - ty)::INT AS th FROM (SELECT *, unnest(range(0, height, 358))::INT AS ty FROM (SELECT *, unnest(range(0, width, 358))::INT AS tx FROM images)) WHERE least(512, width - tx) >= 256 AND least(512, height - ty) >= 256"),

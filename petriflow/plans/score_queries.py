@@ -111,6 +111,26 @@ def _approx_recall(s, d):
     return out.select("n_queries", "n_neighbours", (F.col("recall") >= 0.9).alias("recall_reached"), (5 * F.col("compared") <= F.col("pairs")).alias("fewer_vectors"))
 
 
+def _leading(s, d):
+    """The first of three components of every row, sign aside, and its share of the variance."""
+    out, share = V.pca_project(S.vectors(s, d), 3)
+    return out.select("id", F.round(F.abs(F.get("pc", F.lit(0))), 6).alias("first"), F.lit(round(float(share[0]), 6)).alias("share"))
+
+
+def _power(k: int) -> str:
+    """The correlation matrix squared ``k`` times, each time scaled by its largest entry: its columns turn into the first component."""
+    step = "c{1} AS MATERIALIZED (SELECT i, j, v / max(abs(v)) OVER () AS v FROM (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM c{0} a JOIN c{0} b ON a.j = b.i GROUP BY a.i, b.j))"
+    return ",\n".join(step.format(n, n + 1) for n in range(k))
+
+
+_LEADING = f"""WITH {S.VECTORS}, l AS (SELECT id, i, values[i] AS x FROM vectors, range(1, 65) t(i)), z AS MATERIALIZED (SELECT id, i, (x - avg(x) OVER (PARTITION BY i)) / stddev_samp(x) OVER (PARTITION BY i) AS z FROM l),
+c0 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.z * b.z) / (count(*) - 1) AS v FROM z a JOIN z b USING (id) GROUP BY a.i, b.i),
+{_power(14)},
+u AS (SELECT i, v / sqrt(sum(v * v) OVER ()) AS v FROM c14 WHERE j = (SELECT i FROM c14 WHERE i = j ORDER BY v DESC, i LIMIT 1)),
+e AS (SELECT sum(a.v * c0.v * b.v) / 64 AS share FROM c0 JOIN u a ON a.i = c0.i JOIN u b ON b.i = c0.j)
+SELECT id, round(abs(sum(z * v)), 6) AS first, round(any_value(share), 6) AS share FROM z JOIN u USING (i), e GROUP BY id"""
+
+
 _CASES = "cases AS (SELECT id, values, client, label, 'h' || (id % 4)::VARCHAR AS hospital_id, ['healthy', 'early_stage', 'late_stage'][cls % 3 + 1] AS diagnosis, (id % 10) / 10 AS confidence FROM vectors)"
 
 
@@ -185,6 +205,7 @@ SELECT id, CASE k WHEN 0 THEN p WHEN 1 THEN 0.75 ELSE 0.5 END AS is_organoid, 0.
     "approx_knn_recall": (_approx_recall, f"""WITH {S.VECTORS}, q AS (SELECT * FROM vectors WHERE id % 100 = 0), {_near('euclidean', 10, queries='q')}
 SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_neighbours, true AS recall_reached, true AS fewer_vectors FROM near"""),
     "kmeans_clusters": (lambda s, d: V.kmeans_clusters(S.vectors(s, d), 4).groupBy("cluster").agg(F.max("n").alias("n"), F.round(F.max("pct"), 6).alias("pct")), None),
+    "pca_leading": (_leading, _LEADING),
     "pca_project": (lambda s, d: V.pca_project(S.vectors(s, d), 64)[0].select("id", F.round(F.aggregate("pc", F.lit(0.0), lambda a, x: a + x * x), 6).alias("energy")), f"WITH {S.VECTORS}, l AS (SELECT id, i, values[i] AS x FROM vectors CROSS JOIN range(1, 65) t(i)), m AS (SELECT i, avg(x) AS m, stddev_samp(x) AS s FROM l GROUP BY i) SELECT id, round(sum(pow((x - m) / s, 2)), 6) AS energy FROM l JOIN m USING (i) GROUP BY id"),
     "mixture_score": (lambda s, d: V.mixture_score(S.vectors(s, d)).select("id", "label", F.round("log_likelihood", 3).alias("log_likelihood")), None),
     "centroid_spread": (lambda s, d: r9(V.centroid_spread(S.vectors(s, d)), "mean_distance", "sd_distance"), f"WITH {S.VECTORS}, l AS (SELECT id, cls, i, values[i] AS x, avg(values[i]) OVER (PARTITION BY cls, i) AS m FROM (SELECT *, unnest(range(1, 65)) AS i FROM vectors)), r AS (SELECT id, cls, sqrt(sum(pow(x - m, 2))) AS dist FROM l GROUP BY 1, 2) SELECT cls, count(*) AS n, round(avg(dist), 9) AS mean_distance, round(stddev_pop(dist), 9) AS sd_distance FROM r GROUP BY cls"),

@@ -102,6 +102,25 @@ c AS (SELECT batch, '[' || string_agg('{{"cls":' || cls || ',"n":' || n || '}}',
 m AS (SELECT image % 3 AS batch, sum((rater <> 'F')::INT)::BIGINT AS n_malformed FROM boxes GROUP BY 1)
 SELECT *, 0::BIGINT AS n_labels_without_image FROM q JOIN b USING (batch) JOIN c USING (batch) JOIN m USING (batch)"""
 
+#: Softmax regression of every client by recursion: 3 rounds of 20 steps, models averaged by samples after each round.
+_ROUNDS_SQL = f"""WITH RECURSIVE {S.VECTORS},
+x AS MATERIALIZED (SELECT id, client, cls AS y, j, CASE WHEN j = 17 THEN 1.0 ELSE values[j] END::DOUBLE AS x FROM vectors, range(1, 18) t(j)),
+size AS MATERIALIZED (SELECT client, count(*)::DOUBLE AS n, sum(count(*)) OVER ()::DOUBLE AS total FROM vectors GROUP BY client),
+w AS (
+  SELECT 0 AS t, client, j, k, 0.0::DOUBLE AS w FROM size, range(1, 18) a(j), range(0, 10) b(k)
+  UNION ALL
+  SELECT t, client, j, k, CASE WHEN t % 20 = 0 THEN sum(w * n) OVER (PARTITION BY j, k) / total ELSE w END AS w FROM (
+    SELECT w.t + 1 AS t, w.client, w.j, w.k, w.w - 0.5 * g.g / size.n AS w, size.n, size.total FROM w JOIN size USING (client) JOIN (
+      SELECT x.client, x.j, q.k, sum(x.x * (q.e / q.s - (q.y = q.k)::INT)) AS g FROM x JOIN (
+        SELECT *, sum(e) OVER (PARTITION BY id) AS s FROM (SELECT id, y, k, exp(z - max(z) OVER (PARTITION BY id)) AS e FROM (
+          SELECT x.id, x.y, w.k, sum(x.x * w.w) AS z FROM x JOIN w USING (client, j) GROUP BY x.id, x.y, w.k))) q USING (id)
+      GROUP BY x.client, x.j, q.k) g USING (client, j, k) WHERE w.t < 60)),
+m AS (SELECT t, j, k, any_value(w) AS w FROM w WHERE t IN (20, 40, 60) GROUP BY t, j, k),
+z AS (SELECT t, x.id, x.y, m.k, sum(x.x * m.w) AS z FROM x JOIN m USING (j) GROUP BY t, x.id, x.y, m.k),
+p AS (SELECT t, id, y, arg_min(k, (-z, k)) AS best, max(z) FILTER (WHERE k = y) - max(z) - ln(sum(exp(z - top))) AS l FROM (SELECT *, max(z) OVER (PARTITION BY t, id) AS top FROM z) GROUP BY t, id, y)
+SELECT (t // 20)::INT AS round, round(avg((best = y)::INT), 9) AS accuracy, round(-avg(l), 9) AS loss, (SELECT count(*) FROM size)::INT AS n_clients FROM p GROUP BY t"""
+
+
 def _through_files(s: SparkSession, write, read) -> DataFrame:
     """What ``read`` finds in a new folder of the shared file system after ``write`` filled it. The folder goes again."""
     path = f"{shared_dir(s)}/files-{uuid.uuid4().hex}"
@@ -210,7 +229,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY client, cls ORDER BY md5('42|' |
 w AS (SELECT exp, n, round, round AS source_round, client, map50 AS cache FROM o WHERE n = 1 UNION ALL SELECT w.exp, o.n, o.round, CASE WHEN o.map50 > w.cache THEN o.round ELSE w.source_round END, CASE WHEN o.map50 > w.cache THEN o.client ELSE w.client END, greatest(o.map50, w.cache) FROM w JOIN o ON o.exp = w.exp AND o.n = w.n + 1)
 SELECT exp, round, source_round, client, 1.0::DOUBLE AS weight FROM w QUALIFY row_number() OVER (PARTITION BY exp, round ORDER BY n DESC) = 1"""),
     "gated_average": (lambda s, d: (lambda c: r9(E.gated_average(S.params(s, d), E.sequential_gate(c, E.node_order(c), "none")), "value"))(S.client_stats(s, d)), f"WITH {S.PARAMS}, {S.CLIENT_STATS}, k AS (SELECT a.exp, a.round AS target, b.round, b.client, b.n_samples, b.n_samples / sum(b.n_samples) OVER (PARTITION BY a.exp, a.round) AS weight FROM (SELECT DISTINCT exp, round FROM client_stats) a JOIN client_stats b ON a.exp = b.exp AND b.round <= a.round) SELECT exp, target AS round, param, pos, round(CASE WHEN bool_or(is_int) THEN list({{'n': n_samples, 'c': client, 'v': value}} ORDER BY n_samples DESC, client DESC)[1].v ELSE sum(weight * value) END, 9) AS value FROM params JOIN k USING (exp, round, client) GROUP BY exp, target, param, pos"),
-    "federated_rounds": (lambda s, d: r9(E.federated_rounds(S.vectors(s, d).select("client", "cls", *(F.get("values", F.lit(i)).alias(f"f{i}") for i in range(16))), [f"f{i}" for i in range(16)], "cls", "client", 10), "accuracy", "loss"), None),
+    "federated_rounds": (lambda s, d: r9(E.federated_rounds(S.vectors(s, d).select("client", "cls", *(F.get("values", F.lit(i)).alias(f"f{i}") for i in range(16))), [f"f{i}" for i in range(16)], "cls", "client", 10), "accuracy", "loss"), _ROUNDS_SQL),
     "convergence": (lambda s, d: r9(H.convergence(S.rounds(s, d)), "gain_20"), f"""WITH {S.ROUNDS}, r AS (SELECT *, lag(map50, 19) OVER (PARTITION BY exp ORDER BY round) AS back, last_value(map50) OVER w AS fin, last_value(val_loss) OVER w AS fl FROM rounds WINDOW w AS (PARTITION BY exp ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT exp, max(map50) AS best_map50, (min(round) FILTER (WHERE map50 = m))::INT AS best_map50_row, max(map) AS best_map, (min(round) FILTER (WHERE map = p))::INT AS best_map_row, min(round) FILTER (WHERE map50 >= 0.95 * fin) AS first_95, min(round) FILTER (WHERE val_loss = v) AS min_val_loss_row, CASE WHEN any_value(fl) > 1.1 * min(val_loss) THEN 'increasing' ELSE 'stable' END AS val_loss_trend, round(coalesce(any_value(fin) - arg_max(back, round), 0), 9) AS gain_20
 FROM (SELECT *, max(map50) OVER (PARTITION BY exp) AS m, max(map) OVER (PARTITION BY exp) AS p, min(val_loss) OVER (PARTITION BY exp) AS v FROM r) GROUP BY exp"""),
