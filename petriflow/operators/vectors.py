@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from petriflow.functions.lineage import checkpointed
 from petriflow.operators.models import dirichlet_mixture
-from petriflow.operators.neighbours import CELLS, approx_knn, centres, knn, recall_at_k, sample
+from petriflow.operators.neighbours import CELLS, SAMPLE_BYTES, approx_knn, centres, knn, recall_at_k, sample  # noqa: F401
 from petriflow.operators.ranking import mann_whitney, pr_auc, roc_auc
 
 #: Rows of one block of a block product, about.
@@ -57,6 +57,10 @@ def vector_stats(table: DataFrame, writes: DataFrame | None = None, dim: int | N
     return out.crossJoin(accepted.agg(F.count("*").alias("total_inserted")))  # one row
 
 
+def _blocks(df: DataFrame, n: int, name: str) -> DataFrame:
+    return df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+
+
 def knn_euclidean(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     return knn(queries, base, k)
 
@@ -232,12 +236,57 @@ def silhouette(rows: DataFrame, cls: str = "cls") -> DataFrame:
     size = base.groupBy(F.col("c").alias("o")).agg(F.count("*").alias("n"))
     m = part.groupBy("id", "c", "o").agg(F.sum("d").alias("d")).join(size, "o")  # a row a class
     own = F.col("o") == F.col("c")
-    mean = F.when(own, F.col("d") / (F.col("n") - 1)).otherwise(F.col("d") / F.col("n"))
+    mean = F.when(own, F.col("d") / F.nullif(F.col("n") - 1, F.lit(0))).otherwise(F.col("d") / F.col("n"))
     s = m.groupBy("id", "c").agg(F.max(F.when(own, mean)).alias("a"), F.min(F.when(~own, mean)).alias("b"))
     value = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return s.groupBy(F.col("c").alias(cls)).agg(F.avg(value).alias("silhouette"))
 
 
+def silhouette_estimate(rows: DataFrame, cls: str = "cls", per_cluster: int = 1024, seed: int = 1) -> DataFrame:
+    """(cls, silhouette, margin): as `silhouette`, with mean distances to ``per_cluster`` rows of each cluster (those of least hashes) for those to all of them.
+
+    One pass compares every row with these rows, so the work grows with the rows and not with their square. margin bounds the error of a cluster's mean at three
+    standard errors of its rows' mean distances, all taken to err the same way; clusters of ``per_cluster`` rows or fewer add nothing to it, and
+    if all are, the result is exact. The rows that are shipped take `SAMPLE_BYTES` at most; with many clusters each gets fewer.
+    """
+    base = rows.select("id", F.col(cls).cast("long").alias("c"), "values")
+    sizes = {r.c: r.n for r in base.groupBy("c").agg(F.count("*").alias("n")).collect()}  # a row a cluster
+    first = base.select(F.size("values").alias("n")).first()
+    if first is None:
+        return base.select(F.col("c").alias(cls), F.lit(0.0).alias("silhouette"), F.lit(0.0).alias("margin"))
+    most = max(2, min(per_cluster, SAMPLE_BYTES // (8 * max(1, first.n) * len(sizes))))
+    order = Window.partitionBy("c").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    some = base.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).toPandas().sort_values(["c", "id"])
+    y, ids, kinds = np.array(some["values"].tolist(), np.float64), some.id.to_numpy(), np.array(sorted(sizes))
+    owner = np.searchsorted(kinds, some.c.to_numpy())
+    member = (owner[:, None] == np.arange(len(kinds))[None]).astype(float)
+    n = np.array([sizes[k] for k in kinds], float)
+
+    def score(frames):
+        for f in frames:
+            step = max(1, CELLS // (8 * max(1, len(y))))
+            for low in range(0, len(f), step):
+                part = f.iloc[low : low + step]
+                x = np.array(part["values"].tolist(), np.float64)
+                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
+                self_ = part.id.to_numpy()[:, None] == ids[None, :]
+                d[self_] = 0
+                own = np.searchsorted(kinds, part.c.to_numpy())
+                mine = own[:, None] == np.arange(len(kinds))[None]
+                m = member.sum(0)[None] - self_ @ member  # the row itself is no neighbour
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    mean = d @ member / m
+                    error = 3 * np.sqrt(np.maximum((d * d) @ member / m - mean**2, 0) / np.maximum(m - 1, 1) * np.maximum(1 - m / (n[None] - mine), 0))
+                a, b = np.where(mine, mean, np.inf).min(1), np.where(mine, np.inf, mean).min(1)
+                alone = ~np.isfinite(a) | ~np.isfinite(b) | (np.maximum(a, b) <= 0) | (n[own] < 2)
+                top = np.where(alone, 1, np.maximum(a, b))
+                with np.errstate(invalid="ignore"):
+                    yield pd.DataFrame({"c": part.c.to_numpy(), "s": np.where(alone, 0.0, (b - a) / top), "e": np.where(alone, 0.0, 2 * np.nan_to_num(error).max(1) / top)})
+
+    out = base.mapInPandas(score, "c long, s double, e double")
+    return out.groupBy(F.col("c").alias(cls)).agg(F.avg("s").alias("silhouette"), F.avg("e").alias("margin"))
+
+
 def channel_stats(df: DataFrame, channels: list[str], low: float = 0.0, high: float = 1.0, bins: int = 8) -> DataFrame:
     """``df`` with, for each channel's array, *_mean, *_sd (population) and *_hist (shares of ``bins`` equal bins of [low, high], last one closed)."""
     step = (high - low) / bins

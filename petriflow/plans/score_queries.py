@@ -111,6 +111,13 @@ def _approx_recall(s, d):
     return out.select("n_queries", "n_neighbours", (F.col("recall") >= 0.9).alias("recall_reached"), (5 * F.col("compared") <= F.col("pairs")).alias("fewer_vectors"))
 
 
+def _estimate(s, d):
+    """Whether the estimate from 24 rows of each class lies as near the exact silhouette as it says."""
+    v = N.checkpointed(S.vectors(s, d))
+    both = V.silhouette(v).withColumnRenamed("silhouette", "exact").join(V.silhouette_estimate(v, per_cluster=24), "cls")  # a row a class
+    return both.select("cls", (F.abs(F.col("exact") - F.col("silhouette")) <= F.col("margin") + 1e-9).alias("within"))
+
+
 def _leading(s, d):
     """The first of three components of every row, sign aside, and its share of the variance."""
     out, share = V.pca_project(S.vectors(s, d), 3)
@@ -210,6 +217,7 @@ SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_neighbours, true AS
     "mixture_score": (lambda s, d: V.mixture_score(S.vectors(s, d)).select("id", "label", F.round("log_likelihood", 3).alias("log_likelihood")), None),
     "centroid_spread": (lambda s, d: r9(V.centroid_spread(S.vectors(s, d)), "mean_distance", "sd_distance"), f"WITH {S.VECTORS}, l AS (SELECT id, cls, i, values[i] AS x, avg(values[i]) OVER (PARTITION BY cls, i) AS m FROM (SELECT *, unnest(range(1, 65)) AS i FROM vectors)), r AS (SELECT id, cls, sqrt(sum(pow(x - m, 2))) AS dist FROM l GROUP BY 1, 2) SELECT cls, count(*) AS n, round(avg(dist), 9) AS mean_distance, round(stddev_pop(dist), 9) AS sd_distance FROM r GROUP BY cls"),
     "calinski_harabasz": (lambda s, d: r9(V.calinski_harabasz(S.vectors(s, d)), "score"), f"WITH {S.VECTORS}, l AS (SELECT cls, i, values[i] AS x, avg(values[i]) OVER (PARTITION BY cls, i) AS m, avg(values[i]) OVER (PARTITION BY i) AS g FROM (SELECT *, unnest(range(1, 65)) AS i FROM vectors)) SELECT round(sum(pow(m - g, 2)) / (count(DISTINCT cls) - 1) / (sum(pow(x - m, 2)) / (count(*) / 64 - count(DISTINCT cls))), 9) AS score FROM l"),
+    "silhouette_estimate": (_estimate, f"WITH {S.VECTORS} SELECT cls::BIGINT AS cls, true AS within FROM vectors GROUP BY cls"),
     "silhouette": (lambda s, d: V.silhouette(S.vectors(s, d)).withColumn("silhouette", F.round("silhouette", 6)), _SILHOUETTE),
     "channel_stats": (lambda s, d: V.channel_stats(S.vectors(s, d).select("id", "values"), ["values"], -0.5, 0.5).select("id", F.round("values_mean", 9).alias("values_mean"), F.round("values_sd", 9).alias("values_sd"), F.array_join(F.transform("values_hist", lambda x: F.format_string("%.6f", x)), " ").alias("values_hist")), f"WITH {S.VECTORS} SELECT id, round(list_avg(values), 9) AS values_mean, round(list_stddev_pop(values), 9) AS values_sd, array_to_string([printf('%.6f', len([x for x in values if x >= -0.5 + i * 0.125 AND (x < -0.5 + (i + 1) * 0.125 OR (i = 7 AND x <= 0.5))]) / 64) for i in range(0, 8)], ' ') AS values_hist FROM vectors"),
     "encode_profile": (lambda s, d: C.encode_profile(_profiles(s, d)).select("id", F.posexplode("values").alias("pos", "v")).select("id", "pos", F.round("v", 9).alias("v")), f"WITH p AS ({_PROFILE}), v AS (SELECT id, [round(least(1, greatest(0, x)), 9) for x in [(area - 100) / 49900, (perimeter - 50) / 1950, circularity, (solidity - 0.5) / 0.5, 0, eccentricity, (n_organoids - 1) / 19, 0, 0]] || [0.33, 0.33, 0.34]::DOUBLE[] AS values FROM p) SELECT id, (i - 1)::INT AS pos, values[i] AS v FROM v CROSS JOIN range(1, 13) t(i)"),

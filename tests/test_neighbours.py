@@ -94,3 +94,18 @@ def test_every_row_is_in_the_index_and_a_search_reads_its_cells_only(rows, spark
 def test_index_of_an_empty_table(rows):
     none = rows.where("false")
     assert N.approx_knn(rows.limit(5), none, K).count() == 0 and N.approx_knn(none, rows, K).count() == 0
+
+
+def test_silhouette_estimate_is_within_its_margin(spark):
+    from petriflow.operators import vectors as V
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 1, (n, 5)) for c, n in ((0, 400), (3, 150), (5, 30))] + [np.full((1, 5), 9.0)])
+    cls = np.repeat([0, 1, 2, 7], [400, 150, 30, 1])
+    rows = checkpointed(spark.createDataFrame([(i, [float(a) for a in v], int(c)) for i, (v, c) in enumerate(zip(x, cls, strict=True))], "id long, values array<double>, cls int").repartition(3))
+    exact = {r.cls: r.silhouette for r in V.silhouette(rows).collect()}
+    whole = {r.cls: (r.silhouette, r.margin) for r in V.silhouette_estimate(rows).collect()}
+    assert set(whole) == set(exact) and all(s == pytest.approx(exact[c], abs=1e-6) and m == pytest.approx(0, abs=1e-6) for c, (s, m) in whole.items())
+    some = {r.cls: (r.silhouette, r.margin) for r in V.silhouette_estimate(rows, per_cluster=40).collect()}
+    assert all(abs(s - exact[c]) <= m + 1e-9 for c, (s, m) in some.items()) and 0 < some[0][1] < 1
+    assert V.silhouette_estimate(rows.where("false")).count() == 0
