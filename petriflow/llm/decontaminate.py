@@ -19,14 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from petriflow.functions.lineage import checkpointed, partitions
+from petriflow.functions.lineage import checkpointed
 from petriflow.llm import textvec as tv
 from petriflow.llm.textvec import quoted
 
 SPAN, GRAM = 10, 5
-#: Bits of the bitmap as a power of two; parts of a fingerprint's documents in the join; pairs that one task compares, about; most
-#: bytes of a table that is broadcast (its size is counted first).
-BITMAP, SALTS, PER_TASK, BROADCAST = 24, 16, 2_000, 32 << 20
+#: Bits of a bitmap as a power of two; parts of a hash's documents in a join; most bytes of a table that is broadcast (its size is counted first).
+BITMAP, SALTS, BROADCAST = 24, 16, 32 << 20
 _LAST = (1 << 63) - 1
 
 
@@ -117,82 +116,95 @@ def _bitmap(prints: DataFrame) -> bytes:
     return out.astype("<i8").tobytes()
 
 
-def stretches(h: np.ndarray, items: list[np.ndarray], span: int) -> tuple[list[list[int]], list[int]]:
-    """([first word, end word) of a document's words that stand in windows of the items, and which items have such a window), from word hashes."""
-    gone, found = np.zeros(len(h) + 1, np.int64), []
-    one = np.zeros(len(h), np.int64)
-    sizes = [min(span, len(x)) for x in items]
-    for size in {*sizes} - {0}:
-        which = [i for i, n in enumerate(sizes) if n == size]
-        own = np.repeat(which, [len(items[i]) for i in which])
-        at, theirs = tv.windows(np.concatenate([items[i] for i in which]), own, size)
-        start, ours = tv.windows(h, one, size)
-        found += np.unique(own[at[np.isin(theirs, ours)]]).tolist()
-        start = start[np.isin(ours, theirs)]
-        np.add.at(gone, start, 1)
-        np.add.at(gone, start + size, -1)
-    covered = np.concatenate([[0], (np.cumsum(gone) > 0).astype(np.int8)[: len(h)], [0]])
-    edges = np.flatnonzero(np.diff(covered)).tolist()
-    return [[a, b] for a, b in zip(edges[::2], edges[1::2], strict=True)], sorted(found)
-
-
-def _compare(span: int):
-    kinds = [("rid", pa.int64()), ("key", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64()))]
-
-    def hashes(texts: pa.ChunkedArray) -> list[np.ndarray]:
-        out = []
-        for _, data, offsets in tv.blocks(texts):
-            h, _, first = _split(data, offsets)
-            out += [h[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        return out
-
-    def run(docs: pa.Table, pairs: pa.Table) -> pa.Table:
-        theirs: dict[tuple[int, int], list[int]] = {}
-        for i, k in enumerate(zip(pairs.column("rid").to_pylist(), pairs.column("key").to_pylist(), strict=True)):
-            theirs.setdefault(k, []).append(i)
-        names, texts = pairs.column("id").to_pylist(), hashes(pairs.column("text"))
-        rows, done = [], set()
-        for rid, key, h in zip(docs.column("rid").to_pylist(), docs.column("key").to_pylist(), hashes(docs.column("text")), strict=True):
-            if (rid, key) in done:  # rows alike in id and text have one result
-                continue
-            done.add((rid, key))
-            mine = theirs.get((rid, key), [])
-            spans, items = stretches(h, [texts[i] for i in mine], span)
-            if spans:
-                rows.append((rid, key, spans, sorted({names[mine[i]] for i in items if names[mine[i]] is not None})))
-        columns = zip(*rows, strict=True) if rows else [()] * 4
-        return pa.table([pa.array(x, t) for x, (_, t) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
+def _windows_of_items(span: int):
+    """Rows (id, w, place) for every window of an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, offsets in tv.blocks(batch.column("text")):
+                h, text, first = _split(data, offsets)
+                n = np.diff(first)
+                for size in np.unique(np.minimum(n[n > 0], span)).tolist():
+                    at, w = _windows(h, text, size)
+                    whole = np.minimum(n[text[at]], span) == size
+                    rows = pa.array(row + text[at][whole])
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), pa.array(w[whole].view(np.int64)), pa.array(_place(w[whole]))], ["id", "w", "place"])
+
+    return run
+
+
+def _windows_of_docs(sizes: tuple[int, ...], bitmap: bytes):
+    """Rows (rid, key, start, size, w) for the windows of documents that an item may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap, np.uint8)
+        for batch in batches:
+            for row, data, offsets in tv.blocks(batch.column("text")):
+                h, text, first = _split(data, offsets)
+                for size in sizes:
+                    at, w = _windows(h, text, size)
+                    place = _place(w)
+                    hit = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                    at, w = at[hit], w[hit]
+                    rows = pa.array(row + text[at])
+                    yield pa.RecordBatch.from_arrays([batch.column("rid").take(rows), batch.column("key").take(rows), pa.array(at - first[text[at]]), pa.array(np.full(len(at), size)), pa.array(w.view(np.int64))], ["rid", "key", "start", "size", "w"])
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rid, key, at, sids), at being starts and sizes of windows, to (rid, key, spans, sids)."""
+    for batch in batches:
+        spans = []
+        for at in batch.column("at").to_pylist():
+            out: list[list[int]] = []
+            for start, size in sorted((w["start"], w["size"]) for w in at):
+                if out and start <= out[-1][1]:
+                    out[-1][1] = max(out[-1][1], start + size)
+                else:
+                    out.append([start, start + size])
+            spans.append(out)
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("key"), pa.array(spans, pa.list_(pa.list_(pa.int64()))), batch.column("sids")], ["rid", "key", "spans", "sids"])
+
+
 def _small(df: DataFrame, n_bytes: int) -> DataFrame:
     """``df`` for a broadcast if its counted bytes allow it; otherwise the join is left to the planner."""
     return F.broadcast(df) if n_bytes <= BROADCAST else df
 
 
+def _met(rows: DataFrame, known: DataFrame, on: str, n_bytes: int) -> DataFrame:
+    """``rows`` (rid, key, ...) joined with ``known`` on a hash that very many documents may have: broadcast by counted bytes, else dealt to `SALTS` tasks."""
+    if n_bytes <= BROADCAST:
+        return rows.join(F.broadcast(known), on)
+    salted = rows.withColumn("s", F.pmod(F.xxhash64("rid", "key"), F.lit(SALTS)).cast("int"))
+    return salted.join(known.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [on, "s"]).drop("s")
+
+
 def _found(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, span: int, gram: int) -> tuple[DataFrame, int]:
     """(rid, key, spans, items) of the documents with hits, and how many bytes they take, about."""
-    spark = docs.sparkSession
     items = benchmark.select(F.col(quoted(item_id)).cast("long").alias("id"), F.col(quoted(item_text)).alias("text")).where("text is not null")
     items = checkpointed(items.withColumn("item", F.monotonically_increasing_id()))
     prints = checkpointed(items.select("item", "text").mapInArrow(_prints_of_items(span, gram), "item long, f long, place long, n long"))
     short = tuple(sorted(r.n for r in prints.where(F.col("n") < span).select("n").distinct().collect()))  # span - 1 numbers at most
+    windows = checkpointed(items.select("id", "text").mapInArrow(_windows_of_items(span), "id long, w long, place long"))
+    # Windows that the same items have share the set of these.
+    sets = checkpointed(windows.groupBy("w").agg(F.sort_array(F.collect_set("id")).alias("items")).withColumn("sid", F.xxhash64("items")))
+    size = sets.agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("m")).first()
+    n_prints = prints.select("f").distinct().count()
     ours = docs.select(F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(_LAST)).alias("rid"), F.xxhash64(F.col(quoted(text))).alias("key"), F.col(quoted(text)).alias("text"))
     seeds = ours.mapInArrow(_prints_of_docs(span, gram, short, _bitmap(prints)), "rid long, key long, f long")
-    # A fingerprint that very many documents have is dealt to SALTS tasks.
-    salted = seeds.withColumn("s", F.pmod(F.xxhash64("rid", "key"), F.lit(SALTS)).cast("int"))
-    known = prints.select("f", "item").distinct().select("f", "item", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    pairs = checkpointed(salted.join(known, ["f", "s"]).select("rid", "key", "item").distinct())
-    n_pairs = pairs.count()
-    n_groups = max(partitions(spark), n_pairs // PER_TASK + 1)
-    group = F.pmod(F.xxhash64("rid", "key"), F.lit(n_groups)).alias("g")
-    left = ours.join(_small(pairs.select("rid", "key").distinct(), 48 * n_pairs), ["rid", "key"], "left_semi").select(group, "rid", "key", "text")
-    right = pairs.join(items, "item").select(group, "rid", "key", "id", "text")
-    found = left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(_compare(span), "rid long, key long, spans array<array<long>>, items array<long>")
-    found = checkpointed(found)
-    size = found.agg(F.sum(64 + 40 * F.size("spans") + 8 * F.size("items"))).first()[0] or 0
-    return found, size
+    candidates = checkpointed(_met(seeds, prints.select("f").distinct(), "f", 24 * n_prints).select("rid", "key").distinct())
+    n_candidates = candidates.count()
+    near = ours.join(_small(candidates, 32 * n_candidates), ["rid", "key"], "left_semi")
+    hits = near.mapInArrow(_windows_of_docs((*short, span), _bitmap(windows)), "rid long, key long, start long, size long, w long")
+    hits = _met(hits, sets.select("w", "sid"), "w", 32 * size.n)
+    by = hits.groupBy("rid", "key").agg(F.collect_set(F.struct("start", "size")).alias("at"), F.collect_set("sid").alias("sids"))  # of one text
+    spans = checkpointed(by.mapInArrow(_merged, "rid long, key long, spans array<array<long>>, sids array<long>"))
+    named = _met(spans.select("rid", "key", F.explode("sids").alias("sid")), sets.groupBy("sid").agg(F.first("items").alias("items")), "sid", 32 * size.n + 8 * (size.m or 0))
+    named = named.select("rid", "key", F.explode("items").alias("item")).groupBy("rid", "key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found = checkpointed(spans.drop("sids").join(named, ["rid", "key"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<long>"))))
+    n_bytes = found.agg(F.sum(64 + 40 * F.size("spans") + 8 * F.size("items"))).first()[0] or 0
+    return found, n_bytes
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, gram: int = GRAM, doc_id: str = "doc_id") -> DataFrame:

@@ -257,8 +257,21 @@ def test_winnowing_finds_every_shared_span(spark):
         assert got is None or got.spans
 
 
+def test_a_phrase_below_a_window_makes_no_pairs(spark, monkeypatch):
+    made = []
+    met = decontaminate._met
+    monkeypatch.setattr(decontaminate, "_met", lambda *a: (lambda out: (made.append(out.count()), out)[1])(met(*a)))
+    phrase, passage = words(99, 9), words(98, 14)
+    rows = [(i, f"d{i} {phrase} e{i} {words(i, 6)} f{i}" + f" {passage}" * (i < 3)) for i in range(400)]
+    items = [(i, f"a{i} {phrase} b{i} c{i}" + f" {passage}" * (i < 2)) for i in range(300)]
+    got = decontaminate.contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, sum(b - a for a, b in r.spans), decontaminate.sha_of(list(r["items"]))) for r in got) == hits(rows, items)
+    # Fingerprints that an item has, windows that an item has, and sets of items: none by document and item.
+    assert made[0] <= 400 * 10 and made[1:] == [3 * 5, 3]
+
+
 def test_a_passage_in_every_document_is_compared_in_many_tasks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "PER_TASK", 10)
+    monkeypatch.setattr(decontaminate, "BROADCAST", 0)
     shared = words(99, 14)
     rows = [(i, f"{words(i, 20)} {shared} {words(i + 500, 5)}") for i in range(200)]
     items = [(1, shared), (2, words(3, 4) + " " + shared)]
