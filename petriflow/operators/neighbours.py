@@ -332,15 +332,15 @@ def fit_index(base: DataFrame, k: int = 10, cells: int | None = None, parts: int
 
     The sample gives the coarse cells (None: about the root of the table's rows, and a sixteenth of the sample at most), the codebooks of ``parts`` parts, and
     two numbers: how many cells must be met, and how many candidates compared, so that ``recall`` of the ``k`` neighbours of 200 sample rows among the sample
-    are found (four fifths of the loss are allowed to the cells). In the whole table neighbours are nearer, so its recall is seldom lower; `recall_at_k`
+    are found (four fifths of the loss are allowed to the cells; of a table larger than the sample, 8 k candidates at least are compared). In the whole table neighbours are nearer, so its recall is seldom lower; `recall_at_k`
     measures it. Vectors in clusters need few cells; where directions are spread evenly in many dimensions no partition tells neighbours apart, and
     most cells are met.
     """
     x = sample(base, sample_rows, seed)
     if not len(x):
         return Index(np.zeros((1, 1)), [np.zeros((1, 1))], 1, max(1, k))
-    n = cells or int(np.sqrt(base.count()))
-    coarse = centres(x, max(1, min(n, len(x) // 16)), seed)
+    n = base.count()
+    coarse = centres(x, max(1, min(cells or int(np.sqrt(n)), len(x) // 16)), seed)
     model = Index(coarse, [np.zeros((1, 1))] * min(parts, x.shape[1]), 1, k)
     own = _owner(x, coarse)
     residual = x - coarse[own]
@@ -360,7 +360,8 @@ def fit_index(base: DataFrame, k: int = 10, cells: int | None = None, parts: int
         guess[np.arange(len(asked)), asked] = np.inf
         before = np.stack([(g[None] < g[t][:, None]).sum(1) for g, t in zip(guess, true, strict=True)])
         model.candidates = int(np.quantile(before, 1 - 0.2 * (1 - recall), method="higher")) + 1
-    model.candidates = max(k, model.candidates)
+    # A larger table has more rows that seem as near as a neighbour does.
+    model.candidates = max(8 * k if n > len(x) else k, model.candidates)
     return model
 
 
