@@ -390,6 +390,8 @@ def search_index(queries: DataFrame, base: DataFrame, codes: DataFrame, index: I
     """
     q = _own(queries)
     sizes = codes.groupBy("cell").agg(F.count("*").alias("n")).toPandas()  # a row a cell of the model
+    if not len(sizes):
+        return queries.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int, n_codes long, n_compared long")
     count = np.zeros(len(index.cells), np.int64)
     count[sizes.cell.to_numpy()] = sizes.n.to_numpy()
     most = max(k, index.candidates)
