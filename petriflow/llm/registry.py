@@ -45,6 +45,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_lexical_search": lambda s, d: search(_docs(s, d), _benchmark(s, d)),
         "op12_merkle_manifest": lambda s, d: manifest_digest(_docs(s, d)),
         "op13_personal_data": lambda s, d: personal_digest(_docs(s, d)),
+        # The columns of 7 and 13 that SQL can express.
+        "license_phrases": lambda s, d: license_digest(_docs(s, d)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
+        "personal_base": lambda s, d: personal_digest(_docs(s, d)).drop("spans"),
         "rule_ablations": lambda s, d: ablations(ledger(_docs(s, d).select("doc_id", "text"))),
     }
 

@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries that SQL can express, over whole tables."""
 
+from petriflow.llm.license_scan import BASE
 from petriflow.llm.quality_rules import POLICIES, RULES, mask
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -111,11 +112,43 @@ SELECT l.doc_id, l.leaf, b0.h AS subroot, t.h AS root, sha256(q.proof) AS proof_
 FROM l JOIN b0 ON b0.i = l.s JOIN q{_LEVELS} q USING (doc_id), b{_LEVELS}c t
 """
 
+_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {i} AS o, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS s FROM d" for i, (k, p) in enumerate(_KINDS.items()))
+#: Base kinds of personal data: a match starts after what is between the matches before it and these.
+PERSONAL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k AS ({_FOUND}),
+u AS (SELECT doc_id, kind, o, m[i] AS x, (coalesce(list_sum(list_transform(s[1:i], lambda y: length(y))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0))::BIGINT AS a FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k)),
+n AS (SELECT *, regexp_replace(x, '[^0-9]', '', 'g') AS g FROM u),
+v AS (SELECT * FROM n WHERE CASE kind WHEN 'email' THEN true
+  WHEN 'ip' THEN len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255')) = 0
+  WHEN 'card' THEN length(g) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(g)), lambda j: CASE WHEN j % 2 = 0 THEN g[length(g) - j]::INT ELSE 2 * g[length(g) - j]::INT - CASE WHEN g[length(g) - j]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+  ELSE length(g) BETWEEN 10 AND 15 END),
+a AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in _KINDS)}, string_agg(kind || ':' || a || ':' || (a + length(x)), ',' ORDER BY a, o) AS l FROM v GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in _KINDS)}, sha256(coalesce(l, '')) AS base_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""
+
+_PHRASES = ", ".join(f"('{p}', '{label}', {p.count(' ') + 1})" for p, label in BASE.items())
+LICENSES = rf"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents), p(phrase, label, k) AS (VALUES {_PHRASES}),
+t AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+x AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, label, i FROM x JOIN p ON a = string_split(phrase, ' ')[1] AND CASE k WHEN 2 THEN a || ' ' || b ELSE a || ' ' || b || ' ' || c END = phrase),
+g AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word, coalesce(l, '') AS base_labels FROM d LEFT JOIN g USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op5_quality_rules": QUALITY,
     "op6_benchmark_decontamination": DECONTAMINATION,
     "op9_substring_dedup": SUBSTRINGS,
     "op11_lexical_search": SEARCH,
     "op12_merkle_manifest": MANIFEST,
+    "license_phrases": LICENSES,
+    "personal_base": PERSONAL,
     "rule_ablations": ABLATIONS,
 }
