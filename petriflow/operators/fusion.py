@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from petriflow.functions.grid import with_each
 from petriflow.functions.lineage import checkpointed
-from petriflow.operators.models import held_out_logistic, held_out_scores
+from petriflow.operators.models import HeldOut, held_out_logistic, held_out_scores, summed
 from petriflow.operators.ranking import areas, average_precision, roc_auc, score_steps
 
 WEIGHTS = [round(0.05 * i, 2) for i in range(21)]
@@ -110,17 +110,41 @@ def alpha_for_gap(gap: Column) -> Column:
     return F.when(gap > 0.10, 0.0).when(gap > 0, 0.2).when(gap > -0.05, 0.5).otherwise(1.0)
 
 
-def leave_one_group_out(df: DataFrame, by: str, features: list[str], label: str = "label", key: str = "id") -> DataFrame:
-    """(by, n, n_pos, auc) of each group scored by a logistic regression fitted to all others, and pooled (null). All groups are fitted at once, by passes
-    whose number doesn't grow with the groups."""
+def _one_left_out(df: DataFrame, by: str, features: list[str], label: str) -> tuple[DataFrame, HeldOut]:
+    """(rows (by, label, x, g), a model for each group g that all others fitted)."""
     rows = checkpointed(_finite(df, [by], features, label))
     names = checkpointed(rows.select(by).distinct().withColumn("g", F.row_number().over(Window.orderBy(by)).cast("int") - 1))  # a row a group
     rows = checkpointed(rows.join(names, by))
-    model = held_out_logistic(rows.select("x", F.col("label").alias("y"), "g"), max(1, names.count()), len(features), lambda n: np.full(len(n), 1e-3))
+    return rows, held_out_logistic(rows.select("x", F.col("label").alias("y"), "g"), max(1, names.count()), len(features), lambda n: np.full(len(n), 1e-3))
+
+
+def leave_one_group_out(df: DataFrame, by: str, features: list[str], label: str = "label") -> DataFrame:
+    """(by, n, n_pos, auc) of each group scored by a logistic regression fitted to all others, and pooled (null). All groups are fitted at once, by passes
+    whose number doesn't grow with the groups."""
+    rows, model = _one_left_out(df, by, features, label)
     out = held_out_scores(rows, model, [by, "label"])
     return roc_auc(out, by=[by]).unionByName(roc_auc(out).withColumn(by, F.lit(None)), allowMissingColumns=True)
 
 
+def calibration_left_out(df: DataFrame, by: str, features: list[str], label: str = "label") -> DataFrame:
+    """(by, n, n_pos, mean_prob, mean_prob_out): of each group's held-out model, the rows that it was fitted to, its mean probability over them (the share of
+    positives, if the fit has converged), and over the group itself."""
+    rows, model = _one_left_out(df, by, features, label)
+    k = len(model.weights)
+
+    def sums(x: np.ndarray, g: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros((k, 5))
+        for m in range(k):
+            p, own = model.score(x, np.full(len(x), m)), g == m
+            out[m] = [(~own).sum(), y[~own].sum(), p[~own].sum(), own.sum(), p[own].sum()]
+        return out.ravel()
+
+    total = summed(rows.select("x", "g", "label"), 5 * k, sums).reshape(k, 5)
+    made = [(m, int(t[0]), int(t[1]), float(t[2] / max(t[0], 1)), float(t[4] / max(t[3], 1))) for m, t in enumerate(total)]
+    told = df.sparkSession.createDataFrame(made, "g int, n long, n_pos long, mean_prob double, mean_prob_out double")
+    return rows.select(by, "g").distinct().join(told, "g").drop("g")
+
+
 def distilled_score(df: DataFrame, by: str, label: str = "label", conf: str = "conf", prob: str = "score") -> DataFrame:
     """(by, zero_shot_auc, distilled_auc, improvement) of conf and conf * prob."""
     a = roc_auc(df.select(by, F.col(label).alias("label"), F.col(conf).alias("score")), by=[by]).select(by, F.col("auc").alias("zero_shot_auc"))

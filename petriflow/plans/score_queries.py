@@ -189,6 +189,10 @@ q AS (SELECT p.a, p.b, (coalesce(qa.c, 0) / na + 1e-8) / (1 + 2e-7) AS x, (coale
     "adaptive_score": (lambda s, d: U.adaptive_score(scores(s, d), "grp").groupBy("grp", "rule").agg(F.round(F.sum("fused"), 6).alias("fused")), f"WITH {S.SCORES}, l AS (SELECT grp, label, conf AS score FROM scores), {_auc('l', 'grp')} SELECT grp, CASE WHEN auc < 0.7 THEN 'classifier' WHEN auc < 0.85 THEN 'product' ELSE 'confidence' END AS rule, round(sum(CASE WHEN auc < 0.7 THEN score WHEN auc < 0.85 THEN score * conf ELSE conf END), 6) AS fused FROM scores JOIN auc USING (grp) GROUP BY 1, 2"),
     "distilled_score": (lambda s, d: r9(U.distilled_score(scores(s, d), "grp"), "zero_shot_auc", "distilled_auc", "improvement"), f"WITH {S.SCORES}, l AS (SELECT grp, label, conf AS score FROM scores), m AS (SELECT grp, label, round(conf * score, 12) AS score FROM scores), {_auc('l', 'grp', 'x')}, {_auc('m', 'grp', 'y')} SELECT grp, round(x.auc, 9) AS zero_shot_auc, round(y.auc, 9) AS distilled_auc, round(y.auc - x.auc, 9) AS improvement FROM x JOIN y USING (grp)"),
     "lr_meta": (lambda s, d: U.lr_meta(scores(s, d), ["score", "conf"]).groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg("prob"), 3).alias("mean_prob")), None),
+    "calibration_left_out": (
+        lambda s, d: U.calibration_left_out(scores(s, d), "grp", ["score", "conf", "area"]).select("grp", "n", "n_pos", F.round("mean_prob", 6).alias("mean_prob")),
+        f"WITH {S.SCORES}, t AS (SELECT grp, count(*) AS n, sum(label) AS p FROM scores GROUP BY grp) SELECT a.grp, sum(b.n)::BIGINT AS n, sum(b.p)::BIGINT AS n_pos, round(sum(b.p) / sum(b.n), 6) AS mean_prob FROM t a JOIN t b ON a.grp <> b.grp GROUP BY a.grp",
+    ),
     "leave_one_group_out": (lambda s, d: r9(U.leave_one_group_out(scores(s, d), "grp", ["score", "conf", "area"]), "auc"), None),
     "similarity_margin": (lambda s, d: r9(U.similarity_margin(S.vectors(s, d), _PROTOTYPES), "auc"), f"WITH {S.VECTORS}, l AS ({_MARGIN}), {_auc('l', 'client, pair')} SELECT client, pair, round(auc, 9) AS auc, row_number() OVER (PARTITION BY client ORDER BY auc DESC, pair) = 1 AS best FROM auc"),
     "parse_score_text": (lambda s, d: U.parse_score_text(_vlm(s, d)).select("id", "is_organoid", "morphology_typical", "confidence", "reason"), """WITH t AS (SELECT o_orderkey AS id, round(o_totalprice / 500000, 3) AS p, o_custkey % 3 AS k FROM orders)
