@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from petriflow.functions.grid import all_pairs_of_keys, with_each
+from petriflow.functions.lineage import checkpointed
 from petriflow.operators.matching import iou_pairs, match_best_any, match_greedy
+from petriflow.operators.ranking import running_totals
 
 
 def ap_from_matches(matched: DataFrame, gt_counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,7 +20,9 @@ def ap_from_matches(matched: DataFrame, gt_counts: DataFrame, keys: list[str]) -
     m = matched.join(gt_counts.where("n_gt > 0"), keys).withColumn("tp", F.col("matched").cast("long"))
     m = m.withColumn("_rank", F.row_number().over(order)).withColumn("_tp", F.sum("tp").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     m = m.withColumn("_p", F.col("_tp") / F.col("_rank"))
-    m = m.withColumn("_env", F.max("_p").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    # The envelope runs from the last row back: Spark computes a frame that ends at the last row anew for each row.
+    back = Window.partitionBy(*keys).orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
+    m = m.withColumn("_env", F.max("_p").over(back))
     a = m.groupBy(*keys).agg(F.sum("tp").alias("tp"), F.sum(1 - F.col("tp")).alias("fp"), F.sum(F.when(F.col("tp") == 1, F.col("_env")).otherwise(0.0)).alias("_area"))
     out = gt_counts.join(a, keys, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
@@ -52,20 +56,18 @@ def map_range(det: DataFrame, gt: DataFrame, thresholds: tuple[float, ...] = tup
 def ap_101_pooled(det: DataFrame, gt: DataFrame, thr: float = 0.5, cls: str = "cls") -> DataFrame:
     """(cls, n_gt, ap): images pooled by class, `match_best_any` within image and class, 101 recall points; a class without reference boxes has 0.
 
-    The pooled order is taken over distinct scores (counts first), so a class's rows are not sorted in one task one by one.
+    The pooled order is taken over distinct scores (counts first), by `running_totals`: no window holds a whole class.
     """
     key = F.concat_ws("/", "image", cls)
     matched = match_best_any(det.withColumn("_i", F.col("image")).withColumn("image", key), gt.withColumn("image", key), thr)
     g = gt.groupBy(cls).agg(F.count("*").alias("n_gt"))
-    steps = matched.groupBy(cls, "score").agg(F.sum(F.col("matched").cast("long")).alias("t"), F.count("*").alias("n"))
-    order = Window.partitionBy(cls).orderBy(F.desc("score"))
-    run = steps.withColumn("_t", F.sum("t").over(order)).withColumn("_n", F.sum("n").over(order)).join(g, cls)
-    run = run.withColumn("recall", F.col("_t") / F.col("n_gt")).withColumn("precision", F.col("_t") / F.col("_n"))
-    run = run.withColumn("_env", F.max("precision").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    # The envelope at recall r is that of the first step that reaches r; each step fills the points after the one before.
-    before = F.coalesce(F.lag("recall").over(order), F.lit(-1.0))
-    points = (F.floor(F.col("recall") * 100 + 1e-9) - F.when(before < 0, F.lit(-1)).otherwise(F.floor(before * 100 + 1e-9))).cast("double")
-    ap = run.withColumn("_points", points).groupBy(cls).agg((F.sum(F.col("_points") * F.col("_env")) / 101).alias("ap"))
+    steps = checkpointed(matched.groupBy(cls, "score").agg(F.sum(F.col("matched").cast("long")).alias("t"), F.count("*").alias("n")))
+    run = running_totals(steps, [cls], "score", ["t", "n"]).withColumn("precision", F.col("cum_t") / F.col("cum_n"))
+    run = running_totals(checkpointed(run), [cls], "score", ["precision"], descending=False, most_so_far=True).join(g, cls)
+    # The envelope at recall r is that of the first step that reaches r; each step fills the points after the one before, the first one point 0 as well.
+    reached = lambda t: F.floor(t / F.col("n_gt") * 100 + 1e-9)
+    points = reached(F.col("cum_t")) - F.when(F.col("cum_n") == F.col("n"), F.lit(-1)).otherwise(reached(F.col("cum_t") - F.col("t")))
+    ap = run.withColumn("_points", points.cast("double")).groupBy(cls).agg((F.sum(F.col("_points") * F.col("cum_precision")) / 101).alias("ap"))
     classes = det.select(cls).union(gt.select(cls)).distinct()
     return classes.join(g, cls, "left").join(ap, cls, "left").select(cls, F.coalesce("n_gt", F.lit(0)).alias("n_gt"), F.coalesce("ap", F.lit(0.0)).alias("ap"))
 

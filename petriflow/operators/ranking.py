@@ -21,29 +21,32 @@ from petriflow.operators.order_stats import percentiles
 RANGE_ROWS = 100_000
 
 
-def running_totals(steps: DataFrame, by: list[str], order: str, sums: list[str], descending: bool = True) -> DataFrame:
-    """``steps`` with cum_* of each of ``sums``, up to and including the row, in order of ``order`` within ``by``.
+def running_totals(steps: DataFrame, by: list[str], order: str, sums: list[str], descending: bool = True, most_so_far: bool = False) -> DataFrame:
+    """``steps`` with cum_* of each of ``sums``, up to and including the row, in order of ``order`` within ``by``; ``most_so_far``: the largest value so
+    far instead of the sum.
 
     Each group is cut into ranges of about ``RANGE_ROWS`` rows at approximate percentiles of its own values, so no window holds more than
     one range's rows, however the values lie; a range's total is carried into the ranges after it.
     """
     way = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    total = F.max if most_so_far else F.sum
     n = steps.groupBy(*by).agg(F.count("*").alias("_n"))
     most = n.agg(F.max("_n").alias("n")).first().n or 0
     if most <= RANGE_ROWS:  # every group is one range
         whole = Window.partitionBy(*(by or [F.lit(0)])).orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
-        return steps.withColumns({"cum_" + c: F.sum(c).over(whole) for c in sums})
+        return steps.withColumns({"cum_" + c: total(c).over(whole) for c in sums})
     k = int(most // RANGE_ROWS) + 1
     cuts = steps.groupBy(*by).agg(F.percentile_approx(order, [i / k for i in range(1, k)], 10 * k).alias("_cuts"))
     joined = steps.join(cuts, by) if by else steps.crossJoin(cuts)  # one row a group
     s = joined.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
-    totals = s.groupBy(*by, "_part").agg(*(F.sum(c).alias("_t_" + c) for c in sums))
+    totals = s.groupBy(*by, "_part").agg(*(total(c).alias("_t_" + c) for c in sums))
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(way("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*by, "_part", *(F.coalesce(F.sum("_t_" + c).over(w), F.lit(0)).alias("_b_" + c) for c in sums))
+    before = totals.select(*by, "_part", *(total("_t_" + c).over(w).alias("_b_" + c) for c in sums))
     inner = Window.partitionBy(*by, "_part").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
     out = s.join(before, [*by, "_part"])
     for c in sums:
-        out = out.withColumn("cum_" + c, F.sum(c).over(inner) + F.col("_b_" + c))
+        own, carried = total(c).over(inner), F.col("_b_" + c)
+        out = out.withColumn("cum_" + c, F.greatest(own, carried) if most_so_far else own + F.coalesce(carried, F.lit(0)))
     return out.drop("_part", *("_b_" + c for c in sums))
 
 
