@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def round3(c: Column) -> Column:
+    """To 3 decimals as SQL's round does it, by the double and not by its shortest decimal form: 0.5005, which is less than that, becomes 0.5."""
+    return F.round(c * 1000) / 1000
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image, idx, role, rater, x1, y1, x2, y2, score, cls, circularity, solidity, aspect_ratio): about 120 boxes an image on a 10 x 10 grid.
 
@@ -50,7 +55,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
         (F.col("l_suppkey") % 7).cast("int").alias("grp"),
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"),
-        F.round(F.col("l_extendedprice") / 105000, 3).alias("score"),
+        round3(F.col("l_extendedprice") / 105000).alias("score"),
         (F.col("l_quantity") / 50).alias("conf"),
         F.col("l_discount").alias("area"),
         F.col("l_tax").alias("perimeter"),

@@ -20,3 +20,20 @@ def test_pooled_precision_takes_no_frame_that_is_computed_anew_for_each_row(spar
     per_image = D.ap_from_matches(m, m.groupBy("image").agg(F.count("*").alias("n_gt")), ["image"])
     for d in (got, per_image):
         assert "unboundedfollowing" not in d._jdf.queryExecution().toString().lower()
+
+
+def _priced(spark, sf_dir, path, table, column, prices):
+    """The given table with some prices; its other rows stay."""
+    t = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    key = {"lineitem": "l_orderkey", "orders": "o_orderkey"}[table]
+    new = F.get(F.array(*(F.lit(p) for p in prices)), (F.col(key) % (2 * len(prices))).cast("int"))
+    t.withColumn(column, F.coalesce(new, F.col(column))).coalesce(1).write.parquet(f"{path}/{table}.parquet")
+
+
+def test_scores_are_rounded_as_sql_does_it(spark, sf_dir, tmp_path):
+    _priced(spark, sf_dir, tmp_path, "lineitem", "l_extendedprice", [52552.5, 52657.5, 52762.5, 52867.5])
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    same(QUERIES["percentile_sweep"](spark, str(tmp_path)).toPandas(), con.sql(SQL["percentile_sweep"]).df())
