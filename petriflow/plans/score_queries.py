@@ -150,7 +150,7 @@ _PROFILE = "SELECT p_partkey AS id, p_size * 800.0 AS area, p_size * 15.0 AS per
 
 
 def _vlm(s: SparkSession, d: str) -> DataFrame:
-    t = S.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") / 500000, 3).alias("p"), (F.col("o_custkey") % 3).alias("k"))
+    t = S.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), S.round3(F.col("o_totalprice") / 500000).alias("p"), (F.col("o_custkey") % 3).alias("k"))
     good = F.concat(F.lit('Answer: {"is_organoid": '), F.col("p").cast("string"), F.lit(', "confidence": 0.25, "reason": "ok"} end'))
     bad = F.concat(F.lit("confidence: "), F.col("p").cast("string"), F.lit(" is_organoid = 0.75"))
     return t.select("id", F.when(F.col("k") == 0, good).when(F.col("k") == 1, bad).otherwise("nothing").alias("raw"))

@@ -37,3 +37,12 @@ def test_scores_are_rounded_as_sql_does_it(spark, sf_dir, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     same(QUERIES["percentile_sweep"](spark, str(tmp_path)).toPandas(), con.sql(SQL["percentile_sweep"]).df())
+
+
+def test_answers_are_rounded_as_sql_does_it(spark, sf_dir, tmp_path):
+    _priced(spark, sf_dir, tmp_path, "orders", "o_totalprice", [250250.0, 250750.0, 251250.0])
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    same(QUERIES["parse_score_text"](spark, str(tmp_path)).toPandas(), con.sql(SQL["parse_score_text"]).df())
