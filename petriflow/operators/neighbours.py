@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from petriflow.functions.joins import FEW_ROWS, with_few
 from petriflow.functions.lineage import checkpointed
 
 #: Rows of a slice of a cell, and of a block of its queries, at most about; bytes of distances that a task holds at a time.
@@ -81,48 +82,84 @@ def _dealt(q: DataFrame, b: DataFrame, keys: list[str], fixed: tuple[int, int] |
     if fixed:
         q, b = (d.withColumn("_ns", F.lit(fixed[0])).withColumn("_nq", F.lit(fixed[1])) for d in (q, b))
         return _spread(q, b)
-    n_b = b.groupBy(*keys).agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("_ns"))
-    n_q = q.groupBy(*keys).agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("_nq"))
-    sizes = n_b.join(n_q, keys)  # a row a cell
-    return _spread(q.join(sizes, keys), b.join(sizes, keys))
+    sizes = _slices(q, b, keys)
+    sizes = checkpointed(sizes)
+    return _spread(with_few(q, sizes, keys), with_few(b, sizes, keys))
+
+
+def _slices(q: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _ns, _nq): slices and blocks of each cell that both sides have; a row a cell."""
+    n_b = b.groupBy(*keys).agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("_ns"), F.count("*").alias("_b"))
+    n_q = q.groupBy(*keys).agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("_nq"), F.count("*").alias("_a"))
+    return n_b.join(n_q, keys)
 
 
 def _spread(q: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = q.withColumn("_q", part("_nq")).withColumn("_s", every("_ns")).drop("_ns", "_nq")
-    right = b.withColumn("_s", part("_ns")).withColumn("_q", every("_nq")).drop("_ns", "_nq")
+    left = q.withColumn("_q", part("_nq")).withColumn("_s", every("_ns")).drop("_ns", "_nq", "_a", "_b")
+    right = b.withColumn("_s", part("_ns")).withColumn("_q", every("_nq")).drop("_ns", "_nq", "_a", "_b")
     return left, right
 
 
+#: Bytes of approximate distances that a product makes at a time, and pairs whose scores it computes exactly at a time.
+TABLE_BYTES, EXACT_PAIRS = 8 << 20, 1 << 16
+
+
 def _product(k: int, cosine: bool, group: str | None, same_group: bool | None, exclude_self: bool):
-    """The ``k`` least scores (distances, or minus similarities) of each query among a slice of base rows."""
+    """The ``k`` least scores (distances, or minus similarities) of each query among a slice of base rows.
+
+    All pairs are compared in single precision (where the numbers allow it); what may be among the least by the error of that is computed again in doubles.
+    """
+
+    def scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        dot = (x * y).sum(1)
+        if cosine:
+            return np.round(-dot / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1), 12)
+        return np.round(np.sqrt(np.maximum((x * x).sum(1) + (y * y).sum(1) - 2 * dot, 0)), 9)
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})]
         if not len(left) or not len(right):
             return out[0]
         right = right.sort_values("id")
-        y = _array(right["values"])
-        step = max(1, CELLS // (8 * len(right)))
+        y, x = _array(right["values"]), _array(left["values"])
+        fit, asks = np.isfinite(y).all(1), np.isfinite(x).all(1)
+        if not (fit.all() and asks.all()):  # a vector with a number that is none has no distance
+            left, right, x, y = left[asks], right[fit], x[asks], y[fit]
+        if not len(left) or not len(right):
+            return out[0]
+        to, asked = right.id.to_numpy(), left.id.to_numpy()
+        a, b = (_unit(x), _unit(y)) if cosine else (x - y.mean(0), y - y.mean(0))
+        size = max(np.abs(a).max(initial=0), np.abs(b).max(initial=0))
+        kind = np.float32 if 1e-10 < size < 1e15 else np.float64
+        aa, bb = (a * a).sum(1), (b * b).sum(1)
+        slack = 8 * np.finfo(kind).eps * (y.shape[1] + 8) * (aa + bb.max())
+        a, b, half = a.astype(kind), b.T.astype(kind), (bb / 2).astype(kind)
+        step = max(1, TABLE_BYTES // (np.dtype(kind).itemsize * len(right)))
         for low in range(0, len(left), step):
-            some = left.iloc[low : low + step]
-            x = _array(some["values"])
+            far = a[low : low + step] @ b
+            far = -far if cosine else half[None] - far
+            ids = asked[low : low + step]
             if cosine:
-                nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-                s = -(x @ y.T) / np.where(nx > 0, nx, 1)[:, None] / np.where(ny > 0, ny, 1)[None, :]
-                s = np.where((nx > 0)[:, None] & (ny > 0)[None, :], np.round(s, 12), np.inf)
-            else:
-                s = np.round(_distances(x, y), 9)
+                far[:, bb == 0] = np.inf
+                far[aa[low : low + step] == 0] = np.inf
             if group and same_group is False:
-                s = np.where(some[group].to_numpy()[:, None] == right[group].to_numpy()[None, :], np.inf, s)
+                far[left[group].to_numpy()[low : low + step][:, None] == right[group].to_numpy()[None, :]] = np.inf
             if exclude_self:
-                s = np.where(some.id.to_numpy()[:, None] == right.id.to_numpy()[None, :], np.inf, s)
-            best = least(s, k)
-            rows = np.repeat(np.arange(len(some)), best.shape[1])
-            score = s[rows, best.ravel()]
-            ok = np.isfinite(score)
-            out.append(pd.DataFrame({"query_id": some.id.to_numpy()[rows][ok], "id": right.id.to_numpy()[best.ravel()][ok], "score": score[ok]}))
+                far[ids[:, None] == to[None, :]] = np.inf
+            if k < len(right):
+                edge = np.partition(far, k - 1, axis=1)[:, k - 1] + slack[low : low + step]
+                near = far <= edge[:, None].astype(kind)
+            else:
+                near = np.ones(far.shape, bool)
+            row, col = np.nonzero(near & np.isfinite(far))
+            exact = [scores(x[low + row[i : i + EXACT_PAIRS]], y[col[i : i + EXACT_PAIRS]]) for i in range(0, len(row), EXACT_PAIRS)]
+            score = np.concatenate(exact) if exact else np.empty(0)
+            order = np.lexsort((col, score, row))
+            row, col, score = row[order], col[order], score[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append(pd.DataFrame({"query_id": ids[row[kept]], "id": to[col[kept]], "score": score[kept]}))
         return pd.concat(out)
 
     return product
@@ -156,8 +193,8 @@ class Cells:
         self.lo, self.hi = (np.array([r[c] for r in rows], float) for c in ("lo", "hi"))
 
 
-def _planned(pivots: np.ndarray, cosine: bool, known: Cells | None, made: str, plan):
-    """Rows (id, values, ...) with ``made``, the cells that ``plan(distances to pivots, norm, cells, row)`` names; ``known`` None: a row has them in _cells."""
+def _planned(pivots: np.ndarray, cosine: bool, known: Cells | dict | None, made: str, plan):
+    """Rows (id, values, ...) with ``made``, the cells that ``plan(distances to pivots, norm, cells, row)`` names; ``known``: those of all rows or of each group, None: a row has them in _cells."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -165,7 +202,8 @@ def _planned(pivots: np.ndarray, cosine: bool, known: Cells | None, made: str, p
                 x = _array(f["values"])
                 d, norm = _distances(_unit(x) if cosine else x, pivots), np.linalg.norm(x, axis=1)
                 rows = f.to_dict("records") if made == "_rest" else [None] * len(f)
-                out = [plan(d[i], norm[i], known or Cells(f["_cells"].iloc[i]), rows[i]) for i in range(len(f))]
+                cells = [known.get(g) for g in f["_g"]] if isinstance(known, dict) else [Cells(c) for c in f["_cells"]] if known is None else [known] * len(f)
+                out = [plan(d[i], norm[i], cells[i], rows[i]) if cells[i] is not None else [] for i in range(len(f))]
                 yield f.drop(columns=[c for c in ("_cells", "_first", "_bound") if c in f]).assign(**{made: out})
 
     return run
@@ -230,11 +268,17 @@ def meetings(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclide
     spots = centres(x, min(n, len(x)), seed)
     b = checkpointed(_keyed(b, spots, cosine))
     cells = b.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_r").alias("lo"), F.max("_r").alias("hi")).withColumnRenamed("_p", "p")
-    if keys[1:]:
+    cells = checkpointed(cells)
+    if keys[1:] and cells.limit(FEW_ROWS + 1).count() <= FEW_ROWS:  # the groups' cells are few: they are told once, and not with each query
+        by: dict = {}
+        for c in cells.collect():
+            by.setdefault(c["_g"], []).append(c)
+        known = {g: Cells(c) for g, c in by.items()}
+    elif keys[1:]:
         known, cells = None, cells.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("p", "n", "lo", "hi"))).alias("_cells"))  # GROUP_PIVOTS a group at most
     else:
         known = Cells(cells.collect())  # a row a pivot
-    told = lambda d: d if known else d.join(cells, "_g")
+    told = lambda d: d if known is not None else d.join(cells, "_g")
     first = checkpointed(told(q).mapInPandas(_planned(spots, cosine, known, "_first", _nearest_cells(k)), _schema(q, "_first array<int>")))
     one = first.withColumn("_p", F.explode("_first")).drop("_first")
     found = checkpointed(_met(one, b, keys, product))
@@ -242,7 +286,14 @@ def meetings(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclide
     kth = ranked.groupBy(F.col("query_id").alias("id")).agg(F.max("score").alias("_worst"), F.count("*").alias("_have"))
     worst = F.sqrt(F.greatest(F.lit(0.0), 2 + 2 * F.col("_worst"))) if cosine else F.col("_worst")
     bounded = first.join(kth, "id", "left").withColumn("_bound", F.when(F.col("_have") >= k, worst).otherwise(F.lit(float("inf")))).drop("_worst", "_have")
-    rest = checkpointed(told(bounded).mapInPandas(_planned(spots, cosine, known, "_rest", _other_cells(spots)), _schema(q, "_rest array<int>"))).withColumn("_p", F.explode("_rest")).drop("_rest")
+    rest = checkpointed(told(bounded).mapInPandas(_planned(spots, cosine, known, "_rest", _other_cells(spots)), _schema(q, "_rest array<int>")))
+    # Where the cells tell neighbours apart too little, all rows (of a group) meet in slices: these are larger than cells, so less is copied.
+    whole = keys[:-1] or ["_all"]
+    q1, b1 = (d if keys[1:] else d.withColumn("_all", F.lit(0)) for d in (q, b.drop("_p", "_r")))
+    copies = _slices(q1, b1, whole).agg(F.sum(F.col("_a") * F.col("_ns") + F.col("_b") * F.col("_nq"))).first()[0] or 0
+    if (rest.agg(F.sum(F.size("_rest"))).first()[0] or 0) > copies:
+        return Meetings(b1, q1, _met(q1, b1, whole, product), None, whole)
+    rest = rest.withColumn("_p", F.explode("_rest")).drop("_rest")
     return Meetings(b, one, found.unionByName(_met(rest, b, keys, product)), rest, keys)
 
 

@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from petriflow.functions.joins import with_few
 from petriflow.functions.lineage import checkpointed
 from petriflow.operators.models import dirichlet_mixture
 from petriflow.operators.neighbours import CELLS, SAMPLE_BYTES, approx_knn, centres, knn, recall_at_k, sample  # noqa: F401
@@ -96,7 +97,7 @@ def knn_vote_loo(rows: DataFrame, k: int = 7, scope: str = "global", client: str
         v = _vote(knn(rows, rows, k, "cosine", exclude_self=True), rows)
     else:
         size = rows.groupBy(client).agg(F.count("*").alias("_n"), F.countDistinct("label").alias("_c")).where((F.col("_n") > k + 1) & (F.col("_c") > 1))
-        fit = rows.join(size.select(client), client, "left_semi")  # a row a client
+        fit = with_few(rows, size.select(client), client, "left_semi")  # a row a client
         v = _vote(knn(fit, fit, k, "cosine", group=client, same_group=True, exclude_self=True), rows)
     return rows.select("id").join(v.withColumnRenamed("query_id", "id"), "id", "left").fillna(0.5, ["vote"])
 
@@ -118,7 +119,7 @@ def knn_outlier(rows: DataFrame, k: int = 5, client: str = "client") -> DataFram
     Clients with fewer than 3 negatives are left out; rows with fewer than k foreign positives too.
     """
     neg = rows.groupBy(client).agg(F.sum((F.col("label") != 1).cast("long")).alias("_n")).where("_n >= 3")
-    q = rows.join(neg.select(client), client, "left_semi")  # a row a client
+    q = with_few(rows, neg.select(client), client, "left_semi")  # a row a client
     near = knn(q, rows.where("label = 1"), k, group=client, same_group=False)
     d = near.groupBy("query_id").agg(F.avg("distance").alias("distance"), F.count("*").alias("_k")).where(F.col("_k") == k)
     return q.select("id", client, "label").join(d.select(F.col("query_id").alias("id"), "distance"), "id")
@@ -194,7 +195,7 @@ def mixture_score(rows: DataFrame, components: int | None = None, pcs: int = 8,
 def centroid_spread(rows: DataFrame, cls: str = "cls") -> DataFrame:
     """(cls, n, mean_distance, sd_distance) of rows to their class's centroid."""
     c = rows.select(cls, F.posexplode("values").alias("p", "x")).groupBy(cls, "p").agg(F.avg("x").alias("m")).groupBy(cls).agg(F.sort_array(F.collect_list(F.struct("p", "m"))).alias("_c"))
-    j = rows.join(c, cls)  # a row a class
+    j = with_few(rows, c, cls)  # a row a class
     d = F.sqrt(F.aggregate(F.zip_with("values", "_c", lambda x, m: (x - m.m) * (x - m.m)), F.lit(0.0), lambda s, a: s + a))
     return j.groupBy(cls).agg(F.count("*").alias("n"), F.avg(d).alias("mean_distance"), F.stddev_pop(d).alias("sd_distance"))
 

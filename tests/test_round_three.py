@@ -3,9 +3,15 @@
 import pytest
 from pyspark.sql import functions as F
 
+from petriflow.operators import boxes as B
 from petriflow.operators import det_metrics as D
+from petriflow.operators import fusion as U
+from petriflow.operators import matching as M
+from petriflow.operators import merging as G
+from petriflow.operators import neighbours as N
 from petriflow.operators import ranking as K
 from petriflow.plans import registry
+from petriflow.plans import standins as S
 from tests.compare import database, same
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -46,3 +52,22 @@ def test_answers_are_rounded_as_sql_does_it(spark, sf_dir, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     same(QUERIES["parse_score_text"](spark, str(tmp_path)).toPandas(), con.sql(SQL["parse_score_text"]).df())
+
+
+def test_rows_that_cells_do_not_tell_apart_meet_in_slices(spark):
+    import numpy as np
+
+    v = np.random.default_rng(3).normal(size=(400, 24))
+    v[7], v[8:12] = 0, v[12]  # no direction, and copies
+    rows = spark.createDataFrame([(i, i % 3, x.tolist()) for i, x in enumerate(v)], "id long, client int, values array<double>")
+    for metric, same_group in (("cosine", True), ("cosine", None), ("euclidean", False)):
+        how = {"group": "client", "same_group": same_group} if same_group is not None else {}
+        assert N.meetings(rows, rows, 5, metric, exclude_self=True, pivots=40, **how).rest is None
+        got: dict = {}
+        for r in N.knn(rows, rows, 5, metric, exclude_self=True, pivots=40, **how).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        n = np.linalg.norm(v, axis=1)
+        far = -np.round(v @ v.T / np.maximum(np.outer(n, n), 1e-300), 12) if metric == "cosine" else np.round(np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)), 9)
+        for i in range(400):
+            ok = [j for j in range(400) if j != i and (same_group is None or (i % 3 == j % 3) == same_group) and (metric != "cosine" or (n[i] > 0 and n[j] > 0))]
+            assert got.get(i, []) == sorted(ok, key=lambda j: (far[i, j], j))[:5]
