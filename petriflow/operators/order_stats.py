@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from petriflow.functions.joins import with_few
 from petriflow.functions.lineage import checkpointed
 
 #: Rows of a stretch that is put in order, at most.
@@ -24,7 +25,7 @@ ACCURACY, PARTS = 4_000, 32
 def _stretches(rows: DataFrame, at: list[float]) -> DataFrame:
     """Rows (g, v) with _b, which stretch of their group they lie in: twice the cuts below v, and one more if v is a cut."""
     cuts = rows.groupBy("g").agg(F.array_distinct(F.percentile_approx("v", [min(max(p, 0.0), 1.0) for p in at], 2 * ACCURACY)).alias("_cuts"))
-    joined = rows.join(cuts, "g")  # one row a group
+    joined = with_few(rows, cuts, "g")  # one row a group
     return joined.select("g", "v", (F.size(F.filter("_cuts", lambda c: c < F.col("v"))) + F.size(F.filter("_cuts", lambda c: c <= F.col("v")))).alias("_b"))
 
 
@@ -38,7 +39,7 @@ def _round(rows: DataFrame, wanted: DataFrame, at: list[float]) -> tuple[DataFra
     settled = met.where("_b % 2 = 1").select("t", "v")
     inner = F.struct("g", "_b")
     left = met.where("_b % 2 = 0").select(inner.alias("g"), (F.col("r") - F.col("before")).alias("r"), "t", "n")
-    kept = dealt.join(left.select("g.g", "g._b").distinct(), ["g", "_b"], "left_semi").select(inner.alias("g"), "v")
+    kept = with_few(dealt, left.select("g.g", "g._b").distinct(), ["g", "_b"], "left_semi").select(inner.alias("g"), "v")
     return settled, kept, left
 
 
@@ -60,7 +61,7 @@ def select_ranks(rows: DataFrame, wanted: DataFrame, near: list[float] | None =
             break
         if most <= SMALL_ROWS:
             order = F.row_number().over(Window.partitionBy("g").orderBy("v")) - 1
-            kept = rows.join(left.select("g").distinct(), "g", "left_semi")
+            kept = with_few(rows, left.select("g").distinct(), "g", "left_semi")
             placed = kept.select("g", "v", order.alias("r"))
             settled.append(placed.join(left, ["g", "r"]).select("t", "v"))
             break

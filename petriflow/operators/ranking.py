@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from petriflow.functions.grid import all_pairs_of_keys, with_each
+from petriflow.functions.joins import with_few
 from petriflow.operators.order_stats import percentiles
 
 #: Rows of one range of a group's distinct scores in a running total, about.
@@ -37,13 +38,13 @@ def running_totals(steps: DataFrame, by: list[str], order: str, sums: list[str],
         return steps.withColumns({"cum_" + c: total(c).over(whole) for c in sums})
     k = int(most // RANGE_ROWS) + 1
     cuts = steps.groupBy(*by).agg(F.percentile_approx(order, [i / k for i in range(1, k)], 10 * k).alias("_cuts"))
-    joined = steps.join(cuts, by) if by else steps.crossJoin(cuts)  # one row a group
+    joined = with_few(steps, cuts, by) if by else steps.crossJoin(cuts)  # one row a group
     s = joined.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
     totals = s.groupBy(*by, "_part").agg(*(total(c).alias("_t_" + c) for c in sums))
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(way("_part")).rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*by, "_part", *(total("_t_" + c).over(w).alias("_b_" + c) for c in sums))
     inner = Window.partitionBy(*by, "_part").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = s.join(before, [*by, "_part"])
+    out = with_few(s, before, [*by, "_part"])  # a row a range
     for c in sums:
         own, carried = total(c).over(inner), F.col("_b_" + c)
         out = out.withColumn("cum_" + c, F.greatest(own, carried) if most_so_far else own + F.coalesce(carried, F.lit(0)))
@@ -70,7 +71,7 @@ def pr_table(df: DataFrame, label: str = "label", score: str = "score", by: list
     by = by or []
     s = running_totals(score_steps(df, label, score, by), by, "score", ["pos", "neg"])
     n = s.groupBy(*by).agg(F.sum("pos").alias("n_pos"))
-    s = s.join(n, by) if by else s.crossJoin(n)  # one row a group
+    s = with_few(s, n, by) if by else s.crossJoin(n)  # one row a group
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     return s.select(*by, "score", "pos", tp.alias("tp"), fp.alias("fp"), "n_pos", (tp / (tp + fp)).alias("precision"), F.when(F.col("n_pos") > 0, tp / F.col("n_pos")).otherwise(0.0).alias("recall"))
 
@@ -89,7 +90,7 @@ def pr_auc(df: DataFrame, label: str = "label", score: str = "score", by: list[s
     tp, fp = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
     t = running_totals(score_steps(df, label, score, by), by, "score", ["pos", "neg"]).withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
     n = t.groupBy(*by).agg(F.sum("pos").alias("n_pos"))
-    t = t.join(n, by) if by else t.crossJoin(n)  # one row a group
+    t = with_few(t, n, by) if by else t.crossJoin(n)  # one row a group
     before = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(1.0)
     area = F.col("pos") / F.col("n_pos") * (F.col("tp") / (F.col("tp") + F.col("fp")) + before) / 2
     return t.groupBy(*by).agg(F.sum(F.when(F.col("n_pos") > 0, area).otherwise(0.0)).alias("pr_auc"))
@@ -99,7 +100,7 @@ def areas(steps: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, n_pos, auc, ap, pr_auc) from rows (by, score, pos, neg), one for each distinct score, by one running total."""
     t = running_totals(steps, by, "score", ["pos", "neg"])
     n = steps.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
-    t = t.join(n, by) if by else t.crossJoin(n)  # one row a group
+    t = with_few(t, n, by) if by else t.crossJoin(n)  # one row a group
     tp, fp, p, q = F.col("cum_pos"), F.col("cum_neg"), F.col("_p"), F.col("_q")
     tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
     precision, before = tp / (tp + fp), F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(1.0)
@@ -240,7 +241,7 @@ def normal_range(df: DataFrame, by: str, features: list[str], label: str = "labe
     long = unpivot(df, [by, label], features)
     r = percentiles(long.where(F.col(label) == 1), "value", [0.05, 0.5, 0.95], ["feature"])
     r = r.select("feature", *(F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p5", "p50", "p95"))))
-    j = long.where(F.col(label) != 1).join(r, "feature")  # a row a feature
+    j = with_few(long.where(F.col(label) != 1), r, "feature")  # a row a feature
     out = (F.col("value") < F.col("p5")) | (F.col("value") > F.col("p95"))
     return j.groupBy(by, "feature").agg(F.first("p5").alias("p5"), F.first("p50").alias("p50"), F.first("p95").alias("p95"), F.count("*").alias("n"), F.avg(out.cast("double")).alias("outside")).where("n >= 3")
 

@@ -71,3 +71,13 @@ def test_rows_that_cells_do_not_tell_apart_meet_in_slices(spark):
         for i in range(400):
             ok = [j for j in range(400) if j != i and (same_group is None or (i % 3 == j % 3) == same_group) and (metric != "cosine" or (n[i] > 0 and n[j] > 0))]
             assert got.get(i, []) == sorted(ok, key=lambda j: (far[i, j], j))[:5]
+
+
+def test_a_table_of_few_keys_is_broadcast_and_no_key_is_sorted_in_one_task(spark, sf_dir):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the planner's choice where few keys leave most partitions empty
+    try:
+        plan = K.normal_range(S.scores(spark, sf_dir), "grp", ["score", "conf"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
