@@ -136,20 +136,28 @@ def nearest_gt(fp: DataFrame, gt: DataFrame) -> DataFrame:
     """
     g = gt.select("image", F.col("idx").alias("gt_idx"), *(F.col(c).alias("g_" + c) for c in CORNERS))
     big = checkpointed(g.groupBy("image").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE_IMAGE).select("image"))
-    if big.isEmpty():
-        j = fp.join(g, "image", "left")
-    else:
-        rows = checkpointed(fp.join(big, "image", "left_semi").withColumn("row", F.monotonically_increasing_id()))
-        some = near_candidates(rows.select("image", "row", _centre("", "x").alias("px"), _centre("", "y").alias("py")), g.join(big, "image", "left_semi"))
-        j = fp.join(big, "image", "left_anti").join(g.join(big, "image", "left_anti"), "image", "left").unionByName(rows.join(some, ["image", "row"]).drop("row"))
-    j = j.withColumn("distance", F.sqrt(F.pow(_centre("", "x") - _centre("g_", "x"), 2) + F.pow(_centre("", "y") - _centre("g_", "y"), 2)))
-    j = j.withColumn("gt_iou", iou(corners(), corners("g_")))
     longest = F.greatest(F.col("g_x2") - F.col("g_x1"), F.col("g_y2") - F.col("g_y1"))
     diagonal = F.sqrt(F.pow(F.col("g_x2") - F.col("g_x1"), 2) + F.pow(F.col("g_y2") - F.col("g_y1"), 2))
-    row = F.struct("distance", "gt_idx", "gt_iou", (F.col("distance") / longest).alias("dist_ratio"), diagonal.alias("diagonal"))
-    best = j.groupBy(*fp.columns).agg(F.min(F.when(F.col("gt_idx").isNotNull(), row)).alias("_b"))
     inf = F.lit(float("inf"))
-    return best.select(*fp.columns, F.col("_b.gt_idx").alias("gt_idx"), F.coalesce("_b.distance", inf).alias("distance"), F.coalesce("_b.gt_iou", F.lit(0.0)).alias("gt_iou"), F.coalesce("_b.dist_ratio", inf).alias("dist_ratio"), F.coalesce("_b.diagonal", F.lit(0.0)).alias("diagonal"))
+    near = ["gt_idx", "distance", *("g_" + c for c in CORNERS)]
+    iou_ = F.when(F.col("gt_idx").isNotNull(), iou(corners(), corners("g_"))).otherwise(0.0)
+    told = [*fp.columns, "gt_idx", F.coalesce("distance", inf).alias("distance"), iou_.alias("gt_iou"), F.coalesce(F.col("distance") / longest, inf).alias("dist_ratio"), F.coalesce(diagonal, F.lit(0.0)).alias("diagonal")]
+    # An image's reference boxes, few, come as one array, so that no pair is a row that is shuffled or sorted.
+    few = g if big.isEmpty() else g.join(big, "image", "left_anti")
+    boxes = few.groupBy("image").agg(F.collect_list(F.struct("gt_idx", *("g_" + c for c in CORNERS))).alias("_g"))
+    centre = lambda b, a: (b[f"g_{a}1"] + b[f"g_{a}2"]) / 2
+    apart = lambda b: F.sqrt(F.pow(_centre("", "x") - centre(b, "x"), 2) + F.pow(_centre("", "y") - centre(b, "y"), 2))
+    first = F.array_min(F.transform("_g", lambda b: F.struct(apart(b).alias("distance"), b["gt_idx"].alias("gt_idx"), *(b["g_" + c].alias("g_" + c) for c in CORNERS))))
+    small = (fp if big.isEmpty() else fp.join(big, "image", "left_anti")).join(boxes, "image", "left")
+    j = small.select(*fp.columns, first.alias("_b")).select(*fp.columns, *(F.col("_b." + c).alias(c) for c in near))
+    if not big.isEmpty():
+        rows = checkpointed(fp.join(big, "image", "left_semi").withColumn("row", F.monotonically_increasing_id()))
+        some = near_candidates(rows.select("image", "row", _centre("", "x").alias("px"), _centre("", "y").alias("py")), g.join(big, "image", "left_semi"))
+        met = rows.join(some, ["image", "row"])
+        met = met.withColumn("distance", F.sqrt(F.pow(_centre("", "x") - _centre("g_", "x"), 2) + F.pow(_centre("", "y") - _centre("g_", "y"), 2)))
+        best = met.groupBy("row", *fp.columns).agg(F.min(F.struct("distance", "gt_idx", *near[2:])).alias("_b"))
+        j = j.unionByName(best.select(*fp.columns, *(F.col("_b." + c).alias(c) for c in near)))
+    return j.select(*told)
 
 
 def classify_false_positives(near: DataFrame) -> DataFrame:

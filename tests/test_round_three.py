@@ -81,3 +81,9 @@ def test_a_table_of_few_keys_is_broadcast_and_no_key_is_sorted_in_one_task(spark
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_pairs_of_a_box_and_its_image_are_no_rows_to_be_sorted(spark, sf_dir):
+    b = S.boxes(spark, sf_dir)
+    near = M.nearest_gt(b.where("role = 'R'").select("image", "idx", "score", *B.CORNERS), b.where("role = 'N'"))
+    assert "SortAggregate" not in near._jdf.queryExecution().executedPlan().toString()
