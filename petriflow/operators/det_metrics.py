@@ -46,8 +46,11 @@ def map_range(det: DataFrame, gt: DataFrame, thresholds: tuple[float, ...] = tup
     n = len(thresholds)
     steps = [(float(t), i) for i, t in enumerate(thresholds)]
     many = lambda d: with_each(d, ["thr", "k"], steps).withColumn("image", F.col("image") * n + F.col("k")).drop("k")
-    matched = match_greedy(many(det).drop("thr"), many(gt).drop("thr"), 0.0, pairs=many(pairs).where(F.col("iou") >= F.col("thr")).drop("thr"))
-    ap = ap_from_matches(matched, gt_counts(many(det), many(gt), ["image"]), ["image"])
+    # What is multiplied is narrow: of boxes their place and score, of the counts a row an image.
+    narrow = pairs.select("image", "l_idx", "r_idx", "l_score", "iou")
+    d = many(det.select("image", "idx", "score")).drop("thr")
+    matched = match_greedy(d, gt, 0.0, pairs=many(narrow).where(F.col("iou") >= F.col("thr")).drop("thr"))
+    ap = ap_from_matches(matched, many(gt_counts(det, gt, ["image"])).drop("thr"), ["image"])
     out = ap.withColumn("k", F.col("image") % n).withColumn("image", F.floor(F.col("image") / n))
     out = out.withColumn("thr", F.get(F.array(*(F.lit(float(t)) for t in thresholds)), F.col("k").cast("int")))
     return out.select("image", "thr", "ap", "tp", "fp", "fn")
@@ -116,15 +119,20 @@ def filter_sweep(det: DataFrame, gt: DataFrame, filters: dict[str, tuple[float,
     names, n = list(filters), len(filters)
     grid = [(i, *map(float, filters[name])) for i, name in enumerate(names)]
 
-    def many(d: DataFrame, prefix: str | None) -> DataFrame:
+    def many(d: DataFrame, prefix: str | None, kept: list[str]) -> DataFrame:
         j = with_each(d, ["k", "c0", "c1", "c2", "c3"], grid)
         if prefix is not None:
             for i, c in enumerate(("score", "circularity", "solidity", "aspect_ratio")):
                 j = j.where(F.coalesce(F.col(prefix + c), F.lit(0.0)) >= F.col(f"c{i}"))
-        return j.withColumn("image", F.col("image") * n + F.col("k")).drop("k", "c0", "c1", "c2", "c3")
-
-    d, g = many(det, ""), many(gt, None)
-    ap = ap_from_matches(match_greedy(d, g, thr, pairs=many(pairs, "l_")), gt_counts(d, g, ["image"]), ["image"])
+        # What is multiplied is narrow: of boxes their place and score.
+        return j.withColumn("image", F.col("image") * n + F.col("k")).drop("k", "c0", "c1", "c2", "c3").select("image", *kept)
+
+    box = ["circularity", "solidity", "aspect_ratio"]
+    d = many(det.select("image", "idx", "score", *box), "", ["idx", "score"])
+    met = many(pairs.select("image", "l_idx", "r_idx", "iou", "l_score", *("l_" + c for c in box)), "l_", ["l_idx", "r_idx", "l_score", "iou"])
+    counts = many(gt.groupBy("image").agg(F.count("*").alias("n_gt")), None, ["n_gt"])
+    counts = counts.unionByName(d.select("image").distinct().join(counts, "image", "left_anti").withColumn("n_gt", F.lit(0).cast("long")))
+    ap = ap_from_matches(match_greedy(d, gt, thr, pairs=met), counts, ["image"])
     named = ap.withColumn("config", F.get(F.array(*(F.lit(x) for x in names)), (F.col("image") % n).cast("int")))
     return prf_summary(named, ["config"])
 

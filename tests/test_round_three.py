@@ -112,3 +112,11 @@ def test_images_are_no_frames_of_their_own(spark, sf_dir):
     r, a = b.where("role = 'R'"), b.where("role = 'A'")
     for d in (G.soft_nms(r), G.anchor_fusion(r), G.weighted_boxes_fusion([r, a])):
         assert "FlatMapGroups" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boxes_are_narrow_before_a_sweep_multiplies_them(spark, sf_dir, monkeypatch):
+    b, seen, each = S.boxes(spark, sf_dir), [], D.with_each
+    monkeypatch.setattr(D, "with_each", lambda d, *a: seen.append(len(d.columns)) or each(d, *a))
+    D.map_range(b.where("role = 'R'"), b.where("role = 'N'"))
+    D.filter_sweep(b.where("role = 'R'"), b.where("role = 'N'"))
+    assert max(seen) <= 8
