@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from petriflow.functions.grid import with_each
+from petriflow.functions.joins import with_few
 from petriflow.functions.lineage import checkpointed
 from petriflow.operators.models import HeldOut, held_out_logistic, held_out_scores, summed
 from petriflow.operators.ranking import areas, average_precision, roc_auc, score_steps
@@ -27,16 +28,23 @@ def weighted_scan(df: DataFrame, score: str = "score", conf: str = "conf", label
     return g.select("w", "auc", "pr_auc", (F.col("auc") - base).alias("delta_auc"), (F.col("w") == top).alias("best"))
 
 
+def _alike(df: DataFrame, label: str, score: str, conf: str) -> DataFrame:
+    """(c, s, pos, neg): rows alike in both scores are one row before they are multiplied by the settings of a scan."""
+    rows = df.select(F.col(label).alias("label"), F.col(score).alias("score"), F.col(conf).alias("c"))
+    return score_steps(rows, "label", "score", ["c"]).withColumnRenamed("score", "s")
+
+
 def _scan(df: DataFrame, name: str, grid: list[float], fused: Column, label: str, score: str, conf: str) -> DataFrame:
-    many = with_each(df.select(F.col(label).alias("label"), F.col(score).alias("s"), F.col(conf).alias("c")), ["param"], [(float(p),) for p in grid])
-    return average_precision(many.select("param", "label", F.round(fused, 12).alias("score")), by=["param"]).select(F.lit(name).alias("rule"), "param", "ap")
+    many = with_each(_alike(df, label, score, conf), ["param"], [(float(p),) for p in grid])
+    steps = many.groupBy("param", F.round(fused, 12).alias("score")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return areas(checkpointed(steps), ["param"]).select(F.lit(name).alias("rule"), "param", "ap")
 
 
 def hard_filter(df: DataFrame, label: str = "label", score: str = "score", conf: str = "conf", least: int = 10) -> DataFrame:
     """Confidence where score reaches the threshold (.05 to .90), else 0; thresholds that fewer than ``least`` rows reach are skipped."""
     grid = [round(0.05 * i, 2) for i in range(1, 19)]
     out = _scan(df, "hard_filter", grid, F.when(F.col("s") >= F.col("param"), F.col("c")).otherwise(0.0), label, score, conf)
-    many = with_each(df.select(F.col(score).alias("s")), ["param"], [(p,) for p in grid]).where("s >= param").groupBy("param").agg(F.count("*").alias("n"))
+    many = with_each(df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("k")), ["param"], [(p,) for p in grid]).where("s >= param").groupBy("param").agg(F.sum("k").alias("n"))
     return out.join(many.where(F.col("n") >= least).select("param"), "param", "left_semi").select("rule", "param", "ap")
 
 
@@ -99,7 +107,7 @@ def correlations(df: DataFrame, a: str = "score", b: str = "conf") -> DataFrame:
 def adaptive_score(df: DataFrame, by: str, label: str = "label", score: str = "score", conf: str = "conf") -> DataFrame:
     """``df`` with rule and fused: by the group's AUC of conf, below .70 the classifier, below .85 the product, else conf."""
     base = roc_auc(df.select(by, F.col(label).alias("label"), F.col(conf).alias("score")), by=[by]).select(by, F.col("auc").alias("base_auc"))
-    j = df.join(base, by)  # one row a group; the planner broadcasts it if it is small
+    j = with_few(df, base, by)  # one row a group
     rule = F.when(F.col("base_auc") < 0.70, "classifier").when(F.col("base_auc") < 0.85, "product").otherwise("confidence")
     fused = F.when(F.col("base_auc") < 0.70, F.col(score)).when(F.col("base_auc") < 0.85, F.col(score) * F.col(conf)).otherwise(F.col(conf))
     return j.withColumn("rule", rule).withColumn("fused", fused)
@@ -114,7 +122,7 @@ def _one_left_out(df: DataFrame, by: str, features: list[str], label: str) -> tu
     """(rows (by, label, x, g), a model for each group g that all others fitted)."""
     rows = checkpointed(_finite(df, [by], features, label))
     names = checkpointed(rows.select(by).distinct().withColumn("g", F.row_number().over(Window.orderBy(by)).cast("int") - 1))  # a row a group
-    rows = checkpointed(rows.join(names, by))
+    rows = checkpointed(with_few(rows, names, by))
     return rows, held_out_logistic(rows.select("x", F.col("label").alias("y"), "g"), max(1, names.count()), len(features), lambda n: np.full(len(n), 1e-3))
 
 

@@ -120,3 +120,19 @@ def test_boxes_are_narrow_before_a_sweep_multiplies_them(spark, sf_dir, monkeypa
     D.map_range(b.where("role = 'R'"), b.where("role = 'N'"))
     D.filter_sweep(b.where("role = 'R'"), b.where("role = 'N'"))
     assert max(seen) <= 8
+
+
+@pytest.mark.parametrize("scan", ["geometric_mean", "soft_penalize", "hard_filter"])
+def test_rows_alike_are_one_before_a_scan_multiplies_them(spark, monkeypatch, scan):
+    asked, each = [], U.with_each
+    monkeypatch.setattr(U, "with_each", lambda d, *a: asked.append(d.count()) or each(d, *a))
+    rows = spark.range(3_000).select((F.col("id") % 2).alias("label"), (F.col("id") % 5 / 5).alias("score"), (F.col("id") % 3 / 3).alias("conf"))
+    assert getattr(U, scan)(rows).count() and max(asked) <= 15
+
+
+def test_groups_are_numbered_by_a_broadcast(spark, sf_dir):
+    with pytest.MonkeyPatch.context() as m:
+        joined = []
+        m.setattr(U, "with_few", lambda rows, table, on: joined.append(table.count()) or rows.join(table, on))
+        assert U.calibration_left_out(S.scores(spark, sf_dir), "grp", ["score"]).count() == 7
+        assert joined == [7]
