@@ -35,13 +35,15 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for c, i, t, o, d in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            begins = [(0, "Genesis", None)] if c != chain else []
-            chain, prev = c, "0" if begins else prev
-            for index, operation, details in [*begins, (i, o, d)]:
-                h = hashlib.sha256(f"{index}:{t}:{operation}:{prev}:0".encode()).hexdigest()
-                rows.append((c, index, t, operation, details, prev, h, 0))
+            if c != chain:
+                chain, h = c, hashlib.sha256(f"0:{t}:Genesis:0:0".encode()).hexdigest()
+                rows.append((c, 0, t, "Genesis", None, "0", h, 0))
                 prev = h
-        yield pa.RecordBatch.from_pylist([dict(zip(_BLOCK.names, r, strict=True)) for r in rows], schema=_BLOCK)
+            h = hashlib.sha256(f"{i}:{t}:{o}:{prev}:0".encode()).hexdigest()
+            rows.append((c, i, t, o, d, prev, h, 0))
+            prev = h
+        columns = zip(*rows, strict=True) if rows else ([] for _ in _BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for v, f in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
 
 
 def build_chain(events: DataFrame) -> DataFrame:

@@ -14,15 +14,16 @@ from petriflow.plans import standins as S
 from petriflow.plans.box_queries import r9
 from petriflow.streaming import streams as T
 
-#: Files of a stream's input, each a trigger of its own.
-FILES = 3
+#: Triggers of a stream's input.
+TRIGGERS = 3
 
 
 def _streamed(s: SparkSession, rows: DataFrame, run) -> DataFrame:
-    """What ``run(stream, folder)`` returns for rows dealt to `FILES` files by a hash of the row; the folder goes again."""
-    path = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
-    rows.repartition(FILES, F.xxhash64(*rows.columns)).write.parquet(f"{path}/in")
-    out = checkpointed(run(s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path))
+    """What ``run(stream, folder)`` returns for rows dealt to the files of `TRIGGERS` triggers by a hash of the row; the folder goes again. A trigger takes as
+    many files as keep the cluster's cores busy while they are written."""
+    path, each = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}", -(-s.sparkContext.defaultParallelism // TRIGGERS)
+    rows.repartition(TRIGGERS * each, F.xxhash64(*rows.columns)).write.parquet(f"{path}/in")
+    out = checkpointed(run(s.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(f"{path}/in"), path))
     remove(s, path)
     return out
 
