@@ -15,15 +15,25 @@ def round3(c: Column) -> Column:
     return F.round(c * 1000) / 1000
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def boxes(spark: SparkSession, sf_dir: str, together: int = 0) -> DataFrame:
     """(image, idx, role, rater, x1, y1, x2, y2, score, cls, circularity, solidity, aspect_ratio): about 120 boxes an image on a 10 x 10 grid.
 
-    role R and A are two models' detections, N is ground truth. idx numbers the boxes of an image.
+    role R and A are two models' detections, N is ground truth. idx numbers the boxes of an image. With ``together``, so many images in a row have one number g,
+    and lie in one partition.
     """
-    t = table(spark, sf_dir, "lineitem")
+    key = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    t = table(spark, sf_dir, "lineitem").select(*key, "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    t = t.withColumn("image", F.floor(F.col("l_orderkey") / 30).cast("long"))
+    group = ["g"] if together else []
+    if together:
+        t = t.withColumn("g", F.floor(F.col("image") / together)).repartition("g")
+    # The given columns are sorted, fewer than those made of them.
+    t = t.withColumn("idx", F.row_number().over(Window.partitionBy(*group, "image").orderBy(*key)).cast("long"))
     slot = F.col("l_partkey") % 100
     t = t.select(
-        F.floor(F.col("l_orderkey") / 30).cast("long").alias("image"),
+        *group,
+        "image",
+        "idx",
         F.col("l_returnflag").alias("role"),
         F.col("l_linestatus").alias("rater"),
         (100 * (slot % 10) + F.col("l_suppkey") % 37).cast("double").alias("x1"),
@@ -34,10 +44,8 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_suppkey") % 3).cast("int").alias("cls"),
         (F.col("l_discount") * 8).alias("circularity"),
         (F.col("l_tax") * 12).alias("solidity"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"),
     )
-    t = t.withColumn("idx", F.row_number().over(Window.partitionBy("image").orderBy("key")).cast("long"))
-    return t.select("image", "idx", "role", "rater", "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("h")).alias("y2"), "score", "cls", "circularity", "solidity", (F.least("w", "h") / F.greatest("w", "h")).alias("aspect_ratio"))
+    return t.select(*group, "image", "idx", "role", "rater", "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("h")).alias("y2"), "score", "cls", "circularity", "solidity", (F.least("w", "h") / F.greatest("w", "h")).alias("aspect_ratio"))
 
 
 BOXES = """

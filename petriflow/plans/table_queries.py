@@ -130,14 +130,18 @@ def _through_files(s: SparkSession, write, read) -> DataFrame:
     return out
 
 
+#: Images of a JSON document.
+DOCUMENT = 64
+
+
 def _documents(rows: DataFrame, value, path: str) -> None:
-    """One JSON document for every 64 images in a row, each a file by itself."""
-    g = rows.withColumn("g", F.floor(F.col("image") / 64))
-    g.groupBy("g").agg(value.alias("value")).write.partitionBy("g").text(path)
+    """One JSON document for the images of each g, each a file by itself in one folder: a folder of its own for each would be a task to list. Rows that come
+    from `boxes` with ``together`` are not shuffled again."""
+    rows.groupBy("g").agg(value.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
 
 
 def _read_box_annotations(s: SparkSession, d: str) -> DataFrame:
-    b = S.boxes(s, d).groupBy("image").agg(F.collect_list(F.when(F.col("role") == "N", F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h")))).alias("bboxes"))
+    b = S.boxes(s, d, DOCUMENT).groupBy("g", "image").agg(F.collect_list(F.when(F.col("role") == "N", F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h")))).alias("bboxes"))
     one = F.struct(F.concat(F.lit("i"), F.col("image").cast("string")).alias("image"), F.size("bboxes").alias("n_organoids"), "bboxes", F.array(F.lit(1000), F.lit(700)).alias("image_size"))
     found = _through_files(s, lambda p: _documents(b, F.to_json(F.collect_list(one)), p), lambda p: R.read_box_annotations(s, p))
     return found.select("image", "n_organoids", "width", "height", "x1", "y1", "x2", "y2")
@@ -145,7 +149,7 @@ def _read_box_annotations(s: SparkSession, d: str) -> DataFrame:
 
 def _read_detections(s: SparkSession, d: str, layout: str) -> DataFrame:
     measures = [F.col(c) for c in ("circularity", "solidity", "aspect_ratio")]
-    b = S.boxes(s, d).where("role = 'R'")
+    b = S.boxes(s, d, DOCUMENT).where("role = 'R'")
     box, name = F.array("x1", "y1", "x2", "y2").alias("bbox"), F.concat(F.lit("a/"), F.col("image").cast("string")).alias("image")
     conf = F.when(F.col("idx") % 2 == 0, F.col("score"))
     if layout == "flat":
@@ -153,7 +157,7 @@ def _read_detections(s: SparkSession, d: str, layout: str) -> DataFrame:
         value = F.to_json(F.collect_list(one))
     else:
         one = F.struct("idx", box, conf.alias("confidence"), *measures, (F.col("cls") == 1).alias("is_tp"))
-        b = b.groupBy("image").agg(F.sort_array(F.collect_list(one)).alias("detections"))
+        b = b.groupBy("g", "image").agg(F.sort_array(F.collect_list(one)).alias("detections"))
         value = F.to_json(F.struct(F.collect_list(F.struct(name, "detections")).alias("per_image")))
     found = _through_files(s, lambda p: _documents(b, value, p), lambda p: R.read_detections(s, p, layout))
     return r9(found.select("cache_key", "image", "det_idx", "x1", "y1", "x2", "y2", "score", "circularity", "solidity", "aspect_ratio", "area", "matched"), "score", "circularity", "solidity", "aspect_ratio")

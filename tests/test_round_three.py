@@ -183,3 +183,24 @@ def test_a_chain_takes_few_trips_to_the_state(monkeypatch):
         assert good == [(c, i, i != 5, True, False) for c in chains for i in range(n)] and len(out) == len(good) + 3
         if page == 128:
             assert len(trips) < 60
+
+
+def test_documents_lie_in_one_folder_and_boxes_are_shuffled_once(spark, sf_dir, monkeypatch, tmp_path):
+    import os
+
+    from petriflow.plans import table_queries as Q
+
+    seen, documents = [], Q._documents
+
+    def written(rows, value, path):
+        made = rows if "g" in rows.columns else rows.withColumn("g", F.floor(F.col("image") / 64))
+        plan = made.groupBy("g").agg(value.alias("value"))._jdf.queryExecution().executedPlan().toString()
+        documents(rows, value, path)
+        names = [n for n in os.listdir(path) if not n.startswith(("_", "."))]
+        seen.append((plan.count("Exchange hashpartitioning"), len(names), all(os.path.isfile(f"{path}/{n}") for n in names)))
+
+    monkeypatch.setattr(Q, "_documents", written)
+    n = -(-S.boxes(spark, sf_dir).where("role = 'R'").select("image").distinct().count() // 64)
+    for name in ("read_detections_flat", "read_detections", "read_box_annotations"):
+        same(QUERIES[name](spark, sf_dir).toPandas(), database(sf_dir).sql(SQL[name]).df())
+    assert seen == [(1, n, True)] * 3
