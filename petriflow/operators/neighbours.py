@@ -13,11 +13,14 @@ fill it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from petriflow.functions.lineage import checkpointed
 
 #: Rows of a slice of a cell, and of a block of its queries, at most about; bytes of distances that a task holds at a time.
 SLICE_ROWS, CELLS = 20_000, 32 << 20
+#: Bytes of vectors of a slice where all rows meet, and rows of a slice at least.
+SLICE_BYTES, LEAST_ROWS = 48 << 20, 2_000
 #: Base rows for each pivot, about, and pivots at most.
 PIVOT_ROWS, MOST_PIVOTS = 5_000, 2_048
 #: Pivots at most where a group is a part of the key; what is known of a group's cells travels with each query.
@@ -75,15 +80,14 @@ def _own(rows: DataFrame, *more: str | None) -> DataFrame:
     return rows.select(*(F.col(c).alias(c) for c in ("id", "values", *(c for c in more if c))))
 
 
-def _dealt(q: DataFrame, b: DataFrame, keys: list[str], fixed: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+def _dealt(q: DataFrame, b: DataFrame, keys: list[str], fixed: tuple[int, int] | None = None, large: bool = False) -> tuple[DataFrame, DataFrame]:
     """Both sides with _s and _q, by which a cell's pairs are dealt: base rows to slices, each of which every query meets, and queries to blocks. A base row
     goes to one slice and to as many copies as the cell has blocks, a query to one block and as many copies as it has slices; cells without
-    partners are left out. ``fixed``: the numbers of slices and of blocks, where all cells have the same."""
+    partners are left out. ``fixed``: the numbers of slices and of blocks, where all cells have the same. ``large``: by `_large_slices`."""
     if fixed:
         q, b = (d.withColumn("_ns", F.lit(fixed[0])).withColumn("_nq", F.lit(fixed[1])) for d in (q, b))
         return _spread(q, b)
-    sizes = _slices(q, b, keys)
-    sizes = checkpointed(sizes)
+    sizes = checkpointed((_large_slices if large else _slices)(q, b, keys))
     return _spread(with_few(q, sizes, keys), with_few(b, sizes, keys))
 
 
@@ -94,6 +98,16 @@ def _slices(q: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return n_b.join(n_q, keys)
 
 
+def _large_slices(q: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """As `_slices`, where all rows of a key meet: each row is copied once for each slice of the other side, so slices are as large as memory (`SLICE_BYTES`) and an
+    even share of the work for every core allow."""
+    n = b.groupBy(*keys).agg(F.count("*").alias("_b"), F.max(F.size("values")).alias("_d")).join(q.groupBy(*keys).agg(F.count("*").alias("_a")), keys)
+    total = n.agg(F.sum(F.col("_a").cast("double") * F.col("_b")).alias("pairs"), F.max("_d").alias("d")).first()
+    rows = SLICE_BYTES // (8 * max(1, total.d or 1))
+    side = max(1, min(rows, max(LEAST_ROWS, math.ceil(math.sqrt((total.pairs or 0) / (4 * q.sparkSession.sparkContext.defaultParallelism))))))
+    return n.select(*keys, F.ceil(F.col("_b") / side).cast("int").alias("_ns"), F.ceil(F.col("_a") / side).cast("int").alias("_nq"))
+
+
 def _spread(q: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -102,73 +116,143 @@ def _spread(q: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-#: Bytes of approximate distances that a product makes at a time, and pairs whose scores it computes exactly at a time.
-TABLE_BYTES, EXACT_PAIRS = 8 << 20, 1 << 16
+#: Queries and base rows of a tile of approximate products, candidates that are held for a tile's queries, and pairs whose scores are computed exactly at a time.
+TILE_ROWS, TILE_COLUMNS, HELD, EXACT_PAIRS = 2048, 512, 1 << 18, 1 << 16
+
+
+def _matrix(values: pa.ChunkedArray) -> np.ndarray:
+    """Vectors, all of one length, as rows."""
+    lists = values.combine_chunks()
+    n = pc.min_max(pc.list_value_length(lists)).as_py()
+    if lists.null_count or n["min"] != n["max"]:
+        raise ValueError("vectors differ in length")
+    return np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(lists), -1)
+
+
+def _true_places(mask: np.ndarray) -> np.ndarray:
+    """Places of the true ones, few, of a flat array: eight are looked at together."""
+    if mask.size % 8:
+        return np.flatnonzero(mask)
+    at = (np.flatnonzero(mask.view(np.uint64))[:, None] * 8 + np.arange(8)[None]).ravel()
+    return at[mask[at]]
+
+
+def _first_of_each(row: np.ndarray, k: int) -> np.ndarray:
+    """Whether each of the rows, in order, is one of the first ``k`` of its number."""
+    return np.arange(len(row)) - np.searchsorted(row, row) < k
 
 
 def _product(k: int, cosine: bool, group: str | None, same_group: bool | None, exclude_self: bool):
     """The ``k`` least scores (distances, or minus similarities) of each query among a slice of base rows.
 
-    All pairs are compared in single precision (where the numbers allow it); what may be among the least by the error of that is computed again in doubles.
+    All pairs are compared in single precision (where the numbers allow it) with what a query's k-th neighbour has at most: its score in an earlier round
+    (_limit), and that among the slice's first rows. What lies below that by more than the error is a candidate; the least of the candidates are
+    computed again in doubles.
     """
-
-    def scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        dot = (x * y).sum(1)
+    nothing = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    # Scores are rounded, and equal ones are told apart by id.
+    unit = 1e-12 if cosine else 1e-9
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return nothing
+        to, asked, x, y = right["id"].to_numpy().astype(np.int64), left["id"].to_numpy().astype(np.int64), _matrix(left["values"]), _matrix(right["values"])
+        fit, asks = np.isfinite(y).all(1), np.isfinite(x).all(1)  # a vector with a number that is none has no distance
+        xx, yy = (np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) if cosine else ((x * x).sum(1), (y * y).sum(1))
         if cosine:
-            return np.round(-dot / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1), 12)
-        return np.round(np.sqrt(np.maximum((x * x).sum(1) + (y * y).sum(1) - 2 * dot, 0)), 9)
-
-    def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})]
-        if not len(left) or not len(right):
-            return out[0]
-        right = right.sort_values("id")
-        y, x = _array(right["values"]), _array(left["values"])
-        fit, asks = np.isfinite(y).all(1), np.isfinite(x).all(1)
-        if not (fit.all() and asks.all()):  # a vector with a number that is none has no distance
-            left, right, x, y = left[asks], right[fit], x[asks], y[fit]
-        if not len(left) or not len(right):
-            return out[0]
-        to, asked = right.id.to_numpy(), left.id.to_numpy()
-        a, b = (_unit(x), _unit(y)) if cosine else (x - y.mean(0), y - y.mean(0))
+            fit, asks = fit & (yy > 0), asks & (xx > 0)
+        at = np.flatnonzero(fit)
+        at, ask = at[np.argsort(to[at], kind="stable")], np.flatnonzero(asks)
+        if not len(at) or not len(ask):
+            return nothing
+        to, y, yy, asked, x, xx = to[at], y[at], yy[at], asked[ask], x[ask], xx[ask]
+        known = left["_limit"].to_pandas().to_numpy(np.float64, na_value=np.inf)[ask] if "_limit" in left.column_names else np.full(len(x), np.inf)
+        apart = bool(group) and same_group is False
+        if apart:
+            kinds = pd.factorize(np.concatenate([left[group].to_pandas().to_numpy(object)[ask], right[group].to_pandas().to_numpy(object)[at]]))[0].astype(np.int32)
+            own, other = kinds[: len(x)], kinds[len(x) :]
+        a, b = (x / xx[:, None], y / yy[:, None]) if cosine else (x - y.mean(0), y - y.mean(0))
         size = max(np.abs(a).max(initial=0), np.abs(b).max(initial=0))
         kind = np.float32 if 1e-10 < size < 1e15 else np.float64
         aa, bb = (a * a).sum(1), (b * b).sum(1)
         slack = 8 * np.finfo(kind).eps * (y.shape[1] + 8) * (aa + bb.max())
-        a, b, half = a.astype(kind), b.T.astype(kind), (bb / 2).astype(kind)
-        step = max(1, TABLE_BYTES // (np.dtype(kind).itemsize * len(right)))
-        for low in range(0, len(left), step):
-            far = a[low : low + step] @ b
-            far = -far if cosine else half[None] - far
-            ids = asked[low : low + step]
-            if cosine:
-                far[:, bb == 0] = np.inf
-                far[aa[low : low + step] == 0] = np.inf
-            if group and same_group is False:
-                far[left[group].to_numpy()[low : low + step][:, None] == right[group].to_numpy()[None, :]] = np.inf
-            if exclude_self:
-                far[ids[:, None] == to[None, :]] = np.inf
-            if k < len(right):
-                edge = np.partition(far, k - 1, axis=1)[:, k - 1] + slack[low : low + step]
-                near = far <= edge[:, None].astype(kind)
-            else:
-                near = np.ones(far.shape, bool)
-            row, col = np.nonzero(near & np.isfinite(far))
-            exact = [scores(x[low + row[i : i + EXACT_PAIRS]], y[col[i : i + EXACT_PAIRS]]) for i in range(0, len(row), EXACT_PAIRS)]
-            score = np.concatenate(exact) if exact else np.empty(0)
-            order = np.lexsort((col, score, row))
-            row, col, score = row[order], col[order], score[order]
-            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
-            out.append(pd.DataFrame({"query_id": ids[row[kept]], "id": to[col[kept]], "score": score[kept]}))
-        return pd.concat(out)
+        if not cosine:  # a product is then the squared distance, but for the query's own length and a factor
+            a, b = np.column_stack([a, np.ones(len(a))]), np.column_stack([b, -bb / 2])
+        a, b = a.astype(kind), b.astype(kind)
+        # One row more than k where a row may be the query itself.
+        least_rows = k + (int(np.unique(to, return_counts=True)[1].max()) if exclude_self else 0)
+
+        def scores(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            dot = (x[i] * y[j]).sum(1)
+            return np.round(-dot / xx[i] / yy[j], 12) if cosine else np.round(np.sqrt(np.maximum(xx[i] + yy[j] - 2 * dot, 0)), 9)
+
+        def floor_of(near: np.ndarray, i: np.ndarray) -> np.ndarray:
+            """The least product that a neighbour can have if one has ``near``, by the error of products and the rounding of scores."""
+            far = np.sqrt(np.maximum(aa[i] - 2 * near, 0) + slack[i])
+            return near - slack[i] - (unit if cosine else unit * (far + unit))
+
+        product_of = -known if cosine else (aa - known**2) / 2
+        floors = np.where(np.isfinite(known), floor_of(product_of, np.arange(len(x))), -np.inf)
+        found, products, marks = [], np.empty(TILE_ROWS * TILE_COLUMNS, kind), np.empty(TILE_ROWS * TILE_COLUMNS, bool)
+        for low in range(0, len(x), TILE_ROWS):
+            some = a[low : low + TILE_ROWS]
+            lines = np.arange(low, low + len(some))
+            floor = floors[lines]
+            held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, kind))
+            waiting: list = []
+
+            def narrowed(settle: bool) -> tuple:
+                """The candidates without those that others leave no place; ``settle``: by exact scores, in order of these."""
+                row, col, near = (np.concatenate(c) for c in zip(held, *waiting, strict=True))
+                if exclude_self:
+                    other_row = asked[low + row] != to[col]
+                    row, col, near = row[other_row], col[other_row], near[other_row]
+                order = np.lexsort((-near, row))
+                row, col, near = row[order], col[order], near[order]
+                first = np.searchsorted(row, np.arange(len(some)))
+                full = np.flatnonzero(np.searchsorted(row, np.arange(len(some)), "right") - first >= k)
+                floor[full] = np.maximum(floor[full], floor_of(near[first[full] + k - 1].astype(np.float64), low + full))
+                keep = near >= floor[row].astype(kind)
+                row, col, near = row[keep], col[keep], near[keep]
+                if not settle and len(row) <= HELD // 2:
+                    return row, col, near, None
+                exact = [scores(low + row[i : i + EXACT_PAIRS], col[i : i + EXACT_PAIRS]) for i in range(0, len(row), EXACT_PAIRS)]
+                score = np.concatenate(exact) if exact else np.empty(0)
+                order = np.lexsort((col, score, row))
+                order = order[_first_of_each(row[order], k)]
+                return row[order], col[order], near[order], score[order]
+
+            for c in range(0, len(y), TILE_COLUMNS):
+                part = b[c : c + TILE_COLUMNS]
+                shape, n = (len(some), len(part)), len(some) * len(part)
+                near = np.matmul(some, part.T, out=products[:n].reshape(shape))
+                if apart:
+                    near[own[lines][:, None] == other[None, c : c + TILE_COLUMNS]] = -np.inf
+                if c == 0 and least_rows <= near.shape[1]:
+                    edge = -np.partition(-near, least_rows - 1, axis=1)[:, least_rows - 1].astype(np.float64)
+                    sure = np.isfinite(edge)
+                    floor[sure] = np.maximum(floor[sure], floor_of(edge[sure], lines[sure]))
+                np.greater_equal(near, floor[:, None].astype(kind), out=marks[:n].reshape(shape))
+                hit = _true_places(marks[:n])
+                if len(hit):
+                    row, col = np.divmod(hit, len(part))
+                    value = products[hit]
+                    real = value > -np.inf
+                    waiting.append((row[real], c + col[real], value[real]))
+                    if len(held[0]) + sum(len(w[0]) for w in waiting) > HELD:
+                        held, waiting = narrowed(False)[:3], []
+            row, col, _, score = narrowed(True)
+            found.append((asked[low + row], to[col], score))
+        query, near_id, score = (np.concatenate(f) for f in zip(*found, strict=True))
+        return pa.table({"query_id": query, "id": near_id, "score": score})
 
     return product
 
 
-def _met(q: DataFrame, b: DataFrame, keys: list[str], product, fixed: tuple[int, int] | None = None) -> DataFrame:
-    left, right = _dealt(q, b, keys, fixed)
+def _met(q: DataFrame, b: DataFrame, keys: list[str], product, fixed: tuple[int, int] | None = None, large: bool = False) -> DataFrame:
+    left, right = _dealt(q, b, keys, fixed, large)
     keys = [*keys, "_q", "_s"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(product, "query_id long, id long, score double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(product, "query_id long, id long, score double")
 
 
 def _keyed(rows: DataFrame, pivots: np.ndarray, cosine: bool) -> DataFrame:
@@ -194,27 +278,44 @@ class Cells:
 
 
 def _planned(pivots: np.ndarray, cosine: bool, known: Cells | dict | None, made: str, plan):
-    """Rows (id, values, ...) with ``made``, the cells that ``plan(distances to pivots, norm, cells, row)`` names; ``known``: those of all rows or of each group, None: a row has them in _cells."""
+    """Rows (id, values, ...) with ``made``, the cells that ``plan(distances to pivots, norms, cells, rows)`` names; ``known``: those of all rows or of each group, None: a row has them in _cells.
+
+    Rows that have the same cells are planned together."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
                 x = _array(f["values"])
                 d, norm = _distances(_unit(x) if cosine else x, pivots), np.linalg.norm(x, axis=1)
-                rows = f.to_dict("records") if made == "_rest" else [None] * len(f)
-                cells = [known.get(g) for g in f["_g"]] if isinstance(known, dict) else [Cells(c) for c in f["_cells"]] if known is None else [known] * len(f)
-                out = [plan(d[i], norm[i], cells[i], rows[i]) if cells[i] is not None else [] for i in range(len(f))]
+                if isinstance(known, dict):
+                    parts = [(known.get(g), at) for g, at in f.groupby("_g", dropna=False).indices.items()]
+                else:
+                    parts = [(Cells(c), np.array([i])) for i, c in enumerate(f["_cells"])] if known is None else [(known, np.arange(len(f)))]
+                out: list = [[]] * len(f)
+                for cells, at in parts:
+                    step = max(1, CELLS // (8 * max(1, len(cells.p)))) if cells is not None else 0
+                    for some in (at[i : i + step] for i in range(0, len(at), step)) if step else ():
+                        for i, named in zip(some.tolist(), plan(d[some], norm[some], cells, f.iloc[some]), strict=True):
+                            out[i] = named
                 yield f.drop(columns=[c for c in ("_cells", "_first", "_bound") if c in f]).assign(**{made: out})
 
     return run
 
 
+def _named(p: np.ndarray, which: np.ndarray) -> list[np.ndarray]:
+    """The cells ``p`` that each line of ``which`` marks."""
+    return np.split(p[np.nonzero(which)[1]], np.cumsum(which.sum(1))[:-1])
+
+
 def _nearest_cells(k: int):
     """The nearest cells, until they hold ``4 k`` rows."""
 
-    def plan(d: np.ndarray, norm: float, cells: Cells, row: None) -> list[int]:
-        order = np.argsort(d[cells.p], kind="stable")
-        return cells.p[order[: int(np.searchsorted(np.cumsum(cells.n[order]), 4 * k)) + 1]].tolist()
+    def plan(d: np.ndarray, norm: np.ndarray, cells: Cells, rows: pd.DataFrame) -> list[np.ndarray]:
+        order = np.argsort(d[:, cells.p], axis=1, kind="stable")
+        before = np.cumsum(cells.n[order], axis=1) - cells.n[order]
+        which = np.zeros(order.shape, bool)
+        np.put_along_axis(which, order, before < 4 * k, 1)
+        return _named(cells.p, which)
 
     return plan
 
@@ -223,13 +324,15 @@ def _other_cells(pivots: np.ndarray):
     """The cells beyond the first that may hold something as near as ``_bound``."""
     apart = _distances(pivots, pivots)
 
-    def plan(d: np.ndarray, norm: float, cells: Cells, row: dict) -> list[int]:
-        own, to = int(d.argmin()), d[cells.p]
+    def plan(d: np.ndarray, norm: np.ndarray, cells: Cells, rows: pd.DataFrame) -> list[np.ndarray]:
+        own, to = d.argmin(1), d[:, cells.p]
         ring = np.maximum(to - cells.hi, cells.lo - to)
-        gap = apart[own, cells.p]
-        plane = np.where(gap > 0, (to**2 - d[own] ** 2) / np.where(gap > 0, 2 * gap, 1), 0)  # a cell's rows are nearer to its pivot than to the query's
-        near = np.maximum(ring, plane) <= row["_bound"] + SLACK * (1 + norm + to)
-        return np.setdiff1d(cells.p[near], np.asarray(row["_first"], int)).tolist()
+        gap = apart[own][:, cells.p]
+        plane = np.where(gap > 0, (to**2 - d.min(1)[:, None] ** 2) / np.where(gap > 0, 2 * gap, 1), 0)  # a cell's rows are nearer to its pivot than to the query's
+        near = np.maximum(ring, plane) <= rows["_bound"].to_numpy()[:, None] + SLACK * (1 + norm[:, None] + to)
+        met = np.zeros((len(d), len(pivots)), bool)
+        met[np.repeat(np.arange(len(d)), rows["_first"].str.len()), np.concatenate([*rows["_first"], np.empty(0, int)]).astype(int)] = True
+        return _named(cells.p, near & ~met[:, cells.p])
 
     return plan
 
@@ -285,14 +388,16 @@ def meetings(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclide
     ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("_n") <= k)
     kth = ranked.groupBy(F.col("query_id").alias("id")).agg(F.max("score").alias("_worst"), F.count("*").alias("_have"))
     worst = F.sqrt(F.greatest(F.lit(0.0), 2 + 2 * F.col("_worst"))) if cosine else F.col("_worst")
-    bounded = first.join(kth, "id", "left").withColumn("_bound", F.when(F.col("_have") >= k, worst).otherwise(F.lit(float("inf")))).drop("_worst", "_have")
-    rest = checkpointed(told(bounded).mapInPandas(_planned(spots, cosine, known, "_rest", _other_cells(spots)), _schema(q, "_rest array<int>")))
+    bounded = first.join(kth, "id", "left").withColumn("_bound", F.when(F.col("_have") >= k, worst).otherwise(F.lit(float("inf"))))
+    # What a query has found bounds what it looks for.
+    bounded = bounded.withColumn("_limit", F.when(F.col("_have") >= k, F.col("_worst"))).drop("_worst", "_have")
+    rest = checkpointed(told(bounded).mapInPandas(_planned(spots, cosine, known, "_rest", _other_cells(spots)), _schema(q, "_limit double", "_rest array<int>")))
     # Where the cells tell neighbours apart too little, all rows (of a group) meet in slices: these are larger than cells, so less is copied.
     whole = keys[:-1] or ["_all"]
-    q1, b1 = (d if keys[1:] else d.withColumn("_all", F.lit(0)) for d in (q, b.drop("_p", "_r")))
+    q1, b1 = (d if keys[1:] else d.withColumn("_all", F.lit(0)) for d in (rest.drop("_rest"), b.drop("_p", "_r")))
     copies = _slices(q1, b1, whole).agg(F.sum(F.col("_a") * F.col("_ns") + F.col("_b") * F.col("_nq"))).first()[0] or 0
     if (rest.agg(F.sum(F.size("_rest"))).first()[0] or 0) > copies:
-        return Meetings(b1, q1, _met(q1, b1, whole, product), None, whole)
+        return Meetings(b1, q1, _met(q1, b1, whole, product, large=True), None, whole)
     rest = rest.withColumn("_p", F.explode("_rest")).drop("_rest")
     return Meetings(b, one, found.unionByName(_met(rest, b, keys, product)), rest, keys)
 
@@ -313,11 +418,12 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean",
 
 def shuffled_copies(m: Meetings) -> DataFrame:
     """(side, vectors, copies): how many vectors each side of an exact search has, and how often they are shuffled in all."""
+    large = m.keys[-1] != "_p"
     met = m.first if m.rest is None else m.first.select("id", *m.keys).union(m.rest.select("id", *m.keys))
     rounds = [m.first] if m.rest is None else [m.first, m.rest]
     sides = met.agg(F.lit("queries").alias("side"), F.countDistinct("id").alias("vectors"), F.count("*").alias("copies"))
     for r in rounds:
-        left, right = _dealt(r.select("id", *m.keys), m.base.select("id", *m.keys), m.keys)
+        left, right = _dealt(r.select("id", "values", *m.keys), m.base.select("id", "values", *m.keys), m.keys, large=large)
         sides = sides.union(right.agg(F.lit("base").alias("side"), F.countDistinct("id").alias("vectors"), F.count("*").alias("copies")))
     return sides.groupBy("side").agg(F.max("vectors").alias("vectors"), F.sum("copies").alias("copies"))
 

@@ -14,7 +14,7 @@ from petriflow.functions.joins import with_few
 from petriflow.functions.lineage import checkpointed
 from petriflow.operators.models import dirichlet_mixture
 from petriflow.operators.neighbours import CELLS, SAMPLE_BYTES, approx_knn, centres, knn, recall_at_k, sample  # noqa: F401
-from petriflow.operators.ranking import mann_whitney, pr_auc, roc_auc
+from petriflow.operators.ranking import areas, mann_whitney, pr_auc, roc_auc, score_steps
 
 #: Rows of one block of a block product, about.
 BLOCK_ROWS = 20_000
@@ -104,13 +104,15 @@ def knn_vote_loo(rows: DataFrame, k: int = 7, scope: str = "global", client: str
 
 def local_vs_global_report(rows: DataFrame, k: int = 7, conf: str | None = None, client: str = "client") -> DataFrame:
     """(client, n, n_pos, local_auc, global_auc, local_pr, global_pr, delta_auc[, conf_auc])."""
+    kinds = ["local", "global", *([conf] if conf else [])]
     votes = rows.join(knn_vote_loo(rows, k, "local", client).withColumnRenamed("vote", "local"), "id").join(knn_vote_loo(rows, k, "global").withColumnRenamed("vote", "global"), "id")
-    a = roc_auc(votes, "label", "local", [client]).withColumnRenamed("auc", "local_auc")
-    b = roc_auc(votes, "label", "global", [client]).select(client, F.col("auc").alias("global_auc"))
-    c = pr_auc(votes, "label", "local", [client]).withColumnRenamed("pr_auc", "local_pr")
-    d = pr_auc(votes, "label", "global", [client]).withColumnRenamed("pr_auc", "global_pr")
-    out = a.join(b, client).join(c, client).join(d, client).withColumn("delta_auc", F.col("global_auc") - F.col("local_auc"))
-    return out if conf is None else out.join(roc_auc(votes, "label", conf, [client]).select(client, F.col("auc").alias("conf_auc")), client)
+    # All areas come from these few rows, so that no neighbour is looked for again.
+    each = F.inline(F.array(*(F.struct(F.lit(i).alias("_kind"), F.col(c).cast("double").alias("score")) for i, c in enumerate(kinds))))
+    steps = checkpointed(score_steps(votes.where(F.col(client).isNotNull()).select(client, "label", each), "label", "score", [client, "_kind"]))
+    of = lambda i, c: F.max(F.when(F.col("_kind") == i, F.col(c)))
+    more = [of(2, "auc").alias("conf_auc")] if conf else []
+    out = areas(steps, [client, "_kind"]).groupBy(client).agg(F.max("n").alias("n"), F.max("n_pos").alias("n_pos"), *(of(i, c).alias(f"{kinds[i]}_{name}") for c, name in (("auc", "auc"), ("pr_auc", "pr")) for i in (0, 1)), *more)
+    return out.select(client, "n", "n_pos", "local_auc", "global_auc", "local_pr", "global_pr", (F.col("global_auc") - F.col("local_auc")).alias("delta_auc"), *(["conf_auc"] if conf else []))
 
 
 def knn_outlier(rows: DataFrame, k: int = 5, client: str = "client") -> DataFrame:
