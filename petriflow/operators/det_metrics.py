@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from petriflow.functions.grid import all_pairs_of_keys, with_each
 from petriflow.functions.lineage import checkpointed
+from petriflow.operators.boxes import CORNERS
 from petriflow.operators.matching import iou_pairs, match_best_any, match_greedy
+from petriflow.operators.merging import AT_ONCE, _meeting
 from petriflow.operators.ranking import running_totals
 
 
@@ -112,29 +119,123 @@ FILTERS: dict[str, tuple[float, float, float, float]] = {
 }
 
 
+#: Images whose boxes come to a task's sweep at once, filters whose answers are bits of one number, and numbers of a table of a sweep at most, about.
+TOGETHER, BITS, SWEPT = 16, 62, 1 << 21
+
+
 def filter_sweep(det: DataFrame, gt: DataFrame, filters: dict[str, tuple[float, float, float, float]] | None = None, thr: float = 0.5) -> DataFrame:
-    """One `prf_summary` row for each named filter: detections are filtered and matched anew; pairs are found once, as they depend on no filter."""
+    """One `prf_summary` row for each named filter: detections are filtered and matched anew."""
+    measures = ["score", "circularity", "solidity", "aspect_ratio"]
+    g = F.floor(F.col("image") / TOGETHER).alias("g")
+    d = det.select(g, "image", "idx", *CORNERS, *measures, F.lit(True).alias("detected"))
+    r = gt.select(g, "image", "idx", *CORNERS, *(F.lit(None).cast("double").alias(c) for c in measures), F.lit(False).alias("detected"))
+    return filter_sweep_together(d.unionByName(r), filters, thr)
+
+
+def filter_sweep_together(rows: DataFrame, filters: dict[str, tuple[float, float, float, float]] | None = None, thr: float = 0.5) -> DataFrame:
+    """`filter_sweep` of detections and, where not ``detected``, reference boxes in one table; an image's rows have one number g, few images each.
+
+    A box comes once, with a bit for each filter that it passes; neither boxes nor pairs are multiplied by the filters. Rows that lie by g (`boxes` with
+    ``together``) are not shuffled again, and of a task's images only sums by filter are.
+    """
     filters = FILTERS if filters is None else filters
-    pairs = iou_pairs(det, gt, thr, left_extra=["score", "circularity", "solidity", "aspect_ratio"])
-    names, n = list(filters), len(filters)
-    grid = [(i, *map(float, filters[name])) for i, name in enumerate(names)]
-
-    def many(d: DataFrame, prefix: str | None, kept: list[str]) -> DataFrame:
-        j = with_each(d, ["k", "c0", "c1", "c2", "c3"], grid)
-        if prefix is not None:
-            for i, c in enumerate(("score", "circularity", "solidity", "aspect_ratio")):
-                j = j.where(F.coalesce(F.col(prefix + c), F.lit(0.0)) >= F.col(f"c{i}"))
-        # What is multiplied is narrow: of boxes their place and score.
-        return j.withColumn("image", F.col("image") * n + F.col("k")).drop("k", "c0", "c1", "c2", "c3").select("image", *kept)
-
-    box = ["circularity", "solidity", "aspect_ratio"]
-    d = many(det.select("image", "idx", "score", *box), "", ["idx", "score"])
-    met = many(pairs.select("image", "l_idx", "r_idx", "iou", "l_score", *("l_" + c for c in box)), "l_", ["l_idx", "r_idx", "l_score", "iou"])
-    counts = many(gt.groupBy("image").agg(F.count("*").alias("n_gt")), None, ["n_gt"])
-    counts = counts.unionByName(d.select("image").distinct().join(counts, "image", "left_anti").withColumn("n_gt", F.lit(0).cast("long")))
-    ap = ap_from_matches(match_greedy(d, gt, thr, pairs=met), counts, ["image"])
-    named = ap.withColumn("config", F.get(F.array(*(F.lit(x) for x in names)), (F.col("image") % n).cast("int")))
-    return prf_summary(named, ["config"])
+    names, bits = list(filters), []
+    for low in range(0, len(names), BITS):
+        bit = F.lit(0).cast("long")
+        for i, name in enumerate(names[low : low + BITS]):
+            passes = reduce(and_, (F.coalesce(F.col(c), F.lit(0.0)) >= float(least) for c, least in zip(("score", "circularity", "solidity", "aspect_ratio"), filters[name], strict=True)))
+            bit = bit + F.when(passes, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+        bits.append(bit.alias(f"_m{low // BITS}"))
+    narrow = rows.select("g", "image", "idx", *CORNERS, "detected", "score", *bits)
+    schema = "k int, n_images long, tp long, fp long, fn long, ap double"
+    part = narrow.groupBy("g").applyInArrow(_swept(len(names), thr), schema)
+    s = part.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("n_images", "tp", "fp", "fn")), (F.sum("ap") / F.sum("n_images")).alias("map"))
+    config = F.get(F.array(*(F.lit(x) for x in names)), F.col("k")).alias("config")
+    return _rates(s.select(config, "n_images", "tp", "fp", "fn", "map"))
+
+
+def _swept(n: int, thr: float):
+    """Counts and the sum of average precisions of some images' boxes by filter, for filters with an image only."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        of = lambda c: rows[c].to_numpy()
+        image, idx, detected, score = of("image"), of("idx"), of("detected").astype(bool), of("score").astype(float)
+        # Highest score first; one that is not a number counts as the highest, and without one as the lowest, as in an order by score.
+        last = np.where(np.isnan(score), np.where(rows["score"].is_null().to_numpy(), np.inf, -np.inf), -score)
+        order = np.lexsort((idx, np.where(detected, last, 0), ~detected, image))
+        image, detected, box = image[order], detected[order], np.column_stack([of(c).astype(float) for c in CORNERS])[order]
+        masks = [of(f"_m{i}")[order] for i in range(-(-n // BITS))]
+        passes = [int(m) for m in masks[0]] if len(masks) == 1 else [sum(int(v) << BITS * i for i, v in enumerate(m)) for m in zip(*masks, strict=True)]
+        starts = np.flatnonzero(np.r_[True, image[1:] != image[:-1]])
+        ends = np.r_[starts[1:], len(image)]
+        n_det = np.add.reduceat(detected.astype(np.int64), starts)
+        n_gt = ends - starts - n_det
+        right = [0] * len(image)  # the filters under which a detection takes a reference box
+        for low, high, k in zip(starts[n_gt > 0].tolist(), ends[n_gt > 0].tolist(), n_det[n_gt > 0].tolist(), strict=True):
+            i, j, o = _close(box[low : low + k], box[low + k : high], thr) if k else ((), (), ())
+            used: dict[int, int] = {}
+            if len(i):
+                free = dict.fromkeys(i.tolist())
+                free = {p: passes[low + p] for p in free}
+                # Detections in order, each with its reference boxes from the most overlap on: all filters' walks at once, by a bit each.
+                along = np.lexsort((j, -o, i))
+                for p, q in zip(i[along].tolist(), j[along].tolist(), strict=True):
+                    takes = free[p] & ~used.get(q, 0)
+                    if takes:
+                        used[q] = used.get(q, 0) | takes
+                        free[p] &= ~takes
+                        right[low + p] |= takes
+        at = np.repeat(np.arange(len(starts)), ends - starts)
+        at, told = at[detected], np.flatnonzero(detected)
+        first = np.cumsum(n_det) - n_det
+        some = np.flatnonzero(n_det > 0)
+        out = np.zeros((n, 4), np.int64)
+        area = np.zeros(n)
+        step = max(1, SWEPT // max(1, len(told)))
+        for low in range(0, n, step):
+            few = range(low, min(n, low + step))
+            has = _bits([passes[i] for i in told.tolist()], few)
+            tp = _bits([right[i] for i in told.tolist()], few)
+            n_has, n_tp = np.zeros((len(starts), len(few)), np.int64), np.zeros((len(starts), len(few)), np.int64)
+            if len(some):
+                n_has[some], n_tp[some] = np.add.reduceat(has, first[some]), np.add.reduceat(tp, first[some])
+            known = (n_gt > 0)[:, None]
+            out[low : low + step] = np.stack([(known | (n_has > 0)).sum(0), n_tp.sum(0), np.where(known, n_has - n_tp, 0).sum(0), np.where(known, n_gt[:, None] - n_tp, 0).sum(0)], 1)
+            if len(some):
+                # Rank and right ones so far within the image, and from the last back the best precision; images are kept apart by whole numbers.
+                rank, good = (np.cumsum(c, 0) - (np.cumsum(s, 0) - s)[at] for c, s in ((has, n_has), (tp, n_tp)))
+                precision = np.where(has > 0, good / np.maximum(rank, 1), 0)
+                place = 2.0 * (len(starts) - at)[:, None]
+                best = np.maximum.accumulate((precision + place)[::-1])[::-1] - place
+                area[low : low + step] = (np.where(tp > 0, best, 0) / np.maximum(n_gt, 1)[at][:, None]).sum(0)
+        kept = out[:, 0] > 0
+        counts = {c: out[kept, i] for i, c in enumerate(("n_images", "tp", "fp", "fn"))}
+        return pa.table({"k": np.flatnonzero(kept).astype(np.int32), **counts, "ap": area[kept]})
+
+    return run
+
+
+def _bits(numbers: list[int], which: range) -> np.ndarray:
+    """The bits ``which`` of numbers, of any length, as columns of 0 and 1."""
+    if which.stop <= BITS:
+        return (np.array(numbers, np.int64)[:, None] >> np.array(which)[None]) & 1
+    return np.array([[v >> i & 1 for i in which] for v in numbers], np.int64).reshape(len(numbers), len(which))
+
+
+def _close(b: np.ndarray, c: np.ndarray, thr: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `_meeting`; where there are many boxes, some from left to right meet only those that their stretch may touch."""
+    if len(b) * len(c) <= AT_ONCE**2:
+        return _meeting(b, c, thr)
+    p, q = np.argsort(b[:, 0], kind="stable"), np.argsort(c[:, 0], kind="stable")
+    left, wide, found = c[q, 0], (c[:, 2] - c[:, 0]).max(), []
+    for low in range(0, len(p), AT_ONCE):
+        some = p[low : low + AT_ONCE]
+        near = q[np.searchsorted(left, b[some[0], 0] - wide) : np.searchsorted(left, b[some, 2].max(), "right")]
+        if len(near):
+            i, j, o = _meeting(b[some], c[near], thr)
+            found.append((some[i], near[j], o))
+    none = np.empty(0, int)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, np.empty(0))  # type: ignore[return-value]
 
 
 def pool_experiments(per_batch: DataFrame, batch: str = "batch") -> DataFrame:

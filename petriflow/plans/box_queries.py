@@ -151,7 +151,7 @@ SELECT image, idx FROM det WHERE (image, idx) NOT IN (SELECT (image, idx) FROM c
     "consensus_report": (lambda s, d: r9(G.consensus_report(G.label_consensus(S.boxes(s, d).where("role = 'N'"), ["F", "O"]).withColumn("split", F.when(F.col("image") % 5 == 0, "test").otherwise("train"))), "agreed_pct"), walk_sql.SQL["consensus_report"]),
     "map_range": (lambda s, d: (lambda r, a, n: D.map_range(r, n).groupBy("thr").agg(F.round(F.avg("ap"), 9).alias("map"), F.sum("tp").alias("tp")))(*_split(s, d)), walk_sql.SQL["map_range"]),
     "ap_101_pooled": (lambda s, d: (lambda r, a, n: r9(D.ap_101_pooled(r, n), "ap"))(*_split(s, d)), walk_sql.SQL["ap_101_pooled"]),
-    "filter_sweep": (lambda s, d: (lambda r, a, n: r9(D.filter_sweep(r, n), "map", "precision", "recall", "f1"))(*_split(s, d)), walk_sql.SQL["filter_sweep"]),
+    "filter_sweep": (lambda s, d: r9(D.filter_sweep_together(S.boxes(s, d, D.TOGETHER).where("role IN ('R', 'N')").withColumn("detected", F.col("role") == "R")), "map", "precision", "recall", "f1"), walk_sql.SQL["filter_sweep"]),
     "pool_experiments": (lambda s, d: (lambda r, a, n: r9(D.pool_experiments(D.ap_per_image(r, n).withColumn("batch", F.col("image") % 3)), "precision", "recall", "f1"))(*_split(s, d)), f"{GREEDY}, {AP}, s AS (SELECT image % 3 AS batch, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM ap GROUP BY ROLLUP (image % 3)) SELECT batch, tp, fp, fn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM s"),
     "detection_summary": (lambda s, d: r9(D.detection_summary(S.boxes(s, d)), "mean_confidence", "mean_area"), f"WITH {S.BOXES} SELECT count(*) AS total, round(avg(score), 9) AS mean_confidence, round(avg((x2 - x1) * (y2 - y1)), 9) AS mean_area, min((x2 - x1) * (y2 - y1)) AS min_area, max((x2 - x1) * (y2 - y1)) AS max_area FROM boxes"),
     "class_counts": (lambda s, d: r9(D.class_counts(S.boxes(s, d)), "mean_confidence"), f"WITH {S.BOXES} SELECT cls, count(*) AS n, round(avg(score), 9) AS mean_confidence FROM boxes GROUP BY cls"),
